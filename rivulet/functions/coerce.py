@@ -71,7 +71,8 @@ def natural_key(c, case_insensitive: bool = True) -> Column:
     parts = F.regexp_extract_all(s, F.lit(r"(\d+|\D+)"), 1)
 
     def norm(p):
-        stripped = F.regexp_replace(p, r"^0+(?=\d)", "")
+        t = F.ltrim(p, F.lit("0"))
+        stripped = F.when(t == "", F.lit("0")).otherwise(t)
         return F.when(p.rlike(r"^\d"),
                       F.concat(F.lpad(F.length(stripped).cast("string"), 3, "0"), stripped)
                       ).otherwise(p)

@@ -32,6 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import every module that registers queries."""
     from rivulet.plans import (  # noqa: F401
-        q_flow, q_sources, q_transform, q_routing, q_control, q_sql, q_functions,
+        q_flow, q_sources, q_sinks, q_transform, q_routing, q_control, q_sql, q_functions,
         q_history, q_streaming,
     )

@@ -39,7 +39,9 @@ def write(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexist
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists", dry_run: bool = False,
                compression: str | None = None) -> str | None:
     """JSON lines, one object per record (K-1).  Absent fields stay absent."""
-    return write(df, path, "json", mode, dry_run, compression, ignoreNullFields="true")
+    from rivulet.sources.json import TS_FORMAT
+    return write(df, path, "json", mode, dry_run, compression, ignoreNullFields="true",
+                 timestampNTZFormat=TS_FORMAT, timestampFormat=TS_FORMAT + "XXX")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", dry_run: bool = False,

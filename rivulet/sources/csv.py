@@ -20,7 +20,9 @@ def read_csv(spark: SparkSession, path: str, headers: list[str] | str | None = N
 
     A row whose field count differs from the header raises (``FAILFAST``).
     With ``continue_on_error`` the reader returns ``(good, bad)``: ``bad``
-    holds the raw line in ``raw`` next to the parsed fields.  Blank lines are
+    holds the raw line in ``raw`` next to the parsed fields (a query on
+    ``bad`` must use at least one parsed field besides ``raw``: Spark refuses
+    scans that need only the corrupt-record column).  Blank lines are
     skipped.  A missing path raises.
     """
     if isinstance(headers, str):

@@ -10,6 +10,10 @@ from rivulet.functions.coerce import as_column, natural_key
 from rivulet.operators.ordering import with_row_index
 
 
+# Text form of timestamps in JSON/CSV, microseconds kept.
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
 def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
     """Read JSON; a malformed document raises (``FAILFAST``).
 
@@ -17,7 +21,8 @@ def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool = Fa
     a root array of records); one file is then one task, so for large data use
     JSON lines (the default).
     """
-    r = spark.read.option("mode", "FAILFAST").option("multiLine", str(multi_line).lower())
+    r = (spark.read.option("mode", "FAILFAST").option("multiLine", str(multi_line).lower())
+         .option("timestampNTZFormat", TS_FORMAT).option("timestampFormat", TS_FORMAT + "XXX"))
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
