@@ -87,7 +87,7 @@ def step_vars(df: DataFrame, variables: dict) -> DataFrame:
     return df.withColumns({k: template(v) for k, v in variables.items()})
 
 
-def last_values(df: DataFrame, variables: dict, order_by) -> DataFrame:
+def last_values(df: DataFrame, variables: dict, order_by, extra: list | None = None) -> DataFrame:
     """Value of each variable for the last record under ``order_by`` (P-13, C-4, C-5).
 
     One aggregate pass with partial aggregation; the result is one row.
@@ -95,7 +95,7 @@ def last_values(df: DataFrame, variables: dict, order_by) -> DataFrame:
     if isinstance(order_by, (str, Column)):
         order_by = [order_by]
     key = F.struct(*[as_column(c) if not isinstance(c, str) else F.col(c) for c in order_by])
-    return df.agg(*[F.max_by(template(v), key).alias(k) for k, v in variables.items()])
+    return df.agg(*[F.max_by(template(v), key).alias(k) for k, v in variables.items()], *(extra or []))
 
 
 # Supported digest names (lower-case hex output).
