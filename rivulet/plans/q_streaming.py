@@ -1 +1,91 @@
-"""Registered queries."""
+"""Registered queries: the event queue through Structured Streaming (T-*).
+
+Each query copies ``events`` into a queue folder on shared storage, runs a
+streaming job over it with ``availableNow`` and a checkpoint, and returns
+what the sink holds.  The oracle is the batch form of the same question.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rivulet.plans.registry import query, table
+from rivulet.plans.standins import duck_cte, standins
+from rivulet.session import scratch_path
+from rivulet.streaming.queue import capture, drain, last_value_per_key, run_available_now
+
+
+def _queue_folder(spark, sf_dir):
+    """Copy of ``events`` as the queue's landing folder; returns (path, schema)."""
+    ev = table(spark, sf_dir, "events")
+    path = scratch_path(spark, "queue")
+    ev.write.parquet(path)
+    return path, ev.schema
+
+
+@query("stream_capture", duck_cte() + """
+SELECT s.dataflowid, s.id AS stepid, e.event_type AS eventname, e.props AS eventdata, e.event_id, e.ts, e.value
+FROM events e JOIN steps s ON s.type = 'trigger_event' AND s.dataflowid = e.user_id
+ AND json_extract_string(s.config, '$.eventname') = e.event_type""")
+def q_stream_capture(spark, sf_dir):
+    """T-1: each event is queued once for every listening trigger of its flow."""
+    path, schema = _queue_folder(spark, sf_dir)
+    steps = standins(spark, sf_dir)["steps"]
+    listeners = steps.where(F.col("type") == "trigger_event").select(
+        "dataflowid", F.col("id").alias("stepid"), F.get_json_object("config", "$.eventname").alias("eventname"))
+    stream = spark.readStream.schema(schema).parquet(path)
+    sink = scratch_path(spark, "captured")
+    drain(capture(stream, listeners, flow_col="user_id"), sink, scratch_path(spark, "ckpt_capture"))
+    return spark.read.parquet(sink).drop("batch")
+
+
+@query("stream_drain", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_stream_drain(spark, sf_dir):
+    """T-2: the queue drained once through a checkpointed, idempotent micro-batch sink."""
+    path, schema = _queue_folder(spark, sf_dir)
+    sink = scratch_path(spark, "drained")
+    drain(spark.readStream.schema(schema).parquet(path), sink, scratch_path(spark, "ckpt_drain"))
+    return spark.read.parquet(sink).drop("batch")
+
+
+@query("stream_redrain", "SELECT event_id, user_id FROM events WHERE false")
+def q_stream_redrain(spark, sf_dir):
+    """T-2/T-5: a second run with the same checkpoint finds nothing new."""
+    path, schema = _queue_folder(spark, sf_dir)
+    ckpt = scratch_path(spark, "ckpt_redrain")
+    first, second = scratch_path(spark, "redrain1"), scratch_path(spark, "redrain2")
+    drain(spark.readStream.schema(schema).parquet(path), first, ckpt)
+    drain(spark.readStream.schema(schema).parquet(path), second, ckpt)
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(second).select("event_id", "user_id")
+    except AnalysisException:  # nothing was written: the queue was already consumed
+        return spark.createDataFrame([], "event_id bigint, user_id bigint")
+
+
+@query("stream_dry_run", "SELECT CAST(count(*) AS BIGINT) AS n FROM events")
+def q_stream_dry_run(spark, sf_dir):
+    """T-4: a dry run processes the queue but keeps no offsets; a real run afterwards still sees every event."""
+    path, schema = _queue_folder(spark, sf_dir)
+    ckpt = scratch_path(spark, "ckpt_dry")
+    drain(spark.readStream.schema(schema).parquet(path), scratch_path(spark, "dry_sink"), ckpt, dry_run=True)
+    sink = scratch_path(spark, "after_dry")
+    drain(spark.readStream.schema(schema).parquet(path), sink, ckpt)
+    return spark.read.parquet(sink).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_last_value", """
+SELECT user_id, CAST(count(*) AS BIGINT) AS events, arg_max(value, (ts, event_id)) AS last_value
+FROM events GROUP BY user_id""")
+def q_stream_last_value(spark, sf_dir):
+    """T-6: running count and last value per user, kept as streaming state (complete mode)."""
+    path, schema = _queue_folder(spark, sf_dir)
+    stream = spark.readStream.schema(schema).parquet(path)
+    sink = scratch_path(spark, "last_value")
+
+    def write_state(df, batch_id):
+        df.write.mode("overwrite").parquet(sink)
+
+    run_available_now(last_value_per_key(stream, "user_id", "value", ["ts", "event_id"]),
+                      scratch_path(spark, "ckpt_last"), write_state, output_mode="complete")
+    return spark.read.parquet(sink)
