@@ -214,3 +214,12 @@ def q_schedule_retry_update(spark, sf_dir):
     """H-22: retry bookkeeping after failed runs, one retry allowed."""
     t = standins(spark, sf_dir)
     return H.schedule_retry_update(t["schedule"], t["failures"], allowed=1)
+
+
+@query("alias_from_name", W + """
+SELECT id, name, regexp_replace(lower(name), '[^a-zA-Z0-9_-]+', '_', 'g') AS alias FROM steps""")
+def q_alias_from_name(spark, sf_dir):
+    """V-3: a step alias derived from its name."""
+    from rivulet.operators.validate import alias_column
+    steps = standins(spark, sf_dir)["steps"]
+    return steps.select("id", "name", alias_column(F.col("name")).alias("alias"))
