@@ -224,7 +224,7 @@ def queue_purge(queue: DataFrame, name_col: str, new_names: DataFrame) -> DataFr
     """
     q = queue.join(new_names, "dataflowid", "inner")
     purge = q.where(F.col(name_col) != F.col("new_name")).select("dataflowid").distinct()
-    return queue.join(purge, "dataflowid", "left_anti")
+    return queue.join(purge, "dataflowid", "left_anti").select(*queue.columns)
 
 
 def schedule_retry_update(schedule: DataFrame, failures: DataFrame, allowed: int) -> DataFrame:

@@ -58,7 +58,7 @@ def dml_insert(target: DataFrame, rows: DataFrame) -> DataFrame:
 def dml_delete(target: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
     """DELETE as a new snapshot: target rows without a match in ``keys``."""
     on = [on] if isinstance(on, str) else list(on)
-    return target.join(keys.select(*on).distinct(), on, "left_anti")
+    return target.join(keys.select(*on).distinct(), on, "left_anti").select(*target.columns)
 
 
 def dml_update(target: DataFrame, updates: DataFrame, key: str, fields: list[str], order_by=None) -> DataFrame:

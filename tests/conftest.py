@@ -32,5 +32,5 @@ def tmp(tmp_path):
 
 
 def rows(df, *cols):
-    cols = cols or df.columns
-    return [tuple(r) for r in df.select(*cols).collect()]
+    src = df.select(*cols) if cols else df
+    return [tuple(r) for r in src.collect()]
