@@ -8,6 +8,7 @@ a job that dies before its commit leaves the previous state readable.
 from __future__ import annotations
 
 import json
+import logging
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,16 @@ class StateTable:
         self.path = path.rstrip("/")
 
     def _all(self) -> DataFrame | None:
+        # a missing table is the normal first-run case: keep it out of the error log
+        log = logging.getLogger("DataFrameQueryContextLogger")
+        level = log.level
+        log.setLevel(logging.CRITICAL)
         try:
             return self.spark.read.schema(_SCHEMA).parquet(self.path)
         except AnalysisException:
             return None
+        finally:
+            log.setLevel(level)
 
     def as_frame(self) -> DataFrame:
         """Latest version as a frame ``(name, value)`` with JSON-encoded values."""
