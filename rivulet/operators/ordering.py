@@ -23,15 +23,20 @@ def _order_cols(order_by) -> list[Column]:
     return [as_column(c) if not isinstance(c, str) else F.col(c) for c in order_by]
 
 
-def with_row_index(df: DataFrame, order_by, name: str = "row_index", start: int = 1) -> DataFrame:
+def with_row_index(df: DataFrame, order_by, name: str = "row_index", start: int = 1,
+                   num_partitions: int | None = None) -> DataFrame:
     """Add the global position of each row under ``order_by``.
 
     ``order_by`` must be a total order (end it with a unique key) so the
     numbering is the same on every recomputation, for example after an
-    executor is lost.
+    executor is lost.  The range partitioning has an explicit partition
+    count (default: ``spark.sql.shuffle.partitions``), which AQE never
+    coalesces, so the per-partition counts and the rows always see the same
+    layout; the shuffle itself is shared by both through exchange reuse.
     """
     cols = _order_cols(order_by)
-    tagged = (df.orderBy(*cols)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
                 .withColumn("_ri_pid", F.spark_partition_id())
                 .withColumn("_ri_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_ri_pid").agg(F.count(F.lit(1)).alias("_ri_n"))

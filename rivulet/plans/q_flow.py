@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.operators.routing import label_cases, merge, switch
+from rivulet.operators.routing import label_cases, switch_merge
 from rivulet.operators.transform import alter, filter_rows
 from rivulet.plans.registry import query, table
 
@@ -24,15 +24,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tag": "${{ event_type }}:${{ user_id }}",
     })
     kept = filter_rows(shaped, "value > 10")
-    branches = switch(kept, FLAG_CASES, keep_label=True)
-    return merge(*branches.values())
+    # switch → per-branch alter → merge, planned as one pass over one scan
+    return switch_merge(kept, FLAG_CASES, {
+        "buy": {"bonus": "${{ value / 10 }}"},
+        "browse": {"tag": "browse:${{ user_id }}"},
+    })
 
 
 query("flow_events", """
 SELECT event_id, user_id, event_type, value, round(value * 2, 2) AS value_x2,
-       event_type || ':' || CAST(user_id AS VARCHAR) AS tag,
+       CASE WHEN event_type IN ('click', 'view') THEN 'browse:' || CAST(user_id AS VARCHAR)
+            ELSE event_type || ':' || CAST(user_id AS VARCHAR) END AS tag,
        CASE WHEN event_type = 'purchase' THEN 'buy'
-            WHEN event_type IN ('click', 'view') THEN 'browse' ELSE 'other' END AS branch
+            WHEN event_type IN ('click', 'view') THEN 'browse' ELSE 'other' END AS branch,
+       CASE WHEN event_type = 'purchase' THEN value / 10 END AS bonus
 FROM events WHERE value > 10
 """)(flagship)
 

@@ -32,9 +32,8 @@ STANDINS = {
                        '{"eventname": "' || CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'purchase'
                             WHEN '2' THEN 'click' WHEN '3' THEN 'view' WHEN '4' THEN 'signup' ELSE 'error' END
                        || '"}' AS config FROM {orders}""",
-    "edges": """SELECT id AS stepid, prev AS dependson, CAST(0 AS INT) AS position FROM (
-                  SELECT id, lag(id) OVER (PARTITION BY dataflowid ORDER BY id) AS prev FROM {steps}) t
-                WHERE prev IS NOT NULL""",
+    "edges": """SELECT id AS stepid, id - 1 AS dependson, CAST(0 AS INT) AS position FROM {steps}
+                WHERE type <> 'trigger_event' AND id > 0""",
     "schedule": """SELECT c_custkey AS dataflowid, c_custkey AS stepid, CAST(0 AS BIGINT) AS lastruntime,
                           CAST(floor(c_acctbal) AS BIGINT) AS nextruntime,
                           CAST(floor(c_nationkey / 10) AS INT) AS retrycount FROM {customer}""",

@@ -11,6 +11,7 @@ import json
 import logging
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ class StateTable:
 
     def _all(self) -> DataFrame | None:
         # a missing table is the normal first-run case: keep it out of the error log
-        log = logging.getLogger("DataFrameQueryContextLogger")
+        log = PySparkLogger.getLogger("DataFrameQueryContextLogger")
         level = log.level
         log.setLevel(logging.CRITICAL)
         try:

@@ -38,7 +38,7 @@ def duck():
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.columns == ["event_id", "user_id", "event_type", "value", "value_x2", "tag", "branch"]
+    assert df.columns == ["event_id", "user_id", "event_type", "value", "value_x2", "tag", "branch", "bonus"]
     assert df.count() > 0
 
 

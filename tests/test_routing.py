@@ -62,3 +62,17 @@ def test_merge_of_typed_ranges(spark):
 
 def test_tee_every_sink_gets_all_rows(ones_zeros):
     assert tee(ones_zeros, [lambda d: d.count(), lambda d: d.where("value = 1").count()]) == [9, 5]
+
+
+def test_switch_merge_equals_union_form(spark):
+    from rivulet.operators.transform import alter
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([1, 5, 9, 0, 3])], "i bigint, v bigint")
+    cases = {"big": "v > 4", "small": "v > 0"}
+    exprs = {"big": {"tag": "B", "v": "${{ v * 10 }}"}, "small": {"note": "${{ v + 1 }}"}}
+    one = switch_merge_rows = sorted(tuple(r) for r in
+                                     __import__("rivulet.operators.routing", fromlist=["x"]).switch_merge(df, cases, exprs)
+                                     .select("i", "v", "branch", "tag", "note").collect())
+    b = switch(df, cases, keep_label=True)
+    union = merge(alter(b["big"], exprs["big"]), alter(b["small"], exprs["small"]))
+    two = sorted(tuple(r) for r in union.select("i", "v", "branch", "tag", "note").collect())
+    assert one == two and len(one) == 4
