@@ -202,3 +202,52 @@ def q_event_queue_read(spark, sf_dir):
         F.col("event_type").alias("eventname"), F.col("props").alias("eventdata"))
     decoded = read_event_queue(q, schema="k bigint")
     return decoded.select("id", "dataflowid", "eventname", F.col("eventdata.k").alias("k"))
+
+
+def _pages_by_lang(spark, sf_dir):
+    """``pages`` written partitioned by language: one folder (and file) per language."""
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"))
+    base = scratch_path(spark, "pages_by_lang")
+    p.repartition("lang").write.partitionBy("lang").parquet(base)
+    return base
+
+
+LANG_DIRS_SQL = """(SELECT DISTINCT 'lang=' || regexp_extract(url, '/([a-z]{2})/', 1) AS directory FROM pages)"""
+
+
+@query("file_listing", f"SELECT directory FROM {LANG_DIRS_SQL}")
+def q_file_listing(spark, sf_dir):
+    """S-11: list the data files below a folder (metadata only) and report their folders."""
+    from rivulet.sources.files import basename, dirname, list_files
+    base = _pages_by_lang(spark, sf_dir)
+    listing = list_files(spark, base, "*.parquet", recursive=True)
+    return listing.select(basename(dirname("path")).alias("directory")).distinct()
+
+
+@query("file_count_by_dir", f"SELECT directory, CAST(1 AS BIGINT) AS files FROM {LANG_DIRS_SQL}")
+def q_file_count_by_dir(spark, sf_dir):
+    """S-13: number of files per folder (one writer task per language gives one file each)."""
+    from rivulet.sources.files import basename, file_count_by_dir, list_files
+    base = _pages_by_lang(spark, sf_dir)
+    counts = file_count_by_dir(list_files(spark, base, "*.parquet", recursive=True))
+    return counts.select(basename("directory").alias("directory"), "files")
+
+
+@query("paths_exist", f"""
+SELECT directory, true AS exists FROM {LANG_DIRS_SQL}
+UNION ALL
+SELECT replace(directory, 'lang=', 'missing='), false FROM {LANG_DIRS_SQL}""")
+def q_paths_exist(spark, sf_dir):
+    """S-14: which wanted paths exist (directories count); wanted paths come from the data."""
+    from rivulet.sources.files import list_files, paths_exist
+    base = _pages_by_lang(spark, sf_dir)
+    listing = list_files(spark, base, "*.parquet", recursive=True)
+    # the folder's URI as the file system spells it (one row)
+    root = listing.select(F.regexp_extract("path", r"^(.*)/lang=[^/]*/[^/]*$", 1).alias("root")).first()["root"]
+    langs = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang")).distinct()
+    wanted = (langs.select(F.concat(F.lit("lang="), "lang").alias("directory"))
+              .union(langs.select(F.concat(F.lit("missing="), "lang").alias("directory"))))
+    wanted = wanted.withColumn("path", F.concat(F.lit(root + "/"), "directory"))
+    return paths_exist(wanted, listing).select("directory", "exists")

@@ -203,3 +203,10 @@ def q_step_vars_last(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return last_values(ev, {"label": "${{ event_type }}#${{ event_id }}", "last_value": "${{ value }}"},
                        "event_id", extra=[F.count(F.lit(1)).alias("iterations")])
+
+
+@query("noop", "SELECT event_id, user_id, event_type, value FROM events")
+def q_noop(spark, sf_dir):
+    """P-9: the no-op step passes records through unchanged."""
+    from rivulet.operators.transform import noop
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").transform(noop)

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 FORMATS = ("json", "csv", "parquet", "text", "orc")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over at least ``min_partitions`` tasks when the plan
+    has fewer (default: the cluster's parallelism).
+
+    Encoding and compression of the output then use every core; when the
+    input already has more partitions than that (any large data set) the plan
+    is unchanged and no shuffle is added.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
+
+
 def write(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists",
           dry_run: bool = False, compression: str | None = None, partition_by=None,
           **options) -> str | None:
@@ -25,6 +39,8 @@ def write(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexist
     if dry_run:
         df.write.format("noop").mode("overwrite").save()
         return None
+    if not partition_by:
+        df = spread(df)
     w = df.write.mode(mode).format(fmt)
     if compression:
         w = w.option("compression", compression)
@@ -56,12 +72,15 @@ def debug_json(df: DataFrame, alias: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(alias))
 
 
-def json_array_text(df: DataFrame, pretty: bool = False) -> DataFrame:
-    """The whole frame as one JSON array text (one row).
+def json_array_text(df: DataFrame, pretty: bool = False, max_rows: int = 10_000) -> DataFrame:
+    """The whole frame as one JSON array text (one row), for small reports.
 
-    This gathers every record into a single value: use it only for results
-    known to be small (reports); write JSON lines for data.
+    This gathers every record into one value, so the input is first checked
+    to hold at most ``max_rows`` rows (a bounded ``limit`` count) and a larger
+    input raises; write JSON lines for data.
     """
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"json_array_text is for at most {max_rows} rows; write JSON lines instead")
     opts = {"pretty": "true"} if pretty else {}
     rec = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return df.agg(F.to_json(F.collect_list(rec), opts).alias("json"))

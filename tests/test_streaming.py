@@ -56,3 +56,16 @@ def test_last_value_stream(spark, tmp):
 def test_bad_policy(spark, tmp):
     with pytest.raises(ValueError):
         run_available_now(spark.readStream.schema(SCHEMA).parquet(tmp), f"{tmp}/c", lambda d, i: None, policy="later")
+
+
+def test_immediate_policy_runs_until_stopped(spark, tmp):
+    q = f"{tmp}/q4"
+    _queue(spark, q, 0, 4)
+    seen = []
+    run = run_available_now(spark.readStream.schema(SCHEMA).parquet(q), f"{tmp}/ck4",
+                            lambda df, i: seen.append(df.count()), policy="immediately")
+    try:
+        run.processAllAvailable()
+        assert run.isActive and sum(seen) == 4
+    finally:
+        run.stop()
