@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 __all__ = [
@@ -107,8 +107,9 @@ def queue_waiting(queue: DataFrame) -> DataFrame:
 
 
 def queue_events(queue: DataFrame, flow_id) -> DataFrame:
-    """H-10: queued events of one flow."""
-    return queue.where(F.col("dataflowid") == F.lit(flow_id))
+    """H-10: queued events of one flow (an id or a scalar Column)."""
+    fid = flow_id if isinstance(flow_id, Column) else F.lit(flow_id)
+    return queue.where(F.col("dataflowid") == fid)
 
 
 def schedule_due(schedule: DataFrame, t) -> DataFrame:

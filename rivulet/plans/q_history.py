@@ -83,10 +83,15 @@ def q_queue_waiting(spark, sf_dir):
     return H.queue_waiting(standins(spark, sf_dir)["queue"])
 
 
-@query("queue_events", W + "SELECT * FROM queue WHERE dataflowid = 7")
+@query("queue_events", W + """
+SELECT * FROM queue WHERE dataflowid = (SELECT dataflowid FROM queue GROUP BY dataflowid
+                                        ORDER BY count(*) DESC, dataflowid LIMIT 1)""")
 def q_queue_events(spark, sf_dir):
-    """H-10: the queued events of one flow."""
-    return H.queue_events(standins(spark, sf_dir)["queue"], 7)
+    """H-10: the queued events of one flow (the busiest one, found from the data)."""
+    q = standins(spark, sf_dir)["queue"]
+    busiest = (q.groupBy("dataflowid").agg(F.count(F.lit(1)).alias("n"))
+                .orderBy(F.col("n").desc(), "dataflowid").limit(1).select("dataflowid").scalar())
+    return H.queue_events(q, busiest)
 
 
 @query("schedule_due", W + f"""

@@ -196,7 +196,7 @@ def q_join_asof(spark, sf_dir):
 
 passthrough("agg_group", """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc,
+       round(sum(l_extendedprice), 2) AS sum_base_price, round(avg(l_discount), 6) AS avg_disc,
        count(*) AS count_order
 FROM {lineitem} GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10""")
 
