@@ -24,8 +24,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right
        window pass: the running last right row is the in-bucket match;
     2. for left rows without an in-bucket match, the last right row of an
        earlier bucket comes from a bucket-level table (one row per key and
-       bucket, built with a partial ``max_by`` aggregate), again by a running
-       window, then an equi-join on (keys, bucket).
+       bucket, built with partial aggregates), again by a running window,
+       then an equi-join on (keys, bucket).
     """
     lt, rt = as_column(left_time), as_column(right_time)
     lcols = left.columns
@@ -48,7 +48,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right
              .where(F.col("_side") == 1).select(*by, "_b", "_l", "_m"))
 
     per_bucket = R.groupBy(*by, "_b").agg(F.max_by("_r", F.struct("_t", "_tb")).alias("_rb"))
-    need = inb.where(F.col("_m").isNull()).select(*by, "_b").distinct()
+    # carry candidates for every left (keys, bucket); taken from the scan, not from the
+    # window above, so the in-bucket pass is computed once
+    need = L.select(*by, "_b").distinct()
     ub = (need.select(*by, "_b", F.lit(0).alias("_side"), F.lit(None).cast(rtype).alias("_rb"))
           .unionByName(per_bucket.select(*by, "_b", F.lit(1).alias("_side"), "_rb")))
     wb = (Window.partitionBy(*by).orderBy("_b", "_side")
