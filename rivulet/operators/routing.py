@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from rivulet.functions.coerce import as_column, truthy_in
 
-__all__ = ["label_cases", "switch", "switch_merge", "unmatched", "merge", "tee", "MAX_BRANCHES"]
+__all__ = ["label_cases", "switch", "switch_merge", "write_switch", "unmatched", "merge", "tee", "MAX_BRANCHES"]
 
 # Fan-out / fan-in bounds of a switch and a merge.
 MIN_BRANCHES = 2
@@ -94,6 +94,18 @@ def switch_merge(df: DataFrame, cases: dict, branch_exprs: dict | None = None,
     return labelled.withColumns(out) if out else labelled
 
 
+def write_switch(df: DataFrame, cases: dict, path: str, fmt: str = "parquet",
+                 label_col: str = "branch", mode: str = "errorifexists", dry_run: bool = False) -> str | None:
+    """Every branch to its own folder ``<path>/<label_col>=<label>`` in one job.
+
+    One scan and one write, instead of one job per branch over the source;
+    unmatched rows are not written.
+    """
+    from rivulet.sinks.writers import write
+    labelled = label_cases(df, cases, label_col).where(F.col(label_col).isNotNull())
+    return write(labelled, path, fmt, mode, dry_run, partition_by=label_col)
+
+
 def unmatched(df: DataFrame, cases: dict, label_col: str = "branch") -> DataFrame:
     """Rows no case accepted (they reach no branch)."""
     return label_cases(df, cases, label_col).where(F.col(label_col).isNull()).drop(label_col)

@@ -83,8 +83,14 @@ def capture(df: DataFrame, alias: str) -> DataFrame:
 
 
 def step_vars(df: DataFrame, variables: dict) -> DataFrame:
-    """Named expressions over the current record, as columns (P-13)."""
-    return df.withColumns({k: template(v) for k, v in variables.items()})
+    """Named expressions over the current record, as columns (P-13).
+
+    Variables are defined in order, so a variable may use the ones before it;
+    Catalyst collapses the projections into one.
+    """
+    for k, v in variables.items():
+        df = df.withColumn(k, template(v))
+    return df
 
 
 def last_values(df: DataFrame, variables: dict, order_by, extra: list | None = None) -> DataFrame:

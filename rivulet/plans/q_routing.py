@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.operators.routing import label_cases, merge, switch, tee, unmatched
+from rivulet.operators.routing import label_cases, merge, switch, tee, unmatched, write_switch
+from rivulet.session import scratch_path
 from rivulet.plans.registry import query, table
 
 ROUTE_CASES = {
@@ -95,3 +96,14 @@ def q_tee(spark, sf_dir):
     r1, r2 = tee(o, [all_rows, open_rows])
     return spark.createDataFrame([("count", r1["n"], r1["total"]), ("open", r2["n"], r2["total"])],
                                  "sink string, n bigint, total double")
+
+
+@query("switch_partitioned_write", """
+SELECT CASE WHEN value >= 200 THEN 'high' WHEN value >= 50 THEN 'mid' WHEN value < 50 THEN 'low' END AS branch,
+       CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1""")
+def q_switch_partitioned_write(spark, sf_dir):
+    """R-1: every branch written to its own folder by one job; read back per branch."""
+    ev = table(spark, sf_dir, "events").select("event_id", "value")
+    path = scratch_path(spark, "branches")
+    write_switch(ev, ROUTE_CASES, path)
+    return spark.read.parquet(path).groupBy("branch").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rivulet.plans.registry import query, table
 from rivulet.plans.standins import duck_cte, standins
 from rivulet.session import scratch_path
-from rivulet.streaming.queue import capture, drain, last_value_per_key, run_available_now
+from rivulet.streaming.queue import capture, drain, last_value_per_key, read_latest, run_available_now, upsert_log
 
 
 def _queue_folder(spark, sf_dir):
@@ -78,14 +78,14 @@ def q_stream_dry_run(spark, sf_dir):
 SELECT user_id, CAST(count(*) AS BIGINT) AS events, arg_max(value, (ts, event_id)) AS last_value
 FROM events GROUP BY user_id""")
 def q_stream_last_value(spark, sf_dir):
-    """T-6: running count and last value per user, kept as streaming state (complete mode)."""
+    """T-6: running count and last value per user, kept as streaming state.
+
+    Update mode: each micro-batch emits only the users that changed into an
+    upsert log; the current table is the latest row per user.
+    """
     path, schema = _queue_folder(spark, sf_dir)
     stream = spark.readStream.schema(schema).parquet(path)
     sink = scratch_path(spark, "last_value")
-
-    def write_state(df, batch_id):
-        df.write.mode("overwrite").parquet(sink)
-
     run_available_now(last_value_per_key(stream, "user_id", "value", ["ts", "event_id"]),
-                      scratch_path(spark, "ckpt_last"), write_state, output_mode="complete")
-    return spark.read.parquet(sink)
+                      scratch_path(spark, "ckpt_last"), upsert_log(sink, "user_id"), output_mode="update")
+    return read_latest(spark, sink, "user_id")

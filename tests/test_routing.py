@@ -76,3 +76,10 @@ def test_switch_merge_equals_union_form(spark):
     union = merge(alter(b["big"], exprs["big"]), alter(b["small"], exprs["small"]))
     two = sorted(tuple(r) for r in union.select("i", "v", "branch", "tag", "note").collect())
     assert one == two and len(one) == 4
+
+
+def test_write_switch_one_job(spark, tmp, ones_zeros):
+    from rivulet.operators.routing import write_switch
+    write_switch(ones_zeros, {"one": "value = 1", "zero": "value = 0"}, f"{tmp}/br")
+    got = {r["branch"]: r["n"] for r in spark.read.parquet(f"{tmp}/br").groupBy("branch").agg(F.count("*").alias("n")).collect()}
+    assert got == {"one": 5, "zero": 4}

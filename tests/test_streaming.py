@@ -69,3 +69,15 @@ def test_immediate_policy_runs_until_stopped(spark, tmp):
         assert run.isActive and sum(seen) == 4
     finally:
         run.stop()
+
+
+def test_update_mode_upsert_log(spark, tmp):
+    from rivulet.streaming.queue import read_latest, upsert_log
+    q, sink, ck = f"{tmp}/q5", f"{tmp}/ul", f"{tmp}/ck5"
+    _queue(spark, q, 0, 6)
+    agg = lambda: last_value_per_key(spark.readStream.schema(SCHEMA).parquet(q), "flow", "id", ["ts"])
+    run_available_now(agg(), ck, upsert_log(sink, "flow"), output_mode="update")
+    _queue(spark, q, 6, 1)  # only flow 0 changes
+    run_available_now(agg(), ck, upsert_log(sink, "flow"), output_mode="update")
+    got = {r["flow"]: (r["events"], r["last_value"]) for r in read_latest(spark, sink, "flow").collect()}
+    assert got == {0: (4, 6), 1: (3, 5)}
