@@ -8,14 +8,14 @@ a job that dies before its commit leaves the previous state readable.
 from __future__ import annotations
 
 import json
-import logging
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SCHEMA = "name string, value string, v int"
+_VERSION = re.compile(r"/v=(\d+)/")
 
 
 class StateTable:
@@ -27,7 +27,7 @@ class StateTable:
         # a missing table is the normal first-run case: keep it out of the error log
         log = PySparkLogger.getLogger("DataFrameQueryContextLogger")
         level = log.level
-        log.setLevel(logging.CRITICAL)
+        log.setLevel(50)  # CRITICAL
         try:
             return self.spark.read.schema(_SCHEMA).parquet(self.path)
         except AnalysisException:
@@ -37,31 +37,40 @@ class StateTable:
 
     def as_frame(self) -> DataFrame:
         """Latest version as a frame ``(name, value)`` with JSON-encoded values."""
-        df = self._all()
-        if df is None:
+        v = self.version()
+        if not v:
             return self.spark.createDataFrame([], "name string, value string")
-        return df.where(F.col("v") == df.select(F.max("v")).scalar()).select("name", "value")
+        return self.spark.read.schema("name string, value string").parquet(f"{self.path}/v={v}")
 
     def version(self) -> int:
+        """Highest committed version, from the file listing (no Spark job)."""
         df = self._all()
         if df is None:
             return 0
-        return df.agg(F.coalesce(F.max("v"), F.lit(0))).first()[0]
+        found = [int(m.group(1)) for f in df.inputFiles() for m in [_VERSION.search(f)] if m]
+        return max(found, default=0)
+
+    def _read_version(self, v: int) -> dict:
+        if not v:
+            return {}
+        rows = self.spark.read.schema("name string, value string").parquet(f"{self.path}/v={v}").collect()
+        return {r["name"]: json.loads(r["value"]) for r in rows}
 
     def read(self) -> dict:
         """All variables of the latest version (one row per variable)."""
-        return {r["name"]: json.loads(r["value"]) for r in self.as_frame().collect()}
+        return self._read_version(self.version())
 
     def get(self, name: str, default=None):
         return self.read().get(name, default)
 
     def save(self, values: dict, dry_run: bool = False) -> bool:
         """Merge ``values`` into the state; no write when nothing changed or on a dry run."""
-        current = self.read()
+        version = self.version()
+        current = self._read_version(version)
         merged = {**current, **values}
         if dry_run or merged == current:
             return False
-        nxt = self.version() + 1
+        nxt = version + 1
         rows = [(k, json.dumps(v), nxt) for k, v in sorted(merged.items())]
         (self.spark.createDataFrame(rows, _SCHEMA).coalesce(1)
             .write.mode("append").partitionBy("v").parquet(self.path))
