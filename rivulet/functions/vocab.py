@@ -143,3 +143,28 @@ def object_vars(c) -> Column:
 def strtotime(c) -> Column:
     """Absolute date/time text → epoch seconds (relative phrases give NULL)."""
     return F.unix_timestamp(F.try_to_timestamp(as_column(c).cast("string")))
+
+
+# ---- unknown JSON shapes: the same functions over a variant (parse_json) ----
+
+def _variant(c) -> Column:
+    col = as_column(c)
+    return F.try_parse_json(col.cast("string"))
+
+
+def json_get(c, path: str = "$", type_: str = "variant") -> Column:
+    """Value at a JSON path of a JSON text (``$.a[4].id``); NULL when absent or of another type."""
+    return F.try_variant_get(_variant(c), path, type_)
+
+
+def json_isset(c, path: str = "$") -> Column:
+    """``isset``: the path exists and its value is not JSON null."""
+    v = F.try_variant_get(_variant(c), path, "variant")
+    return v.isNotNull() & ~F.is_variant_null(v)
+
+
+def json_count(c, path: str = "$") -> Column:
+    """``count``: elements of an array or keys of an object at the path, else NULL."""
+    v = F.try_variant_get(_variant(c), path, "variant")
+    return F.coalesce(F.array_size(F.try_variant_get(v, "$", "array<variant>")),
+                      F.size(F.try_variant_get(v, "$", "map<string,variant>")))

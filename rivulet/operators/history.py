@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "runs_with_user", "flows_with_stepcount", "last_n_runs", "last_run", "run_duration",
-    "health", "next_run_number", "queue_waiting", "queue_events", "schedule_due",
+    "health", "health_summary", "next_run_number", "queue_waiting", "queue_events", "schedule_due",
     "schedule_due_union", "queue_listeners", "lineage_edges", "lineage_detached",
     "lineage_degree_check", "subject_export", "subject_erasure", "subject_list",
     "version_dedupe", "queue_purge", "schedule_retry_update",
@@ -96,6 +96,26 @@ def health(flows: DataFrame, runs: DataFrame, aborted: str = "aborted") -> DataF
                     F.col("_l.status").alias("last_status"), status.alias("health"))
 
 
+def health_summary(health_rows: DataFrame) -> DataFrame:
+    """H-7 overall verdict in one row: ``status`` and ``summary``.
+
+    ERROR if any enabled flow's last run aborted; otherwise a message for no
+    enabled flows, no runs at all, or all completed.
+    """
+    agg = health_rows.agg(
+        F.count(F.lit(1)).alias("enabled_flows"),
+        F.sum(F.when(F.col("health") == "ERROR", 1).otherwise(0)).alias("errors"),
+        F.sum(F.when(F.col("health") != "NO_RUNS", 1).otherwise(0)).alias("with_runs"))
+    status = F.when(F.col("errors") > 0, F.lit("ERROR")).otherwise(F.lit("OK"))
+    summary = (F.when(F.col("enabled_flows") == 0, F.lit("no flows enabled"))
+                .when(F.col("with_runs") == 0, F.lit("no runs yet"))
+                .when(F.col("errors") > 0, F.lit("last run aborted"))
+                .otherwise(F.lit("completed successfully")))
+    return agg.select(status.alias("status"), summary.alias("summary"),
+                      F.col("enabled_flows").cast("bigint").alias("enabled_flows"),
+                      F.coalesce(F.col("errors"), F.lit(0)).cast("bigint").alias("errors"))
+
+
 def next_run_number(runs: DataFrame) -> DataFrame:
     """H-8: next run number per flow = runs so far + 1."""
     return runs.groupBy("dataflowid").agg((F.count(F.lit(1)) + 1).cast("bigint").alias("next_run"))

@@ -12,7 +12,7 @@ from rivulet.functions.coerce import (
 
 __all__ = [
     "alter", "filter_rows", "regex_extract", "noop", "capture", "step_vars",
-    "last_values", "content_hash", "render_messages", "HASH_ALGORITHMS",
+    "last_values", "content_hash", "render_messages", "render_log", "HASH_ALGORITHMS", "LOG_LEVELS",
 ]
 
 
@@ -145,3 +145,15 @@ def render_messages(df: DataFrame, to, subject, message, name=None) -> tuple[Dat
     ok = tagged.where(F.size("missing") == 0).drop("missing")
     bad = tagged.where(F.size("missing") > 0)
     return ok, bad
+
+
+# Log levels a log step accepts.
+LOG_LEVELS = ("emergency", "alert", "critical", "error", "warning", "notice", "info", "debug")
+
+
+def render_log(df: DataFrame, message, level: str = "info") -> DataFrame:
+    """Log lines as data ``(level, message)`` (P-10); an empty message gives no row."""
+    if level not in LOG_LEVELS:
+        raise ValueError(f"level must be one of {LOG_LEVELS}")
+    out = df.select(F.lit(level).alias("level"), template(message).alias("message"))
+    return out.where(F.coalesce(F.col("message"), F.lit("")) != "")

@@ -203,3 +203,15 @@ def q_fn_intval(spark, sf_dir):
     """F-23: leading integer of a text, else 0."""
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", intval(F.regexp_extract("url", "[^/]*$", 0)).alias("n"))
+
+
+@query("fn_json_path", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AS has_k,
+       json_extract(props, '$.k.deeper') IS NOT NULL AS has_deeper, CAST(json_array_length(json_keys(props)) AS INTEGER) AS n
+FROM events""")
+def q_fn_json_path(spark, sf_dir):
+    """F-11/F-13/F-15 over JSON of unknown shape (variant): path value, isset, count."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", V.json_get("props", "$.k", "bigint").alias("k"),
+                     V.json_isset("props", "$.k").alias("has_k"), V.json_isset("props", "$.k.deeper").alias("has_deeper"),
+                     V.json_count("props").alias("n"))

@@ -71,6 +71,25 @@ def q_hist_health(spark, sf_dir):
     return H.health(t["flows"], t["runs"])
 
 
+@query("hist_health_summary", W + """
+, h AS (
+  SELECT f.id, CASE WHEN l.id IS NULL THEN 'NO_RUNS' WHEN l.status = 'aborted' THEN 'ERROR' ELSE 'OK' END AS health
+  FROM flows f LEFT JOIN (SELECT dataflowid, max(id) AS id, arg_max(status, id) AS status FROM runs GROUP BY dataflowid) l
+  ON f.id = l.dataflowid WHERE f.enabled)
+SELECT CASE WHEN sum(CASE WHEN health = 'ERROR' THEN 1 ELSE 0 END) > 0 THEN 'ERROR' ELSE 'OK' END AS status,
+       CASE WHEN count(*) = 0 THEN 'no flows enabled'
+            WHEN sum(CASE WHEN health <> 'NO_RUNS' THEN 1 ELSE 0 END) = 0 THEN 'no runs yet'
+            WHEN sum(CASE WHEN health = 'ERROR' THEN 1 ELSE 0 END) > 0 THEN 'last run aborted'
+            ELSE 'completed successfully' END AS summary,
+       CAST(count(*) AS BIGINT) AS enabled_flows,
+       CAST(coalesce(sum(CASE WHEN health = 'ERROR' THEN 1 ELSE 0 END), 0) AS BIGINT) AS errors
+FROM h""")
+def q_hist_health_summary(spark, sf_dir):
+    """H-7: the overall health verdict with its summary message."""
+    t = standins(spark, sf_dir)
+    return H.health_summary(H.health(t["flows"], t["runs"]))
+
+
 @query("hist_run_number", W + "SELECT dataflowid, CAST(count(*) + 1 AS BIGINT) AS next_run FROM runs GROUP BY dataflowid")
 def q_hist_run_number(spark, sf_dir):
     """H-8: next run number per flow."""

@@ -210,3 +210,15 @@ def q_noop(spark, sf_dir):
     """P-9: the no-op step passes records through unchanged."""
     from rivulet.operators.transform import noop
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").transform(noop)
+
+
+@query("render_log", """
+SELECT 'warning' AS level, 'order ' || CAST(o_orderkey AS VARCHAR) || ' is urgent' AS message
+FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def q_render_log(spark, sf_dir):
+    """P-10: log lines as rows; records whose message renders empty give none."""
+    from rivulet.operators.transform import render_log
+    o = table(spark, sf_dir, "orders")
+    msg = F.when(F.col("o_orderpriority") == "1-URGENT",
+                 F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" is urgent"))).otherwise(F.lit(""))
+    return render_log(o, msg, "warning")

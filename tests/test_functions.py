@@ -56,3 +56,32 @@ def test_alias_rules():
     assert valid_alias("kebab-name") and not valid_alias("has.dot")
     with pytest.raises(ValueError):
         require({"a": ""}, "a", "b")
+
+
+EXAMPLE = '{"a": {"b": null, "c": null, "d": {"e": "f"}}}'
+
+
+@pytest.mark.parametrize("fn, path, data, expected", [
+    ("count", "$.a", '{"a": [3, 2, 1]}', 3),
+    ("count", "$.a.b", '{"a": {"b": [1, 2]}}', 2),
+    ("isset", "$.a", '{"a": [3, 2, 1]}', True),
+    ("isset", "$.a[0]", '{"a": [3, 2, 1]}', True),
+    ("isset", "$.a[4].id", '{"a": [3, 2, 1, 2, {"id": 1}]}', True),
+    ("isset", "$.a[4].somefield", '{"a": [3, 2, 1, 2, {"id": 1}]}', False),
+    ("isset", "$.a.d.e", EXAMPLE, True),
+    ("isset", "$.a.e", EXAMPLE, False),
+    ("isset", "$.a.d.f", EXAMPLE, False),
+    ("isset", "$.a.something", '{"a": [3, 2, 1]}', False),
+    ("isset", "$.a.b", EXAMPLE, False),
+])
+def test_parser_function_table(spark, fn, path, data, expected):
+    df = spark.createDataFrame([(data,)], "j string")
+    col = V.json_count("j", path) if fn == "count" else V.json_isset("j", path)
+    assert df.select(col).first()[0] == expected
+
+
+def test_from_json_shapes(spark):
+    df = spark.createDataFrame([("[3, 2, 1]", EXAMPLE)], "arr string, obj string")
+    out = df.select(V.from_json_or_pass("arr", "array<bigint>").alias("a"),
+                    V.json_get("obj", "$.a.d.e", "string").alias("e")).first()
+    assert out["a"] == [3, 2, 1] and out["e"] == "f"

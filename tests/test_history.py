@@ -91,3 +91,14 @@ def test_listeners(spark):
                                   "id bigint, dataflowid bigint, type string, config string")
     flows = spark.createDataFrame([(1, True), (2, False)], "id bigint, enabled boolean")
     assert rows(H.queue_listeners(steps, flows, "x", "trigger_event"), "id") == [(1,)]
+
+
+def test_health_summary_messages(spark):
+    hs = "dataflowid bigint, last_run_id bigint, last_status string, health string"
+    none = spark.createDataFrame([], hs)
+    assert H.health_summary(none).first()["summary"] == "no flows enabled"
+    noruns = spark.createDataFrame([(1, None, None, "NO_RUNS")], hs)
+    assert H.health_summary(noruns).first()["summary"] == "no runs yet"
+    bad = spark.createDataFrame([(1, 5, "aborted", "ERROR"), (2, 6, "finished", "OK")], hs)
+    r = H.health_summary(bad).first()
+    assert (r["status"], r["summary"]) == ("ERROR", "last run aborted")
