@@ -9,18 +9,15 @@ from pyspark.sql import functions as F
 FORMATS = ("json", "csv", "parquet", "text", "orc")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least ``min_partitions`` tasks when the plan
-    has fewer (default: the cluster's parallelism).
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin a small, single-file input over ``partitions`` tasks
+    (default: the cluster's parallelism) so encoding and compression of its
+    output use every core.
 
-    Encoding and compression of the output then use every core; when the
-    input already has more partitions than that (any large data set) the plan
-    is unchanged and no shuffle is added.
+    Opt-in only: this is a full shuffle, right for a one-file input and wrong
+    for a large one, and the writers never add it on their own.
     """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
 def write(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists",
@@ -39,8 +36,6 @@ def write(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexist
     if dry_run:
         df.write.format("noop").mode("overwrite").save()
         return None
-    if not partition_by:
-        df = spread(df)
     w = df.write.mode(mode).format(fmt)
     if compression:
         w = w.option("compression", compression)
