@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rivulet.functions.coerce import as_column, intval, num
 
 __all__ = [
-    "add", "sub", "mul", "div", "mod", "concat_text", "isset", "count_of",
+    "add", "sub", "mul", "div", "mod", "concat_text", "isset", "identical", "run_time", "count_of",
     "from_json_or_pass", "duration_text", "round_half_up", "date_text",
     "object_vars", "strtotime", "intval", "matches", "ternary", "path_get",
     "PHP_DATE_LETTERS", "php_date_pattern",
@@ -72,6 +72,19 @@ def path_get(c, *path) -> Column:
     return out
 
 
+def identical(a, b) -> Column:
+    """``===``: same value, NULL-safe (types are fixed per column in Spark,
+    so a type mismatch is an analysis error rather than ``false``)."""
+    return as_column(a).eqNullSafe(as_column(b))
+
+
+def run_time() -> Column:
+    """``time()`` bound once when the flow is built, so every row and every
+    retry of a task sees the same value."""
+    import time
+    return F.lit(int(time.time())).cast("bigint")
+
+
 def isset(c) -> Column:
     return as_column(c).isNotNull()
 

@@ -92,8 +92,22 @@ def list_constraints(df: DataFrame, path_col: str = "path", returnvalue: str = "
 
 
 def file_count(spark: SparkSession, directory: str) -> int:
-    """Number of entries in ``directory`` (0 when it does not exist)."""
-    return list_files(spark, directory).count()
+    """Number of entries directly in ``directory``: files plus sub-directories
+    that hold files (0 when it does not exist).
+
+    Spark's listing sees leaf files only, so an empty sub-directory is not
+    counted.  The count is a distributed ``count(distinct first segment)``.
+    """
+    listing = list_files(spark, directory, recursive=True)
+    base = directory.rstrip("/").split("://")[-1].lstrip("/")
+    # first path segment below the directory, whatever URI prefix the listing uses
+    rel = F.regexp_extract(F.col("path"), rf"{_re_escape(base)}/([^/]+)", 1)
+    return listing.select(rel.alias("entry")).where(F.col("entry") != "").distinct().count()
+
+
+def _re_escape(text: str) -> str:
+    import re
+    return re.escape(text)
 
 
 def file_count_by_dir(listing: DataFrame, path_col: str = "path") -> DataFrame:

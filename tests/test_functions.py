@@ -85,3 +85,10 @@ def test_from_json_shapes(spark):
     out = df.select(V.from_json_or_pass("arr", "array<bigint>").alias("a"),
                     V.json_get("obj", "$.a.d.e", "string").alias("e")).first()
     assert out["a"] == [3, 2, 1] and out["e"] == "f"
+
+
+def test_identical_and_run_time(spark):
+    df = spark.createDataFrame([(1, 1), (None, None), (1, None)], "a bigint, b bigint")
+    assert [r[0] for r in df.select(V.identical("a", "b")).collect()] == [True, True, False]
+    t = df.select(V.run_time().alias("t")).distinct().collect()
+    assert len(t) == 1 and t[0]["t"] > 1_600_000_000

@@ -166,3 +166,19 @@ def test_path_scheme_and_permitted(spark):
     df = spark.createDataFrame([("s3://b/k",), ("/etc/x",), ("rel/x",), ("/data/ok",)], "p string")
     out = df.select(path_scheme("p").alias("s"), path_permitted(F.col("p"), ["/data/"]).alias("ok"))
     assert rows(out) == [("s3", True), ("file", False), ("file", True), ("file", True)]
+
+
+def test_csv_empty_file_gives_no_records(spark, tmp):
+    p = _write(os.path.join(tmp, "empty.csv"), "")
+    assert read_csv(spark, p, headers=["a", "b"]).count() == 0
+
+
+def test_file_count_counts_entries(spark, tmp):
+    d = os.path.join(tmp, "entries")
+    os.makedirs(os.path.join(d, "sub1"))
+    os.makedirs(os.path.join(d, "sub2", "deeper"))
+    _write(os.path.join(d, "a.txt"), "x")
+    _write(os.path.join(d, "sub1", "b.txt"), "x")
+    _write(os.path.join(d, "sub1", "c.txt"), "x")
+    _write(os.path.join(d, "sub2", "deeper", "d.txt"), "x")
+    assert file_count(spark, d) == 3
