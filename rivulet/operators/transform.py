@@ -43,7 +43,8 @@ def filter_rows(df: DataFrame, condition, on_null: str = "drop") -> DataFrame:
     cond = as_column(condition)
     dtype = df.select(cond.alias("_c")).schema["_c"].dataType
     if isinstance(dtype, T.BooleanType):
-        pred = F.coalesce(cond, F.lit(on_null == "keep"))
+        # 'drop' is plain SQL (NULL fails the filter) and stays pushable to the scan
+        pred = cond if on_null == "drop" else F.coalesce(cond, F.lit(True))
     else:
         raw = truthy_in(df, cond)
         pred = F.when(cond.isNull(), F.lit(on_null == "keep")).otherwise(raw)
