@@ -165,8 +165,8 @@ def lineage_edges(edges: DataFrame, steps: DataFrame, flow_id=None) -> DataFrame
 
 def lineage_detached(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """H-15: steps that appear in no edge."""
-    linked = (edges.select(F.col("stepid").alias("_id"))
-              .union(edges.select(F.col("dependson").alias("_id"))).distinct())
+    # both ends of every edge from one scan of the edges
+    linked = edges.select(F.explode(F.array("stepid", "dependson")).alias("_id")).distinct()
     return steps.join(linked, steps["id"] == linked["_id"], "left_anti")
 
 
@@ -176,10 +176,13 @@ def lineage_degree_check(steps: DataFrame, edges: DataFrame, limits: DataFrame)
     ``limits(type, min_in, max_in, min_out, max_out)``; the result has one row
     per violation with ``kind`` in {in_low, in_high, out_low, out_high}.
     """
-    indeg = edges.groupBy(F.col("stepid").alias("_i")).agg(F.count(F.lit(1)).alias("in_degree"))
-    outdeg = edges.groupBy(F.col("dependson").alias("_o")).agg(F.count(F.lit(1)).alias("out_degree"))
-    s = (steps.join(indeg, steps["id"] == indeg["_i"], "left")
-              .join(outdeg, steps["id"] == outdeg["_o"], "left")
+    # in- and out-degree in one aggregation over one scan of the edges
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("stepid").alias("_s"), F.lit(1).alias("_in"), F.lit(0).alias("_out")),
+        F.struct(F.col("dependson").alias("_s"), F.lit(0).alias("_in"), F.lit(1).alias("_out")))).alias("_e"))
+    deg = ends.groupBy(F.col("_e._s").alias("_d")).agg(F.sum("_e._in").alias("in_degree"),
+                                                       F.sum("_e._out").alias("out_degree"))
+    s = (steps.join(deg, steps["id"] == deg["_d"], "left")
               .join(limits, "type", "left")
               .withColumn("in_degree", F.coalesce("in_degree", F.lit(0)).cast("bigint"))
               .withColumn("out_degree", F.coalesce("out_degree", F.lit(0)).cast("bigint")))

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from rivulet.functions.coerce import as_column, truthy_in
 
-__all__ = ["label_cases", "switch", "switch_merge", "write_switch", "unmatched", "merge", "tee", "MAX_BRANCHES"]
+__all__ = ["label_cases", "switch", "switch_merge", "write_switch", "branch_counts", "unmatched", "merge", "tee",
+           "MAX_BRANCHES"]
 
 # Fan-out / fan-in bounds of a switch and a merge.
 MIN_BRANCHES = 2
@@ -106,6 +107,23 @@ def write_switch(df: DataFrame, cases: dict, path: str, fmt: str = "parquet",
     return write(labelled, path, fmt, mode, dry_run, partition_by=label_col)
 
 
+def branch_counts(df: DataFrame, cases: dict, label_col: str = "branch",
+                  include_unmatched: bool = False, unmatched_label: str = "(unmatched)") -> DataFrame:
+    """Rows per branch, zero for empty branches, in one pass: ``(branch, n)``.
+
+    The counts are one global aggregate (partial per partition); with
+    ``include_unmatched`` a row for the records no case accepted is added, so
+    the counts always sum to the input size.
+    """
+    labelled = label_cases(df, cases, label_col)
+    labels = list(cases) + ([None] if include_unmatched else [])
+    aggs = [F.count_if(F.col(label_col).isNull() if l is None else (F.col(label_col) == F.lit(l))).alias(f"_n{i}")
+            for i, l in enumerate(labels)]
+    names = [unmatched_label if l is None else l for l in labels]
+    stack = ", ".join(f"'{n.replace(chr(39), chr(39) * 2)}', _n{i}" for i, n in enumerate(names))
+    return labelled.agg(*aggs).selectExpr(f"stack({len(names)}, {stack}) AS ({label_col}, n)")
+
+
 def unmatched(df: DataFrame, cases: dict, label_col: str = "branch") -> DataFrame:
     """Rows no case accepted (they reach no branch)."""
     return label_cases(df, cases, label_col).where(F.col(label_col).isNull()).drop(label_col)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.operators.routing import label_cases, merge, switch, tee, unmatched, write_switch
+from rivulet.operators.routing import branch_counts, label_cases, merge, switch, tee, unmatched, write_switch
 from rivulet.session import scratch_path
 from rivulet.plans.registry import query, table
 
@@ -30,9 +30,7 @@ UNION ALL SELECT 'b', CAST(0 AS BIGINT)""")
 def q_switch_first_match(spark, sf_dir):
     """R-1: two cases that are both always true: everything goes to the first."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id")
-    b = switch(ev, {"a": F.lit(1), "b": F.lit(1)})
-    counts = [br.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("branch"), "n") for k, br in b.items()]
-    return merge(*counts)
+    return branch_counts(ev, {"a": F.lit(1), "b": F.lit(1)})
 
 
 @query("switch_mod", """

@@ -83,3 +83,10 @@ def test_write_switch_one_job(spark, tmp, ones_zeros):
     write_switch(ones_zeros, {"one": "value = 1", "zero": "value = 0"}, f"{tmp}/br")
     got = {r["branch"]: r["n"] for r in spark.read.parquet(f"{tmp}/br").groupBy("branch").agg(F.count("*").alias("n")).collect()}
     assert got == {"one": 5, "zero": 4}
+
+
+def test_branch_counts_sum_to_input(ones_zeros):
+    from rivulet.operators.routing import branch_counts
+    cases = {"never": F.lit(False), "odd": "value % 2 = 1"}
+    got = {r["branch"]: r["n"] for r in branch_counts(ones_zeros, cases, include_unmatched=True).collect()}
+    assert got == {"never": 0, "odd": 5, "(unmatched)": 4}
