@@ -80,3 +80,37 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20,
+               max_split_bytes: int = 256 << 20) -> dict:
+    """Session settings sized for an input of ``input_bytes`` on ``cores`` task slots.
+
+    * scans: splits of at most ``max_split_bytes`` (Parquet still splits at
+      row groups);
+    * shuffles: an initial partition count that keeps each shuffle partition
+      near ``target_partition_bytes`` of input (so sorts and hash tables fit
+      in executor memory and spill stays small), never fewer than 2 waves of
+      tasks, which AQE then coalesces towards the advisory size;
+    * skewed partitions above 4x the median (and 1 GiB) are split by AQE.
+    """
+    initial = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(max_split_bytes),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        # broadcast only what the optimizer measures below 64 MiB
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def apply_scale_conf(spark: SparkSession, input_bytes: int, cores: int | None = None, **kw) -> dict:
+    """Set ``scale_conf`` on a running session (runtime SQL settings only)."""
+    conf = scale_conf(input_bytes, cores or spark.sparkContext.defaultParallelism, **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -92,3 +92,10 @@ def test_identical_and_run_time(spark):
     assert [r[0] for r in df.select(V.identical("a", "b")).collect()] == [True, True, False]
     t = df.select(V.run_time().alias("t")).distinct().collect()
     assert len(t) == 1 and t[0]["t"] > 1_600_000_000
+
+
+def test_scale_conf_for_100tb():
+    from rivulet.session import scale_conf
+    conf = scale_conf(100 * 2**40, cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(10 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
