@@ -26,13 +26,17 @@ def _queue_folder(spark, sf_dir):
 @query("stream_capture", duck_cte() + """
 SELECT s.dataflowid, s.id AS stepid, e.event_type AS eventname, e.props AS eventdata, e.event_id, e.ts, e.value
 FROM events e JOIN steps s ON s.type = 'trigger_event' AND s.dataflowid = e.user_id
- AND json_extract_string(s.config, '$.eventname') = e.event_type""")
+ AND json_extract_string(s.config, '$.eventname') = e.event_type
+WHERE s.dataflowid IN (SELECT id FROM flows WHERE enabled)""")
 def q_stream_capture(spark, sf_dir):
-    """T-1: each event is queued once for every listening trigger of its flow."""
+    """T-1: each event is queued once for every listening trigger of its flow (enabled flows only)."""
     path, schema = _queue_folder(spark, sf_dir)
-    steps = standins(spark, sf_dir)["steps"]
-    listeners = steps.where(F.col("type") == "trigger_event").select(
-        "dataflowid", F.col("id").alias("stepid"), F.get_json_object("config", "$.eventname").alias("eventname"))
+    t = standins(spark, sf_dir)
+    enabled = t["flows"].where("enabled").select(F.col("id").alias("dataflowid"))
+    listeners = (t["steps"].where(F.col("type") == "trigger_event")
+                 .join(enabled, "dataflowid", "left_semi")
+                 .select("dataflowid", F.col("id").alias("stepid"),
+                         F.get_json_object("config", "$.eventname").alias("eventname")))
     stream = spark.readStream.schema(schema).parquet(path)
     sink = scratch_path(spark, "captured")
     drain(capture(stream, listeners, flow_col="user_id"), sink, scratch_path(spark, "ckpt_capture"))

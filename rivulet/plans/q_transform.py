@@ -160,7 +160,7 @@ def q_render_messages(spark, sf_dir):
 @query("render_messages_invalid", """
 SELECT '' AS "to", 'Segment ' || c_mktsegment AS subject,
        'Dear ' || c_name || ', your balance is ' || printf('%.2f', c_acctbal) AS message,
-       ['to'] AS missing
+       'to' AS missing
 FROM customer WHERE c_acctbal < 0""")
 def q_render_messages_invalid(spark, sf_dir):
     """P-10: the held-back rows with the list of empty required fields."""
@@ -171,7 +171,7 @@ def q_render_messages_invalid(spark, sf_dir):
     c = c.withColumn("bal", F.format_string("%.2f", "c_acctbal"))
     _, bad = render_messages(c, to=F.col("addr"), subject="Segment ${{ c_mktsegment }}",
                              message="Dear ${{ c_name }}, your balance is ${{ bal }}")
-    return bad
+    return bad.withColumn("missing", F.array_join("missing", ","))
 
 
 @query("cross_step_ref", """
