@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators.routing import label_cases, merge, switch, tee, unmatched
+from rivulet.operators.routing import label_cases, merge, switch, switch_merge, tee, unmatched
 
 VALUES = [1] * 5 + [0] * 4
 
@@ -69,9 +69,7 @@ def test_switch_merge_equals_union_form(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([1, 5, 9, 0, 3])], "i bigint, v bigint")
     cases = {"big": "v > 4", "small": "v > 0"}
     exprs = {"big": {"tag": "B", "v": "${{ v * 10 }}"}, "small": {"note": "${{ v + 1 }}"}}
-    one = switch_merge_rows = sorted(tuple(r) for r in
-                                     __import__("rivulet.operators.routing", fromlist=["x"]).switch_merge(df, cases, exprs)
-                                     .select("i", "v", "branch", "tag", "note").collect())
+    one = sorted(tuple(r) for r in switch_merge(df, cases, exprs).select("i", "v", "branch", "tag", "note").collect())
     b = switch(df, cases, keep_label=True)
     union = merge(alter(b["big"], exprs["big"]), alter(b["small"], exprs["small"]))
     two = sorted(tuple(r) for r in union.select("i", "v", "branch", "tag", "note").collect())
