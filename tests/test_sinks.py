@@ -84,3 +84,12 @@ def test_concat_chop_first_line(spark, tmp):
 def test_debug_json(spark):
     df = spark.createDataFrame([(1, "x")], "a bigint, b string")
     assert debug_json(df).first()["json"] == '{"a":1,"b":"x"}'
+
+
+def test_csv_reader_writer_byte_round_trip(spark, tmp):
+    text = "apple,berry,cucumber\n4,5,6\n7,8,9\n"
+    with open(f"{tmp}/in.csv", "w") as fh:
+        fh.write(text)
+    write_csv(read_csv(spark, f"{tmp}/in.csv").coalesce(1), f"{tmp}/out")
+    parts = [f for f in os.listdir(f"{tmp}/out") if f.endswith(".csv")]
+    assert len(parts) == 1 and open(f"{tmp}/out/{parts[0]}").read() == text

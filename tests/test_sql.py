@@ -84,3 +84,16 @@ def test_sql_once_and_dml(spark, config_rows):
     assert added.count() == 11
     keys = spark.createDataFrame([(1,), (2,)], "value bigint")
     assert dml_delete(config_rows, keys, "value").count() == 8
+
+
+def test_incremental_timestamp_counter(spark, tmp):
+    import datetime as dt
+    rows_ = [(i, dt.datetime(2024, 1, 1, 0, 0, i)) for i in range(5)]
+    df = spark.createDataFrame(rows_, "id bigint, ts timestamp_ntz")
+    st = StateTable(spark, f"{tmp}/ts")
+    first = incremental_read(df, "ts", st, limit=3)
+    assert first.df.count() == 3
+    first.commit()
+    assert st.get("ts") == "2024-01-01T00:00:02"
+    second = incremental_read(df, "ts", st)
+    assert sorted(r["id"] for r in second.df.collect()) == [3, 4]
