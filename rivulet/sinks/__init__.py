@@ -3,10 +3,10 @@ sink for Spark's ``noop`` format, so nothing is written."""
 
 from rivulet.sinks.writers import (
     write, write_json, write_csv, debug_json, json_array_text, copy_dataset,
-    concat_skip_headers, FORMATS,
+    concat_skip_headers, gzip_text, gunzip_text, spread, FORMATS,
 )
 
 __all__ = [
     "write", "write_json", "write_csv", "debug_json", "json_array_text", "copy_dataset",
-    "concat_skip_headers", "FORMATS",
+    "concat_skip_headers", "gzip_text", "gunzip_text", "spread", "FORMATS",
 ]

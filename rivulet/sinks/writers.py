@@ -85,9 +85,13 @@ def copy_dataset(spark: SparkSession, source: str, target: str, fmt: str = "parq
                  mode: str = "errorifexists", dry_run: bool = False) -> str | None:
     """Copy a data set (glob allowed in ``source``) between any Hadoop FS URIs (K-8).
 
-    A glob without matches is a no-op.
+    A glob without matches is a no-op.  A target ending in ``/`` is a folder:
+    the source's last path segment (without glob characters) is appended.
     """
     from pyspark.errors import AnalysisException
+    if target.endswith("/"):
+        segments = [p for p in source.rstrip("/").split("/") if p and not any(ch in p for ch in "*?[")]
+        target = target + (segments[-1] if segments else "copy")
     try:
         df = spark.read.format(fmt).load(source)
         df.schema
@@ -98,6 +102,18 @@ def copy_dataset(spark: SparkSession, source: str, target: str, fmt: str = "parq
     return write(df, target, fmt, mode, dry_run)
 
 
+def gzip_text(spark: SparkSession, source: str, target: str, mode: str = "errorifexists") -> str:
+    """Compress text files line by line into gzip parts (K-7 ``compress``)."""
+    spark.read.text(source).write.mode(mode).option("compression", "gzip").text(target)
+    return target
+
+
+def gunzip_text(spark: SparkSession, source: str, target: str, mode: str = "errorifexists") -> str:
+    """Decompress gzip text (read transparently) into plain text parts (K-7 ``decompress``)."""
+    spark.read.text(source).write.mode(mode).text(target)
+    return target
+
+
 def concat_skip_headers(spark: SparkSession, sources, target: str | None = None,
                         chop_first_line: bool = True, target_exists: bool = False,
                         mode: str = "errorifexists", dry_run: bool = False):

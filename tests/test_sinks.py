@@ -93,3 +93,18 @@ def test_csv_reader_writer_byte_round_trip(spark, tmp):
     write_csv(read_csv(spark, f"{tmp}/in.csv").coalesce(1), f"{tmp}/out")
     parts = [f for f in os.listdir(f"{tmp}/out") if f.endswith(".csv")]
     assert len(parts) == 1 and open(f"{tmp}/out/{parts[0]}").read() == text
+
+
+def test_gzip_commands_round_trip(spark, tmp):
+    from rivulet.sinks.writers import gunzip_text, gzip_text
+    with open(f"{tmp}/plain.txt", "w") as fh:
+        fh.write("alpha\nbeta\ngamma\n")
+    gzip_text(spark, f"{tmp}/plain.txt", f"{tmp}/gz")
+    gunzip_text(spark, f"{tmp}/gz", f"{tmp}/back")
+    assert sorted(rows(spark.read.text(f"{tmp}/back"))) == [("alpha",), ("beta",), ("gamma",)]
+
+
+def test_copy_to_folder_keeps_name(spark, tmp):
+    spark.range(3).write.parquet(f"{tmp}/data/set1")
+    copy_dataset(spark, f"{tmp}/data/set1", f"{tmp}/dest/")
+    assert spark.read.parquet(f"{tmp}/dest/set1").count() == 3
