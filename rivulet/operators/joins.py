@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.coerce import as_column
 
-__all__ = ["asof_join"]
+__all__ = ["asof_join", "salted_join"]
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right_time,
@@ -62,3 +62,32 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right
     match = F.coalesce(F.col("_m"), F.col("_c"))
     return out.select(*[F.col(f"_l.`{c}`").alias(c) for c in lcols],
                       *[match.getField(f"{prefix}{c}").alias(f"{prefix}{c}") for c in right_cols])
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                salt_buckets: int = 16, hot_keys: DataFrame | None = None) -> DataFrame:
+    """Equi-join that spreads hot keys of ``big`` over ``salt_buckets`` tasks.
+
+    Rows of ``big`` get a salt in ``[0, salt_buckets)`` derived from a hash of
+    all their columns (deterministic, so a recomputed task sees the same
+    salt); each row of ``small`` is replicated once per salt.  Only keys in
+    ``hot_keys`` (a frame of the ``on`` columns) are salted when it is given,
+    so the replication is limited to the hot keys.  Use it where AQE's skew
+    split does not apply (streaming micro-batches, outer sides AQE cannot
+    split); ``how`` is ``inner`` or ``left`` (``big`` on the left).
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("salted_join supports how='inner' or 'left'")
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salt_buckets)).cast("int")
+    if hot_keys is not None:
+        hot = hot_keys.select(*on).distinct().withColumn("_hot", F.lit(True))
+        big = big.join(hot, on, "left")
+        salt = F.when(F.col("_hot"), salt).otherwise(F.lit(0))
+        small_hot = small.join(hot, on, "left")
+        reps = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1))).otherwise(F.array(F.lit(0)))
+        small_s = small_hot.withColumn("_salt", F.explode(reps)).drop("_hot")
+        big_s = big.withColumn("_salt", salt).drop("_hot")
+    else:
+        big_s = big.withColumn("_salt", salt)
+        small_s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    return big_s.join(small_s, [*on, "_salt"], how).drop("_salt")

@@ -20,3 +20,13 @@ def test_asof_matches_brute_force(spark):
         cands = [(rt, rid) for rid, rk, rt in right if rk == lk and rt <= lt]
         want[lid] = max(cands)[1] if cands else None
     assert got == want
+
+
+def test_salted_join_equals_plain_join(spark):
+    from rivulet.operators.joins import salted_join
+    big = spark.createDataFrame([(i, 0 if i % 3 == 0 else i % 7) for i in range(600)], "id bigint, k bigint")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k bigint, v string")
+    plain = sorted(tuple(r) for r in big.join(small, ["k"], "left").select("id", "k", "v").collect())
+    for hot in (None, spark.createDataFrame([(0,)], "k bigint")):
+        salted = salted_join(big, small, ["k"], "left", salt_buckets=8, hot_keys=hot)
+        assert sorted(tuple(r) for r in salted.select("id", "k", "v").collect()) == plain
