@@ -24,13 +24,26 @@ POLICIES = ("immediately", "adhoc", "adhocqueued")
 
 
 def capture(events: DataFrame, listeners: DataFrame, name_col: str = "event_type",
-            payload_col: str = "props", flow_col: str | None = None) -> DataFrame:
+            payload_col: str = "props", flow_col: str | None = None, salt_buckets: int = 0) -> DataFrame:
     """One queue row per (event, listening step) (T-1).
 
     ``listeners(dataflowid, stepid, eventname)``; with ``flow_col`` an event
     only reaches listeners of its own flow.  Works on a batch or a streaming
-    ``events`` frame (stream-static join).
+    ``events`` frame (stream-static join).  AQE does not run inside
+    micro-batches, so when one event name carries most of the traffic and the
+    listener table is too large to broadcast, ``salt_buckets`` spreads each
+    key over that many tasks (``joins.salted_join``).
     """
+    if salt_buckets:
+        from rivulet.operators.joins import salted_join
+        keys = [name_col] + ([flow_col] if flow_col else [])
+        lst = listeners.select(F.col("eventname").alias(name_col),
+                               *([F.col("dataflowid").alias(flow_col)] if flow_col else []),
+                               F.col("dataflowid").alias("_lflow"), "stepid")
+        joined = salted_join(events, lst, keys, "inner", salt_buckets)
+        return joined.select(F.col("_lflow").alias("dataflowid"), "stepid", F.col(name_col).alias("eventname"),
+                             F.col(payload_col).alias("eventdata"),
+                             *[F.col(c) for c in events.columns if c not in (name_col, payload_col, flow_col)])
     cond = [events[name_col] == listeners["eventname"]]
     if flow_col:
         cond.append(events[flow_col] == listeners["dataflowid"])

@@ -81,3 +81,13 @@ def test_update_mode_upsert_log(spark, tmp):
     run_available_now(agg(), ck, upsert_log(sink, "flow"), output_mode="update")
     got = {r["flow"]: (r["events"], r["last_value"]) for r in read_latest(spark, sink, "flow").collect()}
     assert got == {0: (4, 6), 1: (3, 5)}
+
+
+def test_capture_salted_equals_plain(spark):
+    ev = spark.createDataFrame([(i, i % 2, "created" if i % 3 else "deleted", "{}", i) for i in range(30)], SCHEMA)
+    listeners = spark.createDataFrame([(0, 1, "created"), (1, 2, "created"), (0, 3, "deleted")],
+                                      "dataflowid bigint, stepid bigint, eventname string")
+    a = capture(ev, listeners, "name", "payload", flow_col="flow")
+    b = capture(ev, listeners, "name", "payload", flow_col="flow", salt_buckets=4)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    assert a.count() == 25  # 20 "created" (one listener per flow) + 5 "deleted" in flow 0
