@@ -76,7 +76,11 @@ class IncrementalBatch:
     _obs: Observation | None = field(default=None, repr=False)
 
     def observed(self) -> DataFrame:
-        """The batch with the new mark gathered during the sink's own pass."""
+        """The batch with the new mark gathered during the sink's own pass.
+
+        Write this frame to the sink, then call ``commit``; the mark is read
+        from the write's metrics, so no second pass over the batch is needed.
+        """
         self._obs = Observation(f"mark_{self.name}")
         return self.df.observe(self._obs, F.max_by(F.col(self.counter), self.order_key).alias("mark"),
                                F.count(F.lit(1)).alias("rows"))
