@@ -52,3 +52,64 @@ def test_row_index_is_a_dense_global_order(spark, values, parts):
     ranked = sorted(out, key=lambda r: r["row_index"])
     assert [r["row_index"] for r in ranked] == list(range(1, len(values) + 1))
     assert [(r["v"], r["id"]) for r in ranked] == sorted((v, i) for i, v in enumerate(values))
+
+
+def _nat_key(s):
+    out = []
+    for part in re.findall(r"\d+|\D+", s):
+        if part[0].isdigit():
+            d = part.lstrip("0") or "0"
+            out.append(f"{len(d):03d}{d}")
+        else:
+            out.append(part)
+    return out
+
+
+def _list_model(paths, returnvalue, sort, offset, limit, base, pattern):
+    keep = [p for p in paths if p.rsplit("/", 1)[-1] not in (".", "..")
+            and (not pattern or fnmatch.fnmatchcase(p, pattern))]
+    if returnvalue == "basename":
+        pairs = [(p.rstrip("/").rsplit("/", 1)[-1], p) for p in keep]
+    elif returnvalue == "relativepath" and base:
+        pairs = [(p.replace(base + "/", ""), p) for p in keep]
+    else:
+        pairs = [(p, p) for p in keep]
+    if sort == "alpha":
+        pairs.sort()
+    elif sort == "alpha_reverse":
+        pairs.sort(reverse=True)
+    else:
+        pairs.sort(key=lambda vp: (_nat_key(vp[0]), vp[1]))
+    pairs = pairs[offset:offset + limit] if limit else pairs[offset:]
+    return [v for v, _ in pairs]
+
+
+PATH = st.lists(st.sampled_from(["a", "b", "out", "x1", "x10", "x2", "doc.csv", "r9.txt", "."]), min_size=1, max_size=3)
+
+
+@SLOW
+@given(st.lists(PATH.map("/".join), min_size=1, max_size=25, unique=True),
+       st.sampled_from(["basename", "relativepath", "absolutepath"]),
+       st.sampled_from(["alpha", "alpha_reverse", "natural"]), st.integers(0, 4), st.integers(0, 5),
+       st.sampled_from(["", "out"]), st.sampled_from([None, "*", "*.csv", "out/*", "x?"]))
+def test_list_constraints_model(spark, paths, rv, sort, offset, limit, base, pattern):
+    from rivulet.sources.files import list_constraints
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    out = list_constraints(df, "path", rv, sort, offset, limit, False, base, pattern)
+    got = [r["value"] for r in out.orderBy("position").collect()]
+    assert got == _list_model(paths, rv, sort, offset, limit, base, pattern)
+
+
+@SLOW
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 100)), min_size=1, max_size=60))
+def test_take_until_and_find_first_brute_force(spark, data):
+    from rivulet.operators.control import find_first, take_until
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(data)], "k bigint, g bigint, v bigint")
+    stop = next((i for i, (_, v) in enumerate(data) if v > 80), len(data))
+    assert sorted(r["k"] for r in take_until(df, "v > 80", "k").collect()) == list(range(stop))
+    want = {}
+    for i, (g, v) in enumerate(data):
+        if v % 2 == 0 and g not in want:
+            want[g] = i
+    got = {r["g"]: r["found"]["k"] for r in find_first(df, "v % 2 = 0", "k", "g").collect()}
+    assert got == want
