@@ -117,8 +117,8 @@ def keyed_update(target: DataFrame, updates: DataFrame, key: str, fields: list[s
     if bad:
         raise ValueError(f"protected fields cannot be updated: {bad}")
     if order_by is not None:
-        okey = F.struct(*[F.col(c) if isinstance(c, str) else c for c in
-                          ([order_by] if isinstance(order_by, (str, Column)) else order_by)])
+        from rivulet.operators.ordering import order_key
+        okey = order_key(order_by)
         latest = updates.groupBy(key).agg(*[F.max_by(F.col(f), okey).alias(f"_new_{f}") for f in fields])
     else:
         # no order given: one arbitrary update per key (never duplicates target rows)

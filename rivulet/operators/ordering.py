@@ -23,6 +23,14 @@ def _order_cols(order_by) -> list[Column]:
     return [as_column(c) if not isinstance(c, str) else F.col(c) for c in order_by]
 
 
+def order_key(order_by) -> Column:
+    """Key for ``max_by``/``min_by``: the column itself when there is one (a
+    primitive key keeps the aggregate hash-based), else a struct, which
+    compares field by field."""
+    cols = _order_cols(order_by)
+    return cols[0] if len(cols) == 1 else F.struct(*cols)
+
+
 def with_row_index(df: DataFrame, order_by, name: str = "row_index", start: int = 1,
                    num_partitions: int | None = None) -> DataFrame:
     """Add the global position of each row under ``order_by``.

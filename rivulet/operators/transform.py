@@ -99,9 +99,8 @@ def last_values(df: DataFrame, variables: dict, order_by, extra: list | None = N
 
     One aggregate pass with partial aggregation; the result is one row.
     """
-    if isinstance(order_by, (str, Column)):
-        order_by = [order_by]
-    key = F.struct(*[as_column(c) if not isinstance(c, str) else F.col(c) for c in order_by])
+    from rivulet.operators.ordering import order_key
+    key = order_key(order_by)
     return df.agg(*[F.max_by(template(v), key).alias(k) for k, v in variables.items()], *(extra or []))
 
 

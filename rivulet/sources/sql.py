@@ -117,4 +117,5 @@ def incremental_read(df: DataFrame, counter: str, state: StateTable, name: str |
     order = [counter] if order_by is None else ([order_by] if isinstance(order_by, (str, Column)) else list(order_by))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     batch = src.orderBy(*cols).limit(limit) if limit else src
-    return IncrementalBatch(batch, state, name, counter, F.struct(*cols), previous, dry_run)
+    from rivulet.operators.ordering import order_key
+    return IncrementalBatch(batch, state, name, counter, order_key(cols), previous, dry_run)
