@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.functions.coerce import natural_key
-from rivulet.operators.ordering import with_row_index
 from rivulet.plans.registry import query, table
 from rivulet.session import scratch_path
 from rivulet.sinks.writers import write_csv, write_json

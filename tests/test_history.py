@@ -1,7 +1,5 @@
 """Run history, queue and schedule queries on the reference's table fixtures."""
 
-from pyspark.sql import functions as F
-
 from rivulet.operators import history as H
 from tests.conftest import rows
 

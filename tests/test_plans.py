@@ -5,8 +5,6 @@ import contextlib
 import io
 import random
 
-from pyspark.sql import functions as F
-
 import __spark_entry__ as E
 from rivulet.operators import history as H
 from rivulet.operators.control import find_first

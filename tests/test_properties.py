@@ -5,8 +5,6 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from rivulet.functions.coerce import glob_to_regex, intval, natural_key
 from rivulet.operators.ordering import with_row_index
 

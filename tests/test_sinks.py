@@ -3,9 +3,6 @@
 import os
 
 import pytest
-from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
-
 from rivulet.sinks.writers import (
     concat_skip_headers, copy_dataset, debug_json, json_array_text, write, write_csv, write_json,
 )

@@ -1,8 +1,6 @@
 """SQL reader, binding, optional fragments, incremental reads and lookups."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from rivulet.operators.sqlstep import dml_delete, dml_insert, lookup, sql_once
 from rivulet.sources.sql import bind_params, incremental_read, optional_fragments, sql_read
 from rivulet.state import StateTable

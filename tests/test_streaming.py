@@ -1,8 +1,6 @@
 """Event queue through Structured Streaming: consume once, dry run, fan-out, running last value."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from rivulet.streaming.queue import capture, drain, last_value_per_key, run_available_now
 
 SCHEMA = "id bigint, flow bigint, name string, payload string, ts bigint"
