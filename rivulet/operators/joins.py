@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.coerce import as_column
 
-__all__ = ["asof_join", "salted_join"]
+__all__ = ["asof_join", "salted_join", "hot_keys"]
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right_time,
@@ -91,3 +91,14 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
         big_s = big.withColumn("_salt", salt)
         small_s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     return big_s.join(small_s, [*on, "_salt"], how).drop("_salt")
+
+
+def hot_keys(df: DataFrame, on: list[str], factor: float = 2.0) -> DataFrame:
+    """Keys holding more than ``factor`` times the average rows per key.
+
+    One partial aggregate per key and a scalar average over it, both lazy;
+    the result (few rows for any skewed key set) feeds ``salted_join``.
+    """
+    per_key = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    avg = per_key.select(F.avg("_n")).scalar()
+    return per_key.where(F.col("_n") > avg * F.lit(factor)).select(*on)

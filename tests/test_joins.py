@@ -30,3 +30,9 @@ def test_salted_join_equals_plain_join(spark):
     for hot in (None, spark.createDataFrame([(0,)], "k bigint")):
         salted = salted_join(big, small, ["k"], "left", salt_buckets=8, hot_keys=hot)
         assert sorted(tuple(r) for r in salted.select("id", "k", "v").collect()) == plain
+
+
+def test_hot_keys(spark):
+    from rivulet.operators.joins import hot_keys
+    df = spark.createDataFrame([(0,)] * 50 + [(k,) for k in range(1, 11)], "k bigint")
+    assert [r["k"] for r in hot_keys(df, ["k"]).collect()] == [0]
