@@ -55,7 +55,8 @@ def sql_read(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None
 
     ``{name}`` in the text refers to a frame in ``tables``; ``:name`` is a
     bound parameter from ``args``; ``[[ … ]]`` fragments drop out when their
-    parameters are unset.
+    parameters are unset.  When ``tables`` are given the text is formatted,
+    so literal braces (JSON in a string literal) are written ``{{`` ``}}``.
     """
     args = bind_params(args)
     text = optional_fragments(text, args)
