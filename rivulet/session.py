@@ -73,6 +73,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}{sep}rivulet-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str, fmt: str = "parquet"):
+    """Write ``df`` to a fresh folder under the shared folder and read it back.
+
+    Cuts the lineage (later stages and retries after a lost executor start
+    from the written files, not from the sources) and lets several consumers
+    share one computation.  Unlike ``localCheckpoint`` the data survives the
+    loss of the executors that computed it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.format(fmt).save(path)
+    return spark.read.format(fmt).load(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for code that must touch the local disk (tests only)."""
     if path.startswith("file:"):

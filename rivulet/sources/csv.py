@@ -41,10 +41,8 @@ def read_csv(spark: SparkSession, path: str, headers: list[str] | str | None = N
     schema = T.StructType(fields + [T.StructField(CORRUPT, T.StringType(), True)])
     raw = (spark.read.options(**opts).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path))
-    from rivulet.session import scratch_path
-    parsed_path = scratch_path(spark, "csv_parsed")
-    raw.write.parquet(parsed_path)
-    parsed = spark.read.parquet(parsed_path)
+    from rivulet.session import materialize
+    parsed = materialize(raw, "csv_parsed")
     good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = parsed.where(F.col(CORRUPT).isNotNull()).withColumnRenamed(CORRUPT, "raw")
     return good, bad
