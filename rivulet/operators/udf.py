@@ -51,7 +51,9 @@ def with_error_policy(df: DataFrame, fn: Callable[[dict], object], value_type: s
     Returns ``(ok, errors)``: ``ok`` has ``keep`` columns plus ``value``;
     ``errors`` has ``keep`` plus the error text.  ``policy='abortflow'``
     raises on the first failing record (the task fails, so the job fails
-    before any sink commits).
+    before any sink commits).  Both outputs derive from one ``mapInPandas``
+    pass; when both go to sinks, ``session.materialize`` the tagged result
+    first so the function runs once per record.
     """
     if policy not in ("skiprecord", "abortflow"):
         raise ValueError("policy must be 'skiprecord' or 'abortflow'")
