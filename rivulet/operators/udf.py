@@ -45,7 +45,7 @@ def map_records(df: DataFrame, fn: Callable[[dict], object], schema) -> DataFram
 
 
 def with_error_policy(df: DataFrame, fn: Callable[[dict], object], value_type: str,
-                      policy: str = "skiprecord", keep: list[str] | None = None):
+                      policy: str = "skiprecord", keep: list[str] | None = None, shared: bool = False):
     """Run ``fn(record)`` per row with a failure policy (C-8).
 
     Returns ``(ok, errors)``: ``ok`` has ``keep`` columns plus ``value``;
@@ -53,7 +53,7 @@ def with_error_policy(df: DataFrame, fn: Callable[[dict], object], value_type: s
     raises on the first failing record (the task fails, so the job fails
     before any sink commits).  Both outputs derive from one ``mapInPandas``
     pass; when both go to sinks, ``session.materialize`` the tagged result
-    first so the function runs once per record.
+    first (``shared=True`` does that) so the function runs once per record.
     """
     if policy not in ("skiprecord", "abortflow"):
         raise ValueError("policy must be 'skiprecord' or 'abortflow'")
@@ -79,6 +79,9 @@ def with_error_policy(df: DataFrame, fn: Callable[[dict], object], value_type: s
             yield pd.DataFrame.from_records(out, columns=names) if out else pd.DataFrame(columns=names)
 
     tagged = df.mapInPandas(run, schema)
+    if shared:
+        from rivulet.session import materialize
+        tagged = materialize(tagged, "error_policy")
     ok = tagged.where("ok").select(*keep, "value")
     errors = tagged.where("not ok").select(*keep, "error")
     return ok, errors

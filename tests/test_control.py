@@ -127,3 +127,9 @@ def test_error_policy(spark):
 def test_apply_step(spark):
     df = spark.range(3)
     assert apply_step(df, lambda d: d.where("id > 0")).count() == 2
+
+
+def test_error_policy_shared_runs_once(spark):
+    df = spark.createDataFrame([(1,), (0,), (4,)], "k bigint")
+    ok, errors = with_error_policy(df, lambda r: 8 / r["k"], "double", keep=["k"], shared=True)
+    assert ok.count() == 2 and errors.count() == 1
