@@ -11,9 +11,17 @@ import traceback
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+import rivulet
+
+# Functions from this package travel to the Python workers by value, so
+# executors need no installed copy of it (only pandas/pyarrow, which PySpark
+# itself needs for Arrow batches).
+cloudpickle.register_pickle_by_value(rivulet)
+
 __all__ = ["map_records", "with_error_policy", "apply_step"]
 
 
