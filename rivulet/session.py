@@ -55,10 +55,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Set a local one only where the session has none (local runs, tests).
     """
+    try:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # not readable as a SQL conf in some deployments
+        d = None
+    if d:
+        return d
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = sc.getCheckpointDir()
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="rivulet-ckpt-")
         sc.setCheckpointDir(d)
