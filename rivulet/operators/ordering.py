@@ -23,6 +23,11 @@ def _order_cols(order_by) -> list[Column]:
     return [as_column(c) if not isinstance(c, str) else F.col(c) for c in order_by]
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    value = str(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return int(value) if value.isdigit() else 200
+
+
 def order_key(order_by) -> Column:
     """Key for ``max_by``/``min_by``: the column itself when there is one (a
     primitive key keeps the aggregate hash-based), else a struct, which
@@ -43,7 +48,7 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_index", start: int
     layout; the shuffle itself is shared by both through exchange reuse.
     """
     cols = _order_cols(order_by)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _shuffle_partitions(df)
     tagged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
                 .withColumn("_ri_pid", F.spark_partition_id())
                 .withColumn("_ri_mid", F.monotonically_increasing_id()))
