@@ -133,3 +133,9 @@ def test_error_policy_shared_runs_once(spark):
     df = spark.createDataFrame([(1,), (0,), (4,)], "k bigint")
     ok, errors = with_error_policy(df, lambda r: 8 / r["k"], "double", keep=["k"], shared=True)
     assert ok.count() == 2 and errors.count() == 1
+
+
+def test_udf_code_ships_by_value():
+    from pyspark import cloudpickle
+    import rivulet.operators.udf  # noqa: F401  (registers the package)
+    assert "rivulet" in cloudpickle.list_registry_pickle_by_value()
