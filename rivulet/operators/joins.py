@@ -11,14 +11,20 @@ __all__ = ["asof_join", "salted_join", "hot_keys"]
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right_time,
-              right_cols: list[str], bucket_width: int, prefix: str = "r_",
-              right_tiebreak: str | None = None) -> DataFrame:
+              right_cols: list[str], bucket_width: int | None = None, prefix: str = "r_",
+              right_tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """For each left row, the last right row with the same ``by`` keys and
     ``right_time <= left_time`` (NULLs when none).
 
-    Times are numeric (e.g. epoch seconds/micros); ``bucket_width`` is in the
-    same unit.  The work is split by (keys, time bucket) so one hot key is
-    spread over many tasks:
+    Times are numeric (e.g. epoch seconds/micros).  The work is split into
+    buckets so that no key, however hot, is ordered in a single task:
+
+    * ``bucket_width`` given: buckets are fixed time ranges (same unit);
+    * ``bucket_width=None``: buckets are the range partitions of the sorted
+      (keys, time) order, which Spark's range partitioner balances, so even a
+      single (key, time range) holding a third of all rows is spread over
+      many tasks.  Each row's bucket is written once to the shared folder
+      (one job at call time) so every branch sees the same buckets.
 
     1. left and right rows of the same (keys, bucket) are merged in one
        window pass: the running last right row is the in-bucket match;
@@ -33,24 +39,34 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right
     tb = F.col(right_tiebreak) if right_tiebreak else F.lit(0)
     L = left.select(*by, lt.alias("_t"), F.struct(*[F.col(f"`{c}`") for c in lcols]).alias("_l"))
     R = right.select(*by, rt.alias("_t"), tb.alias("_tb"), rec_r.alias("_r"))
-    L = L.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_width)))
-    R = R.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_width)))
     rtype = R.schema["_r"].dataType
     ltype = L.schema["_l"].dataType
 
-    u = (L.select(*by, "_b", "_t", F.lit(1).alias("_side"), F.lit(0).alias("_tb"), "_l",
+    u = (L.select(*by, "_t", F.lit(1).alias("_side"), F.lit(0).cast(R.schema["_tb"].dataType).alias("_tb"), "_l",
                   F.lit(None).cast(rtype).alias("_r"))
-         .unionByName(R.select(*by, "_b", "_t", F.lit(0).alias("_side"), "_tb",
+         .unionByName(R.select(*by, "_t", F.lit(0).alias("_side"), "_tb",
                                F.lit(None).cast(ltype).alias("_l"), "_r")))
+    if bucket_width:
+        u = u.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_width)))
+    else:
+        from rivulet.operators.ordering import _shuffle_partitions
+        n = num_partitions or _shuffle_partitions(left)
+        # the bucket is written as data once: the range partitioner samples afresh in every
+        # execution, so the branches below must not each re-run the range shuffle
+        from rivulet.session import materialize
+        u = materialize(u.repartitionByRange(n, *by, "_t", "_side", "_tb")
+                         .withColumn("_b", F.spark_partition_id().cast("bigint")), "asof_buckets")
+
     w = (Window.partitionBy(*by, "_b").orderBy("_t", "_side", "_tb")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inb = (u.withColumn("_m", F.last("_r", ignorenulls=True).over(w))
              .where(F.col("_side") == 1).select(*by, "_b", "_l", "_m"))
 
-    per_bucket = R.groupBy(*by, "_b").agg(F.max_by("_r", F.struct("_t", "_tb")).alias("_rb"))
-    # carry candidates for every left (keys, bucket); taken from the scan, not from the
+    per_bucket = (u.where(F.col("_side") == 0).groupBy(*by, "_b")
+                   .agg(F.max_by("_r", F.struct("_t", "_tb")).alias("_rb")))
+    # carry candidates for every left (keys, bucket); taken from the input, not from the
     # window above, so the in-bucket pass is computed once
-    need = L.select(*by, "_b").distinct()
+    need = u.where(F.col("_side") == 1).select(*by, "_b").distinct()
     ub = (need.select(*by, "_b", F.lit(0).alias("_side"), F.lit(None).cast(rtype).alias("_rb"))
           .unionByName(per_bucket.select(*by, "_b", F.lit(1).alias("_side"), "_rb")))
     wb = (Window.partitionBy(*by).orderBy("_b", "_side")

@@ -44,14 +44,21 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_index", start: int
     numbering is the same on every recomputation, for example after an
     executor is lost.  The range partitioning has an explicit partition
     count (default: ``spark.sql.shuffle.partitions``), which AQE never
-    coalesces, so the per-partition counts and the rows always see the same
-    layout; the shuffle itself is shared by both through exchange reuse.
+    coalesces.  Each row's partition and position are tagged as data and
+    written once to the shared folder (``session.materialize``): Spark seeds
+    the range partitioner's sampling per execution, so two branches that
+    re-ran the sort (the counts and the rows, pruned differently) could see
+    different boundaries.  Runs one job now; the result is then lazy.
     """
+    from rivulet.session import materialize
+
     cols = _order_cols(order_by)
     n = num_partitions or _shuffle_partitions(df)
-    tagged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-                .withColumn("_ri_pid", F.spark_partition_id())
-                .withColumn("_ri_mid", F.monotonically_increasing_id()))
+    tagged = materialize(
+        df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+          .withColumn("_ri_pid", F.spark_partition_id())
+          .withColumn("_ri_mid", F.monotonically_increasing_id()),
+        "row_index")
     counts = tagged.groupBy("_ri_pid").agg(F.count(F.lit(1)).alias("_ri_n"))
     w = Window.orderBy("_ri_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_ri_pid", F.coalesce(F.sum("_ri_n").over(w), F.lit(0)).alias("_ri_off"))

@@ -280,3 +280,18 @@ def q_join_salted(spark, sf_dir):
     # hot = users with more than 1.2x the average number of events (found from the data)
     hot = hot_keys(ev, ["user_id"], factor=1.2)
     return salted_join(ev, cust, ["user_id"], "inner", salt_buckets=8, hot_keys=hot)
+
+
+@query("join_asof_range", """
+SELECT p.event_id, p.user_id, p.ts, v.event_id AS r_event_id, v.ts AS r_ts
+FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view') v
+ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def q_join_asof_range(spark, sf_dir):
+    """Q-4 as-of with buckets taken from the range-partitioned (user, time) order:
+    balanced by construction, whatever the skew of users or time."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    buys = ev.where(F.col("event_type") == "purchase").drop("event_type")
+    views = ev.where(F.col("event_type") == "view").drop("event_type")
+    return asof_join(buys, views, ["user_id"], micros, micros, ["event_id", "ts"], right_tiebreak="event_id")

@@ -139,3 +139,12 @@ def test_udf_code_ships_by_value():
     from pyspark import cloudpickle
     import rivulet.operators.udf  # noqa: F401  (registers the package)
     assert "rivulet" in cloudpickle.list_registry_pickle_by_value()
+
+
+def test_row_index_with_pruned_payload(spark):
+    # payload columns that a downstream projection drops must not change the numbering
+    df = spark.range(0, 20000, 1, 8).select(
+        F.col("id"), ((F.col("id") * 7919) % 20000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pay"))
+    out = with_row_index(df, ["k", "id"], num_partitions=8).select("k", "row_index")
+    got = sorted((r["row_index"], r["k"]) for r in out.collect())
+    assert [k for _, k in got] == sorted(k for _, k in got) and [i for i, _ in got] == list(range(1, 20001))

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from rivulet.operators.joins import asof_join
 
 
-def test_asof_matches_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("width", [37, None])
+def test_asof_matches_brute_force(spark, width):
     rnd = random.Random(11)
     left = [(i, 0 if i % 3 else rnd.randint(1, 4), rnd.randint(0, 1000)) for i in range(300)]
     right = [(100 + j, 0 if j % 2 else rnd.randint(1, 4), rnd.randint(0, 1000)) for j in range(120)]
     ldf = spark.createDataFrame(left, "id bigint, k bigint, t bigint")
     rdf = spark.createDataFrame(right, "id bigint, k bigint, t bigint")
     got = {r["id"]: r["r_id"] for r in
-           asof_join(ldf, rdf, ["k"], F.col("t"), F.col("t"), ["id"], bucket_width=37, right_tiebreak="id").collect()}
+           asof_join(ldf, rdf, ["k"], F.col("t"), F.col("t"), ["id"], bucket_width=width, right_tiebreak="id",
+                     num_partitions=7).collect()}
     want = {}
     for lid, lk, lt in left:
         cands = [(rt, rid) for rid, rk, rt in right if rk == lk and rt <= lt]
@@ -36,3 +41,18 @@ def test_hot_keys(spark):
     from rivulet.operators.joins import hot_keys
     df = spark.createDataFrame([(0,)] * 50 + [(k,) for k in range(1, 11)], "k bigint")
     assert [r["k"] for r in hot_keys(df, ["k"]).collect()] == [0]
+
+
+def test_asof_single_hot_key_spread_over_partitions(spark):
+    rnd = random.Random(3)
+    left = [(i, 1, rnd.randint(0, 5000)) for i in range(400)]
+    right = [(1000 + j, 1, rnd.randint(0, 5000)) for j in range(200)]
+    ldf = spark.createDataFrame(left, "id bigint, k bigint, t bigint")
+    rdf = spark.createDataFrame(right, "id bigint, k bigint, t bigint")
+    out = asof_join(ldf, rdf, ["k"], F.col("t"), F.col("t"), ["id"], right_tiebreak="id", num_partitions=9)
+    got = {r["id"]: r["r_id"] for r in out.collect()}
+    want = {}
+    for lid, _, lt in left:
+        cands = [(rt, rid) for rid, _, rt in right if rt <= lt]
+        want[lid] = max(cands)[1] if cands else None
+    assert got == want
