@@ -24,9 +24,13 @@ def lookup(records: DataFrame, table: DataFrame, on: dict[str, str] | str,
     pairs = {on: on} if isinstance(on, str) else dict(on)
     rkeys = list(pairs.values())
     cols = data_cols or [c for c in table.columns]
+    # ``data`` is only kept when a key has exactly one row, so each column can be
+    # aggregated on its own (no struct buffer): fixed-width columns then stay in a
+    # hash aggregate instead of a sort-based one
     agg = (table.groupBy(*[F.col(r).alias(f"_lk_{i}") for i, r in enumerate(rkeys)])
                 .agg(F.count(F.lit(1)).alias("_lk_n"),
-                     F.any_value(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("_lk_d")))
+                     *[F.any_value(F.col(f"`{c}`")).alias(f"_lk_v{j}") for j, c in enumerate(cols)])
+                .withColumn("_lk_d", F.struct(*[F.col(f"_lk_v{j}").alias(c) for j, c in enumerate(cols)])))
     cond = [records[lk] == agg[f"_lk_{i}"] for i, lk in enumerate(pairs)]
     joined = records.join(agg, cond, "left")
     n = F.coalesce(F.col("_lk_n"), F.lit(0)).cast("bigint")
