@@ -111,3 +111,18 @@ def test_take_until_and_find_first_brute_force(spark, data):
             want[g] = i
     got = {r["g"]: r["found"]["k"] for r in find_first(df, "v % 2 = 0", "k", "g").collect()}
     assert got == want
+
+
+@SLOW
+@given(st.lists(st.integers(-20, 20), min_size=1, max_size=40), st.integers(-10, 10), st.integers(-10, 10))
+def test_switch_merge_matches_union_of_branches(spark, values, t1, t2):
+    from rivulet.operators.routing import merge, switch, switch_merge
+    from rivulet.operators.transform import alter
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i bigint, v bigint")
+    cases = {"hi": f"v > {t1}", "lo": f"v < {t2}"}
+    exprs = {"hi": {"v": "${{ v * 10 }}", "tag": "H"}, "lo": {"extra": "${{ v - 1 }}"}}
+    one = sorted(map(tuple, switch_merge(df, cases, exprs).select("i", "v", "branch", "tag", "extra").collect()))
+    b = switch(df, cases, keep_label=True)
+    two = sorted(map(tuple, merge(alter(b["hi"], exprs["hi"]), alter(b["lo"], exprs["lo"]))
+                     .select("i", "v", "branch", "tag", "extra").collect()))
+    assert one == two
