@@ -5,6 +5,13 @@ DataFrames for routing) so that planning, optimisation and parallel
 execution stay with Catalyst and the Spark scheduler.
 """
 
-from rivulet.session import get_spark, shared_dir, scratch_path
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# functions of this package travel to Python workers by value (no install needed there)
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from rivulet.session import get_spark, shared_dir, scratch_path  # noqa: E402
 
 __all__ = ["get_spark", "shared_dir", "scratch_path"]

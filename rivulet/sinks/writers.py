@@ -114,9 +114,23 @@ def gunzip_text(spark: SparkSession, source: str, target: str, mode: str = "erro
     return target
 
 
+def _drop_first_lines(keep_file):
+    """mapInPandas body: drop each file's first line, in partition order."""
+    def run(batches):
+        seen: set = set()
+        for pdf in batches:
+            blk0 = pdf[pdf["_blk"] == 0]
+            fresh = blk0[~blk0["file"].duplicated() & ~blk0["file"].isin(seen)]
+            if keep_file is not None:
+                fresh = fresh[fresh["file"] != keep_file]
+            seen.update(blk0["file"].unique())
+            yield pdf.drop(index=fresh.index)[["file", "line"]]
+    return run
+
+
 def concat_skip_headers(spark: SparkSession, sources, target: str | None = None,
                         chop_first_line: bool = True, target_exists: bool = False,
-                        mode: str = "errorifexists", dry_run: bool = False):
+                        mode: str = "errorifexists", dry_run: bool = False, method: str = "join"):
     """Concatenate text files, dropping the header line of all but the first (K-6).
 
     The first line of each file is found without reading files whole: the
@@ -126,14 +140,26 @@ def concat_skip_headers(spark: SparkSession, sources, target: str | None = None,
     the first file keeps its header unless the target already exists
     (``target_exists``), in which case every file loses its first line.
     Returns the lines as a frame ``(file, line)``; writes them when ``target`` is set.
+
+    ``method='local'`` drops the first lines inside each partition instead
+    (a file's first split lies in one partition, read in order), so no join
+    and no shuffle is needed however many files there are; it runs a pandas
+    pass over the lines.
     """
+    if method not in ("join", "local"):
+        raise ValueError("method must be 'join' or 'local'")
     paths = [sources] if isinstance(sources, str) else list(sources)
     lines = (spark.read.text(paths)
              .select(F.col("value").alias("line"),
                      F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("_blk"),
                      F.monotonically_increasing_id().alias("_id")))
-    if chop_first_line:
+    if chop_first_line and method == "local":
+        keep = None
+        if not target_exists:
+            keep = lines.select(F.min("file")).first()[0]
+        lines = lines.mapInPandas(_drop_first_lines(keep), "file string, line string")
+    elif chop_first_line:
         firsts = lines.where(F.col("_blk") == 0).groupBy("file").agg(F.min("_id").alias("_first"))
         if not target_exists:
             keep_file = firsts.agg(F.min("file")).scalar()

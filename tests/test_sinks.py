@@ -65,16 +65,17 @@ def test_copy_dataset_glob(spark, tmp):
     assert copy_dataset(spark, f"{tmp}/none/*.parquet", f"{tmp}/dst2") is None
 
 
-def test_concat_chop_first_line(spark, tmp):
+@pytest.mark.parametrize("method", ["join", "local"])
+def test_concat_chop_first_line(spark, tmp, method):
     for name, text in (("a.txt", "blah! vlah"), ("b.txt", "abc\nxyz"), ("c.txt", "  ")):
         with open(f"{tmp}/{name}", "w") as fh:
             fh.write(text)
     files = [f"{tmp}/a.txt", f"{tmp}/b.txt", f"{tmp}/c.txt"]
-    plain = concat_skip_headers(spark, files, chop_first_line=False)
+    plain = concat_skip_headers(spark, files, chop_first_line=False, method=method)
     assert sorted(r["line"] for r in plain.collect()) == ["  ", "abc", "blah! vlah", "xyz"]
-    chopped = concat_skip_headers(spark, files)
+    chopped = concat_skip_headers(spark, files, method=method)
     assert sorted(r["line"] for r in chopped.collect()) == ["blah! vlah", "xyz"]
-    existing = concat_skip_headers(spark, files, target_exists=True)
+    existing = concat_skip_headers(spark, files, target_exists=True, method=method)
     assert [r["line"] for r in existing.collect()] == ["xyz"]
 
 
@@ -105,3 +106,11 @@ def test_copy_to_folder_keeps_name(spark, tmp):
     spark.range(3).write.parquet(f"{tmp}/data/set1")
     copy_dataset(spark, f"{tmp}/data/set1", f"{tmp}/dest/")
     assert spark.read.parquet(f"{tmp}/dest/set1").count() == 3
+
+
+def test_concat_local_equals_join_on_many_files(spark, tmp):
+    df = spark.range(0, 3000, 1, 12).selectExpr("CAST(id AS STRING) AS a", "CAST(id * 2 AS STRING) AS b")
+    write_csv(df, f"{tmp}/many")
+    a = sorted(r["line"] for r in concat_skip_headers(spark, f"{tmp}/many", method="join").collect())
+    b = sorted(r["line"] for r in concat_skip_headers(spark, f"{tmp}/many", method="local").collect())
+    assert a == b and len(a) == 3001 and a.count("a,b") == 1
