@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from rivulet.llm import exact_dedup, mixing, packing, quality
+from rivulet.llm import exact_dedup, mixing, packing, quality, simhash, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
+    "op6_simhash": simhash.op6_simhash,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 # Where SQL can state the result.
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }
