@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rivulet.llm import exact_dedup, mixing, packing, quality, simhash, substring_dedup
+from rivulet.llm import exact_dedup, mixing, packing, quality, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op9_warc": warc.op9_warc,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 # Where SQL can state the result.
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op9_warc": warc.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
 }
