@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rivulet.llm import exact_dedup, mixing, packing, quality, simhash, substring_dedup, warc
+from rivulet.llm import exact_dedup, language, mixing, packing, quality, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op7_language": language.op7_language,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
