@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rivulet.llm import exact_dedup, language, mixing, packing, quality, simhash, substring_dedup, toxicity, warc
+from rivulet.llm import exact_dedup, language, mixing, packing, quality, simhash, spotsigs, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_spotsigs": spotsigs.op2_spotsigs,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
