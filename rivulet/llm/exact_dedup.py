@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import SPACE, table, text_of
+from rivulet.session import materialize
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 # a cut follows a word that ends in one of these letter pairs
@@ -67,9 +68,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     make = verified_identifier(base.select("_t"), identifiers)
-    recipes = base.select(
+    # a hundredth of the texts' size, written once for the count and the join
+    recipes = materialize(base.select(
         "_id", F.transform(chunks(F.col("_t")), make).alias("_recipe"),
-        F.sha2(normalised(F.col("_t")).cast("binary"), 256).alias("text_sha256"))
+        F.sha2(normalised(F.col("_t")).cast("binary"), 256).alias("text_sha256")), "recipes")
     groups = recipes.groupBy("_recipe").agg(F.min("_id").alias("keep_id"),
                                             F.count(F.lit(1)).alias("group_size"))
     out = recipes.join(groups, "_recipe")
@@ -78,6 +80,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.size("_recipe").cast("bigint").alias("n_chunks"))
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay."""
+    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(
+        F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    sha = F.sha2(normalised(text_of(text_col)).cast("binary"), 256)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+
+
 SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)

@@ -186,5 +186,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                       (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, as often as it is taken.
+
+    Rows that repeat an id and a size are all taken as often as the one taken most.
+    """
+    times = mix(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_mix_id"), F.col("size").alias("_mix_size")) \
+        .agg(F.max("times").cast("int").alias("_mix_times")).where("_mix_times > 0")
+    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint")
+    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (size == F.col("_mix_size")))
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_times"))).select(*docs.columns)
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))

@@ -199,5 +199,23 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             label_col: str = "quality", threshold: float = THRESHOLD, **fitting) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``.
+
+    Rows are scored where they are, so no text is shuffled; the statistics of
+    the labelled rows only are kept for the fit.
+    """
+    model = fit(document_statistics(docs, id_col, text_col), labels, "doc_id", label_col, **fitting)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        if not model or not len(texts):
+            return pd.Series(np.full(len(texts), 0.5))
+        return pd.Series(model.score(np.array([statistics(t or "") for t in texts])))
+
+    return docs.where(score(F.col(text_col)) >= threshold) if model else docs
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

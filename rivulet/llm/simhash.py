@@ -335,5 +335,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the smallest id of their component.
+
+    Rows without an id can't be told apart by it and stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col, shingle, distance) \
+        .where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
