@@ -7,11 +7,13 @@ start, share an aligned anchor of WINDOW - P + 1 words that begins at a cover
 position in both documents.  Only these anchors (6 of 31 positions) are
 hashed and shuffled.
 
-1. Anchors by hash; those that occur under two ids or more are kept (partial
-   aggregate), and their places are joined back.
-2. Extension: around each kept place the full windows that contain the anchor
+1. Whole copies: of equal texts (128-bit hash) only the smallest id takes part
+   below; the others lose every window to it.
+2. Anchors by hash; those that occur in two different texts or more are kept
+   (partial aggregate), and their places are joined back.
+3. Extension: around each kept place the full windows that contain the anchor
    are hashed (128 bits).  The smallest id of each window decides.
-3. Places of windows that a smaller id also has are joined to their document,
+4. Places of windows that a smaller id also has are joined to their document,
    which drops the words they cover.
 
 Frequent anchors and windows are aggregated before the shuffle and joined back
@@ -83,27 +85,29 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], distinct: bool):
 
     def run(batches):
         import pyarrow as pa
-        known, rolling = WordHashes(), Rolling(_BASE1)
+        known, rolling, covered = WordHashes(), Rolling(_BASE1), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            hs, ids, keys, ats = [], [], [], []
-            for doc_id, key, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)):
+            hs, keys, ats = [], [], []
+            for key, text in zip(batch.column(0).to_numpy(), batch.column(1)):
                 words = words_of(text.as_py())
                 if len(words) < window:
                     continue
-                at = np.arange(len(words) - length + 1)
-                at = at[np.isin(np.arange(period), cover)[at % period]]
+                n = len(words) - length + 1
+                if not len(covered) or covered[-1] < n:
+                    starts = np.arange(0, 2 * n + period, period)
+                    covered = (starts[:, None] + np.array(sorted(cover))).reshape(-1)
+                at = covered[:np.searchsorted(covered, n)]
                 h = rolling.at(known.of(words), length, at).view(np.int64)
                 if distinct:
                     h = np.unique(h)
                 else:
-                    keys.append(np.full(len(h), key))
                     ats.append(at.astype(np.int32))
                 hs.append(h)
-                ids.append(np.full(len(h), doc_id))
+                keys.append(np.full(len(h), key))
             if hs:
-                cols, names = [np.concatenate(hs), np.concatenate(ids)], ["h", "id"]
+                cols, names = [np.concatenate(hs), np.concatenate(keys)], ["h", "key"]
                 if not distinct:
-                    cols, names = [*cols, np.concatenate(keys), np.concatenate(ats)], [*names, "key", "at"]
+                    cols, names = [*cols, np.concatenate(ats)], [*names, "at"]
                 yield pa.record_batch([pa.array(c) for c in cols], names=names)
     return run
 
@@ -138,10 +142,12 @@ def _kept(window: int):
         import pyarrow as pa
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2)):
+            for text, starts, copy in zip(batch.column(1), batch.column(2), batch.column(3)):
                 words = words_of(text.as_py())
                 left = words
-                if starts.is_valid and len(starts.values):
+                if copy.as_py() and len(words) >= window:
+                    left = []
+                elif starts.is_valid and len(starts.values):
                     at, cover = np.asarray(starts.values), np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + window, -1)
@@ -154,27 +160,28 @@ def _kept(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
+def repeated_windows(docs: DataFrame, texts: DataFrame, window: int = WINDOW, period: int = PERIOD,
                      cover: tuple[int, ...] = COVER) -> DataFrame:
-    """``id``, ``key``, ``starts``: the first words of the windows of a document that a smaller id also has.
+    """``id``, ``key``, ``starts``: the first words of the windows of a text that a smaller id also has.
 
-    ``docs`` has ``id``, ``key``, ``t``.
+    ``docs`` has ``id``, ``key``, ``key2``, ``t``; ``texts`` the smallest ``id`` of each ``key``, ``key2``.
     """
     spark = docs.sparkSession
-    groups = docs.mapInArrow(_anchors(window, period, cover, True), "h bigint, id bigint") \
-        .groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    places = docs.mapInArrow(_anchors(window, period, cover, False), "h bigint, id bigint, key bigint, at int")
-    # per document: never more than its own words
-    anchors = materialize(places.join(groups, "h").groupBy("id", "key").agg(F.collect_list("at").alias("anchors")),
-                          "substring-anchors")
+    words = docs.select("key", "t")
+    shared = words.mapInArrow(_anchors(window, period, cover, True), "h bigint, key bigint") \
+        .groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h")
+    places = words.mapInArrow(_anchors(window, period, cover, False), "h bigint, key bigint, at int")
+    # a place once for all copies of a text; per text never more than its own words
+    anchors = materialize(places.join(shared, "h").groupBy("key", "at").agg(F.lit(1).alias("_"))
+                          .groupBy("key").agg(F.collect_list("at").alias("anchors")), "substring-anchors")
     release(spark)
-    near = docs.join(anchors, ["id", "key"]).select("id", "key", "t", "anchors")
+    near = docs.join(texts.join(anchors, "key"), ["id", "key", "key2"]).select("id", "key", "t", "anchors")
     full = materialize(near.mapInArrow(_windows(window, period), "w1 bigint, w2 bigint, id bigint, key bigint, at int"),
                        "substring-windows")
     release(spark)
-    first = full.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    first = full.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     out = materialize(full.join(first, ["w1", "w2"]).where("id > lo").groupBy("id", "key")
-                      .agg(F.collect_list("at").alias("starts")), "substring-starts")
+                      .agg(F.collect_set("at").alias("starts")), "substring-starts")
     release(spark)
     return out
 
@@ -187,13 +194,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in a document with a smaller id; this is judged on the input.  Null and
     shorter texts lose nothing.  A null id counts as larger than every id.
     Rows that repeat an id are one document's: they don't remove each other's
-    words.  Other columns of ``docs`` are not read.  An empty table gives an
+    words (of two equal anchors in different texts with one 64-bit text hash
+    none would be seen; at 10^10 texts some ten such pairs are to be expected).  Other columns of ``docs`` are not read.  An empty table gives an
     empty result.
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"),
-                       F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t"))
-    starts = repeated_windows(base, window, period, cover)
-    out = base.join(starts, ["id", "key"], "left").select("id", "t", "starts").mapInArrow(
+                       F.xxhash64(text_col).alias("key"), F.xxhash64(F.lit(1), text_col).alias("key2"),
+                       F.col(text_col).alias("t"))
+    texts = materialize(base.groupBy("key", "key2").agg(F.min("id").alias("id")), "substring-texts")
+    starts = repeated_windows(base, texts, window, period, cover)
+    found = texts.withColumnRenamed("id", "low").join(starts.withColumnRenamed("id", "low"), ["low", "key"], "left")
+    out = base.join(found, ["key", "key2"]).select("id", "t", "starts", (F.col("id") > F.col("low")).alias("copy")).mapInArrow(
         _kept(window), "id bigint, n_words bigint, n_removed bigint, kept string")
     return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept")
 
