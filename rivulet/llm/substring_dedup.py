@@ -26,33 +26,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import release, table
+from rivulet.llm.common import batches_of, release, table
 from rivulet.session import materialize
 
 WINDOW = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # fixed values: a perfect difference set modulo 31
-# words whose hashes a task remembers
-CACHE_WORDS = 1_000_000
+# bytes of text hashed together
+RUN_BYTES = 2 << 20
 _NO_ID = (1 << 63) - 1
 
-_BASE1, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = xxh64_intdigest(word, 0)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+_BASE1, _BASE2, _BYTES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 class Rolling:
-    """Hashes of runs of word hashes: sum of h[i+k] * base^k modulo 2^64, scrambled."""
+    """Hashes of runs of numbers: sum of h[i+k] * base^k modulo 2^64, scrambled."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -66,49 +54,67 @@ class Rolling:
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
-    def at(self, h: np.ndarray, length: int, places: np.ndarray) -> np.ndarray:
-        self._grow(len(h))
+    def between(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._grow(len(h) + 1)
         sums = np.zeros(len(h) + 1, dtype=np.uint64)
         np.cumsum(h * self.up[:len(h)], out=sums[1:])
-        out = (sums[places + length] - sums[places]) * self.down[places]
+        out = (sums[ends] - sums[starts]) * self.down[starts]
         out ^= out >> np.uint64(31)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(29))
 
 
+class Words:
+    """The words of several texts, hashed without making an object of each.
+
+    Words are runs of bytes other than the six ASCII spaces.  ``first`` and
+    ``count`` give each text's place among the words of all.
+    """
+
+    def __init__(self):
+        self.rolling = Rolling(_BYTES)
+        self.number = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.is_word = np.ones(256, dtype=bool)
+        self.is_word[[9, 10, 11, 12, 13, 32]] = False
+
+    def read(self, raws: list[bytes]) -> None:
+        raw = np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)
+        inside = self.is_word[raw]
+        edge = np.flatnonzero(np.diff(inside, prepend=False))
+        starts, ends = edge[::2], edge[1::2]
+        self.h = self.rolling.between(self.number[raw], starts, ends)
+        begins = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        at = np.searchsorted(starts, begins)
+        self.first, self.count = at[:-1], np.diff(at)
+        # of each word: its text, and its place in it
+        self.of = np.repeat(np.arange(len(raws)), self.count)
+        self.place = np.arange(len(self.h)) - self.first[self.of]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()  # bytes split at the six ASCII spaces only
 
 
+def _raw(column) -> list[bytes]:
+    return [(t.as_py() or "").encode("utf-8", "replace") for t in column]
+
+
 def _anchors(window: int, period: int, cover: tuple[int, ...], distinct: bool):
     length = window - period + 1
 
     def run(batches):
         import pyarrow as pa
-        known, rolling, covered = WordHashes(), Rolling(_BASE1), np.zeros(0, dtype=np.int64)
+        words, rolling = Words(), Rolling(_BASE1)
+        covered = np.isin(np.arange(period), cover)
         for batch in batches:
-            hs, keys, ats = [], [], []
-            for key, text in zip(batch.column(0).to_numpy(), batch.column(1)):
-                words = words_of(text.as_py())
-                if len(words) < window:
-                    continue
-                n = len(words) - length + 1
-                if not len(covered) or covered[-1] < n:
-                    starts = np.arange(0, 2 * n + period, period)
-                    covered = (starts[:, None] + np.array(sorted(cover))).reshape(-1)
-                at = covered[:np.searchsorted(covered, n)]
-                h = rolling.at(known.of(words), length, at).view(np.int64)
-                if distinct:
-                    h = np.unique(h)
-                else:
-                    ats.append(at.astype(np.int32))
-                hs.append(h)
-                keys.append(np.full(len(h), key))
-            if hs:
-                cols, names = [np.concatenate(hs), np.concatenate(keys)], ["h", "key"]
+            for keys, raws in batches_of([batch.column(0).to_pylist(), _raw(batch.column(1))], RUN_BYTES):
+                words.read(raws)
+                n = words.count[words.of]
+                at = np.flatnonzero((n >= window) & (words.place + length <= n) & covered[words.place % period])
+                cols = [rolling.between(words.h, at, at + length).view(np.int64), np.array(keys, dtype=np.int64)[words.of[at]]]
                 if not distinct:
-                    cols, names = [*cols, np.concatenate(ats)], [*names, "at"]
-                yield pa.record_batch([pa.array(c) for c in cols], names=names)
+                    cols.append(words.place[at].astype(np.int32))
+                yield pa.record_batch([pa.array(c) for c in cols], names=["h", "key", "at"][:len(cols)])
     return run
 
 
@@ -116,24 +122,23 @@ def _windows(window: int, period: int):
     """Full windows around the kept anchors: (w1, w2, id, key, start)."""
     def run(batches):
         import pyarrow as pa
-        known, one, two = WordHashes(), Rolling(_BASE1), Rolling(_BASE2)
+        words, one, two = Words(), Rolling(_BASE1), Rolling(_BASE2)
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i in range(batch.num_rows):
-                words = words_of(batch.column(2)[i].as_py())
-                anchors = np.asarray(batch.column(3)[i].values)
-                last = len(words) - window
-                near = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(near, np.maximum(anchors - (period - 1), 0), 1)
-                np.add.at(near, np.minimum(anchors, last) + 1, -1)
-                starts = np.flatnonzero(np.cumsum(near)[:last + 1] > 0)
-                h = known.of(words)
-                w1 = one.at(h, window, starts)
-                w2 = two.at(h ^ (h >> np.uint64(32)), window, starts)
-                yield pa.record_batch(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(starts), ids[i])),
-                     pa.array(np.full(len(starts), keys[i])), pa.array(starts.astype(np.int32))],
-                    names=["w1", "w2", "id", "key", "at"])
+            anchors = [np.asarray(a.values, dtype=np.int64) for a in batch.column(3)]
+            for ids, keys, found, raws in batches_of(
+                    [batch.column(0).to_pylist(), batch.column(1).to_pylist(), anchors, _raw(batch.column(2))], RUN_BYTES):
+                words.read(raws)
+                of = np.repeat(np.arange(len(raws)), [len(f) for f in found])
+                at, n = np.concatenate(found), len(words.h)
+                first = words.first[of]
+                opens = np.bincount(first + np.maximum(at - (period - 1), 0), minlength=n + 1)
+                closes = np.bincount(first + np.minimum(at, words.count[of] - window) + 1, minlength=n + 1)
+                at = np.flatnonzero(np.cumsum(opens - closes)[:n] > 0)
+                of = words.of[at]
+                cols = [one.between(words.h, at, at + window).view(np.int64),
+                        two.between(words.h ^ (words.h >> np.uint64(32)), at, at + window).view(np.int64),
+                        np.array(ids, dtype=np.int64)[of], np.array(keys, dtype=np.int64)[of], words.place[at].astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in cols], names=["w1", "w2", "id", "key", "at"])
     return run
 
 
@@ -148,10 +153,9 @@ def _kept(window: int):
                 if copy.as_py() and len(words) >= window:
                     left = []
                 elif starts.is_valid and len(starts.values):
-                    at, cover = np.asarray(starts.values), np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
-                    left = [words[k] for k in np.flatnonzero(np.cumsum(cover)[:-1] == 0)]
+                    at, n = np.asarray(starts.values, dtype=np.int64), len(words) + 1
+                    cover = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + window, minlength=n))
+                    left = [words[k] for k in np.flatnonzero(cover[:-1] == 0)]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8"))
