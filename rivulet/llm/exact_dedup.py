@@ -1,8 +1,8 @@
 """Exact dedup by content-defined chunk recipes.
 
 A text (white-space runs made one space) is cut where its content says so: at
-the first space after at least ``MIN_CHUNK`` characters that follows a chosen
-pair of letters, at ``MAX_CHUNK`` characters at the latest.  Every distinct
+the first space after at least ``MIN_CHUNK`` characters that stands between
+chosen letters, at ``MAX_CHUNK`` characters at the latest.  Every distinct
 chunk gets an identifier; the dictionary of distinct chunk *texts* proves that
 no two of them share one.  A document then is its ordered list of identifiers,
 about 8 bytes for each kilobyte, and equal lists are equal texts.  Only chunks
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import SPACE, table, text_of
 from rivulet.session import materialize
 
-MIN_CHUNK, MAX_CHUNK = 512, 8192
-# a cut follows a word that ends in one of these letter pairs
-CUT = r"[b-gk-m][n-t]\x20"
-CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?<={CUT})|.{{1,{MAX_CHUNK}}}"
+MIN_CHUNK, MAX_CHUNK = 256, 8192
+# a cut follows a word that ends in one of these letter pairs, before one that starts with one of these letters;
+# it is rarer than MIN_CHUNK, so that texts which differ in front soon have the same cuts again
+CUT = r"(?<=[aeo][nrs]\x20)(?=[bcfghpqv])"
+CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?{CUT}|.{{1,{MAX_CHUNK}}}"
 
 
 def normalised(text: Column) -> Column:
@@ -85,7 +86,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(
         F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
     sha = F.sha2(normalised(text_of(text_col)).cast("binary"), 256)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
 
 
 SQL = r"""

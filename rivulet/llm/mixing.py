@@ -193,9 +193,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     times = mix(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_mix_id"), F.col("size").alias("_mix_size")) \
         .agg(F.max("times").cast("int").alias("_mix_times")).where("_mix_times > 0")
-    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint")
-    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (size == F.col("_mix_size")))
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_times"))).select(*docs.columns)
+    size = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("bigint")
+    out = docs.join(times, docs[id_col].eqNullSafe(times["_mix_id"]) & (size == times["_mix_size"]))
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_mix_times"])).alias("_mix_copy")) \
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

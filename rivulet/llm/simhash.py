@@ -343,7 +343,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = near_duplicates(docs, id_col, text_col, shingle, distance) \
         .where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
