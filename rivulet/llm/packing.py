@@ -15,18 +15,20 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import table
+from rivulet.llm.common import batches_of, table
 from rivulet.session import materialize
 
 WINDOW = 2048
 END_ID = 1
 BIN_PIECES = 60000
-# words whose ids a task remembers
-CACHE_WORDS = 400_000
+# words whose ids a task remembers, and bytes of text looked up together
+CACHE_WORDS = 800_000
+RUN_BYTES = 2 << 20
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -40,7 +42,10 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words, and words repeat.  Words are cut at ASCII white
-    space only; what else counts as white space is left to the tokenizer.
+    space only; what else counts as white space is left to the tokenizer.  It
+    lower-cases, so that is done before, which leaves fewer different words.
+    (A text that may hold a special token, which is matched as it stands, is
+    not touched.)
     """
 
     def __init__(self, path: str):
@@ -48,15 +53,30 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure of all ``words``: those not known go through the tokenizer as one text."""
+        new = list(words.difference(self))
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+            new = list(words)
+        if not new:
+            return
+        texts = [w.decode("utf-8", "replace") for w in new]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        # a token belongs to the word that its first character lies in
+        at = np.array([o[0] for o in found.offsets], dtype=np.int64)
+        ends = 4 * np.cumsum(np.bincount(np.searchsorted(begins, at, side="right") - 1, minlength=len(new)))
+        ids, start = np.array(found.ids, dtype="<u4").tobytes(), 0
+        for word, end in zip(new, ends.tolist()):
+            self[word] = ids[start:end]
+            start = end
+
+    def texts(self, raws: list[bytes]):
+        words = [(r if b"<|" in r else r.lower()).split() for r in raws]
+        self.learn(set().union(*words))
+        for w in words:
+            yield b"".join(map(self.__getitem__, w))
 
 
 def _cut(window: int, path: str):
@@ -66,12 +86,14 @@ def _cut(window: int, path: str):
         ids = WordIds(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = ids.text(text.as_py() or "") + end
-                n = len(data) // 4
-                for start in range(0, n, window):
-                    piece = data[4 * start:4 * (start + window)]
-                    out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
+            raws = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(1)]
+            for doc_ids, part in batches_of([batch.column(0).to_pylist(), raws], RUN_BYTES):
+                for doc_id, data in zip(doc_ids, ids.texts(part)):
+                    data += end
+                    n = len(data) // 4
+                    for start in range(0, n, window):
+                        piece = data[4 * start:4 * (start + window)]
+                        out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols],
                                   names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
