@@ -2,7 +2,7 @@
 
 Every operator is a function ``DataFrame -> DataFrame`` (or a dict of
 DataFrames for routing) so that planning, optimisation and parallel
-execution stay with Catalyst and the Spark scheduler.
+execution stay with Spark's optimizer and scheduler.
 """
 
 import sys as _sys

@@ -62,7 +62,7 @@ def natural_key(c, case_insensitive: bool = True) -> Column:
     """Sort key that orders digit runs by value (img2 < img10).
 
     The text is split into digit and non-digit runs; a digit run becomes its
-    length (3 digits, zero-padded) followed by the digits without leading
+    length (10 digits, zero-padded) followed by the digits without leading
     zeros, so plain string order of the array equals natural order.
     """
     s = as_column(c).cast("string")
@@ -74,7 +74,7 @@ def natural_key(c, case_insensitive: bool = True) -> Column:
         t = F.ltrim(p, F.lit("0"))
         stripped = F.when(t == "", F.lit("0")).otherwise(t)
         return F.when(p.rlike(r"^\d"),
-                      F.concat(F.lpad(F.length(stripped).cast("string"), 3, "0"), stripped)
+                      F.concat(F.lpad(F.length(stripped).cast("string"), 10, "0"), stripped)
                       ).otherwise(p)
 
     return F.transform(parts, norm)
@@ -107,9 +107,13 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def intval(c) -> Column:
-    """Leading integer of a text, else 0 (`' 42abc'` → 42, `'x'` → 0)."""
-    s = F.trim(as_column(c).cast("string"))
-    return F.coalesce(F.regexp_substr(s, F.lit(r"^[+-]?\d+")).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Leading integer of a text, else 0 (`' 42abc'` → 42, `'x'` → 0).
+
+    More digits than a bigint holds give the nearest bigint.
+    """
+    digits = F.regexp_substr(F.trim(as_column(c).cast("string")), F.lit(r"^[+-]?\d+"))
+    most = F.when(digits.startswith("-"), F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1)).cast("bigint")
+    return F.when(digits.isNull(), F.lit(0).cast("bigint")).otherwise(F.coalesce(digits.try_cast("bigint"), most))
 
 
 _FLAG_MAP = {"i": "i", "m": "m", "s": "s", "x": "x", "u": "u"}
@@ -118,8 +122,9 @@ _FLAG_MAP = {"i": "i", "m": "m", "s": "s", "x": "x", "u": "u"}
 def translate_regex(pattern: str) -> str:
     """A delimited pattern (``/…/i``) to Java regex syntax.
 
-    Delimiters are removed, trailing flags become an inline group, and
-    ``(?P<name>`` becomes ``(?<name>``.  Recursion, ``\\K`` and possessive
+    Delimiters are removed, trailing flags become an inline group, and the
+    other spellings of a named group, ``(?P<name>`` and ``(?'name'``, become
+    ``(?<name>`` (see ``java_groups`` for names Java does not allow).  Recursion, ``\\K`` and possessive
     forms that Java lacks raise ``ValueError``.
     """
     p = pattern
@@ -137,6 +142,7 @@ def translate_regex(pattern: str) -> str:
             if inline:
                 p = f"(?{inline})" + p
     p = p.replace("(?P<", "(?<")
+    p = re.sub(r"\(\?'([A-Za-z_]\w*)'", r"(?<\1>", p)
     if re.search(r"\(\?R\)|\(\?\d+\)|\\K", p):
         raise ValueError("pattern uses recursion or \\K, which Java regex lacks")
     return p
@@ -158,7 +164,7 @@ def named_groups(pattern: str) -> dict[str, int]:
         elif ch == "(":
             if pattern.startswith("(?<", i) and not pattern.startswith(("(?<=", "(?<!"), i):
                 idx += 1
-                m = re.match(r"\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern[i:])
+                m = re.match(r"\(\?<([A-Za-z_]\w*)>", pattern[i:])
                 if m:
                     names[m.group(1)] = idx
             elif not pattern.startswith("(?", i):
@@ -167,6 +173,18 @@ def named_groups(pattern: str) -> dict[str, int]:
     return names
 
 
+def java_groups(pattern: str) -> str:
+    """The pattern with its named groups as plain ones; references by name become numbers.
+
+    Groups are extracted by index, so any name may be a column's.
+    """
+    names = named_groups(pattern)
+    for name, idx in names.items():
+        pattern = pattern.replace(f"(?<{name}>", "(")
+        pattern = re.sub(rf"\\k[<'{{]{name}[>'}}]", lambda m, i=idx: f"\\{i}", pattern)
+    return pattern
+
+
 def template(value) -> Column:
     """Field value from a config entry.
 

@@ -6,8 +6,9 @@ the functions whose meaning differs from a Spark built-in of the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.functions.coerce import as_column, intval, num
 
@@ -15,7 +16,7 @@ __all__ = [
     "add", "sub", "mul", "div", "mod", "concat_text", "isset", "identical", "run_time", "count_of",
     "from_json_or_pass", "duration_text", "round_half_up", "date_text",
     "object_vars", "strtotime", "intval", "matches", "ternary", "path_get",
-    "PHP_DATE_LETTERS", "php_date_pattern",
+    "PHP_DATE_LETTERS", "get_var",
 ]
 
 
@@ -23,19 +24,18 @@ def _pair(a, b, to):
     return num(a, to), num(b, to)
 
 
-def add(a, b, to: str = "bigint") -> Column:
-    x, y = _pair(a, b, to)
-    return x + y
+def add(a, b, to: str = "double") -> Column:
+    """Sum of two numbers given as numbers or text, as a double (``to='bigint'``: whole
+    numbers); NULL where a text is not a number or the result does not fit."""
+    return F.try_add(*_pair(a, b, to))
 
 
-def sub(a, b, to: str = "bigint") -> Column:
-    x, y = _pair(a, b, to)
-    return x - y
+def sub(a, b, to: str = "double") -> Column:
+    return F.try_subtract(*_pair(a, b, to))
 
 
-def mul(a, b, to: str = "bigint") -> Column:
-    x, y = _pair(a, b, to)
-    return x * y
+def mul(a, b, to: str = "double") -> Column:
+    return F.try_multiply(*_pair(a, b, to))
 
 
 def div(a, b) -> Column:
@@ -43,10 +43,15 @@ def div(a, b) -> Column:
     return F.try_divide(x, y)
 
 
+def _whole(c) -> Column:
+    """Whole part of a number given as a number or text (``'7.9'`` → 7)."""
+    col = as_column(c)
+    return F.coalesce(col.try_cast("bigint"), num(col, "decimal(38,9)").try_cast("bigint"), num(col).try_cast("bigint"))
+
+
 def mod(a, b) -> Column:
-    """Integer remainder; the sign follows the dividend."""
-    x, y = _pair(a, b, "bigint")
-    return F.when(y != 0, x % y)
+    """Remainder of the whole parts; the sign follows the dividend."""
+    return F.try_mod(_whole(a), _whole(b))
 
 
 def concat_text(*cols) -> Column:
@@ -97,8 +102,20 @@ def count_of(c, kind: str = "array") -> Column:
     return F.when(col.isNotNull(), F.size(col))
 
 
-def from_json_or_pass(c, schema: str) -> Column:
-    return F.from_json(as_column(c).cast("string"), schema)
+def from_json_or_pass(c, schema: str, df: DataFrame | None = None) -> Column:
+    """``fromJSON``: a text parsed by ``schema``.  Given the frame ``df`` the column
+    belongs to, a column of another type passes through unchanged."""
+    col = as_column(c)
+    if df is not None and not isinstance(df.select(col.alias("_c")).schema["_c"].dataType, T.StringType):
+        return col
+    return F.from_json(col.cast("string"), schema)
+
+
+def get_var(path: str, *roots) -> Column:
+    """``get_var``: the value at a dotted path in the first of the given structs or
+    maps (columns or names, most specific first) that has a value there, else NULL."""
+    found = [path_get(r, *path.split(".")) for r in roots]
+    return F.coalesce(*found) if found else F.lit(None)
 
 
 def duration_text(secs) -> Column:
@@ -117,10 +134,9 @@ def round_half_up(c, scale: int = 0) -> Column:
     return F.round(num(c, "double"), scale)
 
 
-# PHP date() format letters and their Spark datetime pattern
-# equivalents (letters not listed are copied as quoted literals).
+# PHP date() format letters and their Spark datetime pattern equivalents.
 PHP_DATE_LETTERS = {
-    "d": "dd", "D": "EEE", "j": "d", "l": "EEEE", "N": "e", "z": "D",
+    "d": "dd", "D": "EEE", "j": "d", "l": "EEEE",
     "F": "MMMM", "m": "MM", "M": "MMM", "n": "M",
     "Y": "yyyy", "y": "yy",
     "a": "a", "A": "a", "g": "h", "G": "H", "h": "hh", "H": "HH",
@@ -129,33 +145,69 @@ PHP_DATE_LETTERS = {
 }
 
 
-def php_date_pattern(fmt: str) -> str:
-    out = []
-    for ch in fmt:
-        if ch in PHP_DATE_LETTERS:
-            out.append(PHP_DATE_LETTERS[ch])
-        elif ch.isalpha():
-            out.append(f"'{ch}'")
-        elif ch == "'":
-            out.append("''")
-        else:
-            out.append(ch)
-    return "".join(out)
+def _letter(ch: str, ts: Column) -> Column:
+    """One format letter over a timestamp; letters without a meaning stand for themselves."""
+    day = F.dayofmonth(ts)
+    own = {
+        "N": lambda: (F.weekday(ts) + 1).cast("string"),
+        "w": lambda: ((F.weekday(ts) + 1) % 7).cast("string"),
+        "z": lambda: (F.dayofyear(ts) - 1).cast("string"),
+        "t": lambda: F.dayofmonth(F.last_day(ts.cast("date"))).cast("string"),
+        "W": lambda: F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
+        "o": lambda: F.extract(F.lit("YEAROFWEEK"), ts).cast("string"),
+        "L": lambda: F.when(F.dayofyear(F.make_date(F.year(ts), F.lit(12), F.lit(31))) == 366, F.lit("1")).otherwise(F.lit("0")),
+        "U": lambda: F.unix_seconds(ts).cast("string"),
+        "S": lambda: F.when((day % 10 == 1) & (day != 11), F.lit("st")).when((day % 10 == 2) & (day != 12), F.lit("nd"))
+                      .when((day % 10 == 3) & (day != 13), F.lit("rd")).otherwise(F.lit("th")),
+        "a": lambda: F.lower(F.date_format(ts, "a")),
+        "c": lambda: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX"),
+        "r": lambda: F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss XX"),
+    }
+    if ch in own:
+        return own[ch]()
+    return F.date_format(ts, PHP_DATE_LETTERS[ch]) if ch in PHP_DATE_LETTERS else F.lit(ch)
 
 
 def date_text(epoch_secs, fmt: str = "Y-m-d H:i:s") -> Column:
-    """``date(fmt, ts)`` over epoch seconds, in the session time zone."""
-    return F.date_format(F.timestamp_seconds(num(epoch_secs, "bigint")), php_date_pattern(fmt))
+    """``date(fmt, ts)`` over epoch seconds, in the session time zone; a backslash keeps the next character."""
+    ts = F.timestamp_seconds(num(epoch_secs, "bigint"))
+    parts, i = [], 0
+    while i < len(fmt):
+        if fmt[i] == "\\" and i + 1 < len(fmt):
+            parts.append(F.lit(fmt[i + 1]))
+            i += 2
+            continue
+        parts.append(_letter(fmt[i], ts))
+        i += 1
+    return F.when(ts.isNotNull(), F.concat(*parts) if parts else F.lit(""))
 
 
 def object_vars(c) -> Column:
-    """Struct → map<string,string> of its fields."""
-    return F.from_json(F.to_json(as_column(c)), "map<string,string>")
+    """Struct → map<string,string> of its fields, NULL ones included."""
+    return F.from_json(F.to_json(as_column(c), {"ignoreNullFields": "false"}), "map<string,string>")
+
+
+# Absolute date texts besides ISO 8601, most specific first.
+DATE_FORMATS = (
+    "d MMM yyyy HH:mm:ss XX", "d MMM yyyy HH:mm:ss z", "d MMMM yyyy HH:mm:ss", "d MMMM yyyy HH:mm", "d MMMM yyyy",
+    "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy",
+    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "dd-MM-yyyy",
+    "yyyyMMdd'T'HHmmss",
+)
 
 
 def strtotime(c) -> Column:
-    """Absolute date/time text → epoch seconds (relative phrases give NULL)."""
-    return F.unix_timestamp(F.try_to_timestamp(as_column(c).cast("string")))
+    """Absolute date/time text → epoch seconds (relative phrases give NULL).
+
+    ``@123`` is epoch seconds; else ISO 8601, eight digits and ``DATE_FORMATS``, in the
+    session time zone unless the text names one; a weekday in front is passed over.
+    """
+    s = F.regexp_replace(F.trim(as_column(c).cast("string")), r"^[A-Za-z]{3,9},\s*", "")
+    at = F.when(s.rlike(r"^@-?\d+$"), F.timestamp_seconds(F.substring(s, 2, 30).try_cast("bigint")))
+    compact = s.rlike(r"^\d{8}$")
+    return F.unix_timestamp(F.coalesce(at, F.when(compact, F.try_to_timestamp(s, F.lit("yyyyMMdd"))),
+                                       F.when(~compact, F.try_to_timestamp(s)),
+                                       *[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS]))
 
 
 # ---- unknown JSON shapes: the same functions over a variant (parse_json) ----

@@ -100,32 +100,38 @@ def observe_counts(df: DataFrame, name: str, errors: dict | None = None) -> tupl
     return df.observe(obs, *metrics), obs
 
 
-# Fields a keyed update never changes.
+# Fields the user update never changes.
 PROTECTED_FIELDS = ("password", "auth")
 
 
 def keyed_update(target: DataFrame, updates: DataFrame, key: str, fields: list[str],
-                 order_by=None) -> DataFrame:
+                 order_by=None, null_keeps: bool = True, protected: tuple[str, ...] = PROTECTED_FIELDS) -> DataFrame:
     """New snapshot of ``target`` with ``fields`` replaced from ``updates`` (C-10).
 
     Only the given fields change and only for keys present in ``target``
-    (unknown keys are not inserted); a NULL new value keeps the old one.
-    Several updates for one key: the last under ``order_by`` wins.  Fields in
-    ``PROTECTED_FIELDS`` are refused.
+    (unknown keys are not inserted).  With ``null_keeps`` a NULL counts as "not
+    given": each field takes its last given value under ``order_by``.  Without
+    it the last update wins whole, NULLs included.  Fields in ``protected`` are
+    refused.
     """
-    bad = [f for f in fields if f in PROTECTED_FIELDS]
+    bad = [f for f in fields if f in protected]
     if bad:
         raise ValueError(f"protected fields cannot be updated: {bad}")
     if order_by is not None:
         from rivulet.operators.ordering import order_key
         okey = order_key(order_by)
-        latest = updates.groupBy(key).agg(*[F.max_by(F.col(f), okey).alias(f"_new_{f}") for f in fields])
+        pick = {f: F.max_by(F.col(f), F.when(F.col(f).isNotNull(), okey) if null_keeps else okey) for f in fields}
+        latest = updates.groupBy(key).agg(F.lit(True).alias("_hit"), *[c.alias(f"_new_{f}") for f, c in pick.items()])
     else:
         # no order given: one arbitrary update per key (never duplicates target rows)
         pick = updates.groupBy(key).agg(F.any_value(F.struct(*[F.col(f) for f in fields])).alias("_u"))
-        latest = pick.select(key, *[F.col(f"_u.{f}").alias(f"_new_{f}") for f in fields])
+        latest = pick.select(key, F.lit(True).alias("_hit"), *[F.col(f"_u.{f}").alias(f"_new_{f}") for f in fields])
     joined = target.join(latest, key, "left")
-    return joined.select(*[
-        F.coalesce(F.col(f"_new_{c}"), F.col(c)).cast(target.schema[c].dataType).alias(c) if c in fields
-        else F.col(c) for c in target.columns
-    ])
+
+    def value(c):
+        if null_keeps:
+            return F.coalesce(F.col(f"_new_{c}"), F.col(c))
+        return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c))
+
+    return joined.select(*[value(c).cast(target.schema[c].dataType).alias(c) if c in fields else F.col(c)
+                           for c in target.columns])

@@ -50,6 +50,13 @@ def flows_with_stepcount(flows: DataFrame, users: DataFrame, steps: DataFrame) -
                  .drop("_fid", "_uid"))
 
 
+def flow_list(flows: DataFrame, users: DataFrame, steps: DataFrame) -> DataFrame:
+    """H-2 in list order: enabled flows first, then by name and id; ``position`` carries the order."""
+    from rivulet.operators.ordering import with_row_index
+    return with_row_index(flows_with_stepcount(flows, users, steps), [F.col("enabled").desc(), F.col("name").asc(), F.col("id").asc()],
+                          "position")
+
+
 def last_n_runs(runs: DataFrame, n: int, per: str = "dataflowid", order: str = "id") -> DataFrame:
     """H-4: the ``n`` latest runs per flow, numbered 1 = oldest of them.
 
@@ -64,13 +71,13 @@ def last_n_runs(runs: DataFrame, n: int, per: str = "dataflowid", order: str = "
 def last_run(runs: DataFrame, now=None) -> DataFrame:
     """H-5: per flow, start and duration of the run that started last.
 
-    A finish before the start means still running: duration = ``now - start``.
+    A finish before the start, or none, means still running: duration = ``now - start``.
     """
     pick = runs.groupBy("dataflowid").agg(
         F.max_by(F.struct("timestarted", "timefinished"), F.struct("timestarted", "id")).alias("_l"))
     start, finish = F.col("_l.timestarted"), F.col("_l.timefinished")
     nowc = F.lit(now) if now is not None else F.unix_timestamp()
-    running = finish < start
+    running = F.coalesce(finish < start, F.lit(True))
     return pick.select("dataflowid", start.alias("last_start"),
                        F.when(running, nowc - start).otherwise(finish - start).alias("last_duration"),
                        running.alias("running"))
@@ -208,17 +215,26 @@ def subject_export(tables: dict[str, tuple[DataFrame, list[str], str]], user_id)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def subject_erasure(parent: DataFrame, children: dict[str, tuple[DataFrame, str]], user_col: str,
-                    user_id, parent_key: str = "id") -> dict[str, DataFrame]:
-    """H-18: remove a user's parent rows and, cascading, the child rows that point to them.
+def subject_erasure(tables: dict[str, tuple[DataFrame, str | None, list[str], dict[str, str]]], user_id) -> dict[str, DataFrame]:
+    """H-18: remove a user's rows from every table and, over any number of levels, the rows that point to removed ones.
 
-    ``children`` maps a name to ``(frame, foreign key column)``.  Keys stay
-    distributed (``left_anti`` joins), never collected.
+    ``tables`` maps a name to ``(frame, key column, owner columns, {foreign key
+    column: parent table})``, parents before children.  A row goes if an owner
+    column names the user or a foreign key points to a row that goes, so a
+    user's own rows go wherever they stand.  Keys stay distributed, never
+    collected; a table's removed keys are joined once per foreign key.
     """
-    gone = parent.where(F.col(user_col) == F.lit(user_id)).select(F.col(parent_key).alias("_gone"))
-    out = {"parent": parent.where(~F.coalesce(F.col(user_col) == F.lit(user_id), F.lit(False)))}
-    for name, (df, fk) in children.items():
-        out[name] = df.join(gone, df[fk] == gone["_gone"], "left_anti")
+    out, gone = {}, {}
+    for name, (df, key, owners, parents) in tables.items():
+        goes = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) == F.lit(user_id), F.lit(False)) for c in owners], F.lit(False))
+        marked = df.withColumn("_goes", goes)
+        for i, (fk, parent) in enumerate(parents.items()):
+            keys = gone[parent].select(F.col("_gone").alias(f"_gone{i}"), F.lit(True).alias(f"_hit{i}"))
+            marked = marked.join(keys, marked[fk] == keys[f"_gone{i}"], "left") \
+                .withColumn("_goes", F.col("_goes") | F.coalesce(F.col(f"_hit{i}"), F.lit(False))).drop(f"_gone{i}", f"_hit{i}")
+        out[name] = marked.where(~F.col("_goes")).select(*df.columns)
+        if key:
+            gone[name] = marked.where("_goes").select(F.col(key).alias("_gone")).distinct()
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right
     """For each left row, the last right row with the same ``by`` keys and
     ``right_time <= left_time`` (NULLs when none).
 
-    Times are numeric (e.g. epoch seconds/micros).  The work is split into
+    A NULL key or time matches nothing: such right rows are left out, such left
+    rows come back with NULLs.  Times are numeric (e.g. epoch seconds/micros).  The work is split into
     buckets so that no key, however hot, is ordered in a single task:
 
     * ``bucket_width`` given: buckets are fixed time ranges (same unit);
@@ -35,6 +38,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right
     """
     lt, rt = as_column(left_time), as_column(right_time)
     lcols = left.columns
+    usable = lambda t: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by], t.isNotNull())
+    unmatched = left.where(~usable(lt))
+    left, right = left.where(usable(lt)), right.where(usable(rt))
     rec_r = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in right_cols])
     tb = F.col(right_tiebreak) if right_tiebreak else F.lit(0)
     L = left.select(*by, lt.alias("_t"), F.struct(*[F.col(f"`{c}`") for c in lcols]).alias("_l"))
@@ -76,25 +82,32 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time, right
 
     out = inb.join(carry, [*by, "_b"], "left")
     match = F.coalesce(F.col("_m"), F.col("_c"))
-    return out.select(*[F.col(f"_l.`{c}`").alias(c) for c in lcols],
-                      *[match.getField(f"{prefix}{c}").alias(f"{prefix}{c}") for c in right_cols])
+    matched = out.select(*[F.col(f"_l.`{c}`").alias(c) for c in lcols],
+                         *[match.getField(f"{prefix}{c}").alias(f"{prefix}{c}") for c in right_cols])
+    return matched.unionByName(unmatched.select(*[F.col(f"`{c}`") for c in lcols]), allowMissingColumns=True)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                 salt_buckets: int = 16, hot_keys: DataFrame | None = None) -> DataFrame:
     """Equi-join that spreads hot keys of ``big`` over ``salt_buckets`` tasks.
 
-    Rows of ``big`` get a salt in ``[0, salt_buckets)`` derived from a hash of
-    all their columns (deterministic, so a recomputed task sees the same
-    salt); each row of ``small`` is replicated once per salt.  Only keys in
-    ``hot_keys`` (a frame of the ``on`` columns) are salted when it is given,
-    so the replication is limited to the hot keys.  Use it where AQE's skew
-    split does not apply (streaming micro-batches, outer sides AQE cannot
-    split); ``how`` is ``inner`` or ``left`` (``big`` on the left).
+    Rows of ``big`` get a salt in ``[0, salt_buckets)`` from a seeded random
+    number, so equal rows are spread as well and columns of any type (maps
+    too) are allowed; each row of ``small`` is replicated once per salt.  Only
+    keys in ``hot_keys`` (a frame of the ``on`` columns) are salted when it is
+    given, so the replication is limited to the hot keys.  ``big`` is marked
+    by a join that keeps its rows where they are as long as ``hot_keys`` is
+    small enough to broadcast, which its size decides at run time.  Use it
+    where AQE's skew split does not apply (streaming micro-batches, outer
+    sides AQE cannot split); ``how`` is ``inner`` or ``left`` (``big`` on the
+    left).
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports how='inner' or 'left'")
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salt_buckets)).cast("int")
+    taken = {"_salt", "_hot"} & {*big.columns, *small.columns}
+    if taken:
+        raise ValueError(f"column names reserved for the join: {sorted(taken)}")
+    salt = F.floor(F.rand(11) * F.lit(salt_buckets)).cast("int")
     if hot_keys is not None:
         hot = hot_keys.select(*on).distinct().withColumn("_hot", F.lit(True))
         big = big.join(hot, on, "left")
@@ -109,12 +122,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return big_s.join(small_s, [*on, "_salt"], how).drop("_salt")
 
 
-def hot_keys(df: DataFrame, on: list[str], factor: float = 2.0) -> DataFrame:
-    """Keys holding more than ``factor`` times the average rows per key.
+def hot_keys(df: DataFrame, on: list[str], rows_per_task: int = 1_000_000) -> DataFrame:
+    """Keys with more rows than one task should get.
 
-    One partial aggregate per key and a scalar average over it, both lazy;
-    the result (few rows for any skewed key set) feeds ``salted_join``.
+    At most ``rows / rows_per_task`` keys, whatever the distribution; one
+    partial aggregate per key, lazy.  The result feeds ``salted_join``.
     """
-    per_key = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    avg = per_key.select(F.avg("_n")).scalar()
-    return per_key.where(F.col("_n") > avg * F.lit(factor)).select(*on)
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(rows_per_task)).select(*on)

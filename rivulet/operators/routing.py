@@ -9,19 +9,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.coerce import as_column, truthy_in
 
-__all__ = ["label_cases", "switch", "switch_merge", "write_switch", "branch_counts", "unmatched", "merge", "tee",
-           "MAX_BRANCHES"]
+__all__ = ["label_cases", "switch", "switch_merge", "write_switch", "branch_counts", "unmatched", "merge", "tee"]
 
-# Fan-out / fan-in bounds of a switch and a merge.
+# Fixed value: a switch has at least two cases.
 MIN_BRANCHES = 2
-MAX_BRANCHES = 20
+# name of the label while branches are told apart; an input column may have any other name
+_LABEL = "__switch_label"
 
 
 def _case_predicate(df: DataFrame, cond):
@@ -38,8 +37,10 @@ def label_cases(df: DataFrame, cases: dict, label_col: str = "branch") -> DataFr
     ``cases`` is an ordered ``{label: condition}``; a condition may be a
     Column, a Spark SQL string or a literal (``1`` = always, for a default).
     """
-    if not (MIN_BRANCHES <= len(cases) <= MAX_BRANCHES):
-        raise ValueError(f"a switch needs {MIN_BRANCHES}..{MAX_BRANCHES} cases, got {len(cases)}")
+    if len(cases) < MIN_BRANCHES:
+        raise ValueError(f"a switch needs at least {MIN_BRANCHES} cases, got {len(cases)}")
+    if label_col in df.columns:
+        raise ValueError(f"the input has a column {label_col!r}; choose another label_col")
     expr = None
     for label, cond in cases.items():
         pred = _case_predicate(df, cond)
@@ -54,11 +55,12 @@ def switch(df: DataFrame, cases: dict, label_col: str = "branch",
     The labelled frame is shared by all branches; persist it (or write once
     with ``partitionBy(label_col)``) when every branch goes to its own sink.
     """
-    labelled = label_cases(df, cases, label_col)
+    name = label_col if keep_label else _LABEL
+    labelled = label_cases(df, cases, name)
     out = {}
     for label in cases:
-        b = labelled.where(F.col(label_col) == F.lit(label))
-        out[label] = b if keep_label else b.drop(label_col)
+        b = labelled.where(F.col(name) == F.lit(label))
+        out[label] = b if keep_label else b.drop(name)
     return out
 
 
@@ -115,34 +117,35 @@ def branch_counts(df: DataFrame, cases: dict, label_col: str = "branch",
     ``include_unmatched`` a row for the records no case accepted is added, so
     the counts always sum to the input size.
     """
-    labelled = label_cases(df, cases, label_col)
+    labelled = label_cases(df, cases, _LABEL)
     labels = list(cases) + ([None] if include_unmatched else [])
-    aggs = [F.count_if(F.col(label_col).isNull() if l is None else (F.col(label_col) == F.lit(l))).alias(f"_n{i}")
+    aggs = [F.count_if(F.col(_LABEL).isNull() if l is None else (F.col(_LABEL) == F.lit(l))).alias(f"_n{i}")
             for i, l in enumerate(labels)]
     names = [unmatched_label if l is None else l for l in labels]
     stack = ", ".join(f"'{n.replace(chr(39), chr(39) * 2)}', _n{i}" for i, n in enumerate(names))
     return labelled.agg(*aggs).selectExpr(f"stack({len(names)}, {stack}) AS ({label_col}, n)")
 
 
-def unmatched(df: DataFrame, cases: dict, label_col: str = "branch") -> DataFrame:
+def unmatched(df: DataFrame, cases: dict) -> DataFrame:
     """Rows no case accepted (they reach no branch)."""
-    return label_cases(df, cases, label_col).where(F.col(label_col).isNull()).drop(label_col)
+    return label_cases(df, cases, _LABEL).where(F.col(_LABEL).isNull()).drop(_LABEL)
 
 
 def merge(*branches: DataFrame) -> DataFrame:
-    """Multiset union of branches by column name; missing columns become NULL."""
-    if not (1 <= len(branches) <= MAX_BRANCHES):
-        raise ValueError(f"merge takes 1..{MAX_BRANCHES} inputs")
+    """Multiset union of any number of branches by column name; missing columns become NULL."""
+    if not branches:
+        raise ValueError("merge takes at least one input")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
 
 
-def tee(df: DataFrame, sinks: list, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> list:
-    """Send every row to each sink callable; the input is computed once.
+def tee(df: DataFrame, sinks: list, shared: bool = True) -> list:
+    """Send every row to each sink callable; returns the sinks' results.
 
-    Returns the sinks' results.  The persisted copy is released at the end.
+    The input is computed once and written to the scratch folder, from which
+    the sinks read (a lost executor loses nothing).  With ``shared=False`` each
+    sink reads the source itself, with its own pruning: cheaper for a plain
+    scan, and right only if computing the input twice gives the same rows.
     """
-    shared = df.persist(storage)
-    try:
-        return [sink(shared) for sink in sinks]
-    finally:
-        shared.unpersist()
+    from rivulet.session import materialize
+    frame = materialize(df, "tee") if shared else df
+    return [sink(frame) for sink in sinks]

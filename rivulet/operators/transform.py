@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.coerce import (
-    as_column, named_groups, template, translate_regex, truthy_in,
+    as_column, java_groups, named_groups, template, translate_regex, truthy_in,
 )
 
 __all__ = [
     "alter", "filter_rows", "regex_extract", "noop", "capture", "step_vars",
-    "last_values", "content_hash", "render_messages", "render_log", "HASH_ALGORITHMS", "LOG_LEVELS",
+    "last_values", "content_hash", "hash_files", "render_messages", "render_log", "HASH_ALGORITHMS", "LOG_LEVELS",
 ]
 
 
@@ -63,6 +64,7 @@ def regex_extract(df: DataFrame, field, pattern: str, alias: str = "regex") -> D
     groups = named_groups(java)
     if not groups:
         return df.withColumn(alias, F.regexp_substr(src, F.lit(java)))
+    java = java_groups(java)
     hit = src.rlike(java)
     return df.withColumns({
         name: F.when(hit, F.regexp_extract(src, java, idx)) for name, idx in groups.items()
@@ -77,7 +79,7 @@ def capture(df: DataFrame, alias: str) -> DataFrame:
     """Keep the record as it entered step ``alias`` in column ``_<alias>`` (P-12).
 
     Later steps refer to ``_<alias>.field``; unused captures are pruned by
-    Catalyst.  Drop the column before writing.
+    Spark's optimizer.  Drop the column before writing.
     """
     cols = [F.col(f"`{c}`") for c in df.columns]
     return df.withColumn(f"_{alias}", F.struct(*cols))
@@ -87,7 +89,7 @@ def step_vars(df: DataFrame, variables: dict) -> DataFrame:
     """Named expressions over the current record, as columns (P-13).
 
     Variables are defined in order, so a variable may use the ones before it;
-    Catalyst collapses the projections into one.
+    Spark's optimizer collapses the projections into one.
     """
     for k, v in variables.items():
         df = df.withColumn(k, template(v))
@@ -104,8 +106,24 @@ def last_values(df: DataFrame, variables: dict, order_by, extra: list | None = N
     return df.agg(*[F.max_by(template(v), key).alias(k) for k, v in variables.items()], *(extra or []))
 
 
-# Supported digest names (lower-case hex output).
-HASH_ALGORITHMS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512", "crc32", "xxhash64")
+# Digests Spark computes itself (lower-case hex output).
+HASH_ALGORITHMS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512", "crc32")
+
+
+def _library_digest(algorithm: str):
+    """A digest that Spark lacks, by name: what hashlib knows, adler32 and the XXH family (seed 0)."""
+    import hashlib
+    import zlib
+    if algorithm == "adler32":
+        return lambda b: f"{zlib.adler32(b):08x}"
+    if algorithm.replace("xxhash64", "xxh64") in ("xxh32", "xxh64", "xxh3_64", "xxh3_128"):
+        import xxhash
+        make = getattr(xxhash, algorithm.replace("xxhash64", "xxh64"))
+        return lambda b: make(b).hexdigest()
+    name = algorithm.replace("-", "_") if algorithm.replace("-", "_") in hashlib.algorithms_available else algorithm
+    if name not in hashlib.algorithms_available or name.startswith("shake"):
+        raise ValueError(f"unknown hash algorithm {algorithm!r}")
+    return lambda b: hashlib.new(name, b).hexdigest()
 
 
 def _digest(c: Column, algorithm: str) -> Column:
@@ -118,9 +136,13 @@ def _digest(c: Column, algorithm: str) -> Column:
         return F.sha2(c, int(a[3:]))
     if a == "crc32":
         return F.lower(F.lpad(F.hex(F.crc32(c)), 8, "0"))
-    if a == "xxhash64":
-        return F.lower(F.lpad(F.hex(F.xxhash64(c)), 16, "0"))
-    raise ValueError(f"unknown hash algorithm {algorithm!r}; choose from {HASH_ALGORITHMS}")
+    digest = _library_digest(a)  # an unknown name raises here, before anything runs
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else digest(v))
+
+    return run(c.cast("binary"))
 
 
 def content_hash(df: DataFrame, content, algorithm: str = "sha256", alias: str = "hash") -> DataFrame:
@@ -128,6 +150,13 @@ def content_hash(df: DataFrame, content, algorithm: str = "sha256", alias: str =
     return df.withColumn(alias, _digest(as_column(content), algorithm))
 
 
+def hash_files(spark: SparkSession, paths, algorithm: str = "sha256", alias: str = "hash") -> DataFrame:
+    """``path``, ``length`` and the digest of each file's bytes (P-11 by path); executors read the files."""
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select("path", "length", _digest(F.col("content"), algorithm).alias(alias))
+
+
+
 def render_messages(df: DataFrame, to, subject, message, name=None) -> tuple[DataFrame, DataFrame]:
     """Project records to an outbox ``(to, name, subject, message)`` (P-10).
 

@@ -118,12 +118,13 @@ def q_skip_bad_records(spark, sf_dir):
 
 
 @query("skip_bad_records_errors", """
-SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 0""")
+SELECT event_id, 'ZeroDivisionError: float division by zero' AS error FROM events
+WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 0""")
 def q_skip_bad_records_errors(spark, sf_dir):
     """C-8: the error side of the same policy."""
     ev = table(spark, sf_dir, "events").select("event_id", "props")
     _, errors = with_error_policy(ev, _inverse_k, "double", "skiprecord", keep=["event_id"])
-    return errors.select("event_id")
+    return errors
 
 
 @query("run_metrics", """

@@ -17,8 +17,8 @@ def _pri(o):
 
 
 @query("fn_arith", f"""
-SELECT o_orderkey, TRY_CAST(pri AS BIGINT) + o_custkey AS a_add, TRY_CAST(pri AS BIGINT) - o_custkey AS a_sub,
-       TRY_CAST(pri AS BIGINT) * o_custkey AS a_mul, CAST(pri AS VARCHAR) AS pri,
+SELECT o_orderkey, TRY_CAST(pri AS DOUBLE) + o_custkey AS a_add, TRY_CAST(pri AS DOUBLE) - o_custkey AS a_sub,
+       TRY_CAST(pri AS DOUBLE) * o_custkey AS a_mul, CAST(pri AS VARCHAR) AS pri,
        TRY_CAST(o_custkey AS DOUBLE) / nullif(TRY_CAST(pri AS DOUBLE), 0) AS a_div
 FROM (SELECT o_orderkey, o_custkey, {PRI} AS pri FROM orders)""")
 def q_fn_arith(spark, sf_dir):

@@ -129,12 +129,12 @@ def q_schedule_due_union(spark, sf_dir):
 
 
 @query("queue_listeners", W + """
-SELECT s.* FROM steps s WHERE s.type = 'trigger_event' AND json_extract_string(s.config, '$.eventname') = 'purchase'
+SELECT s.* FROM steps s WHERE s.type = 'trigger' AND json_extract_string(s.config, '$.eventname') = 'purchase'
 AND s.dataflowid IN (SELECT id FROM flows WHERE enabled)""")
 def q_queue_listeners(spark, sf_dir):
     """H-13: trigger steps listening to an event name in enabled flows."""
     t = standins(spark, sf_dir)
-    return H.queue_listeners(t["steps"], t["flows"], "purchase", "trigger_event")
+    return H.queue_listeners(t["steps"], t["flows"], "purchase", "trigger")
 
 
 @query("lineage_edges", W + """
@@ -170,31 +170,56 @@ def q_lineage_degree_check(spark, sf_dir):
     return H.lineage_degree_check(t["steps"], t["edges"], t["limits"])
 
 
+def _subject_tables(spark, sf_dir):
+    t = standins(spark, sf_dir)
+    return {"flows": (t["flows"], ["userid", "usermodified"], "id"), "steps": (t["steps"], ["userid", "usermodified"], "id"),
+            "runs": (t["runs"], ["userid"], "id")}
+
+
 @query("subject_export", W + f"""
-SELECT 'flows' AS source, id AS key, CAST(to_json({{'id': id, 'name': name, 'userid': userid, 'enabled': enabled}}) AS VARCHAR) AS fields
-FROM flows WHERE userid = {SUBJECT}
+SELECT 'flows' AS source, id AS key, CAST(to_json({{'id': id, 'name': name, 'userid': userid, 'enabled': enabled,
+        'usermodified': usermodified}}) AS VARCHAR) AS fields FROM flows WHERE userid = {SUBJECT} OR usermodified = {SUBJECT}
+UNION ALL
+SELECT 'steps', id, CAST(to_json({{'id': id, 'dataflowid': dataflowid, 'alias': alias, 'type': type, 'name': name, 'config': config,
+        'userid': userid, 'usermodified': usermodified}}) AS VARCHAR) FROM steps WHERE userid = {SUBJECT} OR usermodified = {SUBJECT}
 UNION ALL
 SELECT 'runs', id, CAST(to_json({{'id': id, 'dataflowid': dataflowid, 'userid': userid, 'status': status,
-        'name': name}}) AS VARCHAR) FROM runs WHERE userid = {SUBJECT}""")
+        'timestarted': CAST(timestarted AS DECIMAL(20, 3)), 'timefinished': CAST(timefinished AS DECIMAL(20, 3)), 'name': name}}) AS VARCHAR) FROM runs WHERE userid = {SUBJECT}""")
 def q_subject_export(spark, sf_dir):
-    """H-17: every row a user owns, across tables."""
-    t = standins(spark, sf_dir)
-    runs = t["runs"].drop("timestarted", "timefinished")
-    return H.subject_export({"flows": (t["flows"], ["userid"], "id"), "runs": (runs, ["userid"], "id")}, SUBJECT)
-
-
-@query("subject_erasure", W + f"""
-SELECT 'flows' AS tbl, CAST(count(*) AS BIGINT) AS remaining FROM flows WHERE userid <> {SUBJECT}
-UNION ALL SELECT 'steps', CAST(count(*) AS BIGINT) FROM steps WHERE dataflowid NOT IN (SELECT id FROM flows WHERE userid = {SUBJECT})
-UNION ALL SELECT 'runs', CAST(count(*) AS BIGINT) FROM runs WHERE dataflowid NOT IN (SELECT id FROM flows WHERE userid = {SUBJECT})""")
+    """H-17: every field of every row a user owns or changed last, across flows, steps and runs."""
+    tables = _subject_tables(spark, sf_dir)
+    runs, owners, key = tables["runs"]
+    times = {c: F.col(c).cast("decimal(20,3)") for c in ("timestarted", "timefinished")}  # plain digits in the JSON text
+    return H.subject_export({**tables, "runs": (runs.withColumns(times), owners, key)}, SUBJECT)
+
+
+@query("subject_erasure", W + f""",
+gf AS (SELECT id FROM flows WHERE userid = {SUBJECT} OR usermodified = {SUBJECT}),
+gs AS (SELECT id FROM steps WHERE userid = {SUBJECT} OR usermodified = {SUBJECT} OR dataflowid IN (SELECT id FROM gf))
+SELECT 'flows' AS tbl, id AS key FROM flows WHERE id NOT IN (SELECT id FROM gf)
+UNION ALL SELECT 'steps', id FROM steps WHERE id NOT IN (SELECT id FROM gs)
+UNION ALL SELECT 'runs', id FROM runs WHERE userid <> {SUBJECT} AND dataflowid NOT IN (SELECT id FROM gf)
+UNION ALL SELECT 'edges', stepid FROM edges WHERE stepid NOT IN (SELECT id FROM gs) AND dependson NOT IN (SELECT id FROM gs)""")
 def q_subject_erasure(spark, sf_dir):
-    """H-18: erase a user's flows and, cascading, their steps and runs; report remaining rows."""
+    """H-18: the rows that remain after a user's own rows and all that hang on them are removed."""
+    t, s = standins(spark, sf_dir), _subject_tables(spark, sf_dir)
+    out = H.subject_erasure({
+        "flows": (t["flows"], "id", s["flows"][1], {}),
+        "steps": (t["steps"], "id", s["steps"][1], {"dataflowid": "flows"}),
+        "runs": (t["runs"], None, s["runs"][1], {"dataflowid": "flows"}),
+        "edges": (t["edges"], None, [], {"stepid": "steps", "dependson": "steps"})}, SUBJECT)
+    keys = {"flows": "id", "steps": "id", "runs": "id", "edges": "stepid"}
+    parts = [out[n].select(F.lit(n).alias("tbl"), F.col(k).cast("bigint").alias("key")) for n, k in keys.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("flow_list", W + """
+SELECT id, name, enabled, CAST((SELECT count(*) FROM steps s WHERE s.dataflowid = f.id) AS BIGINT) AS stepcount,
+       row_number() OVER (ORDER BY enabled DESC, name, id) AS position FROM flows f""")
+def q_flow_list(spark, sf_dir):
+    """H-2: the list of flows, enabled ones first, with their position."""
     t = standins(spark, sf_dir)
-    out = H.subject_erasure(t["flows"], {"steps": (t["steps"], "dataflowid"), "runs": (t["runs"], "dataflowid")},
-                            "userid", SUBJECT)
-    parts = [df.agg(F.count(F.lit(1)).alias("remaining")).select(F.lit(n).alias("tbl"), "remaining")
-             for n, df in (("flows", out["parent"]), ("steps", out["steps"]), ("runs", out["runs"]))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return H.flow_list(t["flows"], t["users"], t["steps"]).select("id", "name", "enabled", "stepcount", "position")
 
 
 @query("subject_list", W + """
@@ -207,12 +232,12 @@ def q_subject_list(spark, sf_dir):
 
 @query("version_dedupe", W + """
 SELECT DISTINCT c.dataflowid, c.config, sha1(c.config) AS confighash FROM steps c
-WHERE NOT EXISTS (SELECT 1 FROM steps v WHERE v.type = 'flow_transformer_alter'
+WHERE NOT EXISTS (SELECT 1 FROM steps v WHERE v.type = 'transform'
                   AND v.dataflowid = c.dataflowid AND sha1(v.config) = sha1(c.config))""")
 def q_version_dedupe(spark, sf_dir):
     """H-20: store a config version only when (flow, sha1(config)) is new."""
     t = standins(spark, sf_dir)
-    stored = (t["steps"].where(F.col("type") == "flow_transformer_alter")
+    stored = (t["steps"].where(F.col("type") == "transform")
               .select("dataflowid", F.sha1("config").alias("confighash")))
     return H.version_dedupe(stored, t["steps"].select("dataflowid", "config"))
 

@@ -116,7 +116,7 @@ def q_json_object_values(spark, sf_dir):
 
 NATKEY_SQL = """list_transform(regexp_extract_all({s}, '(\\d+|\\D+)'),
     lambda p: CASE WHEN regexp_matches(p, '^[0-9]')
-              THEN lpad(CAST(length(CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END) AS VARCHAR), 3, '0')
+              THEN lpad(CAST(length(CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END) AS VARCHAR), 10, '0')
                    || CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END
               ELSE p END)"""
 
@@ -191,15 +191,15 @@ def q_path_permitted(spark, sf_dir):
 
 
 @query("event_queue_read", """
-SELECT event_id AS id, user_id AS dataflowid, event_type AS eventname,
+SELECT event_id AS id, user_id AS dataflowid, event_id % 4 AS stepid, event_type AS eventname,
        CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def q_event_queue_read(spark, sf_dir):
     """S-15: queued events with their JSON payload decoded."""
     q = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("dataflowid"),
+        F.col("event_id").alias("id"), F.col("user_id").alias("dataflowid"), (F.col("event_id") % 4).alias("stepid"),
         F.col("event_type").alias("eventname"), F.col("props").alias("eventdata"))
     decoded = read_event_queue(q, schema="k bigint")
-    return decoded.select("id", "dataflowid", "eventname", F.col("eventdata.k").alias("k"))
+    return decoded.select("id", "dataflowid", "stepid", "eventname", F.col("eventdata.k").alias("k"))
 
 
 def _pages_by_lang(spark, sf_dir):

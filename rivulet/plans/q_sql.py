@@ -277,8 +277,8 @@ def q_join_salted(spark, sf_dir):
     from rivulet.operators.joins import hot_keys, salted_join
     ev = table(spark, sf_dir, "events").select("event_id", "user_id")
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", "c_mktsegment")
-    # hot = users with more than 1.2x the average number of events (found from the data)
-    hot = hot_keys(ev, ["user_id"], factor=1.2)
+    # users with more events than one task should get (found from the data)
+    hot = hot_keys(ev, ["user_id"], rows_per_task=20)
     return salted_join(ev, cust, ["user_id"], "inner", salt_buckets=8, hot_keys=hot)
 
 

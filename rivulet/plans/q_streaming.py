@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rivulet.plans.registry import query, table
 from rivulet.plans.standins import duck_cte, standins
 from rivulet.session import scratch_path
-from rivulet.streaming.queue import capture, drain, last_value_per_key, read_latest, run_available_now, upsert_log
+from rivulet.streaming.queue import POLICIES, capture, compact_log, drain, last_value_per_key, read_latest, run_available_now, upsert_log
 
 
 def _queue_folder(spark, sf_dir):
@@ -25,7 +25,7 @@ def _queue_folder(spark, sf_dir):
 
 @query("stream_capture", duck_cte() + """
 SELECT s.dataflowid, s.id AS stepid, e.event_type AS eventname, e.props AS eventdata, e.event_id, e.ts, e.value
-FROM events e JOIN steps s ON s.type = 'trigger_event' AND s.dataflowid = e.user_id
+FROM events e JOIN steps s ON s.type = 'trigger' AND s.dataflowid = e.user_id
  AND json_extract_string(s.config, '$.eventname') = e.event_type
 WHERE s.dataflowid IN (SELECT id FROM flows WHERE enabled)""")
 def q_stream_capture(spark, sf_dir):
@@ -33,7 +33,7 @@ def q_stream_capture(spark, sf_dir):
     path, schema = _queue_folder(spark, sf_dir)
     t = standins(spark, sf_dir)
     enabled = t["flows"].where("enabled").select(F.col("id").alias("dataflowid"))
-    listeners = (t["steps"].where(F.col("type") == "trigger_event")
+    listeners = (t["steps"].where(F.col("type") == "trigger")
                  .join(enabled, "dataflowid", "left_semi")
                  .select("dataflowid", F.col("id").alias("stepid"),
                          F.get_json_object("config", "$.eventname").alias("eventname")))
@@ -52,19 +52,41 @@ def q_stream_drain(spark, sf_dir):
     return spark.read.parquet(sink).drop("batch")
 
 
-@query("stream_redrain", "SELECT event_id, user_id FROM events WHERE false")
+@query("stream_redrain", """
+SELECT 'first' AS run, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_id) AS BIGINT) AS events FROM events
+UNION ALL SELECT 'second', 0, 0""")
 def q_stream_redrain(spark, sf_dir):
-    """T-2/T-5: a second run with the same checkpoint finds nothing new."""
+    """T-2/T-5: the first run drains every event once, a second with the same checkpoint finds nothing new."""
     path, schema = _queue_folder(spark, sf_dir)
     ckpt = scratch_path(spark, "ckpt_redrain")
-    first, second = scratch_path(spark, "redrain1"), scratch_path(spark, "redrain2")
-    drain(spark.readStream.schema(schema).parquet(path), first, ckpt)
-    drain(spark.readStream.schema(schema).parquet(path), second, ckpt)
-    from pyspark.errors import AnalysisException
-    try:
-        return spark.read.parquet(second).select("event_id", "user_id")
-    except AnalysisException:  # nothing was written: the queue was already consumed
-        return spark.createDataFrame([], "event_id bigint, user_id bigint")
+    parts = []
+    for run in ("first", "second"):
+        sink = scratch_path(spark, f"redrain_{run}")
+        drain(spark.readStream.schema(schema).parquet(path), sink, ckpt)
+        # an empty sink folder has no files to infer from
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{sink}/batch=-1")
+        parts.append(spark.read.schema(schema).parquet(sink).agg(
+            F.lit(run).alias("run"), F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("stream_policies", "SELECT p AS policy, CAST(count(*) AS BIGINT) AS n FROM events, (VALUES ('adhoc'), ('adhocqueued'), ('immediately')) t(p) GROUP BY 1")
+def q_stream_policies(spark, sf_dir):
+    """T-3: each policy delivers every queued event; 'immediately' keeps running until it is stopped."""
+    path, schema = _queue_folder(spark, sf_dir)
+    parts = []
+    for policy in POLICIES:
+        sink = scratch_path(spark, f"policy_{policy}")
+
+        def write_batch(df, batch_id, sink=sink):
+            df.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+        q = run_available_now(spark.readStream.schema(schema).parquet(path), scratch_path(spark, "ckpt_policy"), write_batch, policy=policy)
+        if policy == "immediately":
+            q.processAllAvailable()
+            q.stop()
+        parts.append(spark.read.schema(schema).parquet(sink).agg(F.lit(policy).alias("policy"), F.count(F.lit(1)).alias("n")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("stream_dry_run", "SELECT CAST(count(*) AS BIGINT) AS n FROM events")
@@ -92,4 +114,5 @@ def q_stream_last_value(spark, sf_dir):
     sink = scratch_path(spark, "last_value")
     run_available_now(last_value_per_key(stream, "user_id", "value", ["ts", "event_id"]),
                       scratch_path(spark, "ckpt_last"), upsert_log(sink, "user_id"), output_mode="update")
+    compact_log(spark, sink, "user_id")
     return read_latest(spark, sink, "user_id")

@@ -18,7 +18,7 @@ from rivulet.plans.registry import table
 STANDINS = {
     "users": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS firstname FROM {nation}",
     "flows": """SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS userid,
-                       c_acctbal > 0 AS enabled FROM {customer}""",
+                       c_acctbal > 0 AS enabled, CAST((c_nationkey + 3) % 25 AS BIGINT) AS usermodified FROM {customer}""",
     "runs": """SELECT event_id AS id, user_id AS dataflowid, user_id AS userid,
                       CASE event_type WHEN 'error' THEN 'aborted' WHEN 'view' THEN 'processing'
                                       ELSE 'finished' END AS status,
@@ -26,14 +26,15 @@ STANDINS = {
                       CASE WHEN event_type = 'view' THEN CAST(0 AS DOUBLE) ELSE {EPOCH} + value END AS timefinished,
                       CAST(event_id AS STRING) AS name FROM {events}""",
     "steps": """SELECT o_orderkey AS id, o_custkey AS dataflowid, 'step_' || CAST(o_orderkey AS STRING) AS alias,
-                       CASE o_orderstatus WHEN 'O' THEN 'trigger_event' WHEN 'F' THEN 'flow_transformer_alter'
-                                          ELSE 'writer_stream' END AS type,
+                       CASE o_orderstatus WHEN 'O' THEN 'trigger' WHEN 'F' THEN 'transform'
+                                          ELSE 'writer' END AS type,
                        o_orderpriority AS name,
                        '{"eventname": "' || CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'purchase'
                             WHEN '2' THEN 'click' WHEN '3' THEN 'view' WHEN '4' THEN 'signup' ELSE 'error' END
-                       || '"}' AS config FROM {orders}""",
+                       || '"}' AS config, CAST(o_custkey % 25 AS BIGINT) AS userid,
+                       CAST(o_orderkey % 25 AS BIGINT) AS usermodified FROM {orders}""",
     "edges": """SELECT id AS stepid, id - 1 AS dependson, CAST(0 AS INT) AS position FROM {steps}
-                WHERE type <> 'trigger_event' AND id > 0""",
+                WHERE type <> 'trigger' AND id > 0""",
     "schedule": """SELECT c_custkey AS dataflowid, c_custkey AS stepid, CAST(0 AS BIGINT) AS lastruntime,
                           CAST(floor(c_acctbal) AS BIGINT) AS nextruntime,
                           CAST(floor(c_nationkey / 10) AS INT) AS retrycount FROM {customer}""",
@@ -41,8 +42,8 @@ STANDINS = {
                        event_type AS eventname FROM {events}""",
     "failures": """SELECT dataflowid, stepid, nextruntime + 60 AS retrytime, nextruntime + 3600 AS scheduledtime
                    FROM {schedule} WHERE dataflowid IN (SELECT dataflowid FROM {runs} WHERE status = 'aborted')""",
-    "limits": """SELECT * FROM (VALUES ('trigger_event', 0, 0, 1, 1), ('flow_transformer_alter', 1, 1, 0, 1),
-                                       ('writer_stream', 1, 1, 0, 0)) AS t(type, min_in, max_in, min_out, max_out)""",
+    "limits": """SELECT * FROM (VALUES ('trigger', 0, 0, 1, 1), ('transform', 1, 1, 0, 1),
+                                       ('writer', 1, 1, 0, 0)) AS t(type, min_in, max_in, min_out, max_out)""",
 }
 
 SPARK_EPOCH = "unix_seconds(CAST(ts AS TIMESTAMP))"

@@ -7,6 +7,7 @@ create one of our own.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -21,6 +22,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # streaming state on executor disk with checkpoints, not in the heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -46,14 +50,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def apply_session_defaults(spark: SparkSession) -> None:
     """Runtime SQL settings that can be changed on an existing session."""
     for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
-              "spark.sql.session.timeZone"):
+              "spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set(k, DEFAULT_CONF[k])
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    Set a local one only where the session has none (local runs, tests).
+    A folder of our own is made only where the session has none and runs in
+    one process (``local*``: tests, a laptop).  Anywhere else every executor
+    would write to its own disk, so a missing setting raises.
     """
     try:
         d = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,18 +69,52 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="rivulet-ckpt-")
-        sc.setCheckpointDir(d)
-        d = sc.getCheckpointDir() or d
-    return d
+    if d:
+        return d
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: {sc.master} needs a folder that all executors share")
+    d = tempfile.mkdtemp(prefix="rivulet-ckpt-")
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/rivulet-scratch/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared folder."""
-    base = shared_dir(spark)
-    sep = "" if base.endswith("/") else "/"
-    return f"{base}{sep}rivulet-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path in the innermost open ``scratch_scope``, else in the application's folder."""
+    return f"{_SCOPES[-1] if _SCOPES else scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SCOPES: list[str] = []
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of ours on whatever file system it lies."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True))
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete every intermediate table of this application; call it when no frame of the session is needed any more."""
+    return drop_path(spark, scratch_root(spark))
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Own the intermediate tables made inside the block; they are deleted when it ends.
+
+    Frames built inside must have been written or collected by then.
+    """
+    path = scratch_path(spark, "scope")
+    _SCOPES.append(path)
+    try:
+        yield path
+    finally:
+        _SCOPES.remove(path)
+        drop_path(spark, path)
 
 
 def materialize(df, name: str, fmt: str = "parquet"):
@@ -83,12 +123,14 @@ def materialize(df, name: str, fmt: str = "parquet"):
     Cuts the lineage (later stages and retries after a lost executor start
     from the written files, not from the sources) and lets several consumers
     share one computation.  Unlike ``localCheckpoint`` the data survives the
-    loss of the executors that computed it.
+    loss of the executors that computed it.  The table belongs to the
+    innermost ``scratch_scope`` or, without one, to the application
+    (``drop_scratch``).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.format(fmt).save(path)
-    return spark.read.format(fmt).load(path)
+    return spark.read.schema(df.schema).format(fmt).load(path)
 
 
 def local_path(path: str) -> str:

@@ -2,11 +2,11 @@
 sink for Spark's ``noop`` format, so nothing is written."""
 
 from rivulet.sinks.writers import (
-    write, write_json, write_csv, debug_json, json_array_text, copy_dataset,
-    concat_skip_headers, gzip_text, gunzip_text, spread, FORMATS,
+    write, write_json, write_csv, debug_json, write_json_array, copy_dataset,
+    concat_skip_headers, copy_files, gzip_files, gunzip_table,
 )
 
 __all__ = [
-    "write", "write_json", "write_csv", "debug_json", "json_array_text", "copy_dataset",
-    "concat_skip_headers", "gzip_text", "gunzip_text", "spread", "FORMATS",
+    "write", "write_json", "write_csv", "debug_json", "write_json_array", "copy_dataset",
+    "concat_skip_headers", "copy_files", "gzip_files", "gunzip_table",
 ]

@@ -2,37 +2,25 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Output formats a stream writer accepts.
-FORMATS = ("json", "csv", "parquet", "text", "orc")
-
-
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Round-robin a small, single-file input over ``partitions`` tasks
-    (default: the cluster's parallelism) so encoding and compression of its
-    output use every core.
-
-    Opt-in only: this is a full shuffle, right for a one-file input and wrong
-    for a large one, and the writers never add it on their own.
-    """
-    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
-
-
 def write(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists",
           dry_run: bool = False, compression: str | None = None, partition_by=None,
           **options) -> str | None:
-    """Write ``df`` in ``fmt``; ``mode='append'`` adds files (K-3).
+    """Write ``df`` in ``fmt``, the name of any writer the session knows (U-3); ``mode='append'`` adds files (K-3).
 
     ``dry_run`` runs the whole plan into the ``noop`` sink (K-4).
     ``compression='gzip'`` compresses text formats (K-7); reading ``.gz``
     back is transparent.
     """
-    if fmt not in FORMATS:
-        raise ValueError(f"unknown output format {fmt!r}; choose from {FORMATS}")
-    if not path:
-        raise ValueError("an output path is required")
+    if not fmt or not path:
+        raise ValueError("an output format and path are required")
     if dry_run:
         df.write.format("noop").mode("overwrite").save()
         return None
@@ -43,7 +31,12 @@ def write(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexist
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     for k, v in options.items():
         w = w.option(k, v)
-    w.save(path)
+    try:
+        w.save(path)
+    except (AnalysisException, Py4JJavaError) as e:
+        if "DATA_SOURCE_NOT_FOUND" in str(e):
+            raise ValueError(f"unknown output format {fmt!r}") from e
+        raise
     return path
 
 
@@ -56,10 +49,17 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists", dry_run: b
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", dry_run: bool = False,
-              compression: str | None = None, header: bool = True, delimiter: str = ",") -> str | None:
-    """CSV with a header line per file, ``"`` quoting (K-2)."""
+              compression: str | None = None, header: bool = True, delimiter: str = ",",
+              null_value: str = "") -> str | None:
+    """CSV with a header line per file, ``"`` quoting (K-2).
+
+    Blanks, quotes, delimiters and line ends inside a field are kept, as is an
+    empty text (written ``""``).  NULL is written as ``null_value``: give the
+    reader the same one to tell it from an empty text.
+    """
     return write(df, path, "csv", mode, dry_run, compression, header=str(header).lower(),
-                 sep=delimiter, quote='"', escape='"')
+                 sep=delimiter, quote='"', escape='"', nullValue=null_value, emptyValue='""',
+                 ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
 
 
 def debug_json(df: DataFrame, alias: str = "json") -> DataFrame:
@@ -67,53 +67,81 @@ def debug_json(df: DataFrame, alias: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(alias))
 
 
-def json_array_text(df: DataFrame, pretty: bool = False, max_rows: int = 10_000) -> DataFrame:
-    """The whole frame as one JSON array text (one row), for small reports.
+def write_json_array(df: DataFrame, path: str, order_by: str, pretty: bool = False, mode: str = "errorifexists") -> str:
+    """The frame as one JSON array over part files (K-1): their texts, in name order, are the array.
 
-    This gathers every record into one value, so the input is first checked
-    to hold at most ``max_rows`` rows (a bounded ``limit`` count) and a larger
-    input raises; write JSON lines for data.
+    ``order_by`` is a column without repeats; the rows are range-sorted by it,
+    the smallest opens the array and the largest closes it.  No row is gathered
+    anywhere, so the array can be of any size.  An empty frame writes ``[]``.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"json_array_text is for at most {max_rows} rows; write JSON lines instead")
-    opts = {"pretty": "true"} if pretty else {}
-    rec = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(F.to_json(F.collect_list(rec), opts).alias("json"))
+    ends = df.agg(F.min(order_by).alias("lo"), F.max(order_by).alias("hi")).first()
+    if ends["lo"] is None:
+        df.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode(mode).text(path)
+        return path
+    rec = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": str(pretty).lower()})
+    kind, key = df.schema[order_by].dataType, F.col(f"`{order_by}`")
+    line = F.concat(F.when(key == F.lit(ends["lo"]).cast(kind), F.lit("[")).otherwise(F.lit(",")), rec,
+                    F.when(key == F.lit(ends["hi"]).cast(kind), F.lit("]")).otherwise(F.lit("")))
+    df.orderBy(key).select(line.alias("value")).write.mode(mode).text(path)
+    return path
+
+
+def _per_file(spark: SparkSession, source, target: str, name, change, mode: str) -> DataFrame:
+    """Each source file, changed as bytes, to one file under ``target``; executors read and write, one file a task.
+
+    Bytes go through Spark's writer for binary data only by way of a table, so
+    the result is a table of (path, content) next to its manifest: file names
+    stay data, and any store that Spark writes will do.
+    """
+    files = spark.read.format("binaryFile").load(source)
+    out = files.select(name(F.col("path")).alias("path"), change(F.col("content")).alias("content"))
+    out.write.mode(mode).parquet(target)
+    return spark.read.parquet(target)
+
+
+def copy_files(spark: SparkSession, source, target: str, mode: str = "errorifexists") -> DataFrame:
+    """Byte-true copy of files (glob allowed) as a table ``(path, content)`` at ``target`` (K-8)."""
+    return _per_file(spark, source, target, lambda p: F.element_at(F.split(p, "/"), -1), lambda c: c, mode)
+
+
+def gzip_files(spark: SparkSession, source, target: str, mode: str = "errorifexists") -> DataFrame:
+    """Each file's bytes as a gzip member (K-7 ``compress``), table ``(path, content)`` at ``target``."""
+    @F.pandas_udf("binary")
+    def pack(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else gzip.compress(b, mtime=0))
+
+    return _per_file(spark, source, target, lambda p: F.concat(F.element_at(F.split(p, "/"), -1), F.lit(".gz")), pack, mode)
+
+
+def gunzip_table(packed: DataFrame) -> DataFrame:
+    """The files of a table ``(path, content)`` unpacked again, byte for byte (K-7 ``decompress``)."""
+    @F.pandas_udf("binary")
+    def unpack(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else gzip.decompress(b))
+
+    return packed.select(F.regexp_replace("path", r"\.gz$", "").alias("path"), unpack("content").alias("content"))
 
 
 def copy_dataset(spark: SparkSession, source: str, target: str, fmt: str = "parquet",
                  mode: str = "errorifexists", dry_run: bool = False) -> str | None:
     """Copy a data set (glob allowed in ``source``) between any Hadoop FS URIs (K-8).
 
-    A glob without matches is a no-op.  A target ending in ``/`` is a folder:
-    the source's last path segment (without glob characters) is appended.
+    A path without matches is a no-op; a source that cannot be read raises.  A
+    target ending in ``/`` is a folder: the source's last path segment (without
+    glob characters) is appended.
     """
-    from pyspark.errors import AnalysisException
     if target.endswith("/"):
         segments = [p for p in source.rstrip("/").split("/") if p and not any(ch in p for ch in "*?[")]
         target = target + (segments[-1] if segments else "copy")
     try:
         df = spark.read.format(fmt).load(source)
-        df.schema
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     return write(df, target, fmt, mode, dry_run)
 
 
-def gzip_text(spark: SparkSession, source: str, target: str, mode: str = "errorifexists") -> str:
-    """Compress text files line by line into gzip parts (K-7 ``compress``)."""
-    spark.read.text(source).write.mode(mode).option("compression", "gzip").text(target)
-    return target
-
-
-def gunzip_text(spark: SparkSession, source: str, target: str, mode: str = "errorifexists") -> str:
-    """Decompress gzip text (read transparently) into plain text parts (K-7 ``decompress``)."""
-    spark.read.text(source).write.mode(mode).text(target)
-    return target
-
-
 def _drop_first_lines(keep_file):
     """mapInPandas body: drop each file's first line, in partition order."""
     def run(batches):
@@ -124,49 +152,42 @@ def _drop_first_lines(keep_file):
             if keep_file is not None:
                 fresh = fresh[fresh["file"] != keep_file]
             seen.update(blk0["file"].unique())
-            yield pdf.drop(index=fresh.index)[["file", "line"]]
+            yield pdf.drop(index=fresh.index)[["file", "line", "_blk", "line_no"]]
     return run
 
 
 def concat_skip_headers(spark: SparkSession, sources, target: str | None = None,
                         chop_first_line: bool = True, target_exists: bool = False,
-                        mode: str = "errorifexists", dry_run: bool = False, method: str = "join"):
+                        mode: str = "errorifexists", dry_run: bool = False):
     """Concatenate text files, dropping the header line of all but the first (K-6).
 
-    The first line of each file is found without reading files whole: the
-    text scan tags rows with ``_metadata`` and a per-partition increasing id;
-    the row with the smallest id among rows of the file's first split
-    (``file_block_start = 0``) is its first line.  With ``chop_first_line``
-    the first file keeps its header unless the target already exists
-    (``target_exists``), in which case every file loses its first line.
-    Returns the lines as a frame ``(file, line)``; writes them when ``target`` is set.
-
-    ``method='local'`` drops the first lines inside each partition instead
-    (a file's first split lies in one partition, read in order), so no join
-    and no shuffle is needed however many files there are; it runs a pandas
-    pass over the lines.
+    With ``chop_first_line`` the first file (of the given list; of the files of
+    one path the first by name) keeps its header unless the target already
+    exists (``target_exists``), in which case every file loses its first line.
+    A file's first line lies in its first split, which one partition reads in
+    order, so it is dropped there: one scan, no shuffle.
+
+    Returns ``(file, line, file_no, block, line_no)``: file number in the given
+    order, split and position within it, which order the lines as they stood.
+    With ``target`` the lines are written in that order (a range sort).
     """
-    if method not in ("join", "local"):
-        raise ValueError("method must be 'join' or 'local'")
     paths = [sources] if isinstance(sources, str) else list(sources)
+    # names only: no content is read
+    listing = spark.read.format("binaryFile").load(paths).select("path").orderBy("path")
+    names = [r["path"] for r in listing.toLocalIterator()]
+    if len(paths) > 1:
+        rank = {p.rstrip("/").split("/")[-1]: i for i, p in reversed(list(enumerate(paths)))}
+        names.sort(key=lambda n: (min((i for s, i in rank.items() if s in n.split("/")), default=len(paths)), n))
+    order = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "file string, file_no long")
     lines = (spark.read.text(paths)
              .select(F.col("value").alias("line"),
                      F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("_blk"),
-                     F.monotonically_increasing_id().alias("_id")))
-    if chop_first_line and method == "local":
-        keep = None
-        if not target_exists:
-            keep = lines.select(F.min("file")).first()[0]
-        lines = lines.mapInPandas(_drop_first_lines(keep), "file string, line string")
-    elif chop_first_line:
-        firsts = lines.where(F.col("_blk") == 0).groupBy("file").agg(F.min("_id").alias("_first"))
-        if not target_exists:
-            keep_file = firsts.agg(F.min("file")).scalar()
-            firsts = firsts.where(F.col("file") != keep_file)
-        # one row per input file; AQE broadcasts it only when its runtime size is small
-        lines = lines.join(firsts.withColumnRenamed("_first", "_id"), ["file", "_id"], "left_anti")
-    out = lines.select("file", "line")
+                     F.monotonically_increasing_id().alias("line_no")))
+    if chop_first_line:
+        keep = None if target_exists or not names else names[0]
+        lines = lines.mapInPandas(_drop_first_lines(keep), "file string, line string, _blk long, line_no long")
+    out = lines.withColumnRenamed("_blk", "block").join(order, "file", "left").select("file", "line", "file_no", "block", "line_no")
     if target is not None:
-        write(out.select("line"), target, "text", mode, dry_run)
+        write(out.orderBy("file_no", "block", "line_no").select("line"), target, "text", mode, dry_run)
     return out

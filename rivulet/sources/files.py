@@ -8,7 +8,7 @@ disks, object stores and remote file systems alike.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.coerce import as_column, glob_to_regex, natural_key
@@ -25,7 +25,8 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*",
                recursive: bool = False) -> DataFrame:
     """One row per file below ``directory`` matching the glob ``pattern`` on the file name.
 
-    A directory without matches, or that does not exist, gives no rows.
+    A directory without matches, or that does not exist, gives no rows; one
+    that cannot be read raises.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern and pattern != "*":
@@ -34,7 +35,9 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*",
         df = reader.load(directory).select("path", "length", "modificationTime")
         df.schema  # analysis resolves the path now
         return df
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LISTING_SCHEMA)
 
 
@@ -84,11 +87,13 @@ def list_constraints(df: DataFrame, path_col: str = "path", returnvalue: str = "
         order = [v.desc(), p.desc()]
     else:
         order = [natural_key(v, case_insensitive=False).asc(), p.asc()]
-    ranked = with_row_index(out, order, index_name)
-    cond = F.col(index_name) > F.lit(offset)
     if limit:
-        cond = cond & (F.col(index_name) <= F.lit(offset + limit))
-    return ranked.where(cond)
+        # ordered top-k; only the rows asked for are numbered
+        few = out.orderBy(*order).limit(offset + limit)
+        ranked = few.withColumn(index_name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    else:
+        ranked = with_row_index(out, order, index_name)
+    return ranked.where(F.col(index_name) > F.lit(offset))
 
 
 def file_count(spark: SparkSession, directory: str) -> int:

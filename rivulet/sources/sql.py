@@ -97,10 +97,7 @@ class IncrementalBatch:
 
     def commit(self) -> bool:
         """Save the mark; call only after the sink succeeded.  Dry run: no write."""
-        mark = self.new_mark()
-        if hasattr(mark, "isoformat"):
-            mark = mark.isoformat()
-        return self.state.save({self.name: mark}, dry_run=self.dry_run)
+        return self.state.save({self.name: self.new_mark()}, dry_run=self.dry_run)
 
 
 def incremental_read(df: DataFrame, counter: str, state: StateTable, name: str | None = None,
@@ -109,14 +106,31 @@ def incremental_read(df: DataFrame, counter: str, state: StateTable, name: str |
 
     The new mark is the counter of the *last* row in ``order_by`` order
     (default: the counter itself), not the maximum.  An empty first mark means
-    no lower bound.  ``limit`` caps the batch (ordered top-k, no global sort).
-    A dry run reads but never saves.  Runs of one flow must not overlap.
+    no lower bound.  The batch also ends at the largest counter there is now,
+    so rows that arrive while it runs belong to the next batch, and computing
+    it twice gives the same rows.  ``limit`` cuts the batch after that many
+    rows (ordered top-k, no global sort) and then takes in every row that ties
+    with the last one's counter: the next run starts above it, so a tied row
+    left out would never be read.  A dry run reads but never saves.  Runs of
+    one flow must not overlap.
     """
     name = name or counter
     previous = state.get(name)
-    src = df if previous in (None, "") else df.where(F.col(counter) > F.lit(previous))
+    kind = df.schema[counter].dataType
+    at = F.col(counter)
+    src = df if previous in (None, "") else df.where(at > F.lit(previous).cast(kind))
+    # computed now: Parquet and JDBC answer it from statistics or an index
+    ceiling = src.agg(F.max(at).alias("m")).first()["m"]
+    if ceiling is not None:
+        src = src.where(at <= F.lit(ceiling).cast(kind))
     order = [counter] if order_by is None else ([order_by] if isinstance(order_by, (str, Column)) else list(order_by))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    batch = src.orderBy(*cols).limit(limit) if limit else src
     from rivulet.operators.ordering import order_key
+    batch = src
+    if limit:
+        top = src.orderBy(*cols).limit(limit)
+        # one value, computed now so that a retry cuts at the same place
+        last = top.agg(F.max_by(at, order_key(cols)).alias("m")).first()["m"]
+        if last is not None:
+            batch = top.where(at != F.lit(last)).unionByName(src.where(at == F.lit(last)))
     return IncrementalBatch(batch, state, name, counter, order_key(cols), previous, dry_run)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.logger import PySparkLogger
@@ -18,6 +19,13 @@ _SCHEMA = "name string, value string, v int"
 _VERSION = re.compile(r"/v=(\d+)/")
 
 
+def _plain(value):
+    """A value that JSON can hold; exact text for what it cannot."""
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    return str(value) if isinstance(value, Decimal) else value
+
+
 class StateTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -30,7 +38,9 @@ class StateTable:
         log.setLevel(50)  # CRITICAL
         try:
             return self.spark.read.schema(_SCHEMA).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # unreadable state is not a first run
+                raise
             return None
         finally:
             log.setLevel(level)
@@ -57,7 +67,10 @@ class StateTable:
         return {r["name"]: json.loads(r["value"]) for r in rows}
 
     def read(self) -> dict:
-        """All variables of the latest version (one row per variable)."""
+        """All variables of the latest version (one row per variable).
+
+        Decimals, dates and timestamps come back as their text.
+        """
         return self._read_version(self.version())
 
     def get(self, name: str, default=None):
@@ -65,6 +78,7 @@ class StateTable:
 
     def save(self, values: dict, dry_run: bool = False) -> bool:
         """Merge ``values`` into the state; no write when nothing changed or on a dry run."""
+        values = {k: _plain(v) for k, v in values.items()}
         version = self.version()
         current = self._read_version(version)
         merged = {**current, **values}

@@ -34,6 +34,10 @@ def capture(events: DataFrame, listeners: DataFrame, name_col: str = "event_type
     listener table is too large to broadcast, ``salt_buckets`` spreads each
     key over that many tasks (``joins.salted_join``).
     """
+    if events.isStreaming:
+        # the static side is computed once, not in every micro-batch
+        from rivulet.session import materialize
+        listeners = materialize(listeners, "listeners")
     if salt_buckets:
         from rivulet.operators.joins import salted_join
         keys = [name_col] + ([flow_col] if flow_col else [])
@@ -112,15 +116,56 @@ def upsert_log(path: str, key: str | list[str]) -> Callable[[DataFrame, int], No
     return write_batch
 
 
+def _snapshots(path: str) -> str:
+    return f"{path.rstrip('/')}_snapshots"
+
+
+def _newest_snapshot(spark, path: str) -> int | None:
+    """Last batch that a snapshot covers, from the folder names."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_snapshots(path))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] \
+        if fs.exists(folder) else []
+    return max((int(n.removeprefix("upto=")) for n in done if n.startswith("upto=")), default=None)
+
+
+def _log_with_snapshot(spark, path: str) -> DataFrame:
+    log = spark.read.parquet(path)
+    upto = _newest_snapshot(spark, path)
+    if upto is None:
+        return log
+    # a snapshot's rows carry the batch they came from, so later batches win over them
+    return log.where(F.col("batch") > upto).unionByName(spark.read.parquet(f"{_snapshots(path)}/upto={upto}"))
+
+
 def read_latest(spark, path: str, key: str | list[str]) -> DataFrame:
-    """Latest row per key from an ``upsert_log`` folder (partial aggregate by key)."""
+    """Latest row per key from an ``upsert_log`` folder (partial aggregate by key).
+
+    Reads the newest snapshot and the batches after it.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    log = spark.read.parquet(path)
+    log = _log_with_snapshot(spark, path)
     cols = [c for c in log.columns if c not in keys and c != "batch"]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_v"))
     return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
+def compact_log(spark, path: str, key: str | list[str]) -> int:
+    """Write a snapshot with the latest row per key of an ``upsert_log`` folder; readers use it from then on.
+
+    The log's batches up to the returned one, and older snapshots, are no
+    longer read and may be deleted when no reader is running.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    log = _log_with_snapshot(spark, path)
+    upto = log.agg(F.max("batch").alias("b")).first()["b"]
+    cols = [c for c in log.columns if c not in keys]
+    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_v"))
+    latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols]).write.mode("overwrite").parquet(f"{_snapshots(path)}/upto={upto}")
+    return upto
+
+
 def last_value_per_key(events: DataFrame, key: str, value: str, order_cols: list[str]) -> DataFrame:
     """Running count and last value per key, by ``order_cols`` (T-6).
 

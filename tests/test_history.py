@@ -60,12 +60,12 @@ def test_last_runs_health_and_numbers(spark):
 
 
 def test_lineage(spark):
-    steps = spark.createDataFrame([(1, 7, "reader", "reader_csv"), (2, 7, "writer", "writer_stream"), (3, 7, "lost", "writer_stream")],
+    steps = spark.createDataFrame([(1, 7, "reader", "reader"), (2, 7, "writer", "writer"), (3, 7, "lost", "writer")],
                                   "id bigint, dataflowid bigint, alias string, type string")
     edges = spark.createDataFrame([(2, 1, 0)], "stepid bigint, dependson bigint, position int")
     assert rows(H.lineage_edges(edges, steps), "source", "dest") == [("reader", "writer")]
     assert rows(H.lineage_detached(steps, edges), "alias") == [("lost",)]
-    limits = spark.createDataFrame([("reader_csv", 0, 0, 1, 1), ("writer_stream", 1, 1, 0, 0)],
+    limits = spark.createDataFrame([("reader", 0, 0, 1, 1), ("writer", 1, 1, 0, 0)],
                                    "type string, min_in int, max_in int, min_out int, max_out int")
     assert rows(H.lineage_degree_check(steps, edges, limits), "id", "kind") == [(3, "in_low")]
 
@@ -73,8 +73,14 @@ def test_lineage(spark):
 def test_subjects_and_versions(spark):
     flows = spark.createDataFrame([(1, 5), (2, 6)], "id bigint, userid bigint")
     steps = spark.createDataFrame([(10, 1), (11, 2)], "id bigint, dataflowid bigint")
-    out = H.subject_erasure(flows, {"steps": (steps, "dataflowid")}, "userid", 5)
-    assert rows(out["parent"], "id") == [(2,)] and rows(out["steps"], "id") == [(11,)]
+    runs = spark.createDataFrame([(20, 1, 6), (21, 2, 5), (22, 2, 6)], "id bigint, dataflowid bigint, userid bigint")
+    edges = spark.createDataFrame([(11, 10), (11, 11)], "stepid bigint, dependson bigint")
+    out = H.subject_erasure({"flows": (flows, "id", ["userid"], {}), "steps": (steps, "id", [], {"dataflowid": "flows"}),
+                             "runs": (runs, "id", ["userid"], {"dataflowid": "flows"}),
+                             "edges": (edges, None, [], {"stepid": "steps", "dependson": "steps"})}, 5)
+    assert rows(out["flows"], "id") == [(2,)] and rows(out["steps"], "id") == [(11,)]
+    # a run of the user in somebody else's flow goes too
+    assert rows(out["runs"], "id") == [(22,)] and rows(out["edges"]) == [(11, 11)]
     assert sorted(r[0] for r in H.subject_list([(flows, "userid")]).collect()) == [5, 6]
     exp = H.subject_export({"flows": (flows, ["userid"], "id")}, 6).first()
     assert exp["source"] == "flows" and exp["key"] == 2
@@ -84,11 +90,11 @@ def test_subjects_and_versions(spark):
 
 
 def test_listeners(spark):
-    steps = spark.createDataFrame([(1, 1, "trigger_event", '{"eventname": "x"}'), (2, 2, "trigger_event", '{"eventname": "x"}'),
-                                   (3, 1, "trigger_event", '{"eventname": "y"}')],
+    steps = spark.createDataFrame([(1, 1, "trigger", '{"eventname": "x"}'), (2, 2, "trigger", '{"eventname": "x"}'),
+                                   (3, 1, "trigger", '{"eventname": "y"}')],
                                   "id bigint, dataflowid bigint, type string, config string")
     flows = spark.createDataFrame([(1, True), (2, False)], "id bigint, enabled boolean")
-    assert rows(H.queue_listeners(steps, flows, "x", "trigger_event"), "id") == [(1,)]
+    assert rows(H.queue_listeners(steps, flows, "x", "trigger"), "id") == [(1,)]
 
 
 def test_health_summary_messages(spark):
@@ -100,3 +106,9 @@ def test_health_summary_messages(spark):
     bad = spark.createDataFrame([(1, 5, "aborted", "ERROR"), (2, 6, "finished", "OK")], hs)
     r = H.health_summary(bad).first()
     assert (r["status"], r["summary"]) == ("ERROR", "last run aborted")
+
+
+def test_last_run_without_finish_is_running(spark):
+    runs = spark.createDataFrame([(1, 7, 100.0, None)], "id bigint, dataflowid bigint, timestarted double, timefinished double")
+    r = H.last_run(runs, now=130).first()
+    assert r["running"] is True and r["last_duration"] == 30.0

@@ -40,7 +40,7 @@ def test_salted_join_equals_plain_join(spark):
 def test_hot_keys(spark):
     from rivulet.operators.joins import hot_keys
     df = spark.createDataFrame([(0,)] * 50 + [(k,) for k in range(1, 11)], "k bigint")
-    assert [r["k"] for r in hot_keys(df, ["k"]).collect()] == [0]
+    assert [r["k"] for r in hot_keys(df, ["k"], rows_per_task=20).collect()] == [0]
 
 
 def test_asof_single_hot_key_spread_over_partitions(spark):
@@ -56,3 +56,26 @@ def test_asof_single_hot_key_spread_over_partitions(spark):
         cands = [(rt, rid) for rid, _, rt in right if rt <= lt]
         want[lid] = max(cands)[1] if cands else None
     assert got == want
+
+
+def test_asof_nulls_match_nothing(spark):
+    left = spark.createDataFrame([(1, 1, 10), (2, None, 10), (3, 1, None)], "id bigint, k bigint, t bigint")
+    right = spark.createDataFrame([(7, 1, 5), (8, None, 5), (9, 1, None)], "id bigint, k bigint, t bigint")
+    for width in (4, None):
+        out = asof_join(left, right, ["k"], F.col("t"), F.col("t"), ["id"], bucket_width=width, right_tiebreak="id", num_partitions=3)
+        assert {r["id"]: r["r_id"] for r in out.collect()} == {1: 7, 2: None, 3: None}
+
+
+def test_salted_join_spreads_equal_rows_and_allows_maps(spark):
+    from rivulet.operators.joins import salted_join
+    big = spark.createDataFrame([(0, {"a": 1})] * 400, "k bigint, m map<string,int>")
+    small = spark.createDataFrame([(0, "x")], "k bigint, v string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = salted_join(big, small, ["k"], salt_buckets=16)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 400 and max(sizes) <= 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -27,3 +27,29 @@ def test_apply_scale_conf_sets_runtime_conf(spark):
                   "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor",
                   "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"):
             spark.conf.unset(k)
+
+
+def test_scratch_has_an_owner(spark):
+    import os
+    from rivulet.session import materialize, scratch_root, scratch_scope
+    with scratch_scope(spark) as path:
+        assert materialize(spark.range(3), "x").count() == 3
+        folder = path.removeprefix("file:")
+        assert os.path.isdir(folder) and path.startswith(scratch_root(spark))
+    assert not os.path.exists(folder)
+
+
+def test_no_machine_local_scratch_on_a_cluster():
+    import pytest
+    from types import SimpleNamespace
+    from rivulet.session import shared_dir
+
+    def session(master, conf):
+        sc = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf=conf, sparkContext=sc)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master, {}))
+        assert shared_dir(session(master, {"spark.checkpoint.dir": "hdfs://x/y"})) == "hdfs://x/y"
+    assert "rivulet-ckpt-" in shared_dir(session("local[2]", {}))

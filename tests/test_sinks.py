@@ -4,7 +4,7 @@ import os
 
 import pytest
 from rivulet.sinks.writers import (
-    concat_skip_headers, copy_dataset, debug_json, json_array_text, write, write_csv, write_json,
+    concat_skip_headers, copy_dataset, debug_json, gunzip_table, gzip_files, write, write_csv, write_json, write_json_array,
 )
 from rivulet.sources.csv import read_csv
 from rivulet.sources.json import read_json
@@ -27,10 +27,16 @@ def test_json_heterogeneous_records(spark, tmp):
     assert lines == ['{"a":1}', '{"b":2}', '{"c":3}']
 
 
-def test_json_array_pretty(spark):
-    df = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
-    assert json_array_text(df).first()[0] == '[{"a":1,"b":2}]'
-    assert "\n" in json_array_text(df, pretty=True).first()[0]
+@pytest.mark.parametrize("pretty", [False, True])
+def test_json_array(spark, tmp, pretty):
+    import json
+    df = spark.range(0, 500, 1, 7).selectExpr("id", "concat('n', id) AS name")
+    write_json_array(df, f"{tmp}/arr", "id", pretty=pretty)
+    parts = sorted(f for f in os.listdir(f"{tmp}/arr") if f.startswith("part-"))
+    text = "".join(open(f"{tmp}/arr/{f}").read() for f in parts)
+    assert [r["id"] for r in json.loads(text)] == list(range(500)) and len(parts) > 1
+    write_json_array(df.where("id < 0"), f"{tmp}/none", "id")
+    assert json.loads("".join(open(f"{tmp}/none/{f}").read() for f in os.listdir(f"{tmp}/none") if f.startswith("part-"))) == []
 
 
 def test_csv_round_trip(spark, tmp):
@@ -65,18 +71,16 @@ def test_copy_dataset_glob(spark, tmp):
     assert copy_dataset(spark, f"{tmp}/none/*.parquet", f"{tmp}/dst2") is None
 
 
-@pytest.mark.parametrize("method", ["join", "local"])
-def test_concat_chop_first_line(spark, tmp, method):
-    for name, text in (("a.txt", "blah! vlah"), ("b.txt", "abc\nxyz"), ("c.txt", "  ")):
+def test_concat_chop_first_line(spark, tmp):
+    for name, text in (("z.txt", "head 1"), ("b.txt", "head 2\nbody 2a\nbody 2b"), ("m.txt", "\t")):
         with open(f"{tmp}/{name}", "w") as fh:
             fh.write(text)
-    files = [f"{tmp}/a.txt", f"{tmp}/b.txt", f"{tmp}/c.txt"]
-    plain = concat_skip_headers(spark, files, chop_first_line=False, method=method)
-    assert sorted(r["line"] for r in plain.collect()) == ["  ", "abc", "blah! vlah", "xyz"]
-    chopped = concat_skip_headers(spark, files, method=method)
-    assert sorted(r["line"] for r in chopped.collect()) == ["blah! vlah", "xyz"]
-    existing = concat_skip_headers(spark, files, target_exists=True, method=method)
-    assert [r["line"] for r in existing.collect()] == ["xyz"]
+    files = [f"{tmp}/z.txt", f"{tmp}/b.txt", f"{tmp}/m.txt"]
+    order = ["file_no", "block", "line_no"]
+    lines = lambda **how: [r["line"] for r in concat_skip_headers(spark, files, **how).orderBy(*order).collect()]
+    assert lines(chop_first_line=False) == ["head 1", "head 2", "body 2a", "body 2b", "\t"]
+    assert lines() == ["head 1", "body 2a", "body 2b"]  # the header of the first file given, not the first by name
+    assert lines(target_exists=True) == ["body 2a", "body 2b"]
 
 
 def test_debug_json(spark):
@@ -93,13 +97,13 @@ def test_csv_reader_writer_byte_round_trip(spark, tmp):
     assert len(parts) == 1 and open(f"{tmp}/out/{parts[0]}").read() == text
 
 
-def test_gzip_commands_round_trip(spark, tmp):
-    from rivulet.sinks.writers import gunzip_text, gzip_text
-    with open(f"{tmp}/plain.txt", "w") as fh:
-        fh.write("alpha\nbeta\ngamma\n")
-    gzip_text(spark, f"{tmp}/plain.txt", f"{tmp}/gz")
-    gunzip_text(spark, f"{tmp}/gz", f"{tmp}/back")
-    assert sorted(rows(spark.read.text(f"{tmp}/back"))) == [("alpha",), ("beta",), ("gamma",)]
+def test_gzip_files_keep_every_byte(spark, tmp):
+    data = b"one\r\ntwo\nthree\x00\xff"
+    with open(f"{tmp}/plain.bin", "wb") as fh:
+        fh.write(data)
+    packed = gzip_files(spark, f"{tmp}/plain.bin", f"{tmp}/gz")
+    back = gunzip_table(packed).first()
+    assert packed.first()["path"] == "plain.bin.gz" and back["path"] == "plain.bin" and bytes(back["content"]) == data
 
 
 def test_copy_to_folder_keeps_name(spark, tmp):
@@ -108,9 +112,10 @@ def test_copy_to_folder_keeps_name(spark, tmp):
     assert spark.read.parquet(f"{tmp}/dest/set1").count() == 3
 
 
-def test_concat_local_equals_join_on_many_files(spark, tmp):
+def test_concat_many_files(spark, tmp):
     df = spark.range(0, 3000, 1, 12).selectExpr("CAST(id AS STRING) AS a", "CAST(id * 2 AS STRING) AS b")
     write_csv(df, f"{tmp}/many")
-    a = sorted(r["line"] for r in concat_skip_headers(spark, f"{tmp}/many", method="join").collect())
-    b = sorted(r["line"] for r in concat_skip_headers(spark, f"{tmp}/many", method="local").collect())
-    assert a == b and len(a) == 3001 and a.count("a,b") == 1
+    got = [r["line"] for r in concat_skip_headers(spark, f"{tmp}/many", f"{tmp}/one").orderBy("file_no", "block", "line_no").collect()]
+    assert got == ["a,b", *(f"{i},{2 * i}" for i in range(3000))]
+    parts = sorted(f for f in os.listdir(f"{tmp}/one") if f.startswith("part-"))
+    assert "".join(open(f"{tmp}/one/{f}").read() for f in parts).split() == got
