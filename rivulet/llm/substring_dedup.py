@@ -33,7 +33,7 @@ WINDOW = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # fixed values: a perfect difference set modulo 31
 # bytes of text hashed together
-RUN_BYTES = 2 << 20
+RUN_BYTES = 256 << 10
 _NO_ID = (1 << 63) - 1
 
 _BASE1, _BASE2, _BYTES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
