@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.functions.coerce import as_column, intval, num
+from rivulet.functions.coerce import as_column, intval, num, truthy_in
 
 __all__ = [
     "add", "sub", "mul", "div", "mod", "concat_text", "isset", "identical", "run_time", "count_of",
@@ -62,8 +62,11 @@ def matches(c, regex: str) -> Column:
     return as_column(c).cast("string").rlike(regex)
 
 
-def ternary(cond, a, b) -> Column:
-    return F.when(as_column(cond), as_column(a)).otherwise(as_column(b))
+def ternary(cond, a, b, df: DataFrame | None = None) -> Column:
+    """``cond ? a : b``.  Given the frame ``df`` the condition belongs to, a condition
+    of any type counts by its truth value; without it, it is a boolean."""
+    c = as_column(cond) if df is None else truthy_in(df, cond)
+    return F.when(c, as_column(a)).otherwise(as_column(b))
 
 
 def path_get(c, *path) -> Column:

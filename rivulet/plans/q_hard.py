@@ -284,15 +284,17 @@ def q_fn_intval_limits(spark, sf_dir):
 
 @query("fn_values", """
 SELECT event_id, event_type AS passed, event_type IS NULL AS is_null, 2 AS n_vars, CAST(user_id AS VARCHAR) AS var,
-       user_id IS NOT DISTINCT FROM event_id AS same, true AS now_known FROM events""")
+       user_id IS NOT DISTINCT FROM event_id AS same, true AS now_known,
+       CASE WHEN user_id % 2 <> 0 THEN 'odd' ELSE 'even' END AS parity FROM events""")
 def q_fn_values(spark, sf_dir):
-    """F-5, F-12, F-14, F-18, F-20: identity, a struct through fromJSON, a variable by path, time(), NULL fields of an object."""
+    """F-5, F-10, F-12, F-14, F-18, F-20: identity, a number as a condition, a struct through fromJSON, a variable by path, time(), NULL fields of an object."""
     ev = table(spark, sf_dir, "events").withColumn("s", F.struct("event_type", F.lit(None).cast("string").alias("none"))) \
         .withColumn("vars", F.struct(F.struct(F.col("user_id").cast("string").alias("id")).alias("user")))
     passed = V.from_json_or_pass("s", "event_type string", ev)
     return ev.select("event_id", passed["event_type"].alias("passed"), F.col("event_type").isNull().alias("is_null"),
                      F.size(V.object_vars("s")).alias("n_vars"), V.get_var("user.id", "vars").alias("var"),
-                     V.identical("user_id", "event_id").alias("same"), (V.run_time() > 1_600_000_000).alias("now_known"))
+                     V.identical("user_id", "event_id").alias("same"), (V.run_time() > 1_600_000_000).alias("now_known"),
+                     V.ternary((F.col("user_id") % 2).cast("string"), F.lit("odd"), F.lit("even"), ev).alias("parity"))
 
 
 @query("regex_named_odd", """

@@ -202,36 +202,48 @@ def q_event_queue_read(spark, sf_dir):
     return decoded.select("id", "dataflowid", "stepid", "eventname", F.col("eventdata.k").alias("k"))
 
 
-def _pages_by_lang(spark, sf_dir):
-    """``pages`` written partitioned by language: one folder (and file) per language."""
+def _pages_by_lang(spark, sf_dir, rows_per_file=0):
+    """``pages`` written partitioned by language: one folder per language, files of ``rows_per_file`` (0: one file)."""
     p = table(spark, sf_dir, "pages").select(
         "page_id", "url", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"))
     base = scratch_path(spark, "pages_by_lang")
-    p.repartition("lang").write.partitionBy("lang").parquet(base)
+    p.repartition("lang").write.option("maxRecordsPerFile", rows_per_file).partitionBy("lang").parquet(base)
     return base
 
 
 LANG_DIRS_SQL = """(SELECT DISTINCT 'lang=' || regexp_extract(url, '/([a-z]{2})/', 1) AS directory FROM pages)"""
+LANG_FILES_SQL = """SELECT 'lang=' || regexp_extract(url, '/([a-z][a-z])/', 1) AS directory, CAST(ceil(count(*) / 7.0) AS BIGINT) AS files{more}
+FROM pages GROUP BY 1"""
 
 
-@query("file_listing", f"SELECT directory FROM {LANG_DIRS_SQL}")
+@query("file_listing", LANG_FILES_SQL.format(more=", true AS named, true AS filled, true AS timed"))
 def q_file_listing(spark, sf_dir):
-    """S-11: list the data files below a folder (metadata only) and report their folders."""
+    """S-11: the data files below a folder (metadata only): how many, their names, lengths and times, by folder."""
     from rivulet.sources.files import basename, dirname, list_files
-    base = _pages_by_lang(spark, sf_dir)
+    base = _pages_by_lang(spark, sf_dir, 7)
     listing = list_files(spark, base, "*.parquet", recursive=True)
-    return listing.select(basename(dirname("path")).alias("directory")).distinct()
+    return listing.groupBy(basename(dirname("path")).alias("directory")).agg(
+        F.count_distinct("path").alias("files"), F.bool_and(basename("path").rlike(r"^part-.*\.parquet$")).alias("named"),
+        F.bool_and(F.col("length") > 0).alias("filled"),
+        F.bool_and(F.col("modificationTime") > F.lit("2020-01-01").cast("timestamp")).alias("timed"))
 
 
-@query("file_count_by_dir", f"SELECT directory, CAST(1 AS BIGINT) AS files FROM {LANG_DIRS_SQL}")
+@query("file_count_by_dir", LANG_FILES_SQL.format(more=""))
 def q_file_count_by_dir(spark, sf_dir):
-    """S-13: number of files per folder (one writer task per language gives one file each)."""
+    """S-13: number of files per folder."""
     from rivulet.sources.files import basename, file_count_by_dir, list_files
-    base = _pages_by_lang(spark, sf_dir)
+    base = _pages_by_lang(spark, sf_dir, 7)
     counts = file_count_by_dir(list_files(spark, base, "*.parquet", recursive=True))
     return counts.select(basename("directory").alias("directory"), "files")
 
 
+@query("file_count", f"SELECT CAST(count(*) AS BIGINT) AS entries FROM {LANG_DIRS_SQL}")
+def q_file_count(spark, sf_dir):
+    """S-13: number of entries directly in a folder."""
+    from rivulet.sources.files import file_count
+    return spark.createDataFrame([(file_count(spark, _pages_by_lang(spark, sf_dir)),)], "entries bigint")
+
+
 @query("paths_exist", f"""
 SELECT directory, true AS exists FROM {LANG_DIRS_SQL}
 UNION ALL
