@@ -33,8 +33,20 @@ COMMON = (
 ).split()
 CHAIN = 2
 THRESHOLD = 0.8
-_L = r"\p{L}\p{N}"
-_SPOT = rf"(?:(?:[.!?;:|\n]|(?<![{_L}])(?:{'|'.join(sorted(set(COMMON)))})(?![{_L}]))[^{_L}]*+)++"
+# characters of words in lower-cased text: ASCII letters and digits, and all above ASCII
+_L = r"0-9a-z\x80-\x{10FFFF}"
+
+
+def one_of(words) -> str:
+    """A pattern for any of the words that looks at each letter once."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words) - {""}):
+        heads.setdefault(w[0], []).append(w[1:])
+    parts = [h + (one_of(tails) if any(tails) else "") for h, tails in heads.items()]
+    return f"(?:{'|'.join(parts)}){'?' if '' in words else ''}"
+
+
+_SPOT = rf"(?:(?:[.!?;:|\n]|(?<![{_L}]){one_of(COMMON)}(?![{_L}]))[^{_L}]*+)++"
 _MARK = "\x01"
 _CHAIN = rf"{_MARK}(?=([{_L}]++(?:[^{_L}]++[{_L}]++){{0,{CHAIN - 1}}}))"
 _NO_ID = -(1 << 63)
