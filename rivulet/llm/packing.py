@@ -29,6 +29,8 @@ BIN_PIECES = 60000
 # words whose ids a task remembers, and bytes of text looked up together
 CACHE_WORDS = 800_000
 RUN_BYTES = 2 << 20
+# unknown words tokenised in one call; the tokenizer slows down on longer texts
+JOINED = 128
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -59,8 +61,10 @@ class WordIds(dict):
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = list(words)
-        if not new:
-            return
+        for k in range(0, len(new), JOINED):
+            self._learn(new[k:k + JOINED])
+
+    def _learn(self, new: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in new]
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
