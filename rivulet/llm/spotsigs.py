@@ -138,7 +138,7 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the size class of a set: sizes that could match are in the same or in neighbouring classes
     size = F.size("_s")
     sets = reps.where((size > 0) & F.col("rep").isNotNull()).withColumn("_n", size) \
-        .withColumn("_c", F.floor(F.log(F.col("_n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold))).cast("int"))
+        .withColumn("_c", F.floor(F.log(F.col("_n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int"))
     tokens = sets.select("rep", "_n", "_c", F.explode("_s").alias("_x"))
     df = tokens.groupBy("_x").agg(F.count(F.lit(1)).alias("_df"))
     # a set's rarest signatures: a match shares one of the first n - ceil(threshold * n) + 1
