@@ -78,7 +78,8 @@ class Index:
     weights: np.ndarray           # how many labelled rows an example stands for
     examples: np.ndarray          # examples x terms, unit length
     block_max: np.ndarray = field(init=False)   # blocks x terms
-    lists: list = field(init=False)             # per block and term: the examples that have it
+    cell_of: np.ndarray = field(init=False)     # terms x blocks: the postings block of a term, 0 if it has none there
+    cells: np.ndarray = field(init=False)       # postings blocks: a weight for each of a block's examples
     empty_rate: float = 0.5       # toxic share of labelled rows without any of the terms
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
@@ -90,10 +91,17 @@ class Index:
             order = np.lexsort((self.ids, heavy[:, -1], heavy[:, 0]))
             self.ids, self.labels, self.weights, self.examples = (
                 x[order] for x in (self.ids, self.labels, self.weights, self.examples))
-        blocks = range(0, len(self.ids), BLOCK)
-        self.block_max = np.array([self.examples[b:b + BLOCK].max(axis=0) for b in blocks]).reshape(len(blocks), len(self.idf))
-        self.lists = [[(np.flatnonzero(part[:, t])) for t in range(len(self.idf))]
-                      for part in (self.examples[b:b + BLOCK] for b in blocks)]
+        self.examples = self.examples.astype(np.float32)
+        n, terms = self.examples.shape
+        blocks = -(-n // BLOCK)
+        padded = np.zeros((blocks * BLOCK, terms), dtype=np.float32)
+        padded[:n] = self.examples
+        padded = padded.reshape(blocks, BLOCK, terms)
+        self.block_max = padded.max(axis=1, initial=0)
+        t, b = np.nonzero(self.block_max.T)
+        self.cell_of = np.zeros((terms, blocks), dtype=np.int64)
+        self.cell_of[t, b] = np.arange(1, len(t) + 1)
+        self.cells = np.concatenate([np.zeros((1, BLOCK), dtype=np.float32), padded[b, :, t]])
 
     def vector(self, text: str | None, known: WordTerms) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, of unit length; empty if it has none of the terms."""
@@ -107,20 +115,22 @@ class Index:
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None):
         """Positions and cosines of the k nearest examples, with all that tie with the k-th; only positive cosines."""
         bounds = self.block_max[:, at] @ w
-        found, sims, worst = [], [], 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < worst - 1e-9:
-                break
-            base, score = b * BLOCK, np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for t, v in zip(at, w):
-                rows = self.lists[b][t]
-                if len(rows):
-                    score[rows] += v * self.examples[base + rows, t]
-            hit = np.flatnonzero(score > 0)
+        order = np.argsort(-bounds, kind="stable")
+        lists = self.cell_of[at]
+        found, sims, worst, done, wave = [], [], 0.0, 0, 4
+        while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= worst - 1e-9:
+            some = order[done:done + wave]
+            some = some[(bounds[some] > 0) & (bounds[some] >= worst - 1e-9)]
+            done, wave = done + wave, 2 * wave
+            score = np.tensordot(w, self.cells[lists[:, some]], axes=1)
+            at_block, row = np.nonzero(score > 0)
+            place = some[at_block] * BLOCK + row
+            value = score[at_block, row]
             if without is not None:
-                hit = hit[self.ids[base + hit] != without]
-            found.append(base + hit)
-            sims.append(score[hit])
+                other = self.ids[place] != without
+                place, value = place[other], value[other]
+            found.append(place)
+            sims.append(value)
             everything = np.concatenate(sims)
             if len(everything) >= k:
                 worst = float(np.partition(everything, -k)[-k])
@@ -234,7 +244,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     index = fit(docs, labels, id_col, text_col, label_col, **fitting)
     # plain arrays, bounded by the sample; workers need no installed copy of the class
-    shared = docs.sparkSession.sparkContext.broadcast(index and vars(index))
+    shared = docs.sparkSession.sparkContext.broadcast(index and {k: v for k, v in vars(index).items() if k != "examples"})
 
     def run(batches):
         import pyarrow as pa
