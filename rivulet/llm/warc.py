@@ -66,11 +66,13 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str,
     """
     base = pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    base = base.withColumn("_sha1", F.sha1(F.col("_html").cast("binary"))) \
-        .withColumn("_key", F.when(_bytes(F.col("_html")) >= revisit_bytes, F.sha2(F.col("_html").cast("binary"), 256)))
+    base = base.withColumn("_sha1", F.sha1(F.col("_html").cast("binary")))
     base = base.withColumn("_rid", _record_id(F.col("_id"), F.col("_url"), F.col("_sha1")))
+    # a smaller payload has a key of its own, so that these rows are dealt evenly and match nothing
+    large = _bytes(F.col("_html")) >= revisit_bytes
+    base = base.withColumn("_key", F.when(large, F.sha2(F.col("_html").cast("binary"), 256)).otherwise(F.col("_rid")))
     # a null id is below every other; only payloads that two records share are listed
-    first = base.where("_key IS NOT NULL").groupBy("_key").agg(
+    first = base.where(large).groupBy("_key").agg(
         F.max(F.struct("_id", "_url", "_rid")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1") \
         .select("_key", F.col("_first._rid").alias("_to"))
     return base.join(first, "_key", "left") \
@@ -216,7 +218,8 @@ def assemble(records: DataFrame) -> DataFrame:
     originals = records.where("type = 'response'").select(
         F.col("id").alias("_to"), F.struct("id", "page", "payload_bytes", "payload_sha1").alias("original")).dropDuplicates(["_to"])
     return captures.join(part("request"), "id", "left").join(part("metadata"), "id", "left") \
-        .withColumn("_to", F.col("capture.refers_to")).join(originals, "_to", "left").drop("_to")
+        .withColumn("_to", F.coalesce("capture.refers_to", F.concat(F.lit("none:"), "id"))) \
+        .join(originals, "_to", "left").drop("_to")  # a capture that refers to nothing has a key of its own
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
