@@ -32,7 +32,7 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 65536
 MAX_TERMS = 1024
 MIN_DF = 4
-MIN_CHI2 = 12.0
+MIN_CHI2 = 30.0  # chance alone gives one such term in some ten million
 NEIGHBOURS = 15
 BLOCK = 64
 EVIDENCE = 3
