@@ -1,12 +1,14 @@
 """Toxicity by nearest labelled examples.
 
-Labelled texts become TF-IDF vectors of unit length over the words and word
-beginnings that tell the classes apart (chi-square over the labelled sample).
-Beginnings stand for the forms of a word that the sample has not seen.  An inverted index
-holds them in blocks of neighbouring examples with the largest weight of each
-word in each block.  A query bounds its cosine with every block from these
-maxima, looks into blocks from the highest bound down, and stops when no block
-left can hold a nearer example than the k-th best: the neighbours are exact.
+Labelled texts become TF-IDF vectors of unit length over all words and word
+beginnings of the labelled sample; those that do not tell the classes apart
+(chi-square) weigh less, none is left out.  Beginnings stand for the forms of a
+word that the sample has not seen.  The few terms of the largest weight in all
+are a matrix, and a query's products with it a first part of every cosine.  All
+others are inverted lists in blocks of neighbouring examples with the largest
+weight of each term in each block.  The k-th best first part is a floor of the
+k-th best cosine; a query bounds its cosine with every block from the maxima
+and looks into the blocks that can reach the floor: the neighbours are exact.
 Their labels vote by similarity; isotonic regression on the labelled sample,
 each row without itself, makes the vote a probability.
 """
@@ -14,9 +16,8 @@ each row without itself, makes the vote a probability.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,11 @@ from rivulet.session import materialize
 # bound of the fit: about so many labelled rows of each class, none longer than this
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 65536
-MAX_TERMS = 1024
-MIN_DF = 4
-MIN_CHI2 = 30.0  # chance alone gives one such term in some ten million
+FULL_CHI2 = 30.0  # from here a term has its full weight; chance alone gives one such term in some ten million
+LEAST_WEIGHT = 0.1  # share of its weight that any term keeps
+HEAD = 1024  # terms kept as a matrix
+QUERIES = 64  # texts whose products with the matrix are taken together
+ROUNDING = 1e-5  # more than a float32 product of unit vectors is off
 NEIGHBOURS = 15
 BLOCK = 64
 EVIDENCE = 3
@@ -53,6 +56,10 @@ def terms_of(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in STEMS if len(word) >= k)]
 
 
+def numbered(terms: str) -> dict[str, int]:
+    return {t: i for i, t in enumerate(terms.split("\n"))} if terms else {}
+
+
 class WordTerms(dict):
     """Numbers of the terms a word stands for."""
 
@@ -68,6 +75,17 @@ class WordTerms(dict):
         return out
 
 
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] numbers), start[1], ..."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def arranged(ids: np.ndarray, at: list, w: list) -> np.ndarray:
+    """An order of the examples in which neighbours share their heaviest terms, so that block maxima stay tight."""
+    heavy = np.array([[*a[np.argsort(-x, kind="stable")[:2]], -1, -1][:2] for a, x in zip(at, w)], dtype=np.int64).reshape(len(ids), 2)
+    return np.lexsort((ids, heavy[:, 1], heavy[:, 0]))
+
+
 @dataclass
 class Index:
     """Labelled examples under block-max lists."""
@@ -76,69 +94,105 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray           # how many labelled rows an example stands for
-    examples: np.ndarray          # examples x terms, unit length
-    block_max: np.ndarray = field(init=False)   # blocks x terms
-    cell_of: np.ndarray = field(init=False)     # terms x blocks: the postings block of a term, 0 if it has none there
-    cells: np.ndarray = field(init=False)       # postings blocks: a weight for each of a block's examples
+    examples: np.ndarray | None   # examples x terms, unit length
+    postings: tuple | None = None  # in place of these, in this order: how many a term has, their examples, their weights
     empty_rate: float = 0.5       # toxic share of labelled rows without any of the terms
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    slot: np.ndarray = field(init=False)        # term: its column of the head, -1 if it has none
+    head: np.ndarray = field(init=False)        # examples x terms of the largest weight in all
+    lists: np.ndarray = field(init=False)       # term: its first postings block, and the end of the last term's
+    block_of: np.ndarray = field(init=False)    # postings block: its block of examples
+    block_max: np.ndarray = field(init=False)   # postings block: its largest weight
+    cells: np.ndarray = field(init=False)       # postings block: its first posting, and the end of the last one's
+    rows: np.ndarray = field(init=False)        # posting: its example
+    cosines: np.ndarray = field(init=False)     # posting: its weight
 
     def __post_init__(self):
-        # neighbours in the index share their heaviest words, so block maxima stay tight
-        if len(self.ids):
-            heavy = np.argsort(-self.examples, axis=1, kind="stable")[:, :2]
-            order = np.lexsort((self.ids, heavy[:, -1], heavy[:, 0]))
+        n, terms = len(self.ids), len(self.idf)
+        if self.postings is None:
+            order = arranged(self.ids, [np.flatnonzero(x) for x in self.examples], [x[x != 0] for x in self.examples])
             self.ids, self.labels, self.weights, self.examples = (
                 x[order] for x in (self.ids, self.labels, self.weights, self.examples))
-        self.examples = self.examples.astype(np.float32)
-        n, terms = self.examples.shape
-        blocks = -(-n // BLOCK)
-        padded = np.zeros((blocks * BLOCK, terms), dtype=np.float32)
-        padded[:n] = self.examples
-        padded = padded.reshape(blocks, BLOCK, terms)
-        self.block_max = padded.max(axis=1, initial=0)
-        t, b = np.nonzero(self.block_max.T)
-        self.cell_of = np.zeros((terms, blocks), dtype=np.int64)
-        self.cell_of[t, b] = np.arange(1, len(t) + 1)
-        self.cells = np.concatenate([np.zeros((1, BLOCK), dtype=np.float32), padded[b, :, t]])
+            self.examples = self.examples.astype(np.float32)
+            term, row = np.nonzero(self.examples.T)
+            self.postings = np.bincount(term, minlength=terms), row, self.examples[row, term]
+        count, row, value = self.postings
+        self.postings = None
+        term, row = np.repeat(np.arange(terms, dtype=np.int32), count), row.astype(np.int32)
+        top = np.argsort(-np.bincount(term, weights=value, minlength=terms), kind="stable")[:HEAD]
+        self.slot = np.full(terms, -1, dtype=np.int32)
+        self.slot[top] = np.arange(len(top))
+        self.head = np.zeros((n, len(top)), dtype=np.float32)
+        column = self.slot[term]
+        here = column >= 0
+        self.head[row[here], column[here]] = value[here]
+        self.rows, term, self.cosines = row[~here], term[~here], value[~here]
+        block = self.rows // BLOCK
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        self.cells = np.append(first, len(term)).astype(np.int32)
+        self.block_of = block[first]
+        self.block_max = np.maximum.reduceat(self.cosines, first) if len(first) else np.zeros(0, np.float32)
+        self.lists = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+
+    @classmethod
+    def of(cls, fitted: dict) -> Index:
+        """The index that ``fit`` has learned."""
+        return cls(**fitted | {"terms": numbered(fitted["terms"])}, examples=None)
 
     def vector(self, text: str | None, known: WordTerms) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, of unit length; empty if it has none of the terms."""
-        counts = Counter(chain.from_iterable(map(known.__getitem__, words_of(text))))
-        if not counts:
+        at, counts = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, words_of(text))), np.int64), return_counts=True)
+        if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array(sorted(counts), dtype=np.int64)
-        w = (1 + np.log([counts[t] for t in at])) * self.idf[at]
+        w = (1 + np.log(counts)) * self.idf[at]
         return at, w / np.sqrt((w * w).sum())
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None):
         """Positions and cosines of the k nearest examples, with all that tie with the k-th; only positive cosines."""
-        bounds = self.block_max[:, at] @ w
-        order = np.argsort(-bounds, kind="stable")
-        lists = self.cell_of[at]
-        found, sims, worst, done, wave = [], [], 0.0, 0, 4
-        while done < len(order) and bounds[order[done]] > 0 and bounds[order[done]] >= worst - 1e-9:
-            some = order[done:done + wave]
-            some = some[(bounds[some] > 0) & (bounds[some] >= worst - 1e-9)]
-            done, wave = done + wave, 2 * wave
-            score = np.tensordot(w, self.cells[lists[:, some]], axes=1)
-            at_block, row = np.nonzero(score > 0)
-            place = some[at_block] * BLOCK + row
-            value = score[at_block, row]
-            if without is not None:
-                other = self.ids[place] != without
-                place, value = place[other], value[other]
-            found.append(place)
-            sims.append(value)
-            everything = np.concatenate(sims)
-            if len(everything) >= k:
-                worst = float(np.partition(everything, -k)[-k])
-        if not found:
+        return next(self.nearest_each([(at, w)], k, [without]))
+
+    def nearest_each(self, vectors, k: int = NEIGHBOURS, without: list | None = None):
+        """``nearest`` of each vector, an empty one near nothing."""
+        vectors, start = iter(vectors), -QUERIES
+        while some := list(islice(vectors, QUERIES)):
+            start += QUERIES
+            queries = np.zeros((len(some), self.head.shape[1]), dtype=np.float32)
+            for i, (at, w) in enumerate(some):
+                column = self.slot[at]
+                queries[i, column[column >= 0]] = w[column >= 0]
+            for i, (first, (at, w)) in enumerate(zip(queries @ self.head.T, some)):
+                yield self._nearest(first, at, w, k, without[start + i] if without else None)
+
+    def _nearest(self, first: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, without: int | None):
+        n = len(first)
+        if not n or not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        found, sims = np.concatenate(found), np.concatenate(sims)
-        keep = sims >= worst - 1e-9
-        found, sims = found[keep], sims[keep]
+        if without is not None:
+            first[self.ids == without] = -2
+        kth = max(0, n - k)
+        floor = np.partition(first, kth)[kth] - ROUNDING
+        column = self.slot[at]
+        tail = column < 0
+        start = self.lists[at[tail]]
+        count = self.lists[at[tail] + 1] - start
+        lists, of = _spans(start, count), np.repeat(w[tail], count)
+        block = self.block_of[lists]
+        bounds = np.maximum.reduceat(first, np.arange(0, n, BLOCK)).astype(np.float64)
+        bounds += np.bincount(block, weights=self.block_max[lists] * of, minlength=len(bounds))
+        look = (bounds >= floor - ROUNDING)[block]
+        lists, of = lists[look], of[look]
+        start = self.cells[lists]
+        count = self.cells[lists + 1] - start
+        at_row = _spans(start, count)
+        rest = np.bincount(self.rows[at_row], weights=self.cosines[at_row] * np.repeat(of, count), minlength=n)
+        near = first + rest
+        found = np.flatnonzero((near > 0) & (near >= np.partition(near, kth)[kth] - ROUNDING))
+        sims = rest[found] + self.head[np.ix_(found, column[~tail])] @ w[~tail]
+        found, sims = found[sims > 0], sims[sims > 0]
+        if len(found) > k:
+            keep = sims >= np.partition(sims, -k)[-k] - 1e-9
+            found, sims = found[keep], sims[keep]
         order = np.lexsort((found, -sims))
         return found[order], sims[order]
 
@@ -164,9 +218,9 @@ def _count_terms(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, max_terms: int = MAX_TERMS,
-        seed: int = SEED) -> Index | None:
-    """Index over about ``sample_rows`` labelled rows of each class that are not held out.
+        sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
+        seed: int = SEED) -> dict | None:
+    """What ``Index.of`` needs for an index over about ``sample_rows`` labelled rows of each class that are not held out.
 
     Rows are drawn at one rate per class by a seeded hash of the id and count
     1/rate each.  Null labels and ids are left out; an id labelled more than
@@ -188,47 +242,68 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not sum(n.values()):
         return None
     counted = sample.select("_t", "_y").mapInArrow(_count_terms, "term string, y int").groupBy("term").agg(
-        F.sum((F.col("y") > 0).cast("double")).alias("a"), F.count(F.lit(1)).cast("double").alias("df")).where(F.col("df") >= MIN_DF)
+        F.sum((F.col("y") > 0).cast("double")).alias("a"), F.count(F.lit(1)).cast("double").alias("df"))
     pos, total = float(n[1]), float(n[0] + n[1])
     neg = total - pos
-    a, df = F.col("a"), F.col("df")
+    # the terms of the sample, so bounded
+    counted = counted.toArrow().sort_by("term")
+    terms = "\n".join(counted["term"].to_pylist())
+    a, df = counted["a"].to_numpy(), counted["df"].to_numpy()
+    del counted
     b = df - a
-    chi2 = F.lit(total) * F.pow(a * (neg - b) - b * (pos - a), F.lit(2.0)) / (df * (F.lit(total) - df) * max(pos, 1.0) * max(neg, 1.0))
-    picked = counted.where(df < total).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2) \
-        .orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
-    terms = {r.term: i for i, r in enumerate(picked)}
-    idf = np.log((1 + total) / (1 + np.array([r.df for r in picked], dtype=float))) if picked else np.zeros(0)
-    bare = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros((0, len(terms))))
+    chi2 = total * (a * (neg - b) - b * (pos - a)) ** 2 / (df * np.maximum(total - df, 1.0) * max(pos, 1.0) * max(neg, 1.0))
+    idf = np.log((1 + total) / df) * np.clip(chi2 / FULL_CHI2, LEAST_WEIGHT, 1.0)
+    bare = docs.sparkSession.sparkContext.broadcast((terms, idf))
 
     def vectors(batches):
         import pyarrow as pa
-        known = WordTerms(terms)
+        index = object.__new__(Index)
+        names, index.idf = bare.value
+        known = WordTerms(numbered(names))
         for batch in batches:
-            found = [bare.vector(t.as_py(), known) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[0].tolist() for f in found], pa.list_(pa.int64())),
-                                   pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))], names=["id", "y", "at", "w"])
+            found = [index.vector(t.as_py(), known) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()),
+                                   pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary())], names=["id", "y", "at", "w"])
 
     # the sample, so bounded; rows without any of the terms only count
-    rows = sample.select("_id", "_t", "_y").mapInArrow(vectors, "id bigint, y int, at array<bigint>, w array<double>").collect()
+    sparse = materialize(sample.select("_id", "_t", "_y").mapInArrow(vectors, "id bigint, y int, at binary, w binary"), "toxic-vectors")
     weigh = lambda y: 1.0 / rates[y]
-    full = [r for r in rows if r["at"]]
-    none = [(weigh(r.y), float(r.y > 0)) for r in rows if not r["at"]]
-    examples = np.zeros((len(full), len(terms)))
-    for i, r in enumerate(full):
-        examples[i, r["at"]] = r["w"]
-    index = Index(terms, idf, np.array([r.id for r in full], dtype=np.int64), np.array([float(r.y > 0) for r in full]),
-                  np.array([weigh(r.y) for r in full]), examples)
+    none = [(weigh(r.y), float(r.y > 0)) for r in sparse.where(F.octet_length("at") == 0).select("y").collect()]
+    full = sparse.where(F.octet_length("at") > 0).toArrow()
+    marks = full["y"].to_pylist()
+    bare.destroy()
+    ids, at, w = full["id"].to_numpy().astype(np.int64), *([np.frombuffer(x.as_py(), t) for x in full[c]]
+                                                           for c, t in (("at", np.int32), ("w", np.float32)))
+    del full
+    order = arranged(ids, at, w)
+    at, w = [at[i] for i in order], [w[i] for i in order]
+    row = np.repeat(np.arange(len(ids), dtype=np.uint16 if len(ids) < 1 << 16 else np.int32), [len(a) for a in at])
+    at, w = np.concatenate([np.zeros(0, np.int32), *at]), np.concatenate([np.zeros(0, np.float32), *w])
+    by_term = np.argsort(at, kind="stable")
+    index = {"terms": terms, "idf": idf, "ids": ids[order], "labels": np.array([float(y > 0) for y in marks])[order],
+             "weights": np.array([weigh(y) for y in marks], dtype=float)[order],
+             "postings": (np.bincount(at, minlength=len(idf)).astype(np.int32), row[by_term], w[by_term])}
+    del at, w, row, by_term
     total_w = sum(w for w, _ in none)
-    index.empty_rate = (sum(w * y for w, y in none) + 0.5) / (total_w + 1.0)
-    if full:
-        votes = []
-        for r in full:
-            vote = index.vote(*index.nearest(np.array(r["at"]), np.array(r["w"]), without=r.id))
-            if vote >= 0:
-                votes.append((vote, weigh(r.y), weigh(r.y) * float(r.y > 0)))
+    index["empty_rate"] = (sum(w * y for w, y in none) + 0.5) / (total_w + 1.0)
+    if marks:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def voted(batches):
+            import pyarrow as pa
+            index = Index.of(shared.value)
+            for batch in batches:
+                each = ((np.frombuffer(a.as_py(), np.int32), np.frombuffer(w.as_py(), np.float32).astype(float))
+                        for a, w in zip(batch.column(2), batch.column(3)))
+                votes = [index.vote(*f) for f in index.nearest_each(each, without=batch.column(0).to_pylist())]
+                yield pa.record_batch([pa.array(votes, pa.float64()), batch.column(1)], names=["vote", "y"])
+
+        votes = [(r.vote, weigh(r.y), weigh(r.y) * float(r.y > 0)) for r in
+                 sparse.where(F.octet_length("at") > 0).mapInArrow(voted, "vote double, y int").where("vote >= 0").collect()]
+        shared.destroy()
         if votes:
             v = pd.DataFrame(votes, columns=["x", "w", "p"]).groupby("x", as_index=False).sum().sort_values("x")
-            index.knots, index.values = isotonic(v["x"].to_numpy(), v["w"].to_numpy(), v["p"].to_numpy())
+            index["knots"], index["values"] = isotonic(v["x"].to_numpy(), v["w"].to_numpy(), v["p"].to_numpy())
     return index
 
 
@@ -243,25 +318,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     are not read.  An empty table gives an empty result.
     """
     index = fit(docs, labels, id_col, text_col, label_col, **fitting)
-    # plain arrays, bounded by the sample; workers need no installed copy of the class
-    shared = docs.sparkSession.sparkContext.broadcast(index and {k: v for k, v in vars(index).items() if k != "examples"})
+    # arrays bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         import pyarrow as pa
-        index = None
-        if shared.value:
-            index = object.__new__(Index)
-            vars(index).update(shared.value)
-            known = WordTerms(index.terms)
+        index = shared.value and Index.of(shared.value)
+        known = WordTerms(index.terms) if index else {}
         for batch in batches:
             score, evidence = [], []
-            for t in batch.column(1):
-                if index is None:
-                    score.append(0.5)
-                    evidence.append([])
-                    continue
-                at, w = index.vector(t.as_py(), known)
-                found, sims = index.nearest(at, w) if len(at) else (at, w)
+            if index is None:
+                score, evidence = [0.5] * len(batch), [[]] * len(batch)
+            for found, sims in index.nearest_each(index.vector(t.as_py(), known) for t in batch.column(1)) if index else ():
                 score.append(index.score(index.vote(found, sims)))
                 evidence.append([{"id": int(index.ids[f]), "cosine": float(s), "label": int(index.labels[f])}
                                  for f, s in zip(found[:EVIDENCE], sims[:EVIDENCE])])

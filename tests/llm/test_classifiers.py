@@ -175,6 +175,40 @@ def test_nearest_examples_against_all_cosines():
         assert set(found.tolist()) == want and np.allclose(sims, every[found])
 
 
+def test_lists_beside_the_matrix_against_all_cosines(monkeypatch):
+    rnd = np.random.default_rng(7)
+    monkeypatch.setattr(T, "HEAD", 5)
+    examples = np.maximum(rnd.normal(0, 1, (500, 60)) - 1.2, 0)
+    examples = examples[examples.sum(axis=1) > 0]
+    examples[9:30] = examples[9]  # ties
+    examples /= np.linalg.norm(examples, axis=1, keepdims=True)
+    n = len(examples)
+    index = T.Index({}, np.ones(60), np.arange(n), np.zeros(n), np.ones(n), examples.copy())
+    assert index.head.shape == (n, 5) and len(index.rows) == np.count_nonzero(examples) - np.count_nonzero(index.head)
+    for q in range(60):
+        v = np.maximum(rnd.normal(0, 1, 60) - 1.5, 0) if q % 3 else examples[q]
+        at = np.flatnonzero(v)
+        if not len(at):
+            continue
+        w = v[at] / np.linalg.norm(v[at])
+        found, sims = index.nearest(at, w, 10, without=q)
+        every = np.where(index.ids == q, 0, index.examples[:, at] @ w)
+        kth = np.sort(every)[-10]
+        want = {int(i) for i in np.flatnonzero((every >= kth - 1e-9) & (every > 0))}
+        assert set(found.tolist()) == want and np.allclose(sims, every[found])
+
+
+def test_a_copy_of_a_toxic_text_of_rare_words_finds_it(spark, corpus):
+    rows, marks = corpus
+    rare = "quondam vexillo brumal ixtle sphragid"
+    own = next(i for i in range(1000, 1100) if not HELD(i))
+    docs = messy(spark, rows + [(own, rare, "en", "a"), (2000, rare, "en", "a"), (2001, "tmesis gharial ouphe", "en", "a")])
+    out = {r.doc_id: r for r in T.toxicity(docs, labels(spark, marks + [(own, 1, 1)])).where("doc_id >= 1000").collect()}
+    first = out[2000].evidence[0]
+    assert first.id == own and first.label == 1 and abs(first.cosine - 1) < 1e-6
+    assert out[2001].evidence == []
+
+
 def test_isotonic():
     x, y = Q.isotonic(np.array([0.0, 1, 2, 3]), np.array([10.0, 10, 10, 10]), np.array([1.0, 5, 3, 9]))
     assert (np.diff(y) > 0).all() and len(x) == 3
