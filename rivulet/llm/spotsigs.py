@@ -33,8 +33,10 @@ COMMON = (
 ).split()
 CHAIN = 2
 THRESHOLD = 0.8
-# characters of words in lower-cased text: ASCII letters and digits, and all above ASCII
-_L = r"0-9a-z\x80-\x{10FFFF}"
+# characters of words
+_L = r"\p{L}\p{N}"
+# marks that end a sentence or a cell, also full-width, Arabic, Armenian, Devanagari and Ethiopic ones, and line ends
+_MARKS = r".!?;:|\n\u2026\u203C\u2047-\u2049\u3002\uFF01\uFF0E\uFF1A\uFF1B\uFF1F\uFF5C\uFF61\u061B\u061F\u06D4\u0589\u0964\u0965\u1362\u2028\u2029"
 
 
 def one_of(words) -> str:
@@ -46,7 +48,7 @@ def one_of(words) -> str:
     return f"(?:{'|'.join(parts)}){'?' if '' in words else ''}"
 
 
-_SPOT = rf"(?:(?:[.!?;:|\n]|(?<![{_L}]){one_of(COMMON)}(?![{_L}]))[^{_L}]*+)++"
+_SPOT = rf"(?:(?:[{_MARKS}]|(?<![{_L}]){one_of(COMMON)}(?![{_L}]))[^{_L}]*+)++"
 _MARK = "\x01"
 _CHAIN = rf"{_MARK}(?=([{_L}]++(?:[^{_L}]++[{_L}]++){{0,{CHAIN - 1}}}))"
 _NO_ID = -(1 << 63)

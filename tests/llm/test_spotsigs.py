@@ -28,6 +28,30 @@ def test_signatures_against_a_plain_walk(spark):
         assert set(r.c) == brute_chains(texts[r.k]), texts[r.k][:80]
 
 
+def test_quotes_spaces_and_scripts_beyond_ascii(spark):
+    cjk = "今天天气很好，我们去公园。他说：你好！明天见？好的；再见。春天来了，花开了。山上有雪，河里有鱼。猫在睡觉，狗在跑。"
+    texts = ["in \u201cthe wall\u201d of \u2018stone\u2019 wall", "the\u00a0cat\u00a0of the\u2014hat\u2026 a\u3000dog", cjk, cjk.replace("。", "｡"),
+             "«la pierre» – du mur", "the cat\u2009sat", "price \u20ac the stone\u00d7wall"]
+
+    def walk(text):
+        words, spot = [], True
+        for m in re.finditer(r"(?P<w>[^\W_]+)|(?P<m>[.!?;:|\n…。｡！？；：])", "\n" + text.lower()):
+            if m["w"] and m["w"] not in S.COMMON:
+                words.append((m["w"], spot))
+                spot = False
+            else:
+                spot = True
+        return {" ".join(w for w, _ in words[k:k + S.CHAIN]) for k, (_, s) in enumerate(words) if s}
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k bigint, t string")
+    chains = df.select("k", F.transform(S.spots(F.col("t")), lambda s: F.regexp_replace(s, f"[^{S._L}]+", " ")).alias("c"))
+    for r in chains.collect():
+        assert set(r.c) == walk(texts[r.k]), texts[r.k]
+    one = spark.createDataFrame([(1, cjk), (2, "x")], "doc_id bigint, text string")
+    near = {r.doc_id: r.near_edited for r in S.edit_report(one).collect()}
+    assert len(walk(cjk)) > 5 and 0.4 < near[1] <= 1
+
+
 def test_report_against_brute_force(spark):
     rows = with_null_ids(messy_rows())
     got = {}
