@@ -119,3 +119,20 @@ def test_concat_many_files(spark, tmp):
     assert got == ["a,b", *(f"{i},{2 * i}" for i in range(3000))]
     parts = sorted(f for f in os.listdir(f"{tmp}/one") if f.startswith("part-"))
     assert "".join(open(f"{tmp}/one/{f}").read() for f in parts).split() == got
+
+
+def test_the_json_array_query_writes_every_customer(spark, monkeypatch):
+    import __spark_entry__ as E
+    from rivulet.plans import q_hard
+    from tests.conftest import SF_SMALL
+    paths = []
+
+    def kept(session, name, make=q_hard.scratch_path):
+        paths.append(make(session, name))
+        return paths[-1]
+
+    monkeypatch.setattr(q_hard, "scratch_path", kept)
+    got = E.queries()["write_json_array"](spark, SF_SMALL)
+    keys = [r.c_custkey for r in spark.read.parquet(f"{SF_SMALL}/customer.parquet").select("c_custkey").collect()]
+    assert sorted(r.c_custkey for r in got.collect()) == sorted(k for k in keys if k % 2 == 0)
+    assert spark.read.text(paths[0]).count() == len(keys)
