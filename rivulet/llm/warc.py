@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import release, table
-from rivulet.session import scratch_path
+from rivulet.session import materialize, scratch_path
 
 REVISIT_BYTES = 1000
 END = "\r\n"
@@ -58,31 +58,41 @@ def _header(kind: Column, rid: Column, target: Column, content: str, length: Col
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str,
-                 revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+                 revisit_bytes: int = REVISIT_BYTES, every_row: bool = False) -> DataFrame:
     """Every page with its record id and, for a revisit, the record id it refers to.
 
     Payloads are compared by SHA-256 and length; only these are shuffled to
-    find the largest id of each payload.
+    find the largest id of each payload.  With ``every_row`` equal rows are
+    numbered, so that each has a record id of its own, and a row with the
+    largest id is a response, however many there are.
     """
     base = pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     base = base.withColumn("_sha1", F.sha1(F.col("_html").cast("binary")))
     base = base.withColumn("_rid", _record_id(F.col("_id"), F.col("_url"), F.col("_sha1")))
+    if every_row:
+        # only the rows that repeat are written, so that their numbers are the same to every reader
+        again = materialize(base.groupBy("_rid").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_rid"), "warc-again")
+        many = materialize(base.join(again, "_rid", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "warc-many")
+        own = F.when(F.col("_row") == F.col("_lead"), F.col("_rid")).otherwise(_record_id(F.col("_rid"), F.col("_row")))
+        many = many.join(many.groupBy("_rid").agg(F.min("_row").alias("_lead")), "_rid") \
+            .withColumn("_rid", own).drop("_row", "_lead")
+        base = base.join(again, "_rid", "left_anti").unionByName(many)
     # a smaller payload has a key of its own, so that these rows are dealt evenly and match nothing
     large = _bytes(F.col("_html")) >= revisit_bytes
     base = base.withColumn("_key", F.when(large, F.sha2(F.col("_html").cast("binary"), 256)).otherwise(F.col("_rid")))
     # a null id is below every other; only payloads that two records share are listed
     first = base.where(large).groupBy("_key").agg(
         F.max(F.struct("_id", "_url", "_rid")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1") \
-        .select("_key", F.col("_first._rid").alias("_to"))
-    return base.join(first, "_key", "left") \
-        .withColumn("_to", F.when(F.col("_to") != F.col("_rid"), F.col("_to")))
+        .select("_key", F.col("_first._rid").alias("_to"), F.col("_first._id").alias("_top"))
+    itself = F.col("_id").eqNullSafe(F.col("_top")) if every_row else F.col("_to") == F.col("_rid")
+    return base.join(first, "_key", "left").withColumn("_to", F.when(~itself, F.col("_to"))).drop("_top")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               revisit_bytes: int = REVISIT_BYTES) -> None:
+               revisit_bytes: int = REVISIT_BYTES, every_row: bool = False) -> None:
     """Write three records per page to gzip archives under ``path``."""
-    p = plan_records(pages, id_col, url_col, html_col, revisit_bytes)
+    p = plan_records(pages, id_col, url_col, html_col, revisit_bytes, every_row)
     rid, url, to = F.col("_rid"), F.col("_url"), F.col("_to")
     page = F.concat(F.lit("WARC-Page-ID: "), F.coalesce(F.col("_id").cast("string"), F.lit("")))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("_sha1"))
@@ -223,24 +233,25 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                  revisit_bytes: int = REVISIT_BYTES, with_payload: bool = True) -> DataFrame:
+                  revisit_bytes: int = REVISIT_BYTES, with_payload: bool = True, every_row: bool = False) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read the captures back.
 
     Of equal payloads of at least ``revisit_bytes`` bytes the one with the
     largest id is the response.  A null html is an empty payload, a null
     address an empty one; a null id is below all others and comes back null.
-    Rows equal in id, address and html are one capture.  Other columns of
+    Rows equal in id, address and html are one capture or, with ``every_row``,
+    a capture each; then all rows of the largest id are responses.  Other columns of
     ``pages`` are not read.  An empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_warc(pages, path, id_col, url_col, html_col, revisit_bytes)
+    write_warc(pages, path, id_col, url_col, html_col, revisit_bytes, every_row)
     release(spark)
     return assemble(read_warc(spark, path, with_payload))
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
-    c = archive_pages(table(spark, sf_dir, "pages"), with_payload=False)
+    c = archive_pages(table(spark, sf_dir, "pages"), with_payload=False, every_row=True)
     page = F.nullif(F.col("capture.page"), F.lit("")).cast("bigint")
     return c.select(
         page.alias("page_id"),

@@ -83,5 +83,15 @@ def test_rows_that_repeat(spark):
     assert sorted(map(tuple, got)) == [("1", "revisit"), ("2", "response")]
 
 
+def test_every_row_comes_back_as_in_the_sql(spark):
+    x, y = "x" * 1200, "y" * 1300
+    rows = [(1, "u", x)] * 3 + [(2, "u", x)] * 2 + [(2, "v", x), (3, "u", "short"), (3, "u", "short"), (4, "u", y), (4, "u", y)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    df.createOrReplaceTempView("pages")
+    twin = sorted(map(tuple, spark.sql(W.SQL.replace("encode(coalesce(html, ''))", "encode(coalesce(html, ''), 'utf-8')")).collect()), key=repr)
+    assert len(twin) == len(rows)
+    assert digest_rows(spark, df) == twin
+
+
 def test_empty_table(spark):
     assert W.archive_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
