@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import vocab as V
@@ -80,15 +81,19 @@ SELECT o_orderpriority AS part, concat_ws(',', o_orderkey, o_custkey, 'x') AS ra
   SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS row_number FROM orders)
 WHERE o_orderstatus = 'P'""")
 def q_csv_error_rownumber(spark, sf_dir):
-    """S-2: a malformed row is reported with its number in its file (one sorted file per priority)."""
+    """S-2: a malformed row is reported with its number in the sorted files of its priority, which are ranges of the key."""
     o = table(spark, sf_dir, "orders")
     line = F.concat_ws(",", "o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "P", F.lit("x")))
     path = scratch_path(spark, "csv_rows")
-    o.select(line.alias("value"), F.col("o_orderpriority").alias("part"), "o_orderkey").repartition("part") \
+    o.select(line.alias("value"), F.col("o_orderpriority").alias("part"), "o_orderkey").repartitionByRange("part", "o_orderkey") \
         .sortWithinPartitions("part", "o_orderkey").select("value", "part").write.partitionBy("part").text(path)
     _, bad = read_csv(spark, path, headers="a,b", continue_on_error=True, row_numbers=True)
     part = F.replace(F.regexp_extract("file", "/part=([^/]*)/", 1), F.lit("%20"), F.lit(" "))
-    return bad.select(part.alias("part"), "raw", "row_number")
+    # rows in the files before: one row per file
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(part).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return bad.join(files, "file").select(part.alias("part"), "raw", (F.col("row_number") + F.col("before")).alias("row_number"))
 
 
 @query("natural_sort_long", """
@@ -232,7 +237,7 @@ def q_concat_in_order(spark, sf_dir):
     paths = []
     for s in ("P", "F", "O"):
         paths.append(f"{base}/{s}")
-        write_csv(o.where(F.col("status") == s).coalesce(1).sortWithinPartitions("key"), paths[-1])
+        write_csv(o.where(F.col("status") == s).repartitionByRange("key").sortWithinPartitions("key"), paths[-1])
     lines = concat_skip_headers(spark, paths)
     return with_row_index(lines, ["file_no", "block", "line_no"], "position").select("line", "position")
 

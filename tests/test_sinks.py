@@ -136,3 +136,33 @@ def test_the_json_array_query_writes_every_customer(spark, monkeypatch):
     keys = [r.c_custkey for r in spark.read.parquet(f"{SF_SMALL}/customer.parquet").select("c_custkey").collect()]
     assert sorted(r.c_custkey for r in got.collect()) == sorted(k for k in keys if k % 2 == 0)
     assert spark.read.text(paths[0]).count() == len(keys)
+
+
+def test_sorted_files_are_ranges_of_the_key(spark, monkeypatch):
+    import glob
+    from rivulet.plans import q_hard
+    from tests.conftest import SF_SMALL
+    paths = []
+
+    def kept(session, name, make=q_hard.scratch_path):
+        paths.append(make(session, name).removeprefix("file:"))
+        return paths[-1]
+
+    monkeypatch.setattr(q_hard, "scratch_path", kept)
+    orders = sorted((tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+                     .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = sorted((r.position, r.line) for r in q_hard.q_concat_in_order(spark, SF_SMALL).collect())
+        bad = sorted(tuple(r) for r in q_hard.q_csv_error_rownumber(spark, SF_SMALL).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = ["key,status"] + [f"{k},{s}" for x in "PFO" for k, _, s, _ in orders if s == x]
+    assert lines == list(enumerate(want, 1))
+    seen, numbered = {}, []
+    for k, c, s, p in orders:
+        seen[p] = seen.get(p, 0) + 1
+        if s == "P":
+            numbered.append((p, f"{k},{c},x", seen[p]))
+    assert bad == sorted(numbered)
+    assert len(glob.glob(f"{paths[0]}/O/part-*")) > 1 and len(glob.glob(f"{paths[1]}/part=*/part-*")) > len(seen)
