@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rivulet.llm import exact_dedup, language, mixing, packing, quality, simhash, spotsigs, substring_dedup, toxicity, warc
+from rivulet.llm import (
+    exact_dedup, language, mixing, packing, quality, simhash, spotsigs, substring_dedup, toxicity, vector_codes, warc,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 # Where SQL can state the result.
@@ -22,4 +25,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_warc": warc.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
