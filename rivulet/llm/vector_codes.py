@@ -45,7 +45,7 @@ class Orchard:
         k = len(entries)
         order = np.argsort(between, axis=1, kind="stable")
         # an entry is not in its own list
-        self.near = np.array([[e for e in row if e != i] for i, row in enumerate(order)], dtype=np.int64).reshape(k, k - 1)
+        self.near = np.array([[e for e in row if e != i] for i, row in enumerate(order)], dtype=np.int64).reshape(k, max(k - 1, 0))
         self.apart = np.take_along_axis(between, self.near, axis=1)
         self.measured = 0  # distances that searches have computed
 
@@ -122,6 +122,8 @@ def _codes(books: np.ndarray, dim: int):
         import pyarrow as pa
         finders = [Orchard(b) for b in books]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _matrix(batch.column(2), dim).reshape(batch.num_rows, parts, width)
             found = [finder.search(x[:, j]) for j, finder in enumerate(finders)]
             code = ["".join(f"{c:02x}" for c in row) for row in np.stack([c for c, _ in found], axis=1).tolist()]
@@ -140,7 +142,7 @@ def codebooks(kept: DataFrame, dim: int, parts: int = PARTS, entries: int = ENTR
     books = np.zeros((parts, len(first), dim // parts), dtype=np.int64)
     for e, r in enumerate(first):
         books[:, e] = np.array([*r["_v"], *[0] * (dim - len(r["_v"]))], dtype=np.int64).reshape(parts, -1)
-    for _ in range(rounds):
+    for _ in range(rounds if first else 0):
         # one row for each number of the codebooks
         rows = kept.select("_v").mapInArrow(_sums(books, dim), "part int, entry int, at int, n bigint, s bigint") \
             .groupBy("part", "entry", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
