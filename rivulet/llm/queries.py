@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rivulet.llm import (
-    exact_dedup, language, mixing, packing, prefix_trie, quality, simhash, spotsigs, substring_dedup, toxicity, vector_codes, warc,
+    exact_dedup, jaccard_join, language, mixing, packing, prefix_trie, quality, simhash, spotsigs, substring_dedup, toxicity, vector_codes, warc,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
