@@ -3,7 +3,12 @@
 A document is the set of its distinct word shingles (tokens).  Two sets link
 when their Jaccard similarity reaches the threshold.
 
-1. Equal sets are one class; one row of each class goes on with its tokens.
+1. Equal sets are one class; one row of each class goes on.
+   A sieve looks at the smallest 2 m + 1 token hashes of a set, m being what a
+   partner may lack: at least m + 1 of them are in a partner, too (up to the
+   partner's own prefix, so the least m of any partner counts).  Sets with
+   fewer of them in other sets' prefixes have no partner; only the others are
+   read again with all their tokens.
 2. The document frequency of every token over the classes puts all tokens in
    one order, rarest first.  A token of one class only can't be shared; a set
    too few of whose tokens are shared has no partner and is done.
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import batches_of, release, shuffle_partitions, table
 from rivulet.llm.simhash import components
 from rivulet.llm.substring_dedup import RUN_BYTES, Rolling, Words
-from rivulet.session import drop_path, materialize, scratch_path
+from rivulet.session import materialize
 
 SHINGLE = 4
 THRESHOLD = 85  # per cent
@@ -107,13 +112,17 @@ def signatures_of(n: int, tokens: list[int], dfs: list[int], threshold: int = TH
     return out
 
 
-def shingle_sets(shingle: int = SHINGLE, keep_from: int = 0):
-    """Rows (id, text) to (id, n, digest of the set, its tokens in order where there are at least ``keep_from``)."""
+def sieve_length(n: int, threshold: int = THRESHOLD) -> int:
+    return min(n, 2 * misses(n, threshold) + 1)
+
+
+def shingle_sets(shingle: int = SHINGLE, sieve_of: int | None = None):
+    """Rows (text, others ...) to (n, digest of the set, its tokens in order, others ...); with a threshold only the tokens that the sieve looks at."""
     def run(batches):
         import pyarrow as pa
         words, rolling = Words(), Rolling(_BASE)
         for batch in batches:
-            raws = [(t.as_py() or "").encode("utf-8", "replace").lower() for t in batch.column(1)]  # bytes: A-Z only
+            raws = [(t.as_py() or "").encode("utf-8", "replace").lower() for t in batch.column(0)]  # bytes: A-Z only
             for rows, texts in batches_of([list(range(len(raws))), raws], RUN_BYTES):
                 words.read(texts)
                 n, keys, sets = [], [], []
@@ -122,11 +131,12 @@ def shingle_sets(shingle: int = SHINGLE, keep_from: int = 0):
                     tokens = np.unique(rolling.between(words.h, at, at + min(shingle, count)))
                     n.append(len(tokens))
                     keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                    sets.append(tokens.view(np.int64) if len(tokens) >= keep_from else tokens[:0].view(np.int64))
+                    sets.append(tokens.view(np.int64)[:len(tokens) if sieve_of is None else sieve_length(len(tokens), sieve_of)])
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(n, pa.int32()), pa.array(keys, pa.binary()),
-                                       pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))],
-                                      names=["id", "n", "key", "tokens"])
+                others = batch.take(pa.array(rows)).columns[1:]
+                yield pa.record_batch([pa.array(n, pa.int32()), pa.array(keys, pa.binary()),
+                                       pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets))), *others],
+                                      names=["n", "key", "tokens", *batch.schema.names[1:]])
     return run
 
 
@@ -306,21 +316,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     least = smallest_size(threshold)
-    hashed = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")) \
-        .mapInArrow(shingle_sets(shingle, least), "id bigint, n int, key binary, tokens array<bigint>") \
-        .withColumn("x", F.monotonically_increasing_id())
-    # written under a path of its own, which goes as soon as one row of each class is copied
-    path = scratch_path(spark, "jaccard-all")
-    hashed.write.parquet(path)
-    everything = spark.read.schema(hashed.schema).parquet(path)
-    marks = materialize(everything.select("id", "n", "key", "x"), "jaccard-marks")
+    rows = docs.select(F.col(text_col).alias("t"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("h"))
+    marks = rows.mapInArrow(shingle_sets(shingle, threshold), "n int, key binary, tokens array<bigint>, id bigint, h bigint")
+    marks = materialize(marks.withColumn("x", F.monotonically_increasing_id()), "jaccard-marks")
     classes = materialize(marks.groupBy("key").agg(F.min("id").alias("low"), F.min("x").alias("x"), F.first("n").alias("n")), "jaccard-classes")
-    chosen = materialize(everything.join(classes.where(F.col("n") >= least).select("x"), "x", "left_semi").select("x", "n", "tokens"), "jaccard-sets")
-    drop_path(spark, path)
+    # the sieve, over one row of each class
+    sieve = materialize(marks.where(F.col("n") >= least).join(classes.select("x"), "x", "left_semi")
+                        .select("x", "n", "id", "h", "tokens"), "jaccard-sieve")
+    release(spark)
+    twice = materialize(sieve.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+                        .select("t"), "jaccard-twice")
+    release(spark)
+    smallest_partner = F.ceil(F.col("n") * threshold / 100)
+    through = materialize(sieve.select("x", "n", F.explode("tokens").alias("t")).join(twice, "t").groupBy("x", "n").agg(F.count(F.lit(1)).alias("s"))
+                          .where(F.col("s") > F.floor(smallest_partner * (100 - threshold) / 100)).select("x"), "jaccard-through")
+    release(spark)
+    asked = materialize(sieve.drop("tokens").join(through, "x", "left_semi"), "jaccard-asked")
+    # rows that repeat a chosen row bring its tokens again, which changes no set
+    again = rows.join(asked.withColumnsRenamed({"id": "_id", "h": "_h"}), (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))) \
+        .select("t", "x").mapInArrow(shingle_sets(shingle), "n int, key binary, tokens array<bigint>, x bigint")
+    chosen = materialize(again.select("x", "n", "tokens"), "jaccard-sets")
     release(spark)
     shared = materialize(chosen.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-shared")
     release(spark)
-    in_order = F.sort_array(F.collect_list(F.struct("df", "t")))
+    in_order = F.sort_array(F.collect_set(F.struct("df", "t")))
     sets = chosen.select("x", "n", F.explode("tokens").alias("t")).join(shared, "t").groupBy("x", "n").agg(in_order.alias("o")) \
         .where(100 * F.size("o") >= threshold * F.col("n")) \
         .select("x", "n", F.col("o.t").alias("tokens"), F.col("o.df").alias("dfs"))

@@ -117,6 +117,22 @@ def test_groups_leave_room_for_every_prefix():
                     assert n - groups * (0, 1, 3)[longest - 1] >= J.misses(n, threshold) + 1
 
 
+def test_sieve_keeps_partners():
+    rnd = random.Random(6)
+    for _ in range(3000):
+        threshold = rnd.choice([50, 70, 85, 95])
+        n = rnd.randint(J.smallest_size(threshold), 120)
+        a = rnd.sample(range(10**6), n)
+        off = rnd.randint(0, J.misses(n, threshold))
+        b = a[off:] + [10**6 + i for i in rnd.sample(range(10**6), rnd.randint(0, J.misses(n, threshold) + 2))]
+        a, b = ({t * 0x9E3779B97F4A7C15 % 2**64 for t in s} for s in (a, b))
+        if 100 * len(a & b) >= threshold * len(a | b):
+            pa, pb = (set(sorted(s)[:J.sieve_length(len(s), threshold)]) for s in (a, b))
+            for s in (a, b):
+                partner = -(-len(s) * threshold // 100)
+                assert len(pa & pb) > J.misses(partner, threshold)
+
+
 def test_signatures_grow_with_the_prefix_only():
     rnd = random.Random(1)
     for df in (2, 100, 10**6):
