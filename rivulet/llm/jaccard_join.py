@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import batches_of, release, shuffle_partitions, table
 from rivulet.llm.simhash import components
 from rivulet.llm.substring_dedup import RUN_BYTES, Rolling, Words
-from rivulet.session import materialize
+from rivulet.session import drop_path, materialize, scratch_path
 
 SHINGLE = 4
 THRESHOLD = 85  # per cent
@@ -54,6 +54,8 @@ RARE, COMMON = 16, 4096
 ROUNDS = 3
 PAIRS_UP_TO = 32
 BLOCK, BLOCK_TOKENS = 256, 1 << 21
+# numbers that rows are told apart by before they are shuffled
+PLACES = 1 << 20
 _BASE, _MIX, _MASK = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 
 
@@ -302,6 +304,13 @@ def linked_sets(sets: DataFrame, threshold: int = THRESHOLD, rare: int = RARE, c
     return components(links).select(F.col("node").alias("x"), "root")
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to a path of its own, for tables that go before the operator ends."""
+    path = scratch_path(df.sparkSession, "jaccard")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        threshold: int = THRESHOLD, **options) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``.
@@ -317,12 +326,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     least = smallest_size(threshold)
     rows = docs.select(F.col(text_col).alias("t"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("h"))
-    marks = rows.mapInArrow(shingle_sets(shingle, threshold), "n int, key binary, tokens array<bigint>, id bigint, h bigint")
-    marks = materialize(marks.withColumn("x", F.monotonically_increasing_id()), "jaccard-marks")
+    first = rows.mapInArrow(shingle_sets(shingle, threshold), "n int, key binary, tokens array<bigint>, id bigint, h bigint")
+    first, first_path = _written(first.withColumn("x", F.monotonically_increasing_id()))
+    marks = materialize(first.select("id", "n", "key", "x"), "jaccard-marks")
     classes = materialize(marks.groupBy("key").agg(F.min("id").alias("low"), F.min("x").alias("x"), F.first("n").alias("n")), "jaccard-classes")
     # the sieve, over one row of each class
-    sieve = materialize(marks.where(F.col("n") >= least).join(classes.select("x"), "x", "left_semi")
-                        .select("x", "n", "id", "h", "tokens"), "jaccard-sieve")
+    sieve, sieve_path = _written(first.where(F.col("n") >= least).join(classes.select("x"), "x", "left_semi").select("x", "n", "id", "h", "tokens"))
+    drop_path(spark, first_path)
     release(spark)
     twice = materialize(sieve.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
                         .select("t"), "jaccard-twice")
@@ -331,11 +341,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     through = materialize(sieve.select("x", "n", F.explode("tokens").alias("t")).join(twice, "t").groupBy("x", "n").agg(F.count(F.lit(1)).alias("s"))
                           .where(F.col("s") > F.floor(smallest_partner * (100 - threshold) / 100)).select("x"), "jaccard-through")
     release(spark)
-    asked = materialize(sieve.drop("tokens").join(through, "x", "left_semi"), "jaccard-asked")
+    place = F.pmod(F.xxhash64("id", "h"), F.lit(PLACES))
+    asked = materialize(sieve.drop("tokens").join(through, "x", "left_semi").withColumn("place", place), "jaccard-asked")
+    drop_path(spark, sieve_path)
+    # texts that can't be asked for are not shuffled: at most PLACES numbers are broadcast, whatever the input
+    near = rows.withColumn("place", place).join(F.broadcast(asked.select("place").distinct()), "place", "left_semi").drop("place")
     # rows that repeat a chosen row bring its tokens again, which changes no set
-    again = rows.join(asked.withColumnsRenamed({"id": "_id", "h": "_h"}), (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))) \
+    again = near.join(asked.select("x", F.col("id").alias("_id"), F.col("h").alias("_h")),
+                      (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))) \
         .select("t", "x").mapInArrow(shingle_sets(shingle), "n int, key binary, tokens array<bigint>, x bigint")
-    chosen = materialize(again.select("x", "n", "tokens"), "jaccard-sets")
+    chosen, chosen_path = _written(again.select("x", "n", "tokens"))
     release(spark)
     shared = materialize(chosen.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-shared")
     release(spark)
@@ -344,6 +359,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .where(100 * F.size("o") >= threshold * F.col("n")) \
         .select("x", "n", F.col("o.t").alias("tokens"), F.col("o.df").alias("dfs"))
     sets = materialize(sets, "jaccard-candidates")
+    drop_path(spark, chosen_path)
     release(spark)
     roots = linked_sets(sets, threshold, **options)
     member = classes.join(roots, "x", "left").select("key", "low", F.coalesce("root", "x").alias("root"))
