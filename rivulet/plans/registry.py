@@ -33,5 +33,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from rivulet.plans import (  # noqa: F401
         q_flow, q_sources, q_sinks, q_transform, q_routing, q_control, q_sql, q_functions,
-        q_history, q_streaming, q_hard,
+        q_history, q_streaming, q_hard, q_scale,
     )
