@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from rivulet.operators.rangelookup import lookup_between
 from rivulet.plans.registry import query, table
+from rivulet.session import scratch_path
+from rivulet.sinks.files import copy_files_bytes, file_digests, gunzip_files_bytes, gzip_files_bytes, write_files
+from rivulet.sources.entries import entry_counts, list_entries
+from rivulet.sources.splits import read_csv_in_splits, read_json_array
 
 
 @query("lookup_inequality", """
@@ -46,3 +50,84 @@ def q_lookup_inequality_keyed(spark, sf_dir):
     out = lookup_between(o, e, "value", "(o_orderkey % 100) / 2D", "(o_orderkey % 100) / 2D + 1", include_low=False, on="k",
                          data_cols=["event_id"], count_col="n_events", data_col="hit")
     return out.select("o_orderkey", "n_events", F.col("hit.event_id").alias("hit"))
+
+
+# ten documents a file: the number of files grows with the table
+_FILES = "SELECT printf('%08d.txt', doc_id // 10) AS name, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, " \
+         "sha256(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1"
+
+
+def _document_files(spark, sf_dir, name):
+    d = table(spark, sf_dir, "documents")
+    path = F.format_string("%08d.txt", F.floor(F.col("doc_id") / 10).cast("bigint"))
+    return write_files(d.select(path.alias("path"), F.col("doc_id").alias("chunk"), F.coalesce("text", F.lit("")).cast("binary").alias("content")),
+                       scratch_path(spark, name))
+
+
+def _digests(spark, path):
+    return file_digests(spark, path).select(F.element_at(F.split("file", "/"), -1).alias("name"), "bytes", "sha256")
+
+
+@query("copy_files_bytes", _FILES)
+def q_copy_files_bytes(spark, sf_dir):
+    """K-8: files made of all documents, copied in chunks; one row per file on disk."""
+    source, target = _document_files(spark, sf_dir, "files"), scratch_path(spark, "copies")
+    return _digests(spark, f"{copy_files_bytes(spark, f'{source}/*.txt', target, 4096)}/*.txt")
+
+
+@query("gzip_files_bytes", f"SELECT *, true AS packed FROM ({_FILES})")
+def q_gzip_files_bytes(spark, sf_dir):
+    """K-7: the same files packed chunk by chunk and unpacked again; ``packed``: the file between is smaller, but for short ones."""
+    source, packed, target = _document_files(spark, sf_dir, "files"), scratch_path(spark, "packed"), scratch_path(spark, "unpacked")
+    gzip_files_bytes(spark, f"{source}/*.txt", packed, 65536)
+    back = _digests(spark, f"{gunzip_files_bytes(spark, f'{packed}/*.gz', target, 4096)}/*.txt")
+    sizes = _digests(spark, f"{packed}/*.gz").select(F.regexp_replace("name", r"\.gz$", "").alias("name"), F.col("bytes").alias("small"))
+    return back.join(sizes, "name").select("name", "bytes", "sha256", ((F.col("small") < F.col("bytes")) | (F.col("bytes") < 500)).alias("packed"))
+
+
+def _quoted(c):
+    return F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c, F.lit("")), '"', '""'), F.lit('"'))
+
+
+@query("csv_multiline_split", "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, sha256(coalesce(text, '')) AS sha256, coalesce(source, '') AS source FROM documents")
+def q_csv_multiline_split(spark, sf_dir):
+    """S-1: texts with line ends, commas and quotes in CSV files that are read in splits."""
+    d = table(spark, sf_dir, "documents")
+    file = F.format_string("%06d.csv", F.floor(F.col("doc_id") / 2000).cast("bigint")).alias("path")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), _quoted(F.col("text")), _quoted(F.col("source")))
+    rows = d.select(file, F.col("doc_id").alias("chunk"), F.concat(line, F.lit("\n")).cast("binary").alias("content"))
+    heads = d.select(file).distinct().select("path", F.lit(-1).cast("bigint").alias("chunk"), F.lit("doc_id,text,source\n").cast("binary").alias("content"))
+    path = write_files(rows.unionByName(heads), scratch_path(spark, "multiline"))
+    out = read_csv_in_splits(spark, f"{path}/*.csv")
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.octet_length("text").cast("bigint").alias("bytes"),
+                      F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "source")
+
+
+@query("json_array_split", "SELECT doc_id, sha256(text) AS sha256, lang, strlen(text)::BIGINT AS bytes FROM documents")
+def q_json_array_split(spark, sf_dir):
+    """S-3: files that are one array each, read in splits; texts hold brackets, quotes and commas."""
+    d = table(spark, sf_dir, "documents")
+    file = F.format_string("%06d.json", F.floor(F.col("doc_id") / 2000).cast("bigint")).alias("path")
+    first = d.groupBy(file).agg(F.min("doc_id").alias("_lo"))
+    item = F.to_json(F.struct("doc_id", "text", "lang"))
+    items = d.withColumn("path", file).join(first, "path").select(
+        "path", F.col("doc_id").alias("chunk"), F.concat(F.when(F.col("doc_id") == F.col("_lo"), F.lit("[")).otherwise(F.lit(",\n")), item).cast("binary").alias("content"))
+    ends = first.select("path", F.lit((1 << 63) - 1).alias("chunk"), F.lit("]\n").cast("binary").alias("content"))
+    path = write_files(items.unionByName(ends), scratch_path(spark, "arrays"))
+    out = read_json_array(spark, f"{path}/*.json", "doc_id bigint, text string, lang string")
+    return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "lang", F.octet_length("text").cast("bigint").alias("bytes"))
+
+
+@query("file_entries", """
+WITH d AS (SELECT 'n' || s_nationkey AS a, 's' || s_suppkey AS b, s_suppkey % 3 = 0 AS f FROM supplier)
+SELECT a || '/' || b AS directory, CAST(f AS BIGINT) AS files, CAST(0 AS BIGINT) AS folders FROM d
+UNION ALL SELECT a, CAST(0 AS BIGINT), count(*) FROM d GROUP BY a
+""")
+def q_file_entries(spark, sf_dir):
+    """S-11, S-13: entries of every folder, most of them empty."""
+    s = table(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("n"), F.col("s_nationkey"), F.lit("/s"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 3 == 0, "/a.txt").otherwise("/"))
+    root = write_files(s.select(name.alias("path"), F.lit(0).alias("chunk"), F.col("s_name").cast("binary").alias("content")), scratch_path(spark, "tree"))
+    base = root.split("://")[-1].removeprefix("file:").rstrip("/")
+    out = entry_counts(list_entries(spark, root).where("path NOT LIKE '%/_SUCCESS' AND path NOT LIKE '%/_temporary'"))
+    return out.withColumn("directory", F.regexp_replace("directory", f"^.*{base}/?", "")).where("directory != ''")
