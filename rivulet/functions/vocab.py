@@ -148,6 +148,13 @@ PHP_DATE_LETTERS = {
 }
 
 
+def _offset(ts: Column) -> Column:
+    """Seconds that the session's zone is ahead of UTC at ``ts``."""
+    text = F.date_format(ts, "xx")
+    secs = F.substring(text, 2, 2).cast("int") * 3600 + F.substring(text, 4, 2).cast("int") * 60
+    return F.when(F.substring(text, 1, 1) == "-", -secs).otherwise(secs)
+
+
 def _letter(ch: str, ts: Column) -> Column:
     """One format letter over a timestamp; letters without a meaning stand for themselves."""
     day = F.dayofmonth(ts)
@@ -160,6 +167,12 @@ def _letter(ch: str, ts: Column) -> Column:
         "o": lambda: F.extract(F.lit("YEAROFWEEK"), ts).cast("string"),
         "L": lambda: F.when(F.dayofyear(F.make_date(F.year(ts), F.lit(12), F.lit(31))) == 366, F.lit("1")).otherwise(F.lit("0")),
         "U": lambda: F.unix_seconds(ts).cast("string"),
+        "Z": lambda: _offset(ts).cast("string"),
+        # summer time: further ahead than in the middle of one of the half-years
+        "I": lambda: (_offset(ts) > F.least(*[_offset(F.make_timestamp(F.year(ts), F.lit(m), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+                                             for m in (1, 7)])).cast("int").cast("string"),
+        # thousandths of the day at UTC+1
+        "B": lambda: F.lpad(F.floor(F.pmod(F.unix_seconds(ts) + 3600, F.lit(86400)) * 10 / 864).cast("string"), 3, "0"),
         "S": lambda: F.when((day % 10 == 1) & (day != 11), F.lit("st")).when((day % 10 == 2) & (day != 12), F.lit("nd"))
                       .when((day % 10 == 3) & (day != 13), F.lit("rd")).otherwise(F.lit("th")),
         "a": lambda: F.lower(F.date_format(ts, "a")),

@@ -273,9 +273,11 @@ def schedule_retry_update(schedule: DataFrame, failures: DataFrame, allowed: int
     ``failures(dataflowid, stepid, retrytime, scheduledtime)``.  When
     ``retrycount >= allowed`` the count resets to 0 and the regular time is
     used, else the count goes up by one and the retry time is used.  Rows
-    without a failure are unchanged.
+    without a failure are unchanged.  Of several failures of one step the one
+    with the latest retry time counts.
     """
-    f = failures.select("dataflowid", "stepid", "retrytime", "scheduledtime", F.lit(True).alias("_f"))
+    f = failures.groupBy("dataflowid", "stepid").agg(F.max(F.struct("retrytime", "scheduledtime")).alias("_f")) \
+        .select("dataflowid", "stepid", "_f.*", F.lit(True).alias("_f"))
     j = schedule.join(f, ["dataflowid", "stepid"], "left")
     failed = F.coalesce(F.col("_f"), F.lit(False))
     exhausted = F.col("retrycount") >= F.lit(allowed)

@@ -91,9 +91,11 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
                 salt_buckets: int = 16, hot_keys: DataFrame | None = None) -> DataFrame:
     """Equi-join that spreads hot keys of ``big`` over ``salt_buckets`` tasks.
 
-    Rows of ``big`` get a salt in ``[0, salt_buckets)`` from a seeded random
-    number, so equal rows are spread as well and columns of any type (maps
-    too) are allowed; each row of ``small`` is replicated once per salt.  Only
+    Rows of ``big`` get a salt in ``[0, salt_buckets)`` from a hash of their
+    values and of the partition they lie in when the join begins.  A task that
+    is run again, with its rows in any order, gives them the same salts, and
+    equal rows are spread as far as they lie in different partitions.  Columns
+    of any type are allowed (maps are not hashed); each row of ``small`` is replicated once per salt.  Only
     keys in ``hot_keys`` (a frame of the ``on`` columns) are salted when it is
     given, so the replication is limited to the hot keys.  ``big`` is marked
     by a join that keeps its rows where they are as long as ``hot_keys`` is
@@ -107,7 +109,9 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     taken = {"_salt", "_hot"} & {*big.columns, *small.columns}
     if taken:
         raise ValueError(f"column names reserved for the join: {sorted(taken)}")
-    salt = F.floor(F.rand(11) * F.lit(salt_buckets)).cast("int")
+    hashed = [F.col(f"`{f.name}`") for f in big.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    big = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salt_buckets)).cast("int"))
+    salt = F.col("_salt")
     if hot_keys is not None:
         hot = hot_keys.select(*on).distinct().withColumn("_hot", F.lit(True))
         big = big.join(hot, on, "left")
@@ -117,7 +121,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
         small_s = small_hot.withColumn("_salt", F.explode(reps)).drop("_hot")
         big_s = big.withColumn("_salt", salt).drop("_hot")
     else:
-        big_s = big.withColumn("_salt", salt)
+        big_s = big
         small_s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     return big_s.join(small_s, [*on, "_salt"], how).drop("_salt")
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rivulet.operators.graph import reachable
+from rivulet.operators.ordering import with_row_index
 from rivulet.operators.rangelookup import lookup_between
 from rivulet.plans.registry import query, table
 from rivulet.session import scratch_path
 from rivulet.sinks.files import copy_files_bytes, file_digests, gunzip_files_bytes, gzip_files_bytes, write_files
+from rivulet.sinks.writers import concat_skip_headers, write_json_array
+from rivulet.sources.csv import read_csv
 from rivulet.sources.entries import entry_counts, list_entries
 from rivulet.sources.splits import read_csv_in_splits, read_json_array
+from rivulet.sources.sql import incremental_keyset, incremental_read, sql_read
+from rivulet.state import StateTable
 
 
 @query("lookup_inequality", """
@@ -131,3 +137,103 @@ def q_file_entries(spark, sf_dir):
     base = root.split("://")[-1].removeprefix("file:").rstrip("/")
     out = entry_counts(list_entries(spark, root).where("path NOT LIKE '%/_SUCCESS' AND path NOT LIKE '%/_temporary'"))
     return out.withColumn("directory", F.regexp_replace("directory", f"^.*{base}/?", "")).where("directory != ''")
+
+
+@query("incremental_keyset", """
+SELECT o_orderkey, day, (row_number() OVER (ORDER BY day, o_orderkey) - 1) // (SELECT count(*) // 5 + 1 FROM orders) + 1 AS run FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN DATE '1995-06-17' ELSE CAST(o_orderdate AS DATE) END AS day FROM orders)
+""")
+def q_incremental_keyset(spark, sf_dir):
+    """S-10: a third of all rows share one counter, and no batch is larger than its limit."""
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.lit("1995-06-17").cast("date")).otherwise(F.col("o_orderdate").cast("date"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
+    state, sink = StateTable(spark, scratch_path(spark, "keyset")), scratch_path(spark, "keyset_sink")
+    limit = o.count() // 5 + 1
+    for run in range(1, 7):
+        batch = incremental_keyset(o, "day", "o_orderkey", state, limit)
+        batch.df.withColumn("run", F.lit(run).cast("bigint")).write.mode("append").parquet(sink)
+        batch.commit()
+    return spark.read.parquet(sink)
+
+
+@query("incremental_nulls", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS c, CASE WHEN o_orderkey % 5 = 0 OR o_custkey <= (SELECT max(o_custkey) // 2 FROM orders) THEN 1 ELSE 2 END AS run FROM orders
+""")
+def q_incremental_nulls(spark, sf_dir):
+    """S-10: rows without a counter are read by the first run and by it alone."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("c"))
+    half = table(spark, sf_dir, "orders").agg((F.max("o_custkey") / 2).cast("bigint").alias("h")).first()["h"]
+    state, sink = StateTable(spark, scratch_path(spark, "nulls")), scratch_path(spark, "nulls_sink")
+    for run, seen in ((1, o.where(F.col("c").isNull() | (F.col("c") <= half))), (2, o)):
+        batch = incremental_read(seen, "c", state)
+        batch.observed().withColumn("run", F.lit(run)).write.mode("append").parquet(sink)
+        batch.commit()
+    return spark.read.parquet(sink)
+
+
+@query("json_array_repeats", "SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS k, c_custkey, c_name FROM customer")
+def q_json_array_repeats(spark, sf_dir):
+    """K-1: an array of all customers by a column with repeats and NULLs; every row is read back."""
+    c = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("k"), "c_custkey", "c_name")
+    path = scratch_path(spark, "array")
+    write_json_array(c, path, "k")
+    lines = spark.read.text(path)
+    # one bracket opens and one closes, or nothing comes back
+    whole = lines.agg((F.count_if(F.col("value").startswith("[")) == 1).alias("o"), (F.count_if(F.col("value").endswith("]")) == 1).alias("c")).first()
+    rec = F.from_json(F.regexp_replace("value", r"^[\[,]|\]$", ""), c.schema)
+    return lines.where(F.lit(bool(whole["o"] and whole["c"]))).select(rec.alias("r")).select("r.*")
+
+
+@query("concat_same_names", """
+SELECT line, row_number() OVER (ORDER BY part, kind, c_custkey) AS position FROM (
+  SELECT 0 AS part, 0 AS kind, 0 AS c_custkey, 'key,z' AS line
+  UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END, 1, c_custkey, concat_ws(',', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'z' ELSE 'a' END) FROM customer)
+""")
+def q_concat_same_names(spark, sf_dir):
+    """K-6: two files of one name, the first given (z) keeps its header although the other (a) sorts before it."""
+    c = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "z").otherwise("a").alias("d"), "c_custkey")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "d")
+    rows = c.select("d", F.col("c_custkey").alias("chunk"), line.alias("l"))
+    heads = c.select("d").distinct().select("d", F.lit(-1).cast("bigint").alias("chunk"), F.concat(F.lit("key,"), "d").alias("l"))
+    root = write_files(rows.unionByName(heads).select(F.concat("d", F.lit("/part.csv")).alias("path"), "chunk",
+                                                      F.concat("l", F.lit("\n")).cast("binary").alias("content")), scratch_path(spark, "same"))
+    out = concat_skip_headers(spark, [f"{root}/z/part.csv", f"{root}/a/part.csv"])
+    return with_row_index(out, ["file_no", "block", "line_no"], "position").select("line", "position")
+
+
+@query("csv_empty_file", "SELECT r_regionkey, CAST(0 AS BIGINT) AS records FROM region")
+def q_csv_empty_file(spark, sf_dir):
+    """S-1: a file without any byte has no records, whether headers are given or not; one file for each region."""
+    r = table(spark, sf_dir, "region")
+    name = F.concat(F.lit("r"), F.col("r_regionkey"), F.lit(".csv"))
+    root = write_files(r.select(name.alias("path"), F.lit(0).alias("chunk"), F.lit(None).cast("binary").alias("content")), scratch_path(spark, "empty"))
+    n = read_csv(spark, f"{root}/*.csv").count() + read_csv(spark, f"{root}/*.csv", headers="a,b").count() + read_csv_in_splits(spark, f"{root}/*.csv").count()
+    return r.select("r_regionkey", F.lit(n).cast("bigint").alias("records"))
+
+
+@query("cte_recursive", """
+WITH RECURSIVE up(node, parent, depth) AS (
+  SELECT c_custkey, c_custkey // 10, CAST(0 AS BIGINT) FROM customer WHERE c_custkey < 10
+  UNION ALL SELECT c.c_custkey, c.c_custkey // 10, u.depth + 1 FROM customer c JOIN up u ON c.c_custkey // 10 = u.node WHERE c.c_custkey >= 10)
+SELECT node, parent, depth FROM up
+""")
+def q_cte_recursive(spark, sf_dir):
+    """Q-4: a recursive query as written, each customer below the one of its leading digits."""
+    return sql_read(spark, """
+        WITH RECURSIVE up(node, parent, depth) AS (
+          SELECT c_custkey, c_custkey DIV 10, CAST(0 AS BIGINT) FROM {customer} WHERE c_custkey < 10
+          UNION ALL SELECT c.c_custkey, c.c_custkey DIV 10, u.depth + 1 FROM {customer} c JOIN up u ON c.c_custkey DIV 10 = u.node WHERE c.c_custkey >= 10)
+        SELECT node, parent, depth FROM up""", {"customer": table(spark, sf_dir, "customer")})
+
+
+@query("graph_reach", """
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % (SELECT count(*) FROM customer) + 1 AS dst FROM orders),
+w(node, depth) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 12)
+SELECT node, min(depth) AS depth FROM w GROUP BY node
+""")
+def q_graph_reach(spark, sf_dir):
+    """Q-4: the same over a graph with cycles, by rounds of joins, each written."""
+    o = table(spark, sf_dir, "orders")
+    n = table(spark, sf_dir, "customer").count()
+    edges = o.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n + 1).alias("dst"))
+    return reachable(edges, spark.range(1).select(F.lit(1).cast("bigint").alias("node")))

@@ -70,19 +70,22 @@ def debug_json(df: DataFrame, alias: str = "json") -> DataFrame:
 def write_json_array(df: DataFrame, path: str, order_by: str, pretty: bool = False, mode: str = "errorifexists") -> str:
     """The frame as one JSON array over part files (K-1): their texts, in name order, are the array.
 
-    ``order_by`` is a column without repeats; the rows are range-sorted by it,
-    the smallest opens the array and the largest closes it.  No row is gathered
-    anywhere, so the array can be of any size.  An empty frame writes ``[]``.
+    Rows are in order of ``order_by``, NULL first; repeats stand in any order.
+    They are numbered without gathering them anywhere (``with_row_index``); the
+    first number opens the array and the last one closes it, so it can be of any
+    size.  An empty frame writes ``[]``.
     """
-    ends = df.agg(F.min(order_by).alias("lo"), F.max(order_by).alias("hi")).first()
-    if ends["lo"] is None:
+    from rivulet.operators.ordering import with_row_index
+
+    numbered = with_row_index(df, F.col(f"`{order_by}`"), "_wja_at")
+    last = numbered.agg(F.max("_wja_at").alias("n")).first()["n"]
+    if not last:
         df.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode(mode).text(path)
         return path
     rec = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": str(pretty).lower()})
-    kind, key = df.schema[order_by].dataType, F.col(f"`{order_by}`")
-    line = F.concat(F.when(key == F.lit(ends["lo"]).cast(kind), F.lit("[")).otherwise(F.lit(",")), rec,
-                    F.when(key == F.lit(ends["hi"]).cast(kind), F.lit("]")).otherwise(F.lit("")))
-    df.orderBy(key).select(line.alias("value")).write.mode(mode).text(path)
+    at = F.col("_wja_at")
+    line = F.concat(F.when(at == 1, F.lit("[")).otherwise(F.lit(",")), rec, F.when(at == last, F.lit("]")).otherwise(F.lit("")))
+    numbered.orderBy(at).select(line.alias("value")).write.mode(mode).text(path)
     return path
 
 
@@ -171,23 +174,29 @@ def concat_skip_headers(spark: SparkSession, sources, target: str | None = None,
     order, split and position within it, which order the lines as they stood.
     With ``target`` the lines are written in that order (a range sort).
     """
+    from rivulet.operators.ordering import with_row_index
+
     paths = [sources] if isinstance(sources, str) else list(sources)
-    # names only: no content is read
-    listing = spark.read.format("binaryFile").load(paths).select("path").orderBy("path")
-    names = [r["path"] for r in listing.toLocalIterator()]
-    if len(paths) > 1:
-        rank = {p.rstrip("/").split("/")[-1]: i for i, p in reversed(list(enumerate(paths)))}
-        names.sort(key=lambda n: (min((i for s, i in rank.items() if s in n.split("/")), default=len(paths)), n))
-    order = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "file string, file_no long")
-    lines = (spark.read.text(paths)
-             .select(F.col("value").alias("line"),
-                     F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("_blk"),
-                     F.monotonically_increasing_id().alias("line_no")))
-    if chop_first_line:
-        keep = None if target_exists or not names else names[0]
-        lines = lines.mapInPandas(_drop_first_lines(keep), "file string, line string, _blk long, line_no long")
-    out = lines.withColumnRenamed("_blk", "block").join(order, "file", "left").select("file", "line", "file_no", "block", "line_no")
+    # each given path by itself, so that its number does not hang on its name; names only, no content is read
+    listing = None
+    for i, p in enumerate(paths):
+        one = spark.read.format("binaryFile").load(p).select(F.lit(i).alias("path_no"), F.col("path").alias("file"))
+        listing = one if listing is None else listing.unionByName(one)
+    first = listing.orderBy("path_no", "file").first()
+    files = with_row_index(listing, ["path_no", "file"], "file_no", start=0)
+    out = None
+    for i, p in enumerate(paths):
+        lines = (spark.read.text(p)
+                 .select(F.col("value").alias("line"),
+                         F.col("_metadata.file_path").alias("file"),
+                         F.col("_metadata.file_block_start").alias("_blk"),
+                         F.monotonically_increasing_id().alias("line_no")))
+        if chop_first_line:
+            keep = first["file"] if first is not None and not target_exists and first["path_no"] == i else None
+            lines = lines.mapInPandas(_drop_first_lines(keep), "file string, line string, _blk long, line_no long")
+        lines = lines.withColumn("path_no", F.lit(i))
+        out = lines if out is None else out.unionByName(lines)
+    out = out.withColumnRenamed("_blk", "block").join(files, ["path_no", "file"], "left").select("file", "line", "file_no", "block", "line_no")
     if target is not None:
         write(out.orderBy("file_no", "block", "line_no").select("line"), target, "text", mode, dry_run)
     return out

@@ -21,13 +21,15 @@ def read_csv(spark: SparkSession, path: str, headers: list[str] | str | None = N
              row_numbers: bool = False, shared: bool = False):
     """Read delimited text as string columns.
 
-    * ``headers`` empty: the first line of the file names the columns.
+    * ``headers`` empty: the first line of the file names the columns (names
+      that repeat get their position appended: ``a,a`` is ``a0,a1``).
     * ``headers`` given: those names; the first line is data …
     * … unless ``overwrite_headers``: then the first line is dropped.
 
     An empty field, quoted or not, is ``''``; only a field equal to
     ``null_value`` is NULL.  Blanks around a field are kept.  ``multi_line``
-    allows line ends inside quotes (a file is then read by one task).
+    allows line ends inside quotes (a file is then read by one task;
+    ``splits.read_csv_in_splits`` reads it by many).
 
     A row whose field count differs from the header raises, also when a query
     needs few columns or none.  With ``continue_on_error`` the reader returns
@@ -48,6 +50,10 @@ def read_csv(spark: SparkSession, path: str, headers: list[str] | str | None = N
     else:
         names = spark.read.options(**opts).option("header", "true").csv(path).columns
         opts["header"] = "true"
+    if not names:
+        # no byte in any file: no records, and nothing that names a column
+        none = spark.createDataFrame([], T.StructType([]))
+        return (none, spark.createDataFrame([], "raw string, file string, row_number bigint" if row_numbers else "raw string")) if continue_on_error else none
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in [*names, CORRUPT]])
     raw = (spark.read.options(**opts).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path))

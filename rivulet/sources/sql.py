@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.state import StateTable
+from rivulet.state import StateTable, _plain
 
 _FRAGMENT = re.compile(r"\[\[(.*?)\]\]", re.S)
 _PARAM = re.compile(r"(?<![:\w]):([A-Za-z_]\w*)")
@@ -83,17 +83,20 @@ class IncrementalBatch:
         from the write's metrics, so no second pass over the batch is needed.
         """
         self._obs = Observation(f"mark_{self.name}")
-        return self.df.observe(self._obs, F.max_by(F.col(self.counter), self.order_key).alias("mark"),
+        return self.df.observe(self._obs, F.max_by(F.col(self.counter), self._counted()).alias("mark"),
                                F.count(F.lit(1)).alias("rows"))
 
+    def _counted(self) -> Column:
+        """The order of rows that have a counter; the others leave the mark as it is."""
+        return F.when(F.col(self.counter).isNotNull(), self.order_key)
+
     def new_mark(self):
         """Counter value of the last row of the batch; the old mark when empty."""
         if self._obs is not None:
             m = self._obs.get
-            return self.previous if not m.get("rows") else m.get("mark")
-        row = self.df.agg(F.max_by(F.col(self.counter), self.order_key).alias("m"),
-                          F.count(F.lit(1)).alias("n")).first()
-        return self.previous if not row["n"] else row["m"]
+            return self.previous if m.get("mark") is None else m.get("mark")
+        row = self.df.agg(F.max_by(F.col(self.counter), self._counted()).alias("m")).first()
+        return self.previous if row["m"] is None else row["m"]
 
     def commit(self) -> bool:
         """Save the mark; call only after the sink succeeded.  Dry run: no write."""
@@ -111,14 +114,17 @@ def incremental_read(df: DataFrame, counter: str, state: StateTable, name: str |
     it twice gives the same rows.  ``limit`` cuts the batch after that many
     rows (ordered top-k, no global sort) and then takes in every row that ties
     with the last one's counter: the next run starts above it, so a tied row
-    left out would never be read.  A dry run reads but never saves.  Runs of
+    left out would never be read.  Rows without a counter belong to every run
+    that has no mark yet, besides its limit.  A dry run reads but never saves.  Runs of
     one flow must not overlap.
     """
     name = name or counter
     previous = state.get(name)
     kind = df.schema[counter].dataType
     at = F.col(counter)
-    src = df if previous in (None, "") else df.where(at > F.lit(previous).cast(kind))
+    # without a mark there is no lower bound, so rows without a counter are read, too
+    uncounted = df.where(at.isNull()) if previous in (None, "") else None
+    src = df.where(at.isNotNull()) if previous in (None, "") else df.where(at > F.lit(previous).cast(kind))
     # computed now: Parquet and JDBC answer it from statistics or an index
     ceiling = src.agg(F.max(at).alias("m")).first()["m"]
     if ceiling is not None:
@@ -133,4 +139,59 @@ def incremental_read(df: DataFrame, counter: str, state: StateTable, name: str |
         last = top.agg(F.max_by(at, order_key(cols)).alias("m")).first()["m"]
         if last is not None:
             batch = top.where(at != F.lit(last)).unionByName(src.where(at == F.lit(last)))
+    if uncounted is not None:
+        batch = batch.unionByName(uncounted)
     return IncrementalBatch(batch, state, name, counter, order_key(cols), previous, dry_run)
+
+
+@dataclass
+class KeysetBatch:
+    """The next rows in order of (counter, key), and the step that saves where they end."""
+    df: DataFrame
+    state: StateTable
+    name: str
+    end: dict | None
+    dry_run: bool = False
+
+    def commit(self) -> bool:
+        """Save the end of the batch; call only after the sink succeeded.  Nothing is saved for an empty batch or a dry run."""
+        return self.end is not None and self.state.save({self.name: self.end}, dry_run=self.dry_run)
+
+
+def _after(at: Column, key: Column, mark: dict, kinds) -> Column:
+    """Rows behind a mark in the order (counter, NULL first; key)."""
+    k = F.lit(mark["key"]).cast(kinds[1])
+    if mark["counter"] is None:
+        return at.isNotNull() | (key > k)
+    c = F.lit(mark["counter"]).cast(kinds[0])
+    # the first condition reaches the source as a filter
+    return (at >= c) & ((at > c) | (key > k))
+
+
+def incremental_keyset(df: DataFrame, counter: str, key: str, state: StateTable, limit: int, name: str | None = None,
+                       dry_run: bool = False) -> KeysetBatch:
+    """The next ``limit`` rows in order of ``counter`` and a unique ``key`` (S-10).
+
+    The mark holds both, so a batch may end among rows that share a counter
+    (which a third of all rows may do) and the next one goes on behind it: no
+    batch is larger than ``limit`` and each row is read once.  Rows without a
+    counter come first.  ``key`` must be unique and not NULL.  The end of the
+    batch is found by an ordered top-k of two columns; the rows are then read by
+    a range condition.  Rows that arrive behind the mark belong to later
+    batches, rows that arrive before it are not seen.
+    """
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    name = name or f"{counter},{key}"
+    mark = state.get(name)
+    at, k = F.col(counter), F.col(key)
+    kinds = df.schema[counter].dataType, df.schema[key].dataType
+    src = df if mark is None else df.where(_after(at, k, mark, kinds))
+    last = src.select(at.alias("c"), k.alias("k")).orderBy(F.col("c").asc_nulls_first(), F.col("k")).limit(limit) \
+        .agg(F.max(F.struct(F.col("c").isNotNull(), "c", "k")).alias("m")).first()["m"]
+    if last is None:
+        return KeysetBatch(src.where(F.lit(False)), state, name, None, dry_run)
+    end = {"counter": _plain(last["c"]), "key": _plain(last["k"])}
+    c, top = F.lit(end["counter"]).cast(kinds[0]), F.lit(end["key"]).cast(kinds[1])
+    upto = at.isNull() & (k <= top) if end["counter"] is None else at.isNull() | (at < c) | ((at == c) & (k <= top))
+    return KeysetBatch(src.where(upto), state, name, end, dry_run)
