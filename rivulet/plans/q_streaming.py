@@ -116,3 +116,54 @@ def q_stream_last_value(spark, sf_dir):
                       scratch_path(spark, "ckpt_last"), upsert_log(sink, "user_id"), output_mode="update")
     compact_log(spark, sink, "user_id")
     return read_latest(spark, sink, "user_id")
+
+
+_QUEUE = "event_id bigint, event_type string, user_id bigint, value double"
+
+
+def _queue_in_two_runs(spark, sf_dir, each, upto=("half", "all")):
+    """Events put into a queue table, and ``each(run)`` called when a first and then a second part is there."""
+    e = table(spark, sf_dir, "events").selectExpr("CAST(event_id AS bigint) AS event_id", "event_type", "CAST(user_id AS bigint) AS user_id", "CAST(value AS double) AS value")
+    half = e.agg((F.max("event_id") / 2).cast("bigint").alias("h")).first()["h"]
+    path = scratch_path(spark, "queue")
+    for run, part in ((1, e.where(F.col("event_id") <= half)), (2, e.where(F.col("event_id") > half))):
+        part.write.mode("append").parquet(path)
+        each(run, path)
+    return half
+
+
+@query("stream_queue_source", """
+SELECT event_id, event_type, CASE WHEN event_id <= (SELECT max(event_id) // 2 FROM events) THEN 1 ELSE 2 END AS run FROM events
+""")
+def q_stream_queue_source(spark, sf_dir):
+    """S-15, T-5: a queue read by id offsets over a dry run and two runs on one checkpoint."""
+    from rivulet.streaming.source import queue_stream
+    sink, checkpoint = scratch_path(spark, "queue_sink"), scratch_path(spark, "queue_ckpt")
+
+    def run_once(run, path):
+        stream = queue_stream(spark, path, _QUEUE, "event_id").withColumn("run", F.lit(run))
+        if run == 1:
+            drain(stream, sink, checkpoint, dry_run=True)
+        drain(stream, f"{sink}/run={run}", checkpoint)
+
+    _queue_in_two_runs(spark, sf_dir, run_once)
+    parts = [spark.read.schema(_QUEUE + ", run int").parquet(f"{sink}/run={r}") for r in (1, 2)]
+    return parts[0].unionByName(parts[1]).select("event_id", "event_type", "run")
+
+
+@query("stream_iteration", """
+SELECT event_id, event_type, row_number() OVER w - 1 AS iteration, CAST(lag(user_id) OVER w AS VARCHAR) AS previous
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)
+""")
+def q_stream_iteration(spark, sf_dir):
+    """C-7, T-6: each record's number within its event name and the value before it, kept in state over two runs."""
+    from rivulet.streaming.source import numbered, queue_stream
+    sink, checkpoint = scratch_path(spark, "iteration_sink"), scratch_path(spark, "iteration_ckpt")
+
+    def run_once(run, path):
+        stream = numbered(queue_stream(spark, path, _QUEUE, "event_id"), "event_type", "event_id", "user_id")
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append") \
+            .trigger(availableNow=True).start().awaitTermination()
+
+    _queue_in_two_runs(spark, sf_dir, run_once)
+    return spark.read.parquet(sink).select("event_id", "event_type", "iteration", "previous")
