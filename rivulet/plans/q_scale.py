@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rivulet.operators.filetable import create_table, delete_from_table, read_table, table_files, update_table
 from rivulet.operators.graph import reachable
 from rivulet.operators.ordering import with_row_index
 from rivulet.operators.rangelookup import lookup_between
@@ -237,3 +238,20 @@ def q_graph_reach(spark, sf_dir):
     n = table(spark, sf_dir, "customer").count()
     edges = o.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % n + 1).alias("dst"))
     return reachable(edges, spark.range(1).select(F.lit(1).cast("bigint").alias("node")))
+
+
+@query("dml_update_files", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7000 < 20 THEN -1.0 ELSE o_totalprice END AS o_totalprice,
+  o_orderkey // 500 NOT IN (SELECT o_orderkey // 500 FROM orders WHERE o_orderkey % 7000 < 20 OR o_orderkey % 9000 = 4500) AS same_file
+FROM orders WHERE o_orderkey % 9000 <> 4500
+""")
+def q_dml_update_files(spark, sf_dir):
+    """C-10, Q-3: an update and a delete over files of 500 keys; ``same_file``: the row's file has the name it had before."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    path = scratch_path(spark, "filetable")
+    create_table(o, path, "o_orderkey", "o_orderkey DIV 500")
+    update_table(spark, path, o.where("o_orderkey % 7000 < 20").select("o_orderkey", F.lit(-1.0).alias("o_totalprice")), "o_orderkey", ["o_totalprice"])
+    delete_from_table(spark, path, o.where("o_orderkey % 9000 = 4500"), "o_orderkey")
+    first = table_files(spark, path, 1).select(F.col("file").alias("_f"))
+    rows = read_table(spark, path).select("o_orderkey", "o_totalprice", F.col("_metadata.file_path").alias("file"))
+    return rows.join(first, F.col("file") == F.col("_f"), "left").select("o_orderkey", "o_totalprice", F.col("_f").isNotNull().alias("same_file"))
