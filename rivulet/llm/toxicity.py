@@ -33,17 +33,19 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 65536
 FULL_CHI2 = 30.0  # from here a term has its full weight; chance alone gives one such term in some ten million
 LEAST_WEIGHT = 0.1  # share of its weight that any term keeps
-HEAD = 1024  # terms kept as a matrix
+HEAD = 1536  # terms kept as a matrix, those of the longest lists
 QUERIES = 64  # texts whose products with the matrix are taken together
 ROUNDING = 1e-5  # more than a float32 product of unit vectors is off
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 512
 EVIDENCE = 3
 THRESHOLD = 0.3
 SEED = 8
 STEMS = (4, 5, 6)
-# words whose terms a task remembers
-CACHE_WORDS = 500_000
+# words whose terms a worker remembers
+CACHE_WORDS = 200_000
+# words looked up together
+RUN_WORDS = 30_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -100,7 +102,7 @@ class Index:
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     slot: np.ndarray = field(init=False)        # term: its column of the head, -1 if it has none
-    head: np.ndarray = field(init=False)        # examples x terms of the largest weight in all
+    head: np.ndarray = field(init=False)        # examples x terms of the longest lists
     lists: np.ndarray = field(init=False)       # term: its first postings block, and the end of the last term's
     block_of: np.ndarray = field(init=False)    # postings block: its block of examples
     block_max: np.ndarray = field(init=False)   # postings block: its largest weight
@@ -120,7 +122,7 @@ class Index:
         count, row, value = self.postings
         self.postings = None
         term, row = np.repeat(np.arange(terms, dtype=np.int32), count), row.astype(np.int32)
-        top = np.argsort(-np.bincount(term, weights=value, minlength=terms), kind="stable")[:HEAD]
+        top = np.argsort(-count.astype(np.int64), kind="stable")[:HEAD]
         self.slot = np.full(terms, -1, dtype=np.int32)
         self.slot[top] = np.arange(len(top))
         self.head = np.zeros((n, len(top)), dtype=np.float32)
@@ -138,15 +140,47 @@ class Index:
     @classmethod
     def of(cls, fitted: dict) -> Index:
         """The index that ``fit`` has learned."""
-        return cls(**fitted | {"terms": numbered(fitted["terms"])}, examples=None)
+        return cls(**{k: v for k, v in fitted.items() if k != "built"} | {"terms": numbered(fitted["terms"])}, examples=None)
+
+    @classmethod
+    def shared(cls, fitted: dict) -> tuple[Index, WordTerms]:
+        """The index and the words seen so far, kept with the broadcast value: a Python worker builds them once for all its tasks."""
+        if "built" not in fitted:
+            index = cls.of(fitted)
+            fitted["built"] = index, WordTerms(index.terms)
+        return fitted["built"]
 
     def vector(self, text: str | None, known: WordTerms) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, of unit length; empty if it has none of the terms."""
-        at, counts = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, words_of(text))), np.int64), return_counts=True)
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
+        return next(self.vectors([text], known))
+
+    def vectors(self, texts, known: WordTerms):
+        """``vector`` of each text; the words of several texts are looked up and counted together."""
+        some: list[list[str]] = []
+        size = 0
+        for text in texts:
+            some.append(words_of(text))
+            size += len(some[-1])
+            if size >= RUN_WORDS:
+                yield from self._vectors(some, known)
+                some, size = [], 0
+        yield from self._vectors(some, known)
+
+    def _vectors(self, some: list[list[str]], known: WordTerms):
+        lengths = [len(x) for x in some]
+        code, distinct = pd.factorize(np.fromiter(chain.from_iterable(some), dtype=object, count=sum(lengths)))
+        terms = list(map(known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, terms), np.int64, count=len(terms))
+        flat, starts = np.fromiter(chain.from_iterable(terms), np.int64), np.cumsum(sizes) - sizes
+        count = sizes[code]
+        of = np.repeat(np.repeat(np.arange(len(some)), lengths), count)
+        key, counts = np.unique(of * len(self.idf) + flat[_spans(starts[code], count)], return_counts=True)
+        of, at = np.divmod(key, max(1, len(self.idf)))
         w = (1 + np.log(counts)) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
+        w /= np.sqrt(np.bincount(of, weights=w * w, minlength=len(some)))[of]
+        ends = np.searchsorted(of, np.arange(len(some) + 1))
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield at[a:b], w[a:b]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None):
         """Positions and cosines of the k nearest examples, with all that tie with the k-th; only positive cosines."""
@@ -180,10 +214,16 @@ class Index:
         block = self.block_of[lists]
         bounds = np.maximum.reduceat(first, np.arange(0, n, BLOCK)).astype(np.float64)
         bounds += np.bincount(block, weights=self.block_max[lists] * of, minlength=len(bounds))
-        look = (bounds >= floor - ROUNDING)[block]
-        lists, of = lists[look], of[look]
-        start = self.cells[lists]
-        count = self.cells[lists + 1] - start
+        wanted = bounds >= floor - ROUNDING
+        if 2 * wanted.sum() > len(wanted):
+            # most blocks: whole lists are read in one run each, which is cheaper than to step over the others
+            start, of = self.cells[self.lists[at[tail]]], w[tail]
+            count = self.cells[self.lists[at[tail] + 1]] - start
+        else:
+            look = wanted[block]
+            lists, of = lists[look], of[look]
+            start = self.cells[lists]
+            count = self.cells[lists + 1] - start
         at_row = _spans(start, count)
         rest = np.bincount(self.rows[at_row], weights=self.cosines[at_row] * np.repeat(of, count), minlength=n)
         near = first + rest
@@ -261,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         names, index.idf = bare.value
         known = WordTerms(numbered(names))
         for batch in batches:
-            found = [index.vector(t.as_py(), known) for t in batch.column(1)]
+            found = list(index.vectors((t.as_py() for t in batch.column(1)), known))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()),
                                    pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary())], names=["id", "y", "at", "w"])
 
@@ -291,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         def voted(batches):
             import pyarrow as pa
-            index = Index.of(shared.value)
+            index, _ = Index.shared(shared.value)
             for batch in batches:
                 each = ((np.frombuffer(a.as_py(), np.int32), np.frombuffer(w.as_py(), np.float32).astype(float))
                         for a, w in zip(batch.column(2), batch.column(3)))
@@ -323,13 +363,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches):
         import pyarrow as pa
-        index = shared.value and Index.of(shared.value)
-        known = WordTerms(index.terms) if index else {}
+        index, known = Index.shared(shared.value) if shared.value else (None, None)
         for batch in batches:
             score, evidence = [], []
             if index is None:
                 score, evidence = [0.5] * len(batch), [[]] * len(batch)
-            for found, sims in index.nearest_each(index.vector(t.as_py(), known) for t in batch.column(1)) if index else ():
+            for found, sims in index.nearest_each(index.vectors((t.as_py() for t in batch.column(1)), known)) if index else ():
                 score.append(index.score(index.vote(found, sims)))
                 evidence.append([{"id": int(index.ids[f]), "cosine": float(s), "label": int(index.labels[f])}
                                  for f, s in zip(found[:EVIDENCE], sims[:EVIDENCE])])
