@@ -11,7 +11,8 @@ from tests.llm.helpers import empty, messy, messy_rows, prose, with_null_ids
 def brute_chains(text):
     """Pairs of content words after each common word or closing mark."""
     words, spot = [], True
-    for m in re.finditer(r"(?P<w>[0-9a-z\x80-\U0010ffff]+)|(?P<m>[.!?;:|\n])", "\n" + text.lower()):
+    for m in re.finditer(r"(?P<w>[^\W_]+)|(?P<m>[.!?;:|\n\u2026\u203C\u2047-\u2049\u3002\uFF01\uFF0E\uFF1A\uFF1B\uFF1F\uFF5C\uFF61\u061B\u061F\u06D4\u0589"
+                         r"\u0964\u0965\u1362\u2028\u2029])", "\n" + text.lower()):
         if m["w"] and m["w"] not in S.COMMON:
             words.append((m["w"], spot))
             spot = False
