@@ -85,7 +85,8 @@ def write_json_array(df: DataFrame, path: str, order_by: str, pretty: bool = Fal
     rec = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": str(pretty).lower()})
     at = F.col("_wja_at")
     line = F.concat(F.when(at == 1, F.lit("[")).otherwise(F.lit(",")), rec, F.when(at == last, F.lit("]")).otherwise(F.lit("")))
-    numbered.orderBy(at).select(line.alias("value")).write.mode(mode).text(path)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered.repartitionByRange(n, at).sortWithinPartitions(at).select(line.alias("value")).write.mode(mode).text(path)
     return path
 
 
