@@ -7,8 +7,11 @@ its cost one order lower, down to 8 bits at order -1.  Statistics are frozen
 after fitting, so the cost of a text is exact and independent of its place.
 The language whose tree codes the text shortest wins.
 
-The trees of all languages are laid out as one table (context, byte) -> cost,
-so a whole text is coded by array look-ups.
+The trees hold every context of the sample and nothing else: per order a sorted
+list of contexts and of (context, byte) pairs, each with the languages that
+have it.  Their size is that of the sample's distinct contexts, whatever the
+number of languages or byte values.  The distinct four-byte strings of a run of
+texts are looked up once, from the lowest order up.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ ORDER = 3
 # bound of the fit: about so many rows of each language, none longer than this
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 65536
-# bound of the trees: order-3 contexts kept of all languages, the most frequent ones
-MAX_CONTEXTS = 60_000
-# a context must have been seen so often, or its text is left to shorter contexts
-MIN_COUNT = 2
 SEED = 7
 UNKNOWN = "und"
 RUN_BYTES = 1 << 20
+# prices held at a time, over strings and languages
+CELLS = 1 << 22
+# prices are whole multiples of this, so that sums of them don't depend on their order
+UNIT = 2.0 ** -20
 _PAD = b"   "  # every text is coded as if three spaces stood before it
 
 
@@ -49,30 +52,59 @@ def _grams(raw: bytes) -> np.ndarray:
     return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
 
 
+@dataclass
+class Lists:
+    """Numbers of (language, value) by key: ``keys`` sorted, those of key i from ``at[i]`` to ``at[i + 1]``."""
+    keys: np.ndarray
+    at: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, lang: np.ndarray, value: np.ndarray) -> "Lists":
+        order = np.lexsort((lang, key))
+        keys, first = np.unique(key[order], return_index=True)
+        return cls(keys.astype(np.uint32), np.append(first, len(key)), lang[order].astype(np.int32), value[order].astype(np.float32))
+
+    def find(self, wanted: np.ndarray):
+        """Rows of ``wanted``, languages and values of all that is listed under them."""
+        i = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+        rows = np.flatnonzero(self.keys[i] == wanted) if len(self.keys) else np.zeros(0, np.int64)
+        i = i[rows]
+        n = self.at[i + 1] - self.at[i]
+        item = np.arange(n.sum()) + np.repeat(self.at[i] - np.append(0, np.cumsum(n)[:-1]), n) if len(rows) else np.zeros(0, np.int64)
+        return np.repeat(rows, n), self.lang[item], self.value[item]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    classes: np.ndarray   # byte -> class, 0: not seen in fitting
-    n_classes: int
-    node: np.ndarray      # three classes -> row of the table
-    costs: list[np.ndarray]  # per language: cost in bits at row * n_classes + class
+    escapes: list[Lists]  # by order: context -> bits of an escape
+    bytes: list[Lists]    # by order: context and byte -> bits, with the escapes before it
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four-byte string under each language."""
+        out = np.full((len(grams), len(self.langs)), 8.0)
+        for order, (escapes, known) in enumerate(zip(self.escapes, self.bytes)):
+            wanted = (grams & ((1 << 8 * (order + 1)) - 1)).astype(np.uint32)
+            rows, lang, bits = escapes.find(wanted >> 8)
+            out[rows, lang] += bits
+            rows, lang, bits = known.find(wanted)
+            out[rows, lang] = bits
+        return np.rint(out / UNIT) * UNIT
 
     def code_lengths(self, raws: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(raws), len(self.langs)))
-        a = self.n_classes
+        step = max(1, CELLS // len(self.langs))
         for at, run in _runs(raws):
-            c = self.classes[np.frombuffer(b"".join(_PAD + r for r in run), dtype=np.uint8)]
-            index = np.empty(len(c), dtype=np.int64)
-            index[:3] = 0
-            index[3:] = self.node[(c[:-3] * a + c[1:-2]) * a + c[2:-1]]
-            index *= a
-            index += c
-            ends = np.cumsum([len(r) + 3 for r in run])
-            starts = ends - [len(r) for r in run]
-            for k, cost in enumerate(self.costs):
-                sums = np.append(0.0, np.cumsum(cost[index], dtype=np.float64))
-                out[at:at + len(run), k] += sums[ends] - sums[starts]
+            stream = np.concatenate([_grams(r) for r in run])
+            text = np.repeat(np.arange(at, at + len(run)), [len(r) for r in run])
+            for k in range(0, len(stream), step):
+                grams, inverse = np.unique(stream[k:k + step], return_inverse=True)
+                cost, mine = self.costs(grams), text[k:k + step] - at
+                for lang in range(len(self.langs)):
+                    out[at:at + len(run), lang] += np.bincount(mine, weights=cost[inverse, lang], minlength=len(run))
         return out
 
 
@@ -83,44 +115,20 @@ def _runs(raws: list[bytes]):
         at += len(run)
 
 
-def build(langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]) -> Model:
-    """Trees from the counts of (three bytes, byte) per language."""
-    seen = np.unique(np.concatenate([np.concatenate([(g >> s) & 255 for s in (0, 8, 16, 24)]) for g in grams]))
-    a = len(seen) + 1
-    classes = np.zeros(256, dtype=np.int64)
-    classes[seen] = np.arange(1, a)
-    syms = [classes[g & 255] for g in grams]
-    byte = [[classes[(g >> (8 * k)) & 255] for k in (1, 2, 3)] for g in grams]
-    # contexts of each order as numbers, the nearest byte last
-    keys = [[np.zeros(len(g), np.int64), b[0], b[1] * a + b[0], (b[2] * a + b[1]) * a + b[0]] for g, b in zip(grams, byte)]
-    node = np.zeros(1, dtype=np.int64)
-    prob = np.full((1, a, len(langs)), 1 / 256)  # order -1
+def build(langs: list[str], lang: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> Model:
+    """Trees from the counts of four-byte strings; ``lang`` is the place of each string's language in ``langs``."""
+    lang = lang.astype(np.int64)
+    escapes, known = [], []
     for order in range(ORDER + 1):
-        both = np.concatenate([k[order] for k in keys])
-        ctx, inverse = np.unique(both, return_inverse=True)
-        weight = np.bincount(inverse, weights=np.concatenate(counts))
-        kept = weight >= (MIN_COUNT if order > 1 else 0)
-        if order == ORDER and kept.sum() > MAX_CONTEXTS:
-            kept &= weight >= np.sort(weight)[-MAX_CONTEXTS]
-        ctx = ctx[kept]
-        # the row one order lower: the context without its farthest byte
-        lower = node[ctx % a ** max(0, order - 1)] if order else np.zeros(len(ctx), dtype=np.int64)
-        new = prob[lower].copy()
-        for k in range(len(langs)):
-            at = np.searchsorted(ctx, keys[k][order])
-            ok = (at < len(ctx)) & (ctx[np.minimum(at, len(ctx) - 1)] == keys[k][order])
-            c = np.bincount(at[ok] * a + syms[k][ok], weights=counts[k][ok], minlength=len(ctx) * a).reshape(len(ctx), a)
-            n, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-            bottom = np.maximum(n + d, 1)
-            p = np.where(c > 0, c / bottom, d / bottom * new[:, :, k])
-            new[:, :, k] = np.where(n > 0, p, new[:, :, k])
-        # rows: those of this order first, then the lower ones they fall back on
-        rows = np.concatenate([prob, new])
-        wider = np.tile(node, a) if order else np.zeros(1, dtype=np.int64)
-        wider[ctx] = len(prob) + np.arange(len(ctx))
-        prob, node = rows, wider
-    costs = [np.ascontiguousarray(-np.log2(prob[:, :, k])).astype(np.float32).reshape(-1) for k in range(len(langs))]
-    return Model(langs, classes, a, node, costs)
+        # a context and a byte of one language as one number, languages apart
+        both, back = np.unique((lang << 32) | (grams & ((1 << 8 * (order + 1)) - 1)), return_inverse=True)
+        n = np.bincount(back, weights=counts, minlength=len(both))
+        context, which = np.unique((both >> 32 << 32) | ((both & 0xFFFFFFFF) >> 8), return_inverse=True)
+        distinct = np.bincount(which, minlength=len(context))
+        bottom = np.bincount(which, weights=n, minlength=len(context)) + distinct
+        escapes.append(Lists.of(context & 0xFFFFFFFF, context >> 32, np.log2(bottom / distinct)))
+        known.append(Lists.of(both & 0xFFFFFFFF, both >> 32, np.log2(bottom[which] / n)))
+    return Model(langs, escapes, known)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -156,9 +164,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         .groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
     if not found.num_rows:
         return None
-    lang, gram, n = np.asarray(found["l"].to_pylist()), found["g"].to_numpy(), found["n"].to_numpy().astype(np.float64)
-    langs = sorted(set(lang.tolist()))
-    return build(langs, [gram[lang == x] for x in langs], [n[lang == x] for x in langs])
+    named = found["l"].combine_chunks().dictionary_encode()
+    names = named.dictionary.to_pylist()
+    langs = sorted(names)
+    place = np.array([langs.index(x) for x in names])
+    return build(langs, place[named.indices.to_numpy()], found["g"].to_numpy(), found["n"].to_numpy().astype(np.float64))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -168,16 +178,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ``score`` is the winner's share when the languages' code lengths are taken
     as likelihoods; of equal lengths the first language by name wins.  A text
     that is null or has no letter is ``und`` with score 0, and so is every
-    text when no row has a language.  Repeated rows get equal results.  Other
+    text when no row has a language.  Repeated rows get equal results.  A text
+    of any length is coded whole, from its first byte to its last.  Other
     columns of ``docs`` are not read.  An empty table gives an empty result.
     """
     model = fit(docs, id_col, text_col, lang_col, **fitting)
-    # plain arrays, bounded by MAX_CONTEXTS; workers need no installed copy of the class
-    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
+    # plain arrays, bounded by the sample; workers need no installed copy of the classes
+    plain = model and (model.langs, [vars(x) for x in model.escapes], [vars(x) for x in model.bytes])
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
 
     def run(batches):
         import pyarrow as pa
-        model = Model(**shared.value) if shared.value else None
+        model = None
+        if shared.value:
+            langs, escapes, known = shared.value
+            model = Model(langs, [Lists(**x) for x in escapes], [Lists(**x) for x in known])
         for batch in batches:
             pred, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             at, raws = [], []

@@ -113,14 +113,7 @@ def test_ppm_code_lengths_against_a_plain_walk():
         g, n = np.unique(np.concatenate([L._grams(L.prepared(t)) for t in texts[lang]]), return_counts=True)
         grams.append(g)
         counts.append(n.astype(float))
-    model = L.build(list(texts), grams, counts)
-    total = {}
-    for o in (2, 3):
-        total[o] = {}
-        for g, n in zip(grams, counts):
-            for a, b in zip(g.tolist(), n.tolist()):
-                c = a.to_bytes(4, "big")
-                total[o][c[3 - o:3]] = total[o].get(c[3 - o:3], 0) + b
+    model = L.build(list(texts), np.repeat(np.arange(2), [len(g) for g in grams]), np.concatenate(grams), np.concatenate(counts))
     for k, lang in enumerate(texts):
         by = {}
         for g, n in zip(grams[k].tolist(), counts[k].tolist()):
@@ -139,7 +132,7 @@ def test_ppm_code_lengths_against_a_plain_walk():
                         break
                     ctx = raw[i - o:i]
                     seen = by.get((o, ctx), {})
-                    if not seen or (o > 1 and total[o].get(ctx, 0) < L.MIN_COUNT):
+                    if not seen:
                         continue
                     n, d = sum(seen.values()), len(seen)
                     if raw[i] in seen:
@@ -154,6 +147,22 @@ def test_ppm_code_lengths_against_a_plain_walk():
             assert abs(model.code_lengths([raw])[0, k] - bits(raw)) < 1e-3 * (1 + bits(raw))
 
 
+def test_two_hundred_languages_keep_all_their_contexts():
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüñéβγдж"
+    words = [["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(60)] for _ in range(200)]
+    text = lambda k, n: L.prepared(" ".join(rnd.choice(words[k]) for _ in range(n)))
+    parts = [np.unique(L._grams(text(k, 2000)), return_counts=True) for k in range(200)]
+    lang = np.repeat(np.arange(200), [len(g) for g, _ in parts])
+    model = L.build([f"l{k:03}" for k in range(200)], lang, np.concatenate([g for g, _ in parts]),
+                    np.concatenate([n for _, n in parts]).astype(float))
+    # each string seen in a language is listed under it, once
+    assert len(model.bytes[3].value) == sum(len(g) for g, _ in parts)
+    assert sum(x.value.nbytes + x.lang.nbytes + x.keys.nbytes + x.at.nbytes for x in model.bytes + model.escapes) < 50 << 20
+    found = model.code_lengths([text(k, 30) for k in range(200)]).argmin(axis=1)
+    assert (found == np.arange(200)).mean() > 0.99
+
+
 def test_nearest_examples_against_all_cosines():
     rnd = np.random.default_rng(6)
     examples = np.maximum(rnd.normal(0, 1, (700, 40)) - 0.8, 0)
