@@ -7,6 +7,8 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.session import materialize
+
 # white space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +33,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(value) if value.isdigit() else 200
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def told_apart(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells all its rows apart.
+
+    That is the id where no id is null or repeated (one count over the ids
+    finds out).  Otherwise the rows are numbered and written once, so that the
+    numbers stay the same when a lost executor's work is done again.
+    """
+    unclear = docs.groupBy(F.col(id_col).alias("_id")).count().where("_id IS NULL OR count > 1")
+    if unclear.isEmpty():
+        return docs, id_col
+    key = free_name(docs, "_row_key")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
+def first_of_each(members: DataFrame, group: str) -> DataFrame:
+    """``group`` and ``_stays``: the ``_key`` of its row with the smallest ``_id`` (null last), ties by ``_key``."""
+    return members.groupBy(group).agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_key"))["_key"].alias("_stays"))
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs.
 

@@ -24,15 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import WORD, table, text_of
+from rivulet.llm.common import WORD, free_name, table, text_of, told_apart
 from rivulet.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 17
-# the dynamic programme fits budgets up to this many words; larger ones are first filled with long documents
-DP_WORDS = 16384
+# the dynamic programme first fits this many words exactly, four times as many as long as the budget is missed ...
+DP_WORDS = 1 << 14
+# ... up to the whole budget or this many words (or eight of the longest documents)
+MOST_WORDS = 1 << 24
 # about so many documents of one length are ranked together
 RANK_ROWS = 20000
 _HASH_RANGE = 1 << 62
@@ -64,57 +66,89 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE,
                           ).select("source", "source_size", "target")
 
 
-def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their sum is as near ``budget`` as can be found.
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length (whole numbers above 0) to take so that their sum is nearest ``budget``; exact.
 
-    Of every length the budget's share is taken (rounded down), then long
-    documents fill up until at most ``DP_WORDS`` are missing, and the rest is an
-    exact bounded knapsack over the documents left.
+    ``reach`` has a bit for every sum that can be made.  Binary splitting makes
+    few items of many equal ones.  Every so many items ``reach`` is kept, and
+    what lies between is made again on the way back.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
+    if not len(lengths) or budget <= 0:
         return take
-    if budget >= total:
-        return counts.astype(np.int64).copy()
-    # the shares leave DP_WORDS for the exact fit where the budget allows
-    share = max(0, budget - DP_WORDS) / total
-    take = np.floor(counts * share).astype(np.int64)
-    rest = budget - int((lengths * take).sum())
-    left = counts - take
-    for i in np.argsort(-lengths, kind="stable"):
-        n = int(min(left[i], max(0, rest - DP_WORDS // 2) // max(1, lengths[i])))
-        if n and lengths[i] > 0:
-            take[i] += n
-            left[i] -= n
-            rest -= n * int(lengths[i])
-    # reach[s]: sum s can be made; steps keep what each item adds, binary splitting bounds the items
-    limit = int(min(rest + int(lengths.max()), rest + DP_WORDS))
+    limit = int(min(budget + int(lengths.max()), int((lengths * counts).sum())))
     mask = (1 << (limit + 1)) - 1
-    reach, steps = 1, []
+    items = []
     for i in np.argsort(lengths, kind="stable"):
-        length, n, part = int(lengths[i]), int(left[i]), 1
-        if length <= 0 or length > limit:
-            continue
-        n = min(n, limit // length)
+        n, part = min(int(counts[i]), limit // int(lengths[i])), 1
         while n > 0:
-            k = min(part, n)
-            new = (reach | (reach << (length * k))) & mask
-            if new != reach:
-                steps.append((i, k, reach))
-                reach = new
-            n -= k
+            items.append((i, min(part, n)))
+            n -= part
             part *= 2
-        if (reach >> rest) & 1:
+    nearest = int(np.gcd.reduce(lengths))
+    nearest = {budget // nearest * nearest, -(-budget // nearest) * nearest}
+    goals = [g for g in nearest if abs(g - budget) == min(abs(x - budget) for x in nearest)]
+    gap = max(1, int(len(items) ** 0.5))
+    reach, used, stops = 1, 0, []
+    for i, k in items:
+        if used % gap == 0:
+            stops.append(reach)
+        reach = (reach | (reach << (int(lengths[i]) * k))) & mask
+        used += 1
+        if any((reach >> g) & 1 for g in goals):
             break
-    low = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = reach >> rest
-    high = rest + ((above & -above).bit_length() - 1) if above else None
-    goal = low if high is None or rest - low <= high - rest else high
-    for i, k, before in reversed(steps):
-        if not (before >> goal) & 1:
-            take[i] += k
-            goal -= k * int(lengths[i])
+    low = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> budget
+    high = budget + ((above & -above).bit_length() - 1) if above else None
+    goal = low if high is None or budget - low <= high - budget else high
+    for block in range(len(stops) - 1, -1, -1):
+        mine = items[block * gap:min(used, (block + 1) * gap)]
+        before = [stops[block]]
+        for i, k in mine[:-1]:
+            before.append((before[-1] | (before[-1] << (int(lengths[i]) * k))) & mask)
+        for (i, k), known in zip(reversed(mine), reversed(before)):
+            if not (known >> goal) & 1:
+                take[i] += k
+                goal -= k * int(lengths[i])
+    return take
+
+
+def subset_sum(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
+    """How many documents of each length to take so that their sum is as near ``budget`` as can be.
+
+    All but a window of the budget is taken as an even, seeded share over the
+    documents in order of length, and the window is fitted by an exact bounded
+    knapsack over those left.  A miss opens a wider window, so less is taken
+    beforehand, until it holds the whole budget: then no choice is nearer.
+    Only budgets above ``MOST_WORDS`` (and eight of the longest documents) keep
+    a share beforehand in the last try.
+    """
+    total = int((lengths * counts).sum())
+    if budget <= 0 or total == 0:
+        return np.zeros(len(lengths), dtype=np.int64)
+    if budget >= total:
+        return counts.astype(np.int64).copy()
+    long = lengths > 0
+    sizes, there = lengths[long].astype(np.int64), counts[long].astype(np.int64)
+    start = np.random.default_rng(seed).random()
+    most = max(MOST_WORDS, 8 * int(sizes.max()))
+    step = int(np.gcd.reduce(sizes))
+    least = min(budget % step, -budget % step)  # no sum is nearer
+    window, best, miss = max(DP_WORDS, 2 * int(sizes.max())), None, None
+    while True:
+        share = max(0, budget - window) / total
+        upto = np.floor(np.append(0, np.cumsum(there)) * share + start).astype(np.int64)
+        first = np.minimum(np.diff(upto), there)
+        rest = budget - int((sizes * first).sum())
+        found = first + knapsack(sizes, there - first, rest)
+        off = abs(budget - int((sizes * found).sum()))
+        if best is None or off < miss:
+            best, miss = found, off
+        if miss <= least or window >= min(budget, most):
+            break
+        window *= 4
+    take = np.zeros(len(lengths), dtype=np.int64)
+    take[long] = best
     return take
 
 
@@ -129,13 +163,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source is taken whole.  Equal lengths are ordered by a seeded hash of id,
     size and source, so reruns agree; rows that repeat an id tie there and are
     told apart by the order they were written in.  Other columns of ``docs``
-    are not read.  An empty table gives an empty result.
+    are not read.  Texts of any length are counted whole; a source of which no
+    sum of documents meets the target gets the nearest.  An empty table gives an
+    empty result.
     """
+    return _mix(docs, id_col, text_col, source_col, None, weights, share, max_epochs, seed).drop("_row")
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str | None,
+         weights=WEIGHTS, share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of ``mix`` and ``_row``, their ``key_col`` (or a number)."""
     sized = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
-        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint").alias("size"))
+        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("bigint").alias("size"),
+        (F.col(key_col) if key_col else F.monotonically_increasing_id()).alias("_row"))
     sized = materialize(sized.select(
-        "*", F.monotonically_increasing_id().alias("_row"),
+        "*",
         F.shiftright(F.xxhash64(F.lit(seed), "_id", "size", "source"), 1).bitwiseAND(F.lit(_HASH_RANGE - 1)).alias("_h")),
         "mix-sizes")
     hist = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -152,7 +195,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             whole = int(min(max_epochs, (goal + 0.5) // words))
         rest = int(round(goal - whole * words)) if whole < max_epochs else 0
         pdf["whole"] = np.int64(whole)
-        pdf["quota"] = subset_sum(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), rest)
+        pdf["quota"] = subset_sum(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), rest, seed)
         return pdf
 
     quotas = materialize(lengths.groupBy("source").applyInPandas(
@@ -179,24 +222,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rest = ranked.where((F.col("_before") >= F.col("quota")) | (F.col("_before") + F.col("_in") <= F.col("quota"))) \
         .withColumn("_extra", (F.col("_before") < F.col("quota")).cast("bigint"))
     plain = picked.where(~partial).withColumn("_extra", (F.col("quota") > 0).cast("bigint"))
-    cols = ["_id", "size", "source_size", "target", "whole", "_extra"]
+    cols = ["_row", "_id", "size", "source_size", "target", "whole", "_extra"]
     out = plain.select(*cols).unionByName(cut.select(*cols)).unionByName(rest.select(*cols))
     times = F.col("whole") + F.col("_extra")
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target",
-                      (F.col("size") * times).alias("taken"), times.alias("times"))
+                      (F.col("size") * times).alias("taken"), times.alias("times"), "_row")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: every row of ``docs``, with all its columns, as often as it is taken.
+    """The mix itself: every row of ``docs``, with all its columns, as often as ``mix`` takes that row.
 
-    Rows that repeat an id and a size are all taken as often as the one taken most.
+    Rows that repeat an id, or have none, are told apart by a written row
+    number, so each source gets what ``mix`` gives it.  Null texts, null sources
+    and long texts are as in ``mix``.  An empty table gives an empty result.
     """
-    times = mix(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_mix_id"), F.col("size").alias("_mix_size")) \
-        .agg(F.max("times").cast("int").alias("_mix_times")).where("_mix_times > 0")
-    size = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("bigint")
-    out = docs.join(times, docs[id_col].eqNullSafe(times["_mix_id"]) & (size == times["_mix_size"]))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_mix_times"])).alias("_mix_copy")) \
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, key = told_apart(docs, id_col)
+    times = _mix(rows, id_col, text_col, source_col, key, **how).where("times > 0") \
+        .select(F.col("_row").alias("_mix_row"), F.col("times").cast("int").alias("_mix_times"))
+    copy = free_name(docs, "_mix_copy")
+    out = rows.join(times, rows[key] == times["_mix_row"])
+    return out.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_mix_times"])).alias(copy)).drop(copy)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import random
 
 # names that operators use inside
-CLASHING = ("_id", "_t", "id", "key", "fp", "size", "score", "_gone", "_mix_id", "_recipe", "stats", "starts", "_b", "kept", "_row")
+CLASHING = ("_id", "_t", "id", "key", "fp", "size", "score", "_gone", "_mix_id", "_recipe", "stats", "starts", "_b", "kept", "_row",
+            "_mix_copy", "_mix_row", "_row_key", "_key", "_stays", "_statistics")
 
 
 def prose(rnd, n, words=None):

@@ -99,21 +99,51 @@ def test_subset_sum_with_large_budgets():
         assert (take <= counts).all() and abs(int((take * lengths).sum()) - int(total * share)) <= 1
 
 
-def test_mixed_rows(spark):
-    rows = messy_rows()
+def test_long_documents_fill_what_longest_first_would_miss():
+    lengths, counts = np.array([30000, 50000], dtype=np.int64), np.array([2, 1], dtype=np.int64)
+    assert M.subset_sum(lengths, counts, 60000).tolist() == [2, 0]
+    # only the whole budget as one knapsack finds this one
+    lengths, counts = np.array([70001, 90000, 110003], dtype=np.int64), np.array([7, 5, 3], dtype=np.int64)
+    want = 3 * 70001 + 5 * 90000 + 2 * 110003
+    assert int((M.subset_sum(lengths, counts, want) * lengths).sum()) == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_a_wider_window_is_best_where_a_narrow_one_misses(seed, monkeypatch):
+    monkeypatch.setattr(M, "DP_WORDS", 4)
+    rnd = np.random.default_rng(seed)
+    lengths = np.unique(rnd.integers(20, 90, 5) * 3).astype(np.int64)
+    counts = rnd.integers(1, 4, len(lengths)).astype(np.int64)
+    sums = {0}
+    for n, c in zip(lengths, counts):
+        sums = {s + k * int(n) for s in sums for k in range(c + 1)}
+    for budget in range(1, int((lengths * counts).sum()) + 2, 11):
+        take = M.subset_sum(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_what_is_taken_beforehand_is_spread_over_the_lengths(monkeypatch):
+    monkeypatch.setattr(M, "DP_WORDS", 2000)
+    lengths = np.arange(1, 1001, dtype=np.int64)
+    take = M.subset_sum(lengths, np.ones(1000, dtype=np.int64), 250000)
+    assert int((take * lengths).sum()) == 250000
+    assert all(0.4 < take[k:k + 100].mean() < 0.6 for k in range(300, 1000, 100))
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_mixed_rows(spark, nulls):
+    rows = with_null_ids(messy_rows()) if nulls else messy_rows()
     docs = messy(spark, rows)
     out = M.mixed(docs)
     assert out.columns == docs.columns
-    times = {}
+    times = defaultdict(int)
     for r in M.mix(docs).collect():
-        times[r.doc_id] = max(times.get(r.doc_id, 0), r.times)
-    n = defaultdict(int)
-    for r in rows:
-        n[r[0]] += 1
+        times[r.doc_id] += r.times
     got = defaultdict(int)
     for r in out.collect():
         got[r.doc_id] += 1
-    assert dict(got) == {i: n[i] * k for i, k in times.items() if k}
+    assert dict(got) == {i: k for i, k in times.items() if k}
 
 
 def test_empty_table(spark):
