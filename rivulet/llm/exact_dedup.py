@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import SPACE, table, text_of
+from rivulet.llm.common import SPACE, first_of_each, table, text_of, told_apart
 from rivulet.session import materialize
 
 MIN_CHUNK, MAX_CHUNK = 256, 8192
@@ -81,12 +81,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.size("_recipe").cast("bigint").alias("n_chunks"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay."""
-    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(
-        F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.sha2(normalised(text_of(text_col)).cast("binary"), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   identifiers=IDENTIFIERS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: exactly one of each group of equal texts.
+
+    It is the one with the smallest id; a null id only stays where no row of
+    the group has one.  Of rows that repeat the smallest id one stays, by a
+    written row number.  Null texts are equal to empty ones.  Texts of any
+    length are compared whole.  An empty table gives an empty result.
+    """
+    rows, key = told_apart(docs, id_col)
+    base = rows.select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
+    make = verified_identifier(base.select("_t"), identifiers)
+    recipes = materialize(base.select("_key", "_id", F.transform(chunks(F.col("_t")), make).alias("_recipe")), "recipes")
+    gone = recipes.join(first_of_each(recipes, "_recipe"), "_recipe").where("_key != _stays").select(F.col("_key").alias("_gone"))
+    kept = rows.join(gone, rows[key] == gone["_gone"], "left_anti")
+    return kept if key == id_col else kept.drop(key)
 
 
 SQL = r"""

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import held_out, table
+from rivulet.llm.common import free_name, held_out, table
 from rivulet.session import materialize
 
 FEATURES = 256
@@ -203,18 +203,28 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              label_col: str = "quality", threshold: float = THRESHOLD, **fitting) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is at least ``threshold``.
 
-    Rows are scored where they are, so no text is shuffled; the statistics of
-    the labelled rows only are kept for the fit.
+    The rows are written once with their statistics, which both the fit and
+    the scores read; no text is shuffled or read twice.  A null text is judged
+    as the empty text, long texts are read whole, rows that repeat an id each
+    by their own text.  Without any labelled row all stay.  An empty table gives
+    an empty result.
     """
-    model = fit(document_statistics(docs, id_col, text_col), labels, "doc_id", label_col, **fitting)
+    name = free_name(docs, "_statistics")
+
+    @F.pandas_udf("array<double>")
+    def described(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t or "") for t in texts], dtype=object)
+
+    rows = materialize(docs.withColumn(name, described(F.col(text_col))), "quality-rows")
+    model = fit(rows.select(F.col(id_col).cast("bigint").alias("_id"), F.col(name).alias("stats")), labels, "doc_id", label_col, **fitting)
+    if not model:
+        return rows.drop(name)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not model or not len(texts):
-            return pd.Series(np.full(len(texts), 0.5))
-        return pd.Series(model.score(np.array([statistics(t or "") for t in texts])))
+    def score(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(stats.to_numpy())) if len(stats) else np.zeros(0))
 
-    return docs.where(score(F.col(text_col)) >= threshold) if model else docs
+    return rows.where(score(F.col(name)) >= threshold).drop(name)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import shuffle_partitions, table
+from rivulet.llm.common import first_of_each, shuffle_partitions, table, told_apart
 from rivulet.session import materialize
 
 SHINGLE = 3
@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint and link like any other.  A null id never is the smallest (a
     component of null ids only has a null ``component_id``).  Repeated rows
     share everything.  Other columns of ``docs`` are not read.  An empty table
-    gives an empty result.
+    gives an empty result.  Components that have not settled after 64 rounds
+    (chains of some 2^64 links) raise an error.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = materialize(marked.groupBy("fp").agg(F.min("_id").alias("low")), "simhash-distinct")
@@ -337,13 +338,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the smallest id of their component.
+    """The rows of ``docs``, with all their columns, that stay: exactly one of each component.
 
-    Rows without an id can't be told apart by it and stay.
+    It is the one with the smallest id; a null id only stays where no row of
+    the component has one.  Of rows that repeat the smallest id one stays, by a
+    written row number.  Null texts and texts without words share the zero
+    fingerprint.  Whole texts are read, whatever their length.  An empty table
+    gives an empty result.
     """
-    gone = near_duplicates(docs, id_col, text_col, shingle, distance) \
-        .where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    rows, key = told_apart(docs, id_col)
+    near = near_duplicates(rows, key, text_col, shingle, distance)
+    if key == id_col:
+        gone = near.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
+        return rows.join(gone, rows[key] == gone["_gone"], "left_anti")
+    ids = rows.select(F.col(key).alias("_key"), F.col(id_col).alias("_id"))
+    members = materialize(near.select(F.col(key).alias("_key"), "component_id").join(ids, "_key"), "simhash-members")
+    gone = members.join(first_of_each(members, "component_id"), "component_id").where("_key != _stays") \
+        .select(F.col("_key").alias("_gone"))
+    return rows.join(gone, rows[key] == gone["_gone"], "left_anti").drop(key)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

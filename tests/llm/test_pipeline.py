@@ -38,6 +38,15 @@ def test_odd_rows_pass_every_stage(spark):
     assert C.STAGES[-1][1](spark, docs, SF_SMALL).count() >= docs.count()
 
 
+def test_repeated_and_null_ids_lose_their_copies_in_both_stages(spark):
+    rows = [(1, "one two three four", "en", "a"), (1, "one two three four", "en", "a"), (None, "one two three four", "en", "a"),
+            (None, "five six seven eight", "en", "a"), (None, "five six seven eight", "en", "a")]
+    docs = messy(spark, rows)
+    for stage in (C.exact_stage, C.near_stage):
+        assert sorted((r.doc_id or 0, r.text) for r in stage(spark, docs, SF_SMALL).collect()) \
+            == [(0, "five six seven eight"), (1, "one two three four")]
+
+
 def test_empty_table(spark):
     from tests.llm.helpers import empty
     docs = empty(spark)

@@ -98,12 +98,25 @@ def test_long_chain_has_one_component(spark):
 
 
 def test_one_of_each(spark):
-    rows = messy_rows()
+    rows = with_null_ids(messy_rows())
     docs = messy(spark, rows)
     kept = S.one_of_each(docs)
-    comp = {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()}
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, c in comp.items() if i == c}
+    # one row of each component, the one with the smallest id; rows are told apart by their place here
+    comp = {r.doc_id: r.component_id for r in S.near_duplicates(messy(spark, [(k, *r[1:]) for k, r in enumerate(rows)])).collect()}
+    low = {}
+    for k, c in comp.items():
+        i = rows[k][0]
+        low[c] = min(low.get(c, (True, 0)), (i is None, i or 0))
+    want = sorted((None if none else i for none, i in low.values()), key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == want
+
+
+def test_one_row_stays_of_rows_that_repeat_an_id(spark):
+    rows = [(1, "a b c d e", "en", "a"), (1, "a b c d e", "en", "b"), (1, "quite another text than that", "en", "a"),
+            (None, "a b c d e", "en", "a"), (None, "only without an id", "en", "a"), (None, "only without an id", "en", "a")]
+    kept = S.one_of_each(messy(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "only without an id"), (1, "a b c d e"), (1, "quite another text than that")]
 
 
 def test_empty_table(spark):
