@@ -15,27 +15,42 @@ from rivulet.session import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts.  A null text is judged as the empty text."""
+    """Documents that the quality classifier accepts.
+
+    A null text is judged as the empty text, repeated rows each by their text; an empty table stays empty.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id; null texts are equal to empty ones."""
+    """Of equal texts one row, the one with the smallest id.
+
+    Null texts are equal to empty ones; of repeated rows one stays, a null id only where the group has no other.
+    """
     return exact_dedup.without_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the smallest id."""
+    """One document of each SimHash component, the smallest id.
+
+    Repeated rows and null ids as in ``exact_stage``; texts without words are one component.
+    """
     return simhash.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Repeated rows are taken each by itself; a null text has no words, a null source is one of its own.
+    """
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens.
+
+    A null text is packed as the empty text, a repeated row once more; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
