@@ -16,6 +16,7 @@ each row without itself, makes the vote a probability.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 from itertools import chain, islice
 
@@ -34,10 +35,11 @@ SAMPLE_BYTES = 65536
 FULL_CHI2 = 30.0  # from here a term has its full weight; chance alone gives one such term in some ten million
 LEAST_WEIGHT = 0.1  # share of its weight that any term keeps
 HEAD = 1536  # terms kept as a matrix, those of the longest lists
-QUERIES = 64  # texts whose products with the matrix are taken together
+QUERIES = 128  # texts whose products with the matrix are taken together
 ROUNDING = 1e-5  # more than a float32 product of unit vectors is off
 NEIGHBOURS = 15
-BLOCK = 512
+BLOCK = 512  # examples in a block, more where that made over BLOCKS of them
+BLOCKS = 16
 EVIDENCE = 3
 THRESHOLD = 0.3
 SEED = 8
@@ -63,19 +65,33 @@ def numbered(terms: str) -> dict[str, int]:
 
 
 class WordTerms(dict):
-    """Numbers of the terms a word stands for."""
+    """Numbers of the words seen so far; of each number, the numbers of the terms its word stands for."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
         self.terms = terms
+        self.flat, self.ends = array("i"), array("q", [0])
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def __missing__(self, word: str) -> int:
         get = self.terms.get
-        out = self[word] = tuple(t for t in map(get, terms_of(word)) if t is not None)
+        self.flat.extend(t for t in map(get, terms_of(word)) if t is not None)
+        out = self[word] = len(self)
+        self.ends.append(len(self.flat))
         return out
 
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of each of the words in turn, and how many each has."""
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+            self.flat, self.ends = array("i"), array("q", [0])
+        code = np.fromiter(map(self.__getitem__, words), np.int64, count=len(words))
+        start, flat = np.array(self.ends), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
+        count = np.diff(start)[code]
+        return flat[_spans(start[code], count)], count
+
+
+_PAIR = np.dtype([("row", np.int32), ("cosine", np.float32)])
+
 
 def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (count[0] numbers), start[1], ..."""
@@ -103,12 +119,12 @@ class Index:
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     slot: np.ndarray = field(init=False)        # term: its column of the head, -1 if it has none
     head: np.ndarray = field(init=False)        # examples x terms of the longest lists
+    block: int = field(init=False)              # examples in a block
+    block_max: np.ndarray = field(init=False)   # terms x blocks: the largest weight, none in the head
     lists: np.ndarray = field(init=False)       # term: its first postings block, and the end of the last term's
     block_of: np.ndarray = field(init=False)    # postings block: its block of examples
-    block_max: np.ndarray = field(init=False)   # postings block: its largest weight
     cells: np.ndarray = field(init=False)       # postings block: its first posting, and the end of the last one's
-    rows: np.ndarray = field(init=False)        # posting: its example
-    cosines: np.ndarray = field(init=False)     # posting: its weight
+    pairs: np.ndarray = field(init=False)       # posting: its example and its weight, eight bytes read as one number
 
     def __post_init__(self):
         n, terms = len(self.ids), len(self.idf)
@@ -129,14 +145,24 @@ class Index:
         column = self.slot[term]
         here = column >= 0
         self.head[row[here], column[here]] = value[here]
-        self.rows, term, self.cosines = row[~here], term[~here], value[~here]
-        block = self.rows // BLOCK
+        pairs = np.empty(int((~here).sum()), dtype=_PAIR)
+        pairs["row"], pairs["cosine"], term = row[~here], value[~here], term[~here]
+        self.pairs = pairs.view(np.int64)
+        self.block = max(BLOCK, -(-n // BLOCKS))
+        block = pairs["row"] // self.block
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
         self.cells = np.append(first, len(term)).astype(np.int32)
         self.block_of = block[first]
-        self.block_max = np.maximum.reduceat(self.cosines, first) if len(first) else np.zeros(0, np.float32)
+        self.block_max = np.zeros((terms, -(-n // self.block)), dtype=np.float32)
+        if len(first):
+            self.block_max[term[first], self.block_of] = np.maximum.reduceat(pairs["cosine"], first)
         self.lists = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
 
+    @property
+    def rows(self) -> np.ndarray:
+        """The example of each posting."""
+        return self.pairs.view(_PAIR)["row"]
+
     @classmethod
     def of(cls, fitted: dict) -> Index:
         """The index that ``fit`` has learned."""
@@ -167,14 +193,9 @@ class Index:
         yield from self._vectors(some, known)
 
     def _vectors(self, some: list[list[str]], known: WordTerms):
-        lengths = [len(x) for x in some]
-        code, distinct = pd.factorize(np.fromiter(chain.from_iterable(some), dtype=object, count=sum(lengths)))
-        terms = list(map(known.__getitem__, distinct))
-        sizes = np.fromiter(map(len, terms), np.int64, count=len(terms))
-        flat, starts = np.fromiter(chain.from_iterable(terms), np.int64), np.cumsum(sizes) - sizes
-        count = sizes[code]
-        of = np.repeat(np.repeat(np.arange(len(some)), lengths), count)
-        key, counts = np.unique(of * len(self.idf) + flat[_spans(starts[code], count)], return_counts=True)
+        terms, count = known.of(list(chain.from_iterable(some)))
+        of = np.repeat(np.repeat(np.arange(len(some)), [len(x) for x in some]), count)
+        key, counts = np.unique(of * len(self.idf) + terms, return_counts=True)
         of, at = np.divmod(key, max(1, len(self.idf)))
         w = (1 + np.log(counts)) * self.idf[at]
         w /= np.sqrt(np.bincount(of, weights=w * w, minlength=len(some)))[of]
@@ -208,24 +229,25 @@ class Index:
         floor = np.partition(first, kth)[kth] - ROUNDING
         column = self.slot[at]
         tail = column < 0
-        start = self.lists[at[tail]]
-        count = self.lists[at[tail] + 1] - start
-        lists, of = _spans(start, count), np.repeat(w[tail], count)
-        block = self.block_of[lists]
-        bounds = np.maximum.reduceat(first, np.arange(0, n, BLOCK)).astype(np.float64)
-        bounds += np.bincount(block, weights=self.block_max[lists] * of, minlength=len(bounds))
+        at_tail, of = at[tail], w[tail]
+        bounds = np.maximum.reduceat(first, np.arange(0, n, self.block)) + of @ self.block_max[at_tail]
         wanted = bounds >= floor - ROUNDING
         if 2 * wanted.sum() > len(wanted):
             # most blocks: whole lists are read in one run each, which is cheaper than to step over the others
-            start, of = self.cells[self.lists[at[tail]]], w[tail]
-            count = self.cells[self.lists[at[tail] + 1]] - start
+            start = self.cells[self.lists[at_tail]]
+            count = self.cells[self.lists[at_tail + 1]] - start
         else:
-            look = wanted[block]
+            start = self.lists[at_tail]
+            count = self.lists[at_tail + 1] - start
+            lists, of = _spans(start, count), np.repeat(of, count)
+            look = wanted[self.block_of[lists]]
             lists, of = lists[look], of[look]
             start = self.cells[lists]
             count = self.cells[lists + 1] - start
-        at_row = _spans(start, count)
-        rest = np.bincount(self.rows[at_row], weights=self.cosines[at_row] * np.repeat(of, count), minlength=n)
+        read = np.take(self.pairs, _spans(start, count)).view(_PAIR)
+        of = np.repeat(of, count)
+        of *= read["cosine"]
+        rest = np.bincount(read["row"], weights=of, minlength=n)
         near = first + rest
         found = np.flatnonzero((near > 0) & (near >= np.partition(near, kth)[kth] - ROUNDING))
         sims = rest[found] + self.head[np.ix_(found, column[~tail])] @ w[~tail]
