@@ -308,7 +308,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pos, total = float(n[1]), float(n[0] + n[1])
     neg = total - pos
     # the terms of the sample, so bounded
-    counted = counted.toArrow().sort_by("term")
+    # the commonest terms first: what most texts look up lies together in memory
+    counted = counted.toArrow().sort_by([("df", "descending"), ("term", "ascending")])
     terms = "\n".join(counted["term"].to_pylist())
     a, df = counted["a"].to_numpy(), counted["df"].to_numpy()
     del counted
