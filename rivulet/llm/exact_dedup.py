@@ -64,8 +64,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest id of a group stays.  A null text counts as empty; empty texts
     are a group like any other.  A null id never is the smallest (a group of
     null ids only has a null ``keep_id`` and ``kept`` true).  Rows repeated
-    under one id are equal and get the same decision.  Other columns of
-    ``docs`` are not read.  An empty table gives an empty result.
+    under one id are equal and get the same decision.  A text of any length is
+    cut into chunks whole.  Other columns of ``docs`` are not read.  An empty
+    table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
     make = verified_identifier(base.select("_t"), identifiers)

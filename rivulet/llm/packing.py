@@ -162,7 +162,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is its end id alone.  Rows that repeat an id are
-    packed like any others; a null id stays null.  Other columns of ``docs``
+    packed like any others; a null id stays null.  A text of any length is cut
+    into as many windows as it fills.  Remainders of equal length go in the
+    order of their rows; any order wastes the same.  Other columns of ``docs``
     are not read.  An empty table gives no piece.
     """
     spark = docs.sparkSession

@@ -179,9 +179,10 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: id, ``held_out``, ``score``, ``predicted``.
 
     A null text is scored as the empty text, which has statistics like any
-    other.  Only the text makes the score.  Without any labelled row every
-    score is 0.5.  Repeated rows get equal scores.  Other columns of ``docs``
-    are not read.  An empty table gives an empty result.
+    other; a text of any length is read whole.  Only the text makes the score.
+    Without any labelled row every score is 0.5.  Repeated rows get equal
+    scores.  Other columns of ``docs`` are not read.  An empty table gives an
+    empty result.
     """
     stats = materialize(document_statistics(docs, id_col, text_col), "quality-stats")
     model = fit(stats, labels, "doc_id", label_col, **fitting)

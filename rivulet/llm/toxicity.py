@@ -376,8 +376,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ``evidence`` lists the nearest examples (id, cosine, label).  A text
     without any of the words, also an empty or null one, gets the toxic share
     of the labelled texts like it and no evidence.  Without labelled rows every
-    score is 0.5.  Repeated rows get equal results.  Other columns of ``docs``
-    are not read.  An empty table gives an empty result.
+    score is 0.5.  Repeated rows get equal results.  A text of any length is
+    read whole; only labelled examples have a bound of size.  Examples that tie
+    with the last of the nearest vote, too.  Other columns of ``docs`` are not
+    read.  An empty table gives an empty result.
     """
     index = fit(docs, labels, id_col, text_col, label_col, **fitting)
     # arrays bounded by the sample
