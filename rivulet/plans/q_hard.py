@@ -14,7 +14,8 @@ from rivulet.operators.udf import apply_step, map_records
 from rivulet.operators.validate import require
 from rivulet.plans.registry import query, table
 from rivulet.session import scratch_path
-from rivulet.sinks.writers import concat_skip_headers, copy_files, gunzip_table, gzip_files, write, write_csv, write_json_array
+from rivulet.sinks.files import read_chunks
+from rivulet.sinks.writers import TABLE_CHUNK_BYTES, concat_skip_headers, copy_files, gunzip_table, gzip_files, write, write_csv, write_json_array
 from rivulet.sources.csv import read_csv
 from rivulet.sources.sql import incremental_read
 from rivulet.state import StateTable
@@ -198,31 +199,35 @@ def _text_files(spark, sf_dir, name):
 
 
 def _digests(files):
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    return files.select(F.length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha"), name.alias("path"))
+    """One row per chunk of each file."""
+    return files.select("path", "chunk", F.length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha"))
+
+
+def _chunks(spark, files):
+    return read_chunks(spark, files, TABLE_CHUNK_BYTES).select(F.element_at(F.split("file", "/"), -1).alias("path"), F.col("at").alias("chunk"), "content")
 
 
 @query("gzip_bytes", "SELECT CAST(3 AS BIGINT) AS files, true AS same_bytes, true AS smaller FROM (SELECT count(*) FROM documents)")
 def q_gzip_bytes(spark, sf_dir):
     """K-7: files packed and unpacked come back byte for byte."""
     src, dst = _text_files(spark, sf_dir, "gz_src"), scratch_path(spark, "gz_dst")
-    files = _digests(spark.read.format("binaryFile").load(f"{src}/part-*"))
+    files = _digests(_chunks(spark, f"{src}/part-*"))
     packed = gzip_files(spark, f"{src}/part-*", dst)
-    back = _digests(gunzip_table(packed))
-    size = packed.select(F.regexp_replace("path", r"\.gz$", "").alias("path"), F.length("content").alias("packed"))
-    both = files.join(back.select("path", F.col("sha").alias("sha2")), "path", "full").join(size, "path", "full")
-    return both.agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("sha").eqNullSafe(F.col("sha2"))).alias("same_bytes"),
-                    F.bool_and(F.col("packed") < F.col("bytes")).alias("smaller"))
+    back = _digests(gunzip_table(packed)).select("path", "chunk", F.col("sha").alias("sha2"))
+    size = packed.select(F.regexp_replace("path", r"\.gz$", "").alias("path"), "chunk", F.length("content").alias("packed"))
+    both = files.join(back, ["path", "chunk"], "full").join(size, ["path", "chunk"], "full").groupBy("path").agg(
+        F.bool_and(F.col("sha").eqNullSafe(F.col("sha2"))).alias("same"), (F.sum("packed") < F.sum("bytes")).alias("smaller"))
+    return both.agg(F.count(F.lit(1)).alias("files"), F.bool_and("same").alias("same_bytes"), F.bool_and("smaller").alias("smaller"))
 
 
 @query("copy_bytes", "SELECT CAST(3 AS BIGINT) AS files, true AS same_bytes FROM (SELECT count(*) FROM documents)")
 def q_copy_bytes(spark, sf_dir):
     """K-8: a byte-true copy of files chosen by a glob."""
     src, dst = _text_files(spark, sf_dir, "copy_src"), scratch_path(spark, "copy_dst")
-    a = _digests(spark.read.format("binaryFile").load(f"{src}/part-*"))
-    b = _digests(copy_files(spark, f"{src}/part-*", dst)).select("path", F.col("sha").alias("sha2"))
-    return a.join(b, "path", "full").agg(F.count(F.lit(1)).alias("files"),
-                                         F.bool_and(F.col("sha").eqNullSafe(F.col("sha2"))).alias("same_bytes"))
+    a = _digests(_chunks(spark, f"{src}/part-*"))
+    b = _digests(copy_files(spark, f"{src}/part-*", dst)).select("path", "chunk", F.col("sha").alias("sha2"))
+    both = a.join(b, ["path", "chunk"], "full").groupBy("path").agg(F.bool_and(F.col("sha").eqNullSafe(F.col("sha2"))).alias("same"))
+    return both.agg(F.count(F.lit(1)).alias("files"), F.bool_and("same").alias("same_bytes"))
 
 
 @query("concat_in_order", """

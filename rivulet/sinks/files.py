@@ -132,16 +132,26 @@ def _listing(spark: SparkSession, source) -> DataFrame:
     return list_glob(spark, source).select(F.col("path").alias("file"), "length")
 
 
-def _ranges(batches):
-    import pyarrow as pa
-    for batch in batches:
-        for file, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-            store, path = _store(file)
-            with store.open_input_file(path) as f:
-                data = f.read_at(n, at)
-            if len(data) != n:
-                raise OSError(f"{file} became shorter while it was read")
-            yield pa.RecordBatch.from_pydict({"file": [file], "at": [at], "content": [data]})
+def _ranges(change):
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for file, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                store, path = _store(file)
+                with store.open_input_file(path) as f:
+                    data = f.read_at(n, at)
+                if len(data) != n:
+                    raise OSError(f"{file} became shorter while it was read")
+                yield pa.RecordBatch.from_pydict({"file": [file], "at": [at], "content": [change(data) if change else data]})
+    return run
+
+
+def read_ranges(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, change=None) -> DataFrame:
+    """``file``, ``at`` and ``content`` of every byte range of ``files`` (``file``, ``length``); ``change`` is applied to a range's bytes as it is read."""
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(chunk_bytes).cast("bigint"))).alias("at")
+    ranges = files.select("file", "length", at).select("file", "at", F.least(F.col("length") - F.col("at"), F.lit(chunk_bytes)).alias("n"))
+    return ranges.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "at") \
+        .mapInArrow(_ranges(change), "file string, at bigint, content binary")
 
 
 def read_chunks(spark: SparkSession, source, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -149,10 +159,7 @@ def read_chunks(spark: SparkSession, source, chunk_bytes: int = CHUNK_BYTES) ->
 
     A file of any size is read by many tasks.  An empty file has one empty range.
     """
-    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(chunk_bytes).cast("bigint"))).alias("at")
-    ranges = _listing(spark, source).select("file", "length", at).select("file", "at", F.least(F.col("length") - F.col("at"), F.lit(chunk_bytes)).alias("n"))
-    return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "at") \
-        .mapInArrow(_ranges, "file string, at bigint, content binary")
+    return read_ranges(_listing(spark, source), chunk_bytes)
 
 
 def _named(file):

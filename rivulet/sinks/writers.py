@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -90,40 +89,59 @@ def write_json_array(df: DataFrame, path: str, order_by: str, pretty: bool = Fal
     return path
 
 
-def _per_file(spark: SparkSession, source, target: str, name, change, mode: str) -> DataFrame:
-    """Each source file, changed as bytes, to one file under ``target``; executors read and write, one file a task.
+# a chunk of a table: a hundred rows are buffered before Parquet looks at their size
+TABLE_CHUNK_BYTES = 1 << 20
+
+
+def _changed(change):
+    """mapInArrow body over (path, chunk, content): one row held at a time."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for path, chunk, content in zip(*batch.columns):
+                yield pa.RecordBatch.from_pydict({"path": [path.as_py()], "chunk": [chunk.as_py()], "content": [change(content.as_py())]})
+    return run
+
+
+def _per_file(spark: SparkSession, source, target: str, suffix: str, change, mode: str, chunk_bytes: int) -> DataFrame:
+    """Each source file, changed as bytes chunk by chunk, to rows under ``target``; no task holds a whole large file.
 
     Bytes go through Spark's writer for binary data only by way of a table, so
-    the result is a table of (path, content) next to its manifest: file names
-    stay data, and any store that Spark writes will do.
+    the result is a table of (path, chunk, content) next to its manifest: file
+    names stay data, and any store that Spark writes will do.  ``chunk`` is the
+    offset in the source; a file's contents in its order are the file.  A file
+    of one chunk is read by Spark, a larger one in ranges by many tasks.
     """
+    from rivulet.sinks.files import read_ranges
+
     files = spark.read.format("binaryFile").load(source)
-    out = files.select(name(F.col("path")).alias("path"), change(F.col("content")).alias("content"))
-    out.write.mode(mode).parquet(target)
+    name = F.concat(F.element_at(F.split("file", "/"), -1), F.lit(suffix)).alias("path")
+    small = files.where(F.col("length") <= chunk_bytes).withColumnRenamed("path", "file").select(name, F.lit(0).cast("bigint").alias("chunk"), "content")
+    large = read_ranges(files.where(F.col("length") > chunk_bytes).select(F.col("path").alias("file"), "length"), chunk_bytes, change)
+    if change is not None:
+        small = small.mapInArrow(_changed(change), small.schema)
+    small.unionByName(large.select(name, F.col("at").alias("chunk"), "content")).write.mode(mode).parquet(target)
     return spark.read.parquet(target)
 
 
-def copy_files(spark: SparkSession, source, target: str, mode: str = "errorifexists") -> DataFrame:
-    """Byte-true copy of files (glob allowed) as a table ``(path, content)`` at ``target`` (K-8)."""
-    return _per_file(spark, source, target, lambda p: F.element_at(F.split(p, "/"), -1), lambda c: c, mode)
+def _gzip(content: bytes) -> bytes:
+    return gzip.compress(content, mtime=0)
 
 
-def gzip_files(spark: SparkSession, source, target: str, mode: str = "errorifexists") -> DataFrame:
-    """Each file's bytes as a gzip member (K-7 ``compress``), table ``(path, content)`` at ``target``."""
-    @F.pandas_udf("binary")
-    def pack(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else gzip.compress(b, mtime=0))
+def copy_files(spark: SparkSession, source, target: str, mode: str = "errorifexists", chunk_bytes: int = TABLE_CHUNK_BYTES) -> DataFrame:
+    """Byte-true copy of files (glob allowed) as a table ``(path, chunk, content)`` at ``target`` (K-8)."""
+    return _per_file(spark, source, target, "", None, mode, chunk_bytes)
 
-    return _per_file(spark, source, target, lambda p: F.concat(F.element_at(F.split(p, "/"), -1), F.lit(".gz")), pack, mode)
 
+def gzip_files(spark: SparkSession, source, target: str, mode: str = "errorifexists", chunk_bytes: int = TABLE_CHUNK_BYTES) -> DataFrame:
+    """Each chunk of each file as a gzip member (K-7 ``compress``), table ``(path, chunk, content)`` at ``target``; a file's members in order are a gzip file."""
+    return _per_file(spark, source, target, ".gz", _gzip, mode, chunk_bytes)
 
-def gunzip_table(packed: DataFrame) -> DataFrame:
-    """The files of a table ``(path, content)`` unpacked again, byte for byte (K-7 ``decompress``)."""
-    @F.pandas_udf("binary")
-    def unpack(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else gzip.decompress(b))
 
-    return packed.select(F.regexp_replace("path", r"\.gz$", "").alias("path"), unpack("content").alias("content"))
+def gunzip_table(packed: DataFrame) -> DataFrame:
+    """The files of a table ``(path, chunk, content)`` unpacked again, byte for byte and chunk by chunk (K-7 ``decompress``)."""
+    rows = packed.select(F.regexp_replace("path", r"\.gz$", "").alias("path"), "chunk", "content")
+    return rows.mapInArrow(_changed(gzip.decompress), rows.schema)
 
 
 def copy_dataset(spark: SparkSession, source: str, target: str, fmt: str = "parquet",

@@ -4,7 +4,7 @@ import os
 
 import pytest
 from rivulet.sinks.writers import (
-    concat_skip_headers, copy_dataset, debug_json, gunzip_table, gzip_files, write, write_csv, write_json, write_json_array,
+    concat_skip_headers, copy_dataset, copy_files, debug_json, gunzip_table, gzip_files, write, write_csv, write_json, write_json_array,
 )
 from rivulet.sources.csv import read_csv
 from rivulet.sources.json import read_json
@@ -106,6 +106,25 @@ def test_gzip_files_keep_every_byte(spark, tmp):
     assert packed.first()["path"] == "plain.bin.gz" and back["path"] == "plain.bin" and bytes(back["content"]) == data
 
 
+def test_large_files_are_copied_and_packed_in_chunks(spark, tmp):
+    import gzip
+    data = {"a.bin": os.urandom(25_000) + b"\0" * 25_000, "b c.txt": b"\xef\xbb\xbfshort\r\n"}
+    os.mkdir(f"{tmp}/src")
+    for name, content in data.items():
+        with open(f"{tmp}/src/{name}", "wb") as fh:
+            fh.write(content)
+
+    def whole(table):
+        found = sorted((r["path"], r["chunk"], bytes(r["content"])) for r in table.collect())
+        assert max(len(c) for _, _, c in found) <= 4200 and len(found) == 14
+        return {n: b"".join(c for p, _, c in found if p == n) for n, _, _ in found}
+
+    assert whole(copy_files(spark, f"{tmp}/src/*", f"{tmp}/copy", chunk_bytes=4000)) == data
+    packed = gzip_files(spark, f"{tmp}/src/*", f"{tmp}/gz", chunk_bytes=4000)
+    assert {n: gzip.decompress(c) for n, c in whole(packed).items()} == {f"{n}.gz": c for n, c in data.items()}
+    assert whole(gunzip_table(packed)) == data
+
+
 def test_copy_to_folder_keeps_name(spark, tmp):
     spark.range(3).write.parquet(f"{tmp}/data/set1")
     copy_dataset(spark, f"{tmp}/data/set1", f"{tmp}/dest/")
