@@ -6,6 +6,8 @@ the functions whose meaning differs from a Spark built-in of the same name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,18 +214,33 @@ DATE_FORMATS = (
 )
 
 
+# What a text must look like for a format's letters to take it: wider than the format, never narrower.
+_SHAPES = {"yyyy": r"[+-]?\d{4,}", "MMMM": r"\p{L}{3,}", "MMM": r"\p{L}{3,4}", "MM": r"\d{2}", "dd": r"\d{2}", "d": r"\d+", "HH": r"\d{2}",
+           "mm": r"\d{2}", "ss": r"\d{2}", "XX": r"(?:Z|[+-]\d{4})", "z": ".+"}
+
+
+def date_shape(fmt: str) -> str:
+    """A regular expression that every text matches which ``fmt``, one of ``DATE_FORMATS``, can parse."""
+    out = []
+    for m in re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|(.)", fmt):
+        quoted, letters, _, plain = m.groups()
+        out.append(_SHAPES[letters] if letters else re.escape(quoted or plain))
+    return "(?is)^" + "".join(out) + "$"
+
+
 def strtotime(c) -> Column:
     """Absolute date/time text → epoch seconds (relative phrases give NULL).
 
     ``@123`` is epoch seconds; else ISO 8601, eight digits and ``DATE_FORMATS``, in the
     session time zone unless the text names one; a weekday in front is passed over.
+    A format is tried only on texts of its shape: a parse that fails costs far more.
     """
     s = F.regexp_replace(F.trim(as_column(c).cast("string")), r"^[A-Za-z]{3,9},\s*", "")
     at = F.when(s.rlike(r"^@-?\d+$"), F.timestamp_seconds(F.substring(s, 2, 30).try_cast("bigint")))
     compact = s.rlike(r"^\d{8}$")
     return F.unix_timestamp(F.coalesce(at, F.when(compact, F.try_to_timestamp(s, F.lit("yyyyMMdd"))),
                                        F.when(~compact, F.try_to_timestamp(s)),
-                                       *[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS]))
+                                       *[F.when(s.rlike(date_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in DATE_FORMATS]))
 
 
 # ---- unknown JSON shapes: the same functions over a variant (parse_json) ----

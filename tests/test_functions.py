@@ -99,3 +99,23 @@ def test_scale_conf_for_100tb():
     conf = scale_conf(100 * 2**40, cores=8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(10 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_strtotime_tries_a_format_only_on_texts_of_its_shape(spark):
+    from rivulet.functions.vocab import DATE_FORMATS, date_shape
+    at = ["2024-01-02 03:04:05", "1999-12-31 23:59:59", "2024-05-06 00:00:00", "2023-09-30 12:00:00", "0044-06-15 01:02:03"]
+    at += ["-0044-06-15 01:02:03", "+12345-06-15 01:02:03"]
+    made = spark.createDataFrame([(t,) for t in at], "t string").select(F.explode(F.array(*[
+        F.date_format(F.col("t").cast("timestamp"), f) for f in DATE_FORMATS])).alias("s"))
+    texts = {r["s"] for r in made.collect() if r["s"]}
+    texts |= {t.upper() for t in texts} | {t.lower() for t in texts} | {f"Mon, {t}" for t in texts} | {f" {t} " for t in texts}
+    texts |= {"31 Feb 2024", "001 Jan 2024", "1 Sept 2024", "1  Jan 2024", "-1 Jan 2024", "1 Jan 2024 03:04:05 Europe/Berlin", "1 Jan 2024 03:04:05 z",
+              "1 Jan 2024 03:04:05 GMT+2", "20240102t030405", "1.1.2024", "01.01.24", "01-01-2024\n", "", "x", "next monday", "@12", "20241301", "May 5 2024"}
+    s = F.regexp_replace(F.trim("s"), r"^[A-Za-z]{3,9},\s*", "")
+    every = F.coalesce(F.when(s.rlike(r"^@-?\d+$"), F.timestamp_seconds(F.substring(s, 2, 30).try_cast("bigint"))),
+                       F.when(s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd"))), F.when(~s.rlike(r"^\d{8}$"), F.try_to_timestamp(s)),
+                       *[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
+    got = spark.createDataFrame([(t,) for t in sorted(texts)], "s string").select("s", V.strtotime("s").alias("a"), F.unix_timestamp(every).alias("b")).collect()
+    assert [(r["s"], r["a"]) for r in got] == [(r["s"], r["b"]) for r in got] and sum(r["a"] is not None for r in got) > 200
+    for text in ("2 January 2024", "Jan 2, 2024", "02.01.2024", "01/02/2024", "2 May 2024 03:04"):
+        assert 1 <= sum(re.search(date_shape(f).replace(r"\p{L}", "[^\\W\\d_]"), text) is not None for f in DATE_FORMATS) <= 2
