@@ -19,18 +19,22 @@ __all__ = ["lookup_between", "running_positions"]
 # places of an event among those of one key: before all values, at a value, after all values
 _BEFORE, _AT, _AFTER = 0, 1, 2
 
+# rows that one range of the order holds, about
+RANGE_ROWS = 250_000
+
 
 def running_positions(events: DataFrame, order_by: list[str], counted: str, name: str, num_partitions: int | None = None) -> DataFrame:
     """``events`` with the number of rows up to each one for which ``counted`` is 1.
 
     The order is cut into ranges of about equal size; ``order_by`` should end
     in a column that tells equal values apart, so that a value which a third of
-    all rows share is cut, too.  Each row's range is written as data, the
-    ranges' sums (one row each) are added up and joined back.
+    all rows share is cut, too.  Their number follows the rows, so that a task
+    sorts and buffers no more of a larger table.  Each row's range is written
+    as data, the ranges' sums (one row each) are added up and joined back.
     """
     from rivulet.session import materialize
 
-    n = num_partitions or _shuffle_partitions(events)
+    n = num_partitions or max(_shuffle_partitions(events), -(-events.count() // RANGE_ROWS))
     tagged = materialize(events.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
                          .withColumn("_rp_range", F.spark_partition_id()).withColumn("_rp_at", F.monotonically_increasing_id()), "positions")
     earlier = Window.orderBy("_rp_r").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,11 +42,16 @@ def running_positions(events: DataFrame, order_by: list[str], counted: str, name
         .select("_rp_r", F.coalesce(F.sum("_rp_n").over(earlier), F.lit(0)).alias("_rp_off"))
     here = Window.partitionBy("_rp_range").orderBy("_rp_at").rowsBetween(Window.unboundedPreceding, 0)
     # offsets has one row per range, whatever the data
-    return tagged.withColumn("_rp_sum", F.sum(counted).over(here)).join(F.broadcast(offsets), F.col("_rp_range") == F.col("_rp_r")) \
+    return tagged.repartition(n, "_rp_range").withColumn("_rp_sum", F.sum(counted).over(here)).join(F.broadcast(offsets), F.col("_rp_range") == F.col("_rp_r")) \
         .withColumn(name, (F.col("_rp_sum") + F.col("_rp_off")).cast("bigint")) \
         .drop("_rp_range", "_rp_at", "_rp_r", "_rp_n", "_rp_sum", "_rp_off")
 
 
+def _only_match(n: Column, position: Column, row: Column) -> Column:
+    """Position of a record's only match; else a number of its own below all positions, so that these records don't meet in one task."""
+    return F.when(n == 1, position + 1).otherwise(-1 - row)
+
+
 def lookup_between(records: DataFrame, table: DataFrame, value: Column | str, low: Column | str | None = None,
                    high: Column | str | None = None, include_low: bool = True, include_high: bool = True,
                    on: dict[str, str] | str | None = None, data_cols: list[str] | None = None,
@@ -100,7 +109,7 @@ def lookup_between(records: DataFrame, table: DataFrame, value: Column | str, lo
     counted = placed.where("_lb_one = 0").groupBy(F.col("_lb_tie").alias("_lb_row")).agg(
         F.max(F.when(F.col("_lb_end") == 0, F.col("_lb_pos"))).alias("_lb_from"), F.max(F.when(F.col("_lb_end") == 1, F.col("_lb_pos"))).alias("_lb_to")) \
         .select(F.col("_lb_row").alias("_lb_r"), "_lb_from", F.greatest(F.col("_lb_to") - F.col("_lb_from"), F.lit(0)).alias("_lb_n"))
-    counted = counted.withColumn("_lb_at", F.when(F.col("_lb_n") == 1, F.col("_lb_from") + 1))
+    counted = counted.withColumn("_lb_at", _only_match(F.col("_lb_n"), F.col("_lb_from"), F.col("_lb_r")))
     single = placed.where("_lb_one = 1").select(F.col("_lb_pos").alias("_lb_p"), "_lb_d")
     found = counted.join(single, F.col("_lb_at") == F.col("_lb_p"), "left").select("_lb_r", "_lb_n", "_lb_d")
     return numbered.join(found, F.col("_lb_row") == F.col("_lb_r"), "left").select(

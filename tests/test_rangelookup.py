@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rivulet.operators.rangelookup import lookup_between, running_positions
 
@@ -64,3 +65,21 @@ def test_empty_tables_and_wrong_use(spark):
         lookup_between(r, t, "v")
     with pytest.raises(ValueError):
         lookup_between(r, t, "v", "lo", count_col="hi")
+
+
+def test_records_without_an_only_match_are_spread(spark):
+    from rivulet.operators.rangelookup import _only_match
+    got = spark.range(0, 4000, 1, 4).select(_only_match(F.col("id") % 5, F.col("id"), F.monotonically_increasing_id()).alias("k"), "id").collect()
+    assert len({r["k"] for r in got}) == 4000 and all(r["k"] == r["id"] + 1 if r["id"] % 5 == 1 else r["k"] < 0 for r in got)
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    from rivulet.operators import rangelookup
+    from rivulet import session
+    monkeypatch.setattr(rangelookup, "RANGE_ROWS", 100)
+    kept = []
+    monkeypatch.setattr(session, "materialize", lambda df, name, make=session.materialize: kept.append((name, make(df, name))) or kept[-1][1])
+    pos = running_positions(spark.range(4000).selectExpr("id % 3 AS v", "id", "1 AS one"), ["v", "id"], "one", "p")
+    assert sorted(x["p"] for x in pos.collect()) == list(range(1, 4001))
+    sizes = [x["count"] for name, df in kept for x in df.groupBy("_rp_range").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 300
