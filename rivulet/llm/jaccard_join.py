@@ -56,6 +56,8 @@ PAIRS_UP_TO = 32
 BLOCK, BLOCK_TOKENS = 256, 1 << 21
 # numbers that rows are told apart by before they are shuffled
 PLACES = 1 << 20
+# parts of the tokens that are shuffled one after another
+SLICES = 4
 _BASE, _MIX, _MASK = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 
 
@@ -256,6 +258,7 @@ def linked_sets(sets: DataFrame, threshold: int = THRESHOLD, rare: int = RARE, c
     every = materialize(sets.select("x", "n", "tokens", "dfs").mapInArrow(_signatures(threshold, rare, common), "sig bigint, x bigint"), "jaccard-index")
     buckets = materialize(every.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "jaccard-buckets")
     index = materialize(every.join(buckets, "sig"), "jaccard-members").join(sets.select("x", "n"), "x")
+    release(spark)
 
     roots = None
     open_index = index.withColumn("root", F.col("x"))
@@ -279,6 +282,7 @@ def linked_sets(sets: DataFrame, threshold: int = THRESHOLD, rare: int = RARE, c
                                  .select("sig", "x", "n", "members", F.coalesce("root", "x").alias("root")), "jaccard-open")
         mixed = materialize(open_index.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("n").alias("total"))
                             .where("r0 != r1").select("sig", "total"), "jaccard-mixed")
+        release(spark)
         if mixed.isEmpty():
             return roots
         open_index = open_index.join(mixed, "sig")
@@ -311,6 +315,24 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def by_shared_tokens(sets: DataFrame, value, name: str, slices: int = SLICES) -> DataFrame:
+    """``x``, ``n`` and ``v``: ``value`` over a set's tokens ``t`` that other rows hold, too (``df`` rows); one row per set and slice.
+
+    Tokens are dealt to slices by hash, and one slice goes after another, so
+    that the disk holds the shuffles of one; every token is in one of them.
+    """
+    spark, out = sets.sparkSession, None
+    for k in range(slices):
+        tokens = sets.select("x", "n", F.explode("tokens").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(slices)) == k)
+        shared, path = _written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+        release(spark)
+        part = materialize(tokens.join(shared, "t").groupBy("x", "n").agg(value.alias("v")), name)
+        drop_path(spark, path)
+        release(spark)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        threshold: int = THRESHOLD, **options) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``.
@@ -334,11 +356,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sieve, sieve_path = _written(first.where(F.col("n") >= least).join(classes.select("x"), "x", "left_semi").select("x", "n", "id", "h", "tokens"))
     drop_path(spark, first_path)
     release(spark)
-    twice = materialize(sieve.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-                        .select("t"), "jaccard-twice")
-    release(spark)
     smallest_partner = F.ceil(F.col("n") * threshold / 100)
-    through = materialize(sieve.select("x", "n", F.explode("tokens").alias("t")).join(twice, "t").groupBy("x", "n").agg(F.count(F.lit(1)).alias("s"))
+    through = materialize(by_shared_tokens(sieve, F.count(F.lit(1)), "jaccard-sieved").groupBy("x", "n").agg(F.sum("v").alias("s"))
                           .where(F.col("s") > F.floor(smallest_partner * (100 - threshold) / 100)).select("x"), "jaccard-through")
     release(spark)
     place = F.pmod(F.xxhash64("id", "h"), F.lit(PLACES))
@@ -352,14 +371,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("t", "x").mapInArrow(shingle_sets(shingle), "n int, key binary, tokens array<bigint>, x bigint")
     chosen, chosen_path = _written(again.select("x", "n", "tokens"))
     release(spark)
-    shared = materialize(chosen.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-shared")
-    release(spark)
-    in_order = F.sort_array(F.collect_set(F.struct("df", "t")))
-    sets = chosen.select("x", "n", F.explode("tokens").alias("t")).join(shared, "t").groupBy("x", "n").agg(in_order.alias("o")) \
+    parts = by_shared_tokens(chosen, F.collect_set(F.struct("df", "t")), "jaccard-shared")
+    drop_path(spark, chosen_path)
+    in_order = F.sort_array(F.flatten(F.collect_list("v")))
+    sets = parts.groupBy("x", "n").agg(in_order.alias("o")) \
         .where(100 * F.size("o") >= threshold * F.col("n")) \
         .select("x", "n", F.col("o.t").alias("tokens"), F.col("o.df").alias("dfs"))
     sets = materialize(sets, "jaccard-candidates")
-    drop_path(spark, chosen_path)
     release(spark)
     roots = linked_sets(sets, threshold, **options)
     member = classes.join(roots, "x", "left").select("key", "low", F.coalesce("root", "x").alias("root"))

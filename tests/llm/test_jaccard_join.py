@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rivulet.llm import jaccard_join as J
 from tests.llm.helpers import empty, messy, messy_rows, prose, with_null_ids
 
@@ -156,3 +158,19 @@ def test_empty_table(spark):
 def test_only_empty_texts(spark):
     df = spark.createDataFrame([(2, None), (1, ""), (3, " \n"), (4, "a b"), (5, "a  b")], "doc_id bigint, text string")
     assert got(df) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
+
+
+def test_shared_tokens_come_slice_by_slice(spark):
+    from rivulet.llm.jaccard_join import by_shared_tokens
+    sets = {x: sorted({(x * 7 + i * i) % 900 for i in range(40)}) for x in range(60)}
+    df = {}
+    for tokens in sets.values():
+        for t in tokens:
+            df[t] = df.get(t, 0) + 1
+    frame = spark.createDataFrame([(x, len(t), t) for x, t in sets.items()], "x bigint, n int, tokens array<bigint>")
+    got, slices = {}, {}
+    for r in by_shared_tokens(frame, F.collect_set(F.struct("df", "t")), "t", 3).collect():
+        got.setdefault(r["x"], []).extend((v["df"], v["t"]) for v in r["v"])
+        slices[r["x"]] = slices.get(r["x"], 0) + 1
+    assert max(slices.values()) == 3
+    assert {x: sorted(v) for x, v in got.items()} == {x: sorted((df[t], t) for t in ts if df[t] > 1) for x, ts in sets.items()}
