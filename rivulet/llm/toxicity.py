@@ -5,10 +5,12 @@ beginnings of the labelled sample; those that do not tell the classes apart
 (chi-square) weigh less, none is left out.  Beginnings stand for the forms of a
 word that the sample has not seen.  The few terms of the largest weight in all
 are a matrix, and a query's products with it a first part of every cosine.  All
-others are inverted lists in blocks of neighbouring examples with the largest
-weight of each term in each block.  The k-th best first part is a floor of the
-k-th best cosine; a query bounds its cosine with every block from the maxima
-and looks into the blocks that can reach the floor: the neighbours are exact.
+others are inverted lists, each in runs of examples that hold the term equally
+often, so that a run needs one number and its examples; beside them stands the
+largest weight of each term in each block of neighbouring examples.  The k-th
+best first part is a floor of the k-th best cosine; a query bounds its cosine
+with every block from the maxima and looks into the blocks that can reach the
+floor: the neighbours are exact.
 Their labels vote by similarity; isotonic regression on the labelled sample,
 each row without itself, makes the vote a probability.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 from array import array
 from dataclasses import dataclass, field
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,19 +37,26 @@ SAMPLE_BYTES = 65536
 FULL_CHI2 = 30.0  # from here a term has its full weight; chance alone gives one such term in some ten million
 LEAST_WEIGHT = 0.1  # share of its weight that any term keeps
 HEAD = 1536  # terms kept as a matrix, those of the longest lists
-QUERIES = 128  # texts whose products with the matrix are taken together
+QUERIES = 256  # texts whose products with the matrix are taken together
+QUERY_TERMS = 400_000  # fewer texts where they have so many terms
+TRIED = 8  # texts of these whose blocks are bounded; the others' are if that spares a quarter of the blocks
 ROUNDING = 1e-5  # more than a float32 product of unit vectors is off
+TINY = 1e-30  # less than any cosine that is not zero
 NEIGHBOURS = 15
 BLOCK = 512  # examples in a block, more where that made over BLOCKS of them
 BLOCKS = 16
+CHUNK = 8  # examples of a run that are read together
 EVIDENCE = 3
 THRESHOLD = 0.3
 SEED = 8
 STEMS = (4, 5, 6)
-# words whose terms a worker remembers
-CACHE_WORDS = 200_000
-# words looked up together
-RUN_WORDS = 30_000
+# pieces of text whose terms a worker remembers, and how many terms of theirs
+CACHE_PIECES = 200_000
+CACHE_TERMS = 8 * CACHE_PIECES
+# longer ones are taken apart into words before they are looked up
+PIECE_LETTERS = 64
+# pieces looked up together
+RUN_PIECES = 30_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -55,6 +64,14 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
+def pieces_of(text: str | None) -> list[str]:
+    """The lower-cased text at its white space, which no word spans; a piece holds any number of words."""
+    pieces = (text or "").lower().split()
+    if pieces and max(map(len, pieces)) > PIECE_LETTERS:
+        return list(chain.from_iterable([p] if len(p) <= PIECE_LETTERS else _LETTERS.findall(p) for p in pieces))
+    return pieces
+
+
 def terms_of(word: str) -> list[str]:
     """The word and its beginnings, these marked by a caret."""
     return [word, *("^" + word[:k] for k in STEMS if len(word) >= k)]
@@ -65,39 +82,59 @@ def numbered(terms: str) -> dict[str, int]:
 
 
 class WordTerms(dict):
-    """Numbers of the words seen so far; of each number, the numbers of the terms its word stands for."""
+    """Numbers of the pieces of text seen so far; of each number, the numbers of the terms its words stand for."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
         self.terms = terms
         self.flat, self.ends = array("i"), array("q", [0])
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, piece: str) -> int:
         get = self.terms.get
-        self.flat.extend(t for t in map(get, terms_of(word)) if t is not None)
-        out = self[word] = len(self)
+        for word in _LETTERS.findall(piece):
+            self.flat.extend(t for t in map(get, terms_of(word)) if t is not None)
+        out = self[piece] = len(self)
         self.ends.append(len(self.flat))
         return out
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of each of the words in turn, and how many each has."""
-        if len(self) >= CACHE_WORDS:
+    def of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of each of the pieces in turn, and how many each has."""
+        if len(self) >= CACHE_PIECES or len(self.flat) >= CACHE_TERMS:
             self.clear()
             self.flat, self.ends = array("i"), array("q", [0])
-        code = np.fromiter(map(self.__getitem__, words), np.int64, count=len(words))
+        code = np.fromiter(map(self.__getitem__, pieces), np.int64, count=len(pieces))
         start, flat = np.array(self.ends), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
         count = np.diff(start)[code]
         return flat[_spans(start[code], count)], count
 
 
-_PAIR = np.dtype([("row", np.int32), ("cosine", np.float32)])
-
-
 def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (count[0] numbers), start[1], ..."""
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+def _together(vectors):
+    """The vectors in lists of at most QUERIES, fewer where they have many terms."""
+    some, size = [], 0
+    for at, w in vectors:
+        some.append((at, w))
+        size += len(at)
+        if len(some) == QUERIES or size >= QUERY_TERMS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def in_runs(term: np.ndarray, level: np.ndarray, row: np.ndarray, terms: int) -> tuple:
+    """Postings, those of a term in rising order of rows, as runs of equal level: how many a term has, their levels and lengths, all rows."""
+    order = np.lexsort((level, term))
+    term, level, row = term[order], level[order], row[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (level[1:] != level[:-1])]))
+    return (np.bincount(term[first], minlength=terms).astype(np.int32), level[first],
+            np.diff(np.append(first, len(term))).astype(np.int32), row)
+
+
 def arranged(ids: np.ndarray, at: list, w: list) -> np.ndarray:
     """An order of the examples in which neighbours share their heaviest terms, so that block maxima stay tight."""
     heavy = np.array([[*a[np.argsort(-x, kind="stable")[:2]], -1, -1][:2] for a, x in zip(at, w)], dtype=np.int64).reshape(len(ids), 2)
@@ -113,7 +150,8 @@ class Index:
     labels: np.ndarray
     weights: np.ndarray           # how many labelled rows an example stands for
     examples: np.ndarray | None   # examples x terms, unit length
-    postings: tuple | None = None  # in place of these, in this order: how many a term has, their examples, their weights
+    postings: tuple | None = None  # in place of these, in this order: what ``in_runs`` gives of them
+    scale: np.ndarray | None = None  # example: its weight of a term is this times the level of its run times the term's idf
     empty_rate: float = 0.5       # toxic share of labelled rows without any of the terms
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
@@ -121,10 +159,11 @@ class Index:
     head: np.ndarray = field(init=False)        # examples x terms of the longest lists
     block: int = field(init=False)              # examples in a block
     block_max: np.ndarray = field(init=False)   # terms x blocks: the largest weight, none in the head
-    lists: np.ndarray = field(init=False)       # term: its first postings block, and the end of the last term's
-    block_of: np.ndarray = field(init=False)    # postings block: its block of examples
-    cells: np.ndarray = field(init=False)       # postings block: its first posting, and the end of the last one's
-    pairs: np.ndarray = field(init=False)       # posting: its example and its weight, eight bytes read as one number
+    lists: np.ndarray = field(init=False)       # term: its first chunk, and the end of the last term's
+    chunks: np.ndarray = field(init=False)      # chunk: its examples, filled up with numbers that no example has
+    level_of: np.ndarray = field(init=False)    # chunk: the number of the level of all its examples
+    levels: np.ndarray = field(init=False)      # the levels by their numbers
+    reach: np.ndarray = field(init=False)       # chunk: the blocks of its first and its last example
 
     def __post_init__(self):
         n, terms = len(self.ids), len(self.idf)
@@ -134,34 +173,40 @@ class Index:
                 x[order] for x in (self.ids, self.labels, self.weights, self.examples))
             self.examples = self.examples.astype(np.float32)
             term, row = np.nonzero(self.examples.T)
-            self.postings = np.bincount(term, minlength=terms), row, self.examples[row, term]
-        count, row, value = self.postings
+            self.postings = in_runs(term, self.examples[row, term] / self.idf[term], row, terms)
+            self.scale = np.ones(n)
+        runs, level, length, row = self.postings
         self.postings = None
-        term, row = np.repeat(np.arange(terms, dtype=np.int32), count), row.astype(np.int32)
-        top = np.argsort(-count.astype(np.int64), kind="stable")[:HEAD]
+        term = np.repeat(np.arange(terms, dtype=np.int32), runs)
+        top = np.argsort(-np.bincount(term, weights=length, minlength=terms), kind="stable")[:HEAD]
         self.slot = np.full(terms, -1, dtype=np.int32)
         self.slot[top] = np.arange(len(top))
+        weight = lambda r: np.repeat(level[r] * self.idf[term[r]], length[r])
         self.head = np.zeros((n, len(top)), dtype=np.float32)
-        column = self.slot[term]
-        here = column >= 0
-        self.head[row[here], column[here]] = value[here]
-        pairs = np.empty(int((~here).sum()), dtype=_PAIR)
-        pairs["row"], pairs["cosine"], term = row[~here], value[~here], term[~here]
-        self.pairs = pairs.view(np.int64)
+        tail = self.slot[term] < 0
+        beside = np.repeat(tail, length)
+        rows = row[~beside]
+        self.head[rows, np.repeat(self.slot[term[~tail]], length[~tail])] = weight(~tail) * self.scale[rows]
+        rows, count = row[beside], length[tail].astype(np.int64)
         self.block = max(BLOCK, -(-n // BLOCKS))
-        block = pairs["row"] // self.block
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
-        self.cells = np.append(first, len(term)).astype(np.int32)
-        self.block_of = block[first]
         self.block_max = np.zeros((terms, -(-n // self.block)), dtype=np.float32)
-        if len(first):
-            self.block_max[term[first], self.block_of] = np.maximum.reduceat(pairs["cosine"], first)
-        self.lists = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+        np.maximum.at(self.block_max.reshape(-1), np.repeat(term[tail].astype(np.int64) * self.block_max.shape[1], count) + rows // self.block,
+                      (weight(tail) * self.scale[rows]).astype(np.float32))
+        size = -(-count // CHUNK)
+        start = np.cumsum(size) - size
+        self.chunks = np.tile(n + np.arange(CHUNK, dtype=np.uint16 if n + CHUNK <= 1 << 16 else np.int32), (int(size.sum()), 1))
+        self.chunks.reshape(-1)[_spans(start * CHUNK, count)] = rows
+        self.levels, number = np.unique(level[tail], return_inverse=True)
+        self.level_of = np.repeat(number.astype(np.min_scalar_type(len(self.levels))), size)
+        last = np.full(len(self.chunks), CHUNK - 1)
+        last[start + size - 1] = (count - 1) % CHUNK
+        self.reach = np.stack([self.chunks[:, 0], self.chunks[np.arange(len(last)), last]]) // np.asarray(self.block, self.chunks.dtype)
+        self.lists = np.append(0, np.cumsum(np.bincount(term[tail], weights=size, minlength=terms))).astype(np.int32)
 
     @property
     def rows(self) -> np.ndarray:
         """The example of each posting."""
-        return self.pairs.view(_PAIR)["row"]
+        return self.chunks[self.chunks < len(self.ids)]
 
     @classmethod
     def of(cls, fitted: dict) -> Index:
@@ -181,27 +226,41 @@ class Index:
         return next(self.vectors([text], known))
 
     def vectors(self, texts, known: WordTerms):
-        """``vector`` of each text; the words of several texts are looked up and counted together."""
+        """``vector`` of each text; the pieces of several texts are looked up and counted together."""
+        for at, counts, of, ends in self._counted(texts, known):
+            w = (1 + np.log(counts)) * self.idf[at]
+            w /= np.sqrt(np.bincount(of, weights=w * w, minlength=len(ends) - 1))[of]
+            for a, b in zip(ends[:-1], ends[1:]):
+                yield at[a:b], w[a:b]
+
+    def unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of one text, of unit length."""
+        w = (1 + np.log(counts)) * self.idf[at]
+        return at, w / np.sqrt((w * w).sum())
+
+    def counts(self, texts, known: WordTerms):
+        """Terms of each text and how often it has them."""
+        for at, counts, _, ends in self._counted(texts, known):
+            for a, b in zip(ends[:-1], ends[1:]):
+                yield at[a:b], counts[a:b]
+
+    def _counted(self, texts, known: WordTerms):
         some: list[list[str]] = []
         size = 0
         for text in texts:
-            some.append(words_of(text))
+            some.append(pieces_of(text))
             size += len(some[-1])
-            if size >= RUN_WORDS:
-                yield from self._vectors(some, known)
+            if size >= RUN_PIECES:
+                yield self._count(some, known)
                 some, size = [], 0
-        yield from self._vectors(some, known)
+        yield self._count(some, known)
 
-    def _vectors(self, some: list[list[str]], known: WordTerms):
+    def _count(self, some: list[list[str]], known: WordTerms):
         terms, count = known.of(list(chain.from_iterable(some)))
         of = np.repeat(np.repeat(np.arange(len(some)), [len(x) for x in some]), count)
         key, counts = np.unique(of * len(self.idf) + terms, return_counts=True)
         of, at = np.divmod(key, max(1, len(self.idf)))
-        w = (1 + np.log(counts)) * self.idf[at]
-        w /= np.sqrt(np.bincount(of, weights=w * w, minlength=len(some)))[of]
-        ends = np.searchsorted(of, np.arange(len(some) + 1))
-        for a, b in zip(ends[:-1], ends[1:]):
-            yield at[a:b], w[a:b]
+        return at, counts, of, np.searchsorted(of, np.arange(len(some) + 1))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None):
         """Positions and cosines of the k nearest examples, with all that tie with the k-th; only positive cosines."""
@@ -209,49 +268,59 @@ class Index:
 
     def nearest_each(self, vectors, k: int = NEIGHBOURS, without: list | None = None):
         """``nearest`` of each vector, an empty one near nothing."""
-        vectors, start = iter(vectors), -QUERIES
-        while some := list(islice(vectors, QUERIES)):
-            start += QUERIES
+        done = 0
+        for some in _together(vectors):
+            at, w = (np.concatenate(x) for x in zip(*some))
+            of = np.repeat(np.arange(len(some)), [len(a) for a, _ in some])
+            column = self.slot[at]
+            inside = column >= 0
+            head = np.searchsorted(of[inside], np.arange(len(some) + 1))
             queries = np.zeros((len(some), self.head.shape[1]), dtype=np.float32)
-            for i, (at, w) in enumerate(some):
-                column = self.slot[at]
-                queries[i, column[column >= 0]] = w[column >= 0]
-            for i, (first, (at, w)) in enumerate(zip(queries @ self.head.T, some)):
-                yield self._nearest(first, at, w, k, without[start + i] if without else None)
-
-    def _nearest(self, first: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, without: int | None):
+            queries[of[inside], column[inside]] = w[inside]
+            column, in_head = column[inside], w[inside]
+            tail = np.searchsorted(of[~inside], np.arange(len(some) + 1))
+            at, w = at[~inside], w[~inside]
+            start = self.lists[at]
+            count = self.lists[at + 1] - start
+            lists = at, w, start, count, w * self.idf[at]
+            tried = spared = 0
+            for i, first in enumerate(queries @ self.head.T):
+                if not len(some[i][0]) or not len(first):
+                    yield np.zeros(0, np.int64), np.zeros(0)
+                    continue
+                if without:
+                    first[self.ids == without[done + i]] = -2
+                at, w, start, count, share = (x[tail[i]:tail[i + 1]] for x in lists)
+                wanted = None
+                if tried < TRIED or 4 * spared >= tried:
+                    wanted = self._wanted(first, at, w, k)
+                    tried, spared = tried + 1, spared + 1 - wanted.mean()
+                h = slice(head[i], head[i + 1])
+                yield self._nearest(first, column[h], in_head[h], start, count, share, wanted, k)
+            done += len(some)
+
+    def _wanted(self, first: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+        """Whether a block can hold one of the k nearest."""
+        kth = max(0, len(first) - k)
+        bounds = np.maximum.reduceat(first, np.arange(0, len(first), self.block)) + w @ self.block_max[at]
+        return bounds >= np.partition(first, kth)[kth] - 2 * ROUNDING
+
+    def _nearest(self, first: np.ndarray, column: np.ndarray, w: np.ndarray, start: np.ndarray, count: np.ndarray, share: np.ndarray,
+                 wanted: np.ndarray | None, k: int):
         n = len(first)
-        if not n or not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        if without is not None:
-            first[self.ids == without] = -2
         kth = max(0, n - k)
-        floor = np.partition(first, kth)[kth] - ROUNDING
-        column = self.slot[at]
-        tail = column < 0
-        at_tail, of = at[tail], w[tail]
-        bounds = np.maximum.reduceat(first, np.arange(0, n, self.block)) + of @ self.block_max[at_tail]
-        wanted = bounds >= floor - ROUNDING
-        if 2 * wanted.sum() > len(wanted):
-            # most blocks: whole lists are read in one run each, which is cheaper than to step over the others
-            start = self.cells[self.lists[at_tail]]
-            count = self.cells[self.lists[at_tail + 1]] - start
-        else:
-            start = self.lists[at_tail]
-            count = self.lists[at_tail + 1] - start
-            lists, of = _spans(start, count), np.repeat(of, count)
-            look = wanted[self.block_of[lists]]
-            lists, of = lists[look], of[look]
-            start = self.cells[lists]
-            count = self.cells[lists + 1] - start
-        read = np.take(self.pairs, _spans(start, count)).view(_PAIR)
-        of = np.repeat(of, count)
-        of *= read["cosine"]
-        rest = np.bincount(read["row"], weights=of, minlength=n)
+        chunk, share = _spans(start, count), np.repeat(share, count)
+        if wanted is not None and not wanted.all():
+            before = np.append(0, np.cumsum(wanted))
+            look = before[self.reach[1, chunk].astype(np.int64) + 1] > before[self.reach[0, chunk]]
+            chunk, share = chunk[look], share[look]
+        share *= self.levels[self.level_of[chunk]]
+        # each example of a chunk, the numbers that fill it up, too, with the chunk's share
+        rows = np.take(self.chunks, chunk, axis=0).reshape(-1)
+        rest = np.bincount(rows, weights=np.repeat(share, CHUNK), minlength=n + CHUNK)[:n] * self.scale
         near = first + rest
-        found = np.flatnonzero((near > 0) & (near >= np.partition(near, kth)[kth] - ROUNDING))
-        sims = rest[found] + self.head[np.ix_(found, column[~tail])] @ w[~tail]
-        found, sims = found[sims > 0], sims[sims > 0]
+        found = np.flatnonzero(near >= max(np.partition(near, kth)[kth] - ROUNDING, TINY))
+        sims = rest[found] + (self.head[found][:, column] * w).sum(axis=1)
         if len(found) > k:
             keep = sims >= np.partition(sims, -k)[-k] - 1e-9
             found, sims = found[keep], sims[keep]
@@ -323,29 +392,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         names, index.idf = bare.value
         known = WordTerms(numbered(names))
         for batch in batches:
-            found = list(index.vectors((t.as_py() for t in batch.column(1)), known))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()),
-                                   pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary())], names=["id", "y", "at", "w"])
+            found = list(index.counts((t.as_py() for t in batch.column(1)), known))
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary())
+                                                                       for i in (0, 1))], names=["id", "y", "at", "n"])
 
     # the sample, so bounded; rows without any of the terms only count
-    sparse = materialize(sample.select("_id", "_t", "_y").mapInArrow(vectors, "id bigint, y int, at binary, w binary"), "toxic-vectors")
+    sparse = materialize(sample.select("_id", "_t", "_y").mapInArrow(vectors, "id bigint, y int, at binary, n binary"), "toxic-vectors")
     weigh = lambda y: 1.0 / rates[y]
     none = [(weigh(r.y), float(r.y > 0)) for r in sparse.where(F.octet_length("at") == 0).select("y").collect()]
     full = sparse.where(F.octet_length("at") > 0).toArrow()
     marks = full["y"].to_pylist()
     bare.destroy()
-    ids, at, w = full["id"].to_numpy().astype(np.int64), *([np.frombuffer(x.as_py(), t) for x in full[c]]
-                                                           for c, t in (("at", np.int32), ("w", np.float32)))
+    ids, at, counts = full["id"].to_numpy().astype(np.int64), *([np.frombuffer(x.as_py(), np.int32) for x in full[c]] for c in ("at", "n"))
     del full
-    order = arranged(ids, at, w)
-    at, w = [at[i] for i in order], [w[i] for i in order]
+    w = [(1 + np.log(c)) * idf[a] for a, c in zip(at, counts)]
+    length = np.array([np.sqrt((x * x).sum()) for x in w])
+    order = arranged(ids, at, [(x / y).astype(np.float32) for x, y in zip(w, length)])
+    del w
+    at, counts = [at[i] for i in order], [counts[i] for i in order]
     row = np.repeat(np.arange(len(ids), dtype=np.uint16 if len(ids) < 1 << 16 else np.int32), [len(a) for a in at])
-    at, w = np.concatenate([np.zeros(0, np.int32), *at]), np.concatenate([np.zeros(0, np.float32), *w])
-    by_term = np.argsort(at, kind="stable")
+    runs, level, run, row = in_runs(*(np.concatenate([np.zeros(0, np.int32), *x]) for x in (at, counts)), row, len(idf))
     index = {"terms": terms, "idf": idf, "ids": ids[order], "labels": np.array([float(y > 0) for y in marks])[order],
              "weights": np.array([weigh(y) for y in marks], dtype=float)[order],
-             "postings": (np.bincount(at, minlength=len(idf)).astype(np.int32), row[by_term], w[by_term])}
-    del at, w, row, by_term
+             "postings": (runs, (1 + np.log(level)).astype(np.float32), run, row), "scale": 1 / length[order]}
+    del at, counts, run, row
     total_w = sum(w for w, _ in none)
     index["empty_rate"] = (sum(w * y for w, y in none) + 0.5) / (total_w + 1.0)
     if marks:
@@ -355,8 +425,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             import pyarrow as pa
             index, _ = Index.shared(shared.value)
             for batch in batches:
-                each = ((np.frombuffer(a.as_py(), np.int32), np.frombuffer(w.as_py(), np.float32).astype(float))
-                        for a, w in zip(batch.column(2), batch.column(3)))
+                each = (index.unit(*(np.frombuffer(x.as_py(), np.int32) for x in pair)) for pair in zip(batch.column(2), batch.column(3)))
                 votes = [index.vote(*f) for f in index.nearest_each(each, without=batch.column(0).to_pylist())]
                 yield pa.record_batch([pa.array(votes, pa.float64()), batch.column(1)], names=["vote", "y"])
 

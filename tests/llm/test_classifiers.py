@@ -207,6 +207,69 @@ def test_lists_beside_the_matrix_against_all_cosines(monkeypatch):
         assert set(found.tolist()) == want and np.allclose(sims, every[found])
 
 
+def counted_index(counts, idf):
+    """An index as ``fit`` makes it: unit vectors of (1 + log count) * idf, lists in runs of equal counts."""
+    w = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+    norm = np.sqrt((w * w).sum(axis=1))
+    term, row = np.nonzero(counts.T)
+    runs, level, length, row = T.in_runs(term.astype(np.int32), counts[row, term].astype(np.int32), row.astype(np.uint16), len(idf))
+    n = len(counts)
+    index = T.Index({}, idf, np.arange(n), np.zeros(n), np.ones(n), None, postings=(runs, (1 + np.log(level)).astype(np.float32), length, row),
+                    scale=1 / norm)
+    return index, w / norm[:, None]
+
+
+@pytest.mark.parametrize("topics", [1, 4])
+def test_lists_in_runs_of_equal_counts_against_all_cosines(monkeypatch, topics):
+    rnd = np.random.default_rng(8)
+    monkeypatch.setattr(T, "HEAD", 6)
+    monkeypatch.setattr(T, "BLOCK", 50)
+    monkeypatch.setattr(T, "QUERIES", 7)
+    n, terms = 400, 240
+    counts = rnd.poisson(0.3, (n, terms))
+    counts[np.arange(n)[:, None] * topics // n != np.arange(terms)[None] * topics // terms] = 0  # a topic's words are in its blocks only
+    counts[np.arange(n), np.arange(n) * topics // n * (terms // topics)] += 1
+    counts[20:45] = counts[20]  # ties
+    index, every_weight = counted_index(counts, rnd.uniform(0.1, 3, terms))
+    assert len(index.rows) == np.count_nonzero(counts) - np.count_nonzero(index.head)
+    held = sum(x.nbytes for k, x in vars(index).items() if isinstance(x, np.ndarray) and k in ("pairs", "cells", "chunks", "level_of", "levels"))
+    assert topics > 1 or held < 4 * len(index.rows)  # a posting is its example, not also its weight
+    queries = [(np.flatnonzero(x), x[x > 0]) for x in every_weight[::5]] + [(np.zeros(0, np.int64), np.zeros(0))]
+    pruned = []
+    plain = T.Index._wanted
+    monkeypatch.setattr(T.Index, "_wanted", lambda *a: pruned.append(plain(*a)) or pruned[-1])
+    for without in (None, [*range(0, n, 5), -1]):
+        got = list(index.nearest_each(queries, 10, without))
+        assert len(got) == len(queries) and not len(got[-1][0])
+        for q, ((at, w), (found, sims)) in enumerate(zip(queries[:-1], got)):
+            every = every_weight[:, at] @ w
+            if without:
+                every[without[q]] = 0
+            kth = np.sort(every)[-10]
+            want = set(np.flatnonzero((every >= kth - 1e-9) & (every > 0)).tolist())
+            near = {int(i) for i in found}
+            # levels are of single precision: what is off the last place by less may change sides
+            assert all(abs(every[i] - kth) < 1e-6 for i in near ^ want) and np.allclose(sims, every[found], atol=1e-6)
+    assert topics == 1 or not all(x.all() for x in pruned)  # blocks of other topics were left out
+
+
+def test_terms_of_pieces_are_those_of_the_words():
+    texts = ["ὈΔΥΣΣΕΎΣ, Σ. ΑΣ-ΒΣ", "a\x85b\x1cc\u00a0d\u200be", "x1y2z 'tis (don't) naïve-café", "中文" * 100 + "。" + "字" * 70, "",
+             None, "q" * 200, "İstanbul ß ﬁ", "- 12 _ !!"]
+    words = sorted(set().union(*map(T.words_of, texts)))
+    terms = T.numbered("\n".join(sorted({t for w in words for t in T.terms_of(w)})))
+    index = T.Index(terms, np.ones(len(terms)), np.arange(0), np.zeros(0), np.ones(0), np.zeros((0, len(terms))))
+    known = T.WordTerms(terms)
+    for _ in range(2):
+        for text, (at, counts) in zip(texts, index.counts(texts, known)):
+            want = {}
+            for w in T.words_of(text):
+                for t in T.terms_of(w):
+                    want[terms[t]] = want.get(terms[t], 0) + 1
+            assert dict(zip(at.tolist(), counts.tolist())) == want
+    assert max(map(len, T.pieces_of("a-b-" * 40))) == 1  # a long piece is taken apart and not remembered whole
+
+
 def test_a_copy_of_a_toxic_text_of_rare_words_finds_it(spark, corpus):
     rows, marks = corpus
     rare = "quondam vexillo brumal ixtle sphragid"
