@@ -18,9 +18,8 @@ each row without itself, makes the vote a probability.
 from __future__ import annotations
 
 import re
-from array import array
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -49,13 +48,8 @@ CHUNK = 8  # examples of a run that are read together
 EVIDENCE = 3
 THRESHOLD = 0.3
 SEED = 8
-STEMS = (4, 5, 6)
-# pieces of text whose terms a worker remembers, and how many terms of theirs
-CACHE_PIECES = 200_000
-CACHE_TERMS = 8 * CACHE_PIECES
-# longer ones are taken apart into words before they are looked up
-PIECE_LETTERS = 64
-# pieces looked up together
+STEMS = (4, 5, 6)  # each a letter longer than the one before
+# pieces of text looked up together
 RUN_PIECES = 30_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -64,14 +58,6 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
-def pieces_of(text: str | None) -> list[str]:
-    """The lower-cased text at its white space, which no word spans; a piece holds any number of words."""
-    pieces = (text or "").lower().split()
-    if pieces and max(map(len, pieces)) > PIECE_LETTERS:
-        return list(chain.from_iterable([p] if len(p) <= PIECE_LETTERS else _LETTERS.findall(p) for p in pieces))
-    return pieces
-
-
 def terms_of(word: str) -> list[str]:
     """The word and its beginnings, these marked by a caret."""
     return [word, *("^" + word[:k] for k in STEMS if len(word) >= k)]
@@ -81,31 +67,49 @@ def numbered(terms: str) -> dict[str, int]:
     return {t: i for i, t in enumerate(terms.split("\n"))} if terms else {}
 
 
-class WordTerms(dict):
-    """Numbers of the pieces of text seen so far; of each number, the numbers of the terms its words stand for."""
+class Vocabulary:
+    """Terms by word and by beginning; a text is looked up without remembering any word that is not among them."""
 
     def __init__(self, terms: dict[str, int]):
-        super().__init__()
-        self.terms = terms
-        self.flat, self.ends = array("i"), array("q", [0])
-
-    def __missing__(self, piece: str) -> int:
-        get = self.terms.get
-        for word in _LETTERS.findall(piece):
-            self.flat.extend(t for t in map(get, terms_of(word)) if t is not None)
-        out = self[piece] = len(self)
-        self.ends.append(len(self.flat))
-        return out
-
-    def of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of each of the pieces in turn, and how many each has."""
-        if len(self) >= CACHE_PIECES or len(self.flat) >= CACHE_TERMS:
-            self.clear()
-            self.flat, self.ends = array("i"), array("q", [0])
-        code = np.fromiter(map(self.__getitem__, pieces), np.int64, count=len(pieces))
-        start, flat = np.array(self.ends), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
-        count = np.diff(start)[code]
-        return flat[_spans(start[code], count)], count
+        self.words = {t: i for t, i in terms.items() if t[0] != "^"}
+        self.stems = {t[1:]: i for t, i in terms.items() if t[0] == "^"}
+        # term: the longest beginning that goes with it, -1 if none does
+        self.up = np.full(len(terms), -1, dtype=np.int32)
+        for known, ahead in ((self.words, (w[:STEMS[-1]] for w in self.words)), (self.stems, (s[:-1] for s in self.stems))):
+            self.up[np.fromiter(known.values(), np.int64)] = np.fromiter(map(self.stems.get, ahead, repeat(-1)), np.int32)
+
+    def beginning(self, word: str) -> int:
+        """The longest known beginning of a word, -1 if there is none."""
+        for k in reversed(STEMS):
+            found = self.stems.get(word[:k], -1)
+            if found >= 0:
+                return found
+        return -1
+
+    def of(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of all words of each text, given as its lower-cased pieces between white space, and the number of its text."""
+        texts = np.arange(len(pieces))
+        flat = list(chain.from_iterable(pieces))
+        of = np.repeat(texts, [len(x) for x in pieces])
+        term = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, count=len(flat))
+        # most pieces are a known word; the words of the others are sought
+        other = np.flatnonzero(term < 0)
+        ends = np.searchsorted(of[other], np.arange(len(pieces) + 1)).tolist()
+        other = [flat[i] for i in other.tolist()]
+        words = [_LETTERS.findall(" ".join(other[a:b])) for a, b in zip(ends[:-1], ends[1:])]
+        flat = list(chain.from_iterable(words))
+        found = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, count=len(flat))
+        new = np.flatnonzero(found < 0)
+        found[new] = [self.beginning(flat[i]) for i in new.tolist()]
+        term, of = np.concatenate([term, found]), np.concatenate([of, np.repeat(texts, [len(x) for x in words])])
+        all_terms, all_of = [], []
+        while len(term):
+            known = term >= 0
+            term, of = term[known], of[known]
+            all_terms.append(term)
+            all_of.append(of)
+            term = self.up[term]
+        return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (all_terms, all_of))
 
 
 def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -214,18 +218,18 @@ class Index:
         return cls(**{k: v for k, v in fitted.items() if k != "built"} | {"terms": numbered(fitted["terms"])}, examples=None)
 
     @classmethod
-    def shared(cls, fitted: dict) -> tuple[Index, WordTerms]:
-        """The index and the words seen so far, kept with the broadcast value: a Python worker builds them once for all its tasks."""
+    def shared(cls, fitted: dict) -> tuple[Index, Vocabulary]:
+        """The index and its vocabulary, kept with the broadcast value: a Python worker builds them once for all its tasks."""
         if "built" not in fitted:
             index = cls.of(fitted)
-            fitted["built"] = index, WordTerms(index.terms)
+            fitted["built"] = index, Vocabulary(index.terms)
         return fitted["built"]
 
-    def vector(self, text: str | None, known: WordTerms) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, text: str | None, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, of unit length; empty if it has none of the terms."""
         return next(self.vectors([text], known))
 
-    def vectors(self, texts, known: WordTerms):
+    def vectors(self, texts, known: Vocabulary):
         """``vector`` of each text; the pieces of several texts are looked up and counted together."""
         for at, counts, of, ends in self._counted(texts, known):
             w = (1 + np.log(counts)) * self.idf[at]
@@ -238,26 +242,25 @@ class Index:
         w = (1 + np.log(counts)) * self.idf[at]
         return at, w / np.sqrt((w * w).sum())
 
-    def counts(self, texts, known: WordTerms):
+    def counts(self, texts, known: Vocabulary):
         """Terms of each text and how often it has them."""
         for at, counts, _, ends in self._counted(texts, known):
             for a, b in zip(ends[:-1], ends[1:]):
                 yield at[a:b], counts[a:b]
 
-    def _counted(self, texts, known: WordTerms):
+    def _counted(self, texts, known: Vocabulary):
         some: list[list[str]] = []
         size = 0
         for text in texts:
-            some.append(pieces_of(text))
+            some.append((text or "").lower().split())
             size += len(some[-1])
             if size >= RUN_PIECES:
                 yield self._count(some, known)
                 some, size = [], 0
         yield self._count(some, known)
 
-    def _count(self, some: list[list[str]], known: WordTerms):
-        terms, count = known.of(list(chain.from_iterable(some)))
-        of = np.repeat(np.repeat(np.arange(len(some)), [len(x) for x in some]), count)
+    def _count(self, some: list[list[str]], known: Vocabulary):
+        terms, of = known.of(some)
         key, counts = np.unique(of * len(self.idf) + terms, return_counts=True)
         of, at = np.divmod(key, max(1, len(self.idf)))
         return at, counts, of, np.searchsorted(of, np.arange(len(some) + 1))
@@ -376,8 +379,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.sum((F.col("y") > 0).cast("double")).alias("a"), F.count(F.lit(1)).cast("double").alias("df"))
     pos, total = float(n[1]), float(n[0] + n[1])
     neg = total - pos
-    # the terms of the sample, so bounded
-    counted = counted.toArrow().sort_by("term")
+    # the terms of the sample, so bounded; frequent ones first, so that what most lookups touch lies together
+    counted = counted.toArrow().sort_by([("df", "descending"), ("term", "ascending")])
     terms = "\n".join(counted["term"].to_pylist())
     a, df = counted["a"].to_numpy(), counted["df"].to_numpy()
     del counted
@@ -390,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
         index = object.__new__(Index)
         names, index.idf = bare.value
-        known = WordTerms(numbered(names))
+        known = Vocabulary(numbered(names))
         for batch in batches:
             found = list(index.counts((t.as_py() for t in batch.column(1)), known))
             yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary())
