@@ -35,8 +35,8 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 65536
 FULL_CHI2 = 30.0  # from here a term has its full weight; chance alone gives one such term in some ten million
 LEAST_WEIGHT = 0.1  # share of its weight that any term keeps
-HEAD = 1536  # terms kept as a matrix, those of the longest lists
-QUERIES = 256  # texts whose products with the matrix are taken together
+HEAD = 2048  # terms kept as a matrix, those of the longest lists
+QUERIES = 512  # texts whose products with the matrix are taken together
 QUERY_TERMS = 400_000  # fewer texts where they have so many terms
 TRIED = 8  # texts of these whose blocks are bounded; the others' are if that spares a quarter of the blocks
 ROUNDING = 1e-5  # more than a float32 product of unit vectors is off
